@@ -1,0 +1,478 @@
+"""Oracle SQL (DuckDB dialect) for the registered queries.
+
+Each query is written in the shape of the original job (separate scans per
+count, row_number windows, IN subqueries) over the same source views, so it
+checks the fused Spark plans independently. The source views are prepended as
+CTEs over the driver's base tables. Bounds are the default ``Params``.
+"""
+
+from __future__ import annotations
+
+SOURCE_VIEWS = r"""
+messages AS (
+  SELECT event_id AS sid, user_id AS account_id, ts AS sent_date, ts AS date_created,
+         ts AS date_updated, CAST(ts AS date) AS data_load_date,
+         CASE event_type WHEN 'purchase' THEN 'DELIVERED' WHEN 'view' THEN 'SENT'
+              WHEN 'error' THEN 'UNDELIVERED' WHEN 'signup' THEN 'FAILED' ELSE 'RECEIVED' END AS status,
+         CASE k % 10 WHEN 0 THEN 30003 WHEN 1 THEN 30005 WHEN 2 THEN 21614 WHEN 3 THEN 30007
+              WHEN 4 THEN 30008 WHEN 5 THEN 21610 WHEN 6 THEN 30002 ELSE 0 END AS error_code,
+         CASE WHEN k >= 90 THEN NULL ELSE CAST(floor(k / 10) AS int) END AS flags,
+         CASE event_id % 7 WHEN 0 THEN 'US' WHEN 1 THEN 'CA' WHEN 2 THEN 'GB' WHEN 3 THEN 'AU'
+              WHEN 4 THEN 'FR' WHEN 5 THEN 'DE' END AS from_cc,
+         CASE CAST(floor(event_id / 7) AS bigint) % 6 WHEN 0 THEN 'US' WHEN 1 THEN 'CA' WHEN 2 THEN 'GB'
+              WHEN 3 THEN 'AU' WHEN 4 THEN 'IN' END AS to_cc,
+         CASE (user_id + event_id) % 4 WHEN 0 THEN 'LC' WHEN 1 THEN 'SC' WHEN 2 THEN 'AL' END AS from_type
+  FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS int) AS k FROM events) e),
+bodies AS (
+  SELECT e.event_id AS sid, b.text AS body
+  FROM events e JOIN benchmark b
+    ON CASE WHEN e.event_id % 3 = 0 THEN e.user_id % 40 ELSE e.event_id % 45 END = b.item_id),
+complaints AS (
+  SELECT o_orderkey AS id, CAST(floor(o_custkey / 10) AS bigint) AS account_id,
+         TIMESTAMP '2023-12-30 00:00:00' + (o_orderkey % 34) * INTERVAL '1' DAY
+           + (o_orderkey % 24) * INTERVAL '1' HOUR AS processed_ts
+  FROM orders WHERE o_orderstatus = 'F'),
+optout_log AS (
+  SELECT o_orderkey AS id, CAST(floor(o_custkey / 10) AS bigint) AS account_id,
+         CAST(o_orderkey % 2 AS int) AS allowed,
+         concat(CASE WHEN o_orderkey % 5 = 0 THEN 'MG' ELSE '+1' END, CAST(o_orderkey AS varchar)) AS sender,
+         TIMESTAMP '2023-12-30 00:00:00' + (o_orderkey % 34) * INTERVAL '1' DAY
+           + (o_orderkey % 24) * INTERVAL '1' HOUR AS updated_ts
+  FROM orders WHERE o_orderstatus = 'O'),
+audit_events AS (
+  SELECT o_orderkey AS event_id, CAST(floor(o_custkey / 10) AS bigint) AS account_id,
+         CASE WHEN o_orderkey % 6 = 0 THEN 'Account suspended' ELSE 'Account reactivated' END AS event_name,
+         CASE CAST(floor(o_orderkey / 6) AS bigint) % 8 WHEN 0 THEN 'category: AUP' WHEN 1 THEN 'category: FRAUD'
+              WHEN 2 THEN 'category: CUSTOMER REQUEST' WHEN 3 THEN 'Account suspended'
+              WHEN 4 THEN 'parent_suspended' WHEN 5 THEN 'manual review'
+              WHEN 6 THEN 'Account suspended VIA suspension trigger' END AS details,
+         TIMESTAMP '2024-01-01 00:00:00' + (CAST(floor(o_orderkey / 6) AS bigint) % 31) * INTERVAL '1' DAY
+           + (o_orderkey % 86400) * INTERVAL '1' SECOND AS date_created
+  FROM orders WHERE o_orderstatus = 'P'),
+accounts AS (
+  SELECT c_custkey AS sid,
+         CASE c_custkey % 12 WHEN 2 THEN c_custkey - 1 WHEN 4 THEN c_custkey - 1 WHEN 5 THEN c_custkey - 2
+              WHEN 7 THEN c_custkey - 1 WHEN 8 THEN c_custkey - 2 WHEN 9 THEN c_custkey - 3
+              WHEN 10 THEN c_custkey - 4 WHEN 11 THEN c_custkey - 5 END AS parent_sid,
+         concat(c_mktsegment, ' ', c_name) AS friendly_name,
+         TIMESTAMP '2019-01-01 00:00:00' + ((c_custkey * 37) % 1800) * INTERVAL '1' DAY AS date_created
+  FROM customer),
+account_flags AS (SELECT c_custkey AS account_id, c_custkey % 17 = 0 AS is_internal FROM customer),
+customer_link AS (
+  SELECT CASE WHEN c_custkey % 50 = 49 THEN NULL ELSE c_custkey END AS account_id,
+         c_custkey % 300 AS customer_id FROM customer),
+isv_list AS (SELECT s_suppkey AS id FROM supplier),
+cannabis_list AS (SELECT c_custkey AS sid FROM customer WHERE c_mktsegment = 'FURNITURE'),
+risky_list AS (SELECT c_custkey AS sid FROM customer WHERE c_acctbal < 0 OR c_custkey % 3 = 0),
+tickets AS (
+  SELECT doc_id AS id, (doc_id * 7) % 150 AS account_id,
+         string_split(CASE doc_id % 6 WHEN 0 THEN 'vip,carrier_complaint__sms/voice__spam_abo'
+              WHEN 1 THEN 'consumer__spam_abo'
+              WHEN 2 THEN 'carrier_complaint__political_abo,consumer__other_abo'
+              WHEN 3 THEN 'billing' WHEN 4 THEN 'consumer__harassment_abo,x'
+              ELSE 'carrier_complaint__sms/voice__fraud_abo' END, ',') AS tags,
+         TIMESTAMP '2023-12-31 00:00:00' + (doc_id % 33) * INTERVAL '1' DAY
+           + (doc_id % 24) * INTERVAL '1' HOUR AS created_at,
+         TIMESTAMP '2022-01-01 00:00:00' + ((doc_id * 13) % 900) * INTERVAL '1' DAY AS updated_at,
+         doc_id % 30 AS group_id
+  FROM documents),
+ticket_groups AS (SELECT CAST(n_nationkey AS bigint) AS id FROM nation)
+"""
+
+# reusable fragments (DuckDB)
+NOT_FLAGGED = "NOT coalesce((flags & 1) >= 1, false)"
+INTERNAL_FREE = "(SELECT account_id FROM account_flags WHERE is_internal = false)"
+WEEK = "strftime(date_trunc('week', {c}), '%Y-%m-%d')"
+UNREACH = "((error_code >= 30003 AND error_code <= 30006) OR error_code = 21614)"
+
+
+def _w(c: str) -> str:
+    return WEEK.format(c=c)
+
+
+Q: dict[str, str] = {}
+
+# --- account rates (one month) ---------------------------------------------
+Q["account_rates"] = f"""
+optouts AS (
+  SELECT account_id, count(*) AS optouts FROM optout_log
+  WHERE (CASE WHEN allowed = 0 THEN true ELSE false END)
+    AND (CASE WHEN sender LIKE 'MG%' THEN 'messaging service' ELSE 'phone number' END) = 'phone number'
+    AND updated_ts >= TIMESTAMP '2024-01-01' AND updated_ts <= TIMESTAMP '2024-01-30'
+    AND account_id IN {INTERNAL_FREE}
+  GROUP BY account_id),
+spam AS (
+  SELECT account_id, count(*) AS n_7726 FROM complaints
+  WHERE CAST(processed_ts AS date) >= TIMESTAMP '2024-01-01' AND CAST(processed_ts AS date) <= TIMESTAMP '2024-01-30'
+    AND account_id IN {INTERNAL_FREE}
+  GROUP BY account_id),
+attempted AS (
+  SELECT account_id, count(*) AS attempted FROM messages
+  WHERE date_created >= TIMESTAMP '2024-01-01' AND date_created <= TIMESTAMP '2024-01-30'
+    AND data_load_date >= TIMESTAMP '2024-01-01' AND {NOT_FLAGGED}
+  GROUP BY account_id),
+delivered AS (
+  SELECT account_id, count(*) AS delivered FROM messages
+  WHERE date_created >= TIMESTAMP '2024-01-01' AND date_created <= TIMESTAMP '2024-01-30'
+    AND data_load_date >= TIMESTAMP '2024-01-01' AND {NOT_FLAGGED} AND error_code = 0
+  GROUP BY account_id)
+SELECT a.account_id, a.attempted, d.delivered, o.optouts, s.n_7726
+FROM attempted a
+LEFT JOIN delivered d ON d.account_id = a.account_id
+LEFT JOIN optouts o ON o.account_id = a.account_id
+LEFT JOIN spam s ON s.account_id = a.account_id
+"""
+
+Q["account_error_counts"] = f"""
+SELECT account_id,
+  CAST(sum(CASE WHEN {UNREACH} THEN 1 ELSE 0 END) AS bigint) AS unreachable,
+  CAST(sum(CASE WHEN error_code = 30007 THEN 1 ELSE 0 END) AS bigint) AS n_30007,
+  CAST(sum(CASE WHEN error_code = 30008 THEN 1 ELSE 0 END) AS bigint) AS n_30008,
+  CAST(sum(CASE WHEN error_code = 21610 THEN 1 ELSE 0 END) AS bigint) AS n_21610,
+  CAST(sum(CASE WHEN from_type = 'LC' THEN 1 ELSE 0 END) AS bigint) AS is_LC,
+  CAST(sum(CASE WHEN from_type = 'SC' THEN 1 ELSE 0 END) AS bigint) AS is_SC,
+  CAST(sum(CASE WHEN from_type = 'AL' THEN 1 ELSE 0 END) AS bigint) AS is_AL
+FROM messages
+WHERE date_created >= TIMESTAMP '2024-01-01' AND date_created <= TIMESTAMP '2024-01-30'
+  AND data_load_date >= TIMESTAMP '2024-01-01' AND {NOT_FLAGGED}
+GROUP BY account_id
+"""
+
+SNAPSHOT = """
+snap AS (
+  SELECT account_id, sid, status, sent_date, error_code, from_type, from_cc, to_cc FROM messages
+  WHERE CAST(sent_date AS date) > DATE '{lo}' AND CAST(sent_date AS date) < DATE '{hi}')
+"""
+SNAP_MONTH = SNAPSHOT.format(lo="2024-01-02", hi="2024-01-30")
+
+Q["message_snapshot"] = SNAP_MONTH + "SELECT * FROM snap"
+
+WEEK_RATES = SNAP_MONTH + f""",
+weekly AS (
+  SELECT account_id, {_w('sent_date')} AS wk, count(*) AS total,
+    count(*) FILTER (WHERE {UNREACH}) AS unreachable,
+    count(*) FILTER (WHERE error_code = 30007) AS n_30007,
+    count(*) FILTER (WHERE error_code = 30002) AS n_30002,
+    count(*) FILTER (WHERE error_code = 21610) AS n_21610
+  FROM snap GROUP BY 1, 2),
+spam_wk AS (
+  SELECT account_id, {_w('processed_ts')} AS wk, count(*) AS n_7726 FROM complaints
+  WHERE CAST(processed_ts AS date) > DATE '2024-01-02' AND CAST(processed_ts AS date) < DATE '2024-01-30'
+  GROUP BY 1, 2),
+optout_wk AS (
+  SELECT account_id, count(*) AS optouts, {_w('updated_ts')} AS wk FROM optout_log
+  WHERE allowed = 0
+    AND (CASE WHEN sender LIKE 'MG%' THEN 'messaging service' ELSE 'phone number' END) = 'phone number'
+    AND updated_ts > TIMESTAMP '2024-01-02' AND updated_ts < TIMESTAMP '2024-01-30'
+  GROUP BY 1, 3),
+week_rates AS (
+  SELECT w.account_id, w.wk, w.total, w.unreachable, w.n_30007, w.n_30002, w.n_21610,
+    coalesce(s.n_7726, 0) AS n_7726, coalesce(o.optouts, 0) AS optouts,
+    100.0::double * w.unreachable / w.total AS unreachable_pct,
+    100.0::double * w.n_30007 / w.total AS n_30007_pct,
+    100.0::double * w.n_30002 / w.total AS n_30002_pct,
+    100.0::double * w.n_21610 / w.total AS n_21610_pct,
+    100.0::double * coalesce(s.n_7726, 0) / w.total AS n_7726_pct,
+    100.0::double * coalesce(o.optouts, 0) / w.total AS optouts_pct
+  FROM weekly w
+  LEFT JOIN spam_wk s ON w.account_id = s.account_id AND w.wk = s.wk
+  LEFT JOIN optout_wk o ON w.account_id = o.account_id AND w.wk = o.wk)
+"""
+Q["week_unwanted_rates"] = WEEK_RATES + "SELECT * FROM week_rates"
+
+
+def _mode_cte(trait: str) -> str:
+    return f"""
+mode_{trait} AS (
+  SELECT account_id, wk, {trait} FROM (
+    SELECT account_id, wk, {trait},
+      row_number() OVER (PARTITION BY account_id, wk ORDER BY ct DESC, {trait} ASC NULLS LAST) AS rnk
+    FROM (SELECT account_id, {_w('sent_date')} AS wk, {trait}, count(*) AS ct
+          FROM snap WHERE {trait} IS NOT NULL GROUP BY 1, 2, 3) f) r
+  WHERE rnk = 1)"""
+
+
+MODES_AND_TRAITS = ",".join(_mode_cte(t) for t in ["from_cc", "to_cc", "from_type", "status"]) + f""",
+volume AS (SELECT account_id, {_w('sent_date')} AS wk, count(*) AS ct FROM snap GROUP BY 1, 2),
+traits_v3 AS (
+  SELECT fc.account_id, fc.wk, fc.from_cc, tc.to_cc, ft.from_type, s.status, p.ct
+  FROM mode_from_cc fc
+  LEFT JOIN mode_to_cc tc ON fc.account_id = tc.account_id AND fc.wk = tc.wk
+  LEFT JOIN mode_from_type ft ON fc.account_id = ft.account_id AND fc.wk = ft.wk
+  LEFT JOIN mode_status s ON fc.account_id = s.account_id AND fc.wk = s.wk
+  LEFT JOIN volume p ON fc.account_id = p.account_id AND fc.wk = p.wk)
+"""
+WEEK_TRAITS = SNAP_MONTH + "," + MODES_AND_TRAITS
+Q["week_dominant_traits"] = WEEK_TRAITS + "SELECT * FROM traits_v3"
+Q["week_volume"] = SNAP_MONTH + f"SELECT account_id, {_w('sent_date')} AS wk, count(*) AS ct FROM snap GROUP BY 1, 2"
+
+# --- account traits --------------------------------------------------------
+TRAITS = """
+xwalk AS (
+  SELECT account_id, customer_id,
+    CASE WHEN customer_id IN (SELECT id FROM isv_list) THEN 1 ELSE 0 END AS isv
+  FROM customer_link WHERE account_id IS NOT NULL AND account_id != -1),
+live AS (SELECT * FROM accounts WHERE date_created < TIMESTAMP '2024-01-31'),
+fam AS (
+  SELECT CASE WHEN parent_sid IS NOT NULL THEN parent_sid ELSE sid END AS id,
+         count(DISTINCT sid) - 1 AS num_sub
+  FROM live GROUP BY 1),
+traits AS (
+  SELECT parent_sid, sid, a.id AS family_id, age, parent, num_sub, coalesce(isv, 0) AS isv,
+    CASE WHEN age <= 11 THEN '0-11' WHEN age > 11 AND age <= 26 THEN '11-26'
+         WHEN age > 47 THEN '> 47' ELSE '26-47' END AS age_cat,
+    CASE WHEN num_sub = 0 THEN '0' WHEN num_sub = 1 THEN '1' ELSE '> 1' END AS num_sub_cat
+  FROM (
+    SELECT parent_sid, sid, CASE WHEN parent_sid IS NOT NULL THEN parent_sid ELSE sid END AS id,
+      CAST(datesub('month', CAST(date_created AS date), DATE '2024-01-31') AS int) AS age,
+      CASE WHEN parent_sid IS NULL THEN 0 ELSE 1 END AS parent
+    FROM live) a
+  LEFT JOIN fam s ON s.id = a.id
+  LEFT JOIN xwalk r ON r.account_id = a.id)
+"""
+Q["account_traits"] = TRAITS + "SELECT * FROM traits"
+Q["isv_flag"] = TRAITS + "SELECT * FROM xwalk"
+Q["family_size"] = TRAITS + """
+SELECT DISTINCT f.sid, coalesce(f.num_sub, 0) + 1 AS fam_size
+FROM traits f LEFT JOIN traits q ON f.sid = q.parent_sid
+"""
+Q["default_name_flag"] = """
+SELECT sid, friendly_name, CASE WHEN friendly_name LIKE '%BUILDING%' THEN 1 ELSE 0 END AS default_name
+FROM accounts
+"""
+Q["age_tile_cutpoints"] = """
+SELECT DISTINCT age FROM (
+  SELECT sid, age, ntile(100) OVER (ORDER BY age) AS perc FROM (
+    SELECT parent_sid, sid, CAST(datesub('month', CAST(date_created AS date), DATE '2024-01-31') AS int) AS age
+    FROM accounts WHERE date_created < TIMESTAMP '2024-01-31') sub) t
+WHERE perc = 0 OR perc = 25 OR perc = 50 OR perc = 75
+"""
+Q["subaccount_tile_cutpoints"] = """
+SELECT DISTINCT num_sub FROM (
+  SELECT id, num_sub, ntile(100) OVER (ORDER BY num_sub) AS perc FROM (
+    SELECT CASE WHEN parent_sid IS NOT NULL THEN parent_sid ELSE sid END AS id,
+           count(DISTINCT sid) - 1 AS num_sub
+    FROM accounts WHERE date_created < TIMESTAMP '2024-01-31' GROUP BY 1) sub
+  WHERE sub.num_sub > 0) t
+WHERE perc = 0 OR perc = 25 OR perc = 50 OR perc = 75
+"""
+
+Q["week_wide"] = WEEK_RATES + "," + MODES_AND_TRAITS + "," + TRAITS + """
+SELECT u.*, r.from_cc, r.to_cc, r.from_type, r.status, r.ct,
+       a.parent_sid, a.sid, a.family_id, a.age, a.parent, a.num_sub, a.isv, a.age_cat, a.num_sub_cat
+FROM week_rates u
+INNER JOIN traits_v3 r ON u.account_id = r.account_id AND u.wk = r.wk
+INNER JOIN traits a ON u.account_id = a.sid
+"""
+
+
+def _period_wide(lo: str, hi: str) -> str:
+    pct_cols = ["unreachable", "n_30007", "n_30008", "n_21610", "n_7726", "optouts",
+                "from_US", "from_CA", "from_GB", "from_AU", "from_FR",
+                "to_US", "to_CA", "to_GB", "to_AU", "to_IN", "is_LC", "is_SC", "is_AL",
+                "delivered", "undelivered", "sent"]
+    pcts = ",\n    ".join(f"100.0::double * {c} / total AS {c}_pct" for c in pct_cols)
+    return SNAPSHOT.format(lo=lo, hi=hi) + f""",
+per_account AS (
+  SELECT account_id, count(*) AS total,
+    count(*) FILTER (WHERE {UNREACH}) AS unreachable,
+    count(*) FILTER (WHERE error_code = 30007) AS n_30007,
+    count(*) FILTER (WHERE error_code = 30008) AS n_30008,
+    count(*) FILTER (WHERE error_code = 21610) AS n_21610,
+    count(*) FILTER (WHERE from_cc = 'US') AS from_US, count(*) FILTER (WHERE from_cc = 'CA') AS from_CA,
+    count(*) FILTER (WHERE from_cc = 'GB') AS from_GB, count(*) FILTER (WHERE from_cc = 'AU') AS from_AU,
+    count(*) FILTER (WHERE from_cc = 'FR') AS from_FR,
+    count(*) FILTER (WHERE to_cc = 'US') AS to_US, count(*) FILTER (WHERE to_cc = 'CA') AS to_CA,
+    count(*) FILTER (WHERE to_cc = 'GB') AS to_GB, count(*) FILTER (WHERE to_cc = 'AU') AS to_AU,
+    count(*) FILTER (WHERE to_cc = 'IN') AS to_IN,
+    count(*) FILTER (WHERE from_type = 'LC') AS is_LC, count(*) FILTER (WHERE from_type = 'SC') AS is_SC,
+    count(*) FILTER (WHERE from_type = 'AL') AS is_AL,
+    count(*) FILTER (WHERE status = 'DELIVERED') AS delivered,
+    count(*) FILTER (WHERE status = 'UNDELIVERED') AS undelivered,
+    count(*) FILTER (WHERE status = 'SENT') AS sent
+  FROM snap WHERE status != 'RECEIVED' AND account_id IN {INTERNAL_FREE}
+  GROUP BY account_id),
+spam_p AS (
+  SELECT account_id, count(*) AS n_7726 FROM complaints
+  WHERE CAST(processed_ts AS date) > DATE '{lo}' AND CAST(processed_ts AS date) < DATE '{hi}'
+    AND account_id IN {INTERNAL_FREE}
+  GROUP BY 1),
+optout_p AS (
+  SELECT account_id, count(*) AS optouts FROM optout_log
+  WHERE allowed = 0
+    AND (CASE WHEN sender LIKE 'MG%' THEN 'messaging service' ELSE 'phone number' END) = 'phone number'
+    AND updated_ts > TIMESTAMP '{lo}' AND updated_ts < TIMESTAMP '{hi}'
+    AND account_id IN {INTERNAL_FREE}
+  GROUP BY 1),
+joined AS (
+  SELECT p.*, coalesce(s.n_7726, 0) AS n_7726, coalesce(o.optouts, 0) AS optouts
+  FROM per_account p LEFT JOIN spam_p s ON p.account_id = s.account_id
+  LEFT JOIN optout_p o ON p.account_id = o.account_id),
+u AS (SELECT *, {pcts} FROM joined),
+""" + TRAITS + f"""
+SELECT u.*, a.*
+FROM u INNER JOIN traits a ON u.account_id = a.sid
+WHERE u.account_id IN {INTERNAL_FREE}
+"""
+
+
+Q["account_wide_p1"] = _period_wide("2024-01-02", "2024-01-15")
+Q["account_wide_p2"] = _period_wide("2024-01-17", "2024-01-30")
+
+
+# --- suspensions -----------------------------------------------------------
+def _suspension(category: str, other: str, lookback: str, first: str = "2024-01-08",
+                last: str = "2024-01-30") -> str:
+    return f"""
+last_susp AS (
+  SELECT * FROM (
+    SELECT date_created, event_name, details, account_id, event_id,
+      row_number() OVER (PARTITION BY account_id ORDER BY date_created DESC, event_id DESC) AS suspension_number
+    FROM audit_events WHERE event_name IN ('Account suspended')) t
+  WHERE suspension_number = 1),
+earliest_suspension AS (
+  SELECT sid, suspension_time FROM (
+    SELECT account_id AS sid, strftime(date_created, '%Y-%m-%d') AS suspension_time
+    FROM last_susp
+    WHERE date_created >= TIMESTAMP '{first}' AND date_created <= TIMESTAMP '{last}'
+      AND (((details IS NOT NULL) AND details LIKE '%category: {category}%'
+            OR (details NOT LIKE '%parent_suspended%'
+                AND details NOT LIKE '%suspended_by_parent%'
+                AND details NOT LIKE '%Account suspended VIA suspension trigger%'
+                AND details NOT LIKE '%category: {other}%'
+                AND details NOT LIKE '%category: CUSTOMER REQUEST%'
+                AND details != 'Account suspended')))) x
+  WHERE suspension_time >= '{first}' AND suspension_time <= '{last}'),
+msgs AS (
+  SELECT account_id, CAST(date_created AS date) AS d, count(*) AS ct FROM messages
+  WHERE account_id IN (SELECT sid FROM earliest_suspension)
+    AND {NOT_FLAGGED} AND error_code = 0
+    AND date_created >= TIMESTAMP '{lookback}' AND data_load_date >= TIMESTAMP '{lookback}'
+  GROUP BY 1, 2)
+"""
+
+
+Q["aup_messages"] = _suspension("AUP", "FRAUD", "2024-01-01") + """
+SELECT account_id, CAST(sum(ct) AS bigint) AS aup FROM msgs
+LEFT JOIN earliest_suspension ON earliest_suspension.sid = msgs.account_id
+WHERE d BETWEEN CAST(suspension_time AS date) - INTERVAL '7' DAY AND CAST(suspension_time AS date)
+GROUP BY 1
+"""
+Q["fraud_messages"] = _suspension("FRAUD", "AUP", "2023-01-07") + """,
+fraud_msgs AS (
+  SELECT account_id, CAST(sum(ct) AS bigint) AS fraud FROM msgs
+  LEFT JOIN earliest_suspension ON earliest_suspension.sid = msgs.account_id
+  WHERE d BETWEEN CAST(suspension_time AS date) - INTERVAL '7' DAY AND CAST(suspension_time AS date)
+  GROUP BY 1)
+SELECT account_id, CASE WHEN account_id IN (SELECT sid FROM cannabis_list) THEN 1 ELSE 0 END AS cannabis, fraud
+FROM fraud_msgs
+"""
+
+# --- top body per risky account ---------------------------------------------
+Q["top_body_per_account"] = f"""
+ranked AS (
+  SELECT sms.account_id, bodies.body,
+    row_number() OVER (PARTITION BY sms.account_id
+                       ORDER BY count(DISTINCT sms.sid) DESC, bodies.body ASC NULLS LAST) AS rnk,
+    count(DISTINCT sms.sid) AS n_sids
+  FROM messages AS sms
+  LEFT JOIN bodies ON bodies.sid = sms.sid
+  WHERE sms.account_id IN (SELECT sid FROM risky_list)
+    AND NOT coalesce((sms.flags & 1) >= 1, false) AND sms.error_code = 0
+    AND sms.date_created >= TIMESTAMP '2024-01-01' AND sms.data_load_date >= TIMESTAMP '2024-01-01'
+    AND sms.date_created < TIMESTAMP '2024-02-01' AND sms.data_load_date < TIMESTAMP '2024-02-01'
+  GROUP BY 1, 2)
+SELECT account_id, body, n_sids FROM ranked WHERE rnk = 1
+"""
+
+# --- complaints ------------------------------------------------------------
+PT = "timezone('America/Los_Angeles', timezone('UTC', {c}))"
+COMPLAINT_TAG_LIKES = " OR ".join(
+    f"array_to_string(t.tags, ',') LIKE '%{p}%' ESCAPE '^'" for p in [
+        "carrier^_complaint^_^_sms/voice^_^_cannabis^_abo",
+        "carrier^_complaint^_^_sms/voice^_^_harassment^_abo",
+        "carrier^_complaint^_^_sms/voice^_^_other^_abo",
+        "carrier^_complaint^_^_political^_abo",
+        "carrier^_complaint^_^_sms/voice^_^_spam^_abo",
+        "consumer^_^_cannabis^_abo",
+        "consumer^_^_harassment^_abo",
+        "consumer^_^_other^_abo",
+        "consumer^_^_political^_abo",
+        "consumer^_^_spam^_abo"])
+ISSUE = ("CASE WHEN array_to_string(t.tags, ',') LIKE '%carrier^_complaint%' ESCAPE '^' THEN 'Carrier Complaint' "
+         "WHEN array_to_string(t.tags, ',') LIKE '%consumer^_^_%' ESCAPE '^' THEN 'Consumer Complaint' END")
+# rolling window for as_of 2024-01-30 (a Tuesday): Monday 2024-01-29 - 89 weeks, + 90 weeks
+UPD_WINDOW = (f"{PT.format(c='t.updated_at')} >= TIMESTAMP '2024-01-29' - INTERVAL 623 DAY "
+              f"AND {PT.format(c='t.updated_at')} < TIMESTAMP '2024-01-29' + INTERVAL 7 DAY")
+
+Q["complaint_rate_account"] = f"""
+spam AS (
+  SELECT count(*) AS n_7726, account_id FROM complaints
+  WHERE CAST(processed_ts AS date) >= TIMESTAMP '2024-01-01' GROUP BY 2),
+tix AS (
+  SELECT t.account_id, {ISSUE} AS issuetype, count(*) AS ct
+  FROM tickets t LEFT JOIN ticket_groups g ON g.id = t.group_id
+  WHERE {PT.format(c='t.created_at')} >= TIMESTAMP '2024-01-01'
+    AND {PT.format(c='t.created_at')} <= TIMESTAMP '2024-01-30'
+    AND {UPD_WINDOW} AND ({COMPLAINT_TAG_LIKES})
+  GROUP BY 1, 2),
+attempted_sends AS (
+  SELECT count(*) AS attempts, error_code, account_id FROM messages
+  WHERE {NOT_FLAGGED}
+    AND date_created >= TIMESTAMP '2024-01-01' AND date_created <= TIMESTAMP '2024-01-30'
+    AND data_load_date >= TIMESTAMP '2024-01-01' AND data_load_date <= TIMESTAMP '2024-01-30'
+  GROUP BY 3, 2)
+SELECT account_id, n_7726, complaints_carrier, complaints_consumer,
+  (coalesce(n_7726, 0) + coalesce(complaints_carrier, 0) + coalesce(complaints_consumer, 0)) / CAST(denom AS double)
+    AS complaint_rate
+FROM (
+  SELECT a.account_id, n_7726, complaints_carrier, complaints_consumer, sum(attempts) AS denom
+  FROM attempted_sends a
+  LEFT JOIN (SELECT account_id, CAST(sum(ct) AS bigint) AS complaints_carrier FROM tix
+             WHERE issuetype = 'Carrier Complaint' GROUP BY 1) cc ON cc.account_id = a.account_id
+  LEFT JOIN (SELECT account_id, CAST(sum(ct) AS bigint) AS complaints_consumer FROM tix
+             WHERE issuetype = 'Consumer Complaint' GROUP BY 1) cs ON cs.account_id = a.account_id
+  LEFT JOIN spam ON spam.account_id = a.account_id
+  GROUP BY 1, 2, 3, 4) x
+"""
+
+Q["complaint_rate_month"] = f"""
+spam AS (
+  SELECT count(*) AS n_7726, strftime(processed_ts, '%Y-%m') AS wk FROM complaints
+  WHERE CAST(processed_ts AS date) >= TIMESTAMP '2024-01-01' GROUP BY 2),
+tix AS (
+  SELECT strftime({PT.format(c='t.created_at')}, '%Y-%m') AS wk, {ISSUE} AS issuetype, count(*) AS ct
+  FROM tickets t LEFT JOIN ticket_groups g ON g.id = t.group_id
+  WHERE {PT.format(c='t.created_at')} >= TIMESTAMP '2024-01-01'
+    AND {UPD_WINDOW} AND ({COMPLAINT_TAG_LIKES})
+  GROUP BY 1, 2),
+attempted_sends AS (
+  SELECT count(*) AS attempts, error_code, strftime(date_created, '%Y-%m') AS wk FROM messages
+  WHERE {NOT_FLAGGED}
+    AND date_created >= TIMESTAMP '2024-01-01' AND data_load_date >= TIMESTAMP '2024-01-01'
+  GROUP BY 3, 2)
+SELECT wk AS month, n_7726, complaints_carrier, complaints_consumer,
+  (coalesce(n_7726, 0) + coalesce(complaints_carrier, 0) + coalesce(complaints_consumer, 0)) / CAST(denom AS double)
+    AS complaint_rate
+FROM (
+  SELECT a.wk, n_7726, complaints_carrier, complaints_consumer, sum(attempts) AS denom
+  FROM attempted_sends a
+  LEFT JOIN (SELECT wk, CAST(sum(ct) AS bigint) AS complaints_carrier FROM tix
+             WHERE issuetype = 'Carrier Complaint' GROUP BY 1) cc ON cc.wk = a.wk
+  LEFT JOIN (SELECT wk, CAST(sum(ct) AS bigint) AS complaints_consumer FROM tix
+             WHERE issuetype = 'Consumer Complaint' GROUP BY 1) cs ON cs.wk = a.wk
+  LEFT JOIN spam ON spam.wk = a.wk
+  WHERE a.error_code = 0
+  GROUP BY 1, 2, 3, 4) x
+"""
+
+
+def _compose(body: str) -> str:
+    body = body.strip()
+    if body.upper().startswith("SELECT"):
+        return "WITH " + SOURCE_VIEWS.strip() + "\n" + body
+    return "WITH " + SOURCE_VIEWS.strip() + ",\n" + body
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: _compose(body) for name, body in Q.items()}
