@@ -476,3 +476,295 @@ def _compose(body: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {name: _compose(body) for name, body in Q.items()}
+
+
+# --- feature assembly (period 1 / period 2) ---------------------------------
+def _rates_block(p: str, first: str, last: str) -> str:
+    return f"""
+{p}_opt AS (
+  SELECT account_id, count(*) AS optouts FROM optout_log
+  WHERE allowed = 0 AND NOT coalesce(sender LIKE 'MG%', false)
+    AND updated_ts >= TIMESTAMP '{first}' AND updated_ts <= TIMESTAMP '{last}'
+    AND account_id IN {INTERNAL_FREE} GROUP BY 1),
+{p}_spam AS (
+  SELECT account_id, count(*) AS n_7726 FROM complaints
+  WHERE CAST(processed_ts AS date) >= DATE '{first}' AND CAST(processed_ts AS date) <= DATE '{last}'
+    AND account_id IN {INTERNAL_FREE} GROUP BY 1),
+{p}_msg AS (
+  SELECT * FROM messages
+  WHERE date_created >= TIMESTAMP '{first}' AND date_created <= TIMESTAMP '{last}'
+    AND data_load_date >= DATE '{first}' AND {NOT_FLAGGED}),
+{p}_att AS (SELECT account_id, count(*) AS attempted FROM {p}_msg GROUP BY 1),
+{p}_dlv AS (SELECT account_id, count(*) AS delivered FROM {p}_msg WHERE error_code = 0 GROUP BY 1),
+{p}_err AS (
+  SELECT account_id,
+    count(*) FILTER (WHERE {UNREACH}) AS unreachable,
+    count(*) FILTER (WHERE error_code = 30007) AS n_30007,
+    count(*) FILTER (WHERE error_code = 30008) AS n_30008,
+    count(*) FILTER (WHERE error_code = 21610) AS n_21610,
+    count(*) FILTER (WHERE from_type = 'LC') AS is_LC,
+    count(*) FILTER (WHERE from_type = 'SC') AS is_SC,
+    count(*) FILTER (WHERE from_type = 'AL') AS is_AL
+  FROM {p}_msg GROUP BY 1),
+{p}_rates AS (
+  SELECT a.account_id, a.attempted, d.delivered, o.optouts, s.n_7726,
+    e.unreachable, e.n_30007, e.n_30008, e.n_21610, e.is_LC, e.is_SC, e.is_AL
+  FROM {p}_att a LEFT JOIN {p}_dlv d ON d.account_id = a.account_id
+  LEFT JOIN {p}_opt o ON o.account_id = a.account_id
+  LEFT JOIN {p}_spam s ON s.account_id = a.account_id
+  LEFT JOIN {p}_err e ON e.account_id = a.account_id)"""
+
+
+def _susp_block(p: str, category: str, other: str, lookback: str, first: str, last: str) -> str:
+    return f"""
+{p}_last AS (
+  SELECT * FROM (
+    SELECT date_created, details, account_id,
+      row_number() OVER (PARTITION BY account_id ORDER BY date_created DESC, event_id DESC) AS rn
+    FROM audit_events WHERE event_name = 'Account suspended') t WHERE rn = 1),
+{p}_es AS (
+  SELECT account_id AS sid, CAST(date_created AS date) AS sday FROM {p}_last
+  WHERE date_created >= TIMESTAMP '{first}' AND date_created <= TIMESTAMP '{last}'
+    AND ((details IS NOT NULL AND details LIKE '%category: {category}%')
+         OR (details NOT LIKE '%parent_suspended%' AND details NOT LIKE '%suspended_by_parent%'
+             AND details NOT LIKE '%Account suspended VIA suspension trigger%'
+             AND details NOT LIKE '%category: {other}%' AND details NOT LIKE '%category: CUSTOMER REQUEST%'
+             AND details != 'Account suspended'))
+    AND CAST(date_created AS date) BETWEEN DATE '{first}' AND DATE '{last}'),
+{p}_msgs AS (
+  SELECT account_id, CAST(date_created AS date) AS d, count(*) AS ct FROM messages
+  WHERE account_id IN (SELECT sid FROM {p}_es) AND {NOT_FLAGGED} AND error_code = 0
+    AND date_created >= TIMESTAMP '{lookback}' AND data_load_date >= DATE '{lookback}'
+  GROUP BY 1, 2),
+{p} AS (
+  SELECT m.account_id, CAST(sum(ct) AS bigint) AS {category.lower()} FROM {p}_msgs m
+  JOIN {p}_es e ON e.sid = m.account_id
+  WHERE d BETWEEN e.sday - INTERVAL '7' DAY AND e.sday GROUP BY 1)"""
+
+
+FILL = ", ".join(f"coalesce({c}, 0) AS {c}" for c in [
+    "attempted", "delivered", "optouts", "n_7726", "unreachable", "n_30007", "n_30008", "n_21610",
+    "is_LC", "is_SC", "is_AL", "aup", "cannabis", "fraud", "fam_size", "age", "parent", "isv",
+    "default_name"])
+FRACS = """CAST(optouts AS double) / CAST(delivered AS double) AS optout_frac,
+    CAST(n_7726 AS double) / CAST(delivered AS double) AS frac_7726,
+    CAST(n_30008 AS double) / CAST(attempted AS double) AS frac_30008,
+    CAST(n_30007 AS double) / CAST(attempted AS double) AS frac_30007,
+    CAST(n_21610 AS double) / CAST(attempted AS double) AS frac_21610,
+    CAST(unreachable AS double) / CAST(attempted AS double) AS unreachable_frac,
+    CAST(aup AS double) / CAST(attempted AS double) AS aup_frac,
+    CAST(fraud AS double) / CAST(attempted AS double) AS fraud_frac"""
+FEATURE_COLS = ("account_id, attempted, delivered, optouts, n_7726, unreachable, n_30007, n_30008, n_21610, "
+                "is_LC, is_SC, is_AL, aup, cannabis, fraud, fam_size, age, parent, isv, default_name, "
+                "optout_frac, frac_7726, frac_30008, frac_30007, frac_21610, unreachable_frac, aup_frac, "
+                "fraud_frac")
+
+FEATURES = TRAITS + "," + _rates_block("r1", "2024-01-01", "2024-01-15") + "," \
+    + _susp_block("aup1", "AUP", "FRAUD", "2024-01-01", "2024-01-08", "2024-01-15") + "," \
+    + _susp_block("fraud1", "FRAUD", "AUP", "2023-01-07", "2024-01-08", "2024-01-15") + "," \
+    + _rates_block("r2", "2024-01-16", "2024-01-30") + "," \
+    + _susp_block("aup2", "AUP", "FRAUD", "2024-01-09", "2024-01-16", "2024-01-30") + "," \
+    + _susp_block("fraud2", "FRAUD", "AUP", "2023-01-15", "2024-01-16", "2024-01-30") + f""",
+famsize AS (SELECT DISTINCT f.sid AS account_id, coalesce(f.num_sub, 0) + 1 AS fam_size
+        FROM traits f LEFT JOIN traits q ON f.sid = q.parent_sid),
+age_x AS (SELECT sid AS account_id, age, parent, isv FROM traits),
+names AS (SELECT sid AS account_id, max(CASE WHEN friendly_name LIKE '%BUILDING%' THEN 1 ELSE 0 END) AS default_name
+          FROM accounts GROUP BY 1),
+merged_p1 AS (
+  SELECT r.*, au.aup,
+    CASE WHEN fr.account_id IS NULL THEN NULL
+         WHEN fr.account_id IN (SELECT sid FROM cannabis_list) THEN 1 ELSE 0 END AS cannabis,
+    fr.fraud, fa.fam_size, ag.age, ag.parent, ag.isv, nm.default_name
+  FROM r1_rates r
+  LEFT JOIN aup1 au ON au.account_id = r.account_id
+  LEFT JOIN fraud1 fr ON fr.account_id = r.account_id
+  INNER JOIN famsize fa ON fa.account_id = r.account_id
+  LEFT JOIN age_x ag ON ag.account_id = r.account_id
+  LEFT JOIN names nm ON nm.account_id = r.account_id),
+f1 AS (SELECT account_id, {FILL} FROM merged_p1),
+g1 AS (SELECT *, {FRACS} FROM f1 WHERE attempted > 15 AND delivered > 1),
+features_p1 AS (SELECT {FEATURE_COLS} FROM g1 WHERE aup_frac <= 1 AND fraud_frac <= 1),
+j2 AS (
+  SELECT r.*,
+    CASE WHEN fr.account_id IS NULL THEN NULL
+         WHEN fr.account_id IN (SELECT sid FROM cannabis_list) THEN 1 ELSE 0 END AS cannabis,
+    fr.fraud, au.aup, nm.default_name, NULL::bigint AS fam_size, NULL::int AS age,
+    NULL::int AS parent, NULL::int AS isv
+  FROM r2_rates r
+  LEFT JOIN fraud2 fr ON fr.account_id = r.account_id
+  LEFT JOIN aup2 au ON au.account_id = r.account_id
+  LEFT JOIN names nm ON nm.account_id = r.account_id),
+f2 AS (SELECT account_id, {FILL} FROM j2),
+g2 AS (SELECT * EXCLUDE (fam_size, age, parent, isv), {FRACS} FROM f2
+       WHERE delivered > 1 AND attempted > 15),
+c2 AS (SELECT * FROM g2 WHERE aup_frac <= 1 AND fraud_frac <= 1),
+features_p2 AS (
+  SELECT {FEATURE_COLS} FROM c2 INNER JOIN age_x USING (account_id) INNER JOIN famsize USING (account_id))
+"""
+
+Q["features_p1"] = FEATURES + "SELECT * FROM features_p1"
+Q["features_p2"] = FEATURES + "SELECT * FROM features_p2"
+
+NUMERIC = ["attempted", "delivered", "optouts", "n_7726", "unreachable", "n_30007", "n_30008", "n_21610",
+           "is_LC", "is_SC", "is_AL", "aup", "cannabis", "fraud", "fam_size", "age", "parent", "isv",
+           "default_name", "optout_frac", "frac_7726", "frac_30008", "frac_30007", "frac_21610",
+           "unreachable_frac", "aup_frac", "fraud_frac"]
+_DBL = ", ".join(f"CAST({c} AS double) AS {c}" for c in NUMERIC)
+
+Q["describe_features"] = FEATURES + f"""
+SELECT column_name, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+  min(value) AS min, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
+  round(quantile_cont(value, 0.75), 6) AS p75, max(value) AS max
+FROM (UNPIVOT (SELECT {_DBL} FROM features_p1) ON COLUMNS(*) INTO NAME column_name VALUE value) u
+GROUP BY column_name
+"""
+Q["null_counts"] = FEATURES + f"""
+SELECT column_name, non_null, n_rows FROM (
+  UNPIVOT (SELECT count(*) AS n_rows, {", ".join(f"count({c}) AS {c}" for c in NUMERIC[:19])} FROM merged_p1)
+  ON {", ".join(NUMERIC[:19])} INTO NAME column_name VALUE non_null) u
+"""
+_PAIRS = [(a, b) for i, a in enumerate(NUMERIC) for b in NUMERIC[i:]]
+_CORR = ",\n  ".join(
+    f"CASE WHEN min({a}) = max({a}) OR min({b}) = max({b}) THEN NULL "
+    f"ELSE round(corr(CAST({a} AS double), CAST({b} AS double)), 6) END AS \"{a}|{b}\"" for a, b in _PAIRS)
+Q["corr_long"] = FEATURES + f"""
+SELECT split_part(pair, '|', 1) AS col_a, split_part(pair, '|', 2) AS col_b, corr
+FROM (SELECT {_CORR} FROM features_p1) w
+UNPIVOT INCLUDE NULLS (corr FOR pair IN ({", ".join(f'"{a}|{b}"' for a, b in _PAIRS)}))
+"""
+
+
+def _hist(src: str, expr: str, bins: int, lo: str | None = None, hi: str | None = None) -> str:
+    nb = f"CAST({bins} AS double)"
+    if lo is None:
+        rng = f"b AS (SELECT min(v) AS lo, max(v) AS hi FROM h)"
+        where = ""
+    else:
+        rng = f"b AS (SELECT CAST({lo} AS double) AS lo, CAST({hi} AS double) AS hi)"
+        where = f" AND v >= CAST({lo} AS double) AND v <= CAST({hi} AS double)"
+    return f"""
+h AS (SELECT CAST({expr} AS double) AS v FROM {src}),
+{rng},
+binned AS (
+  SELECT CASE WHEN hi - lo = 0 THEN CAST(1 AS bigint)
+              ELSE least(CAST(floor((v - lo) * {nb} / (hi - lo)) AS bigint) + 1, CAST({bins} AS bigint)) END AS bin,
+         lo, hi
+  FROM h, b WHERE v IS NOT NULL{where})
+SELECT bin, round(lo + (hi - lo) * (CAST(bin AS double) - 1.0::double) / {nb}, 6) AS bin_lo,
+  round(lo + (hi - lo) * (CAST(bin + 1 AS double) - 1.0::double) / {nb}, 6) AS bin_hi, count(*) AS n
+FROM binned GROUP BY bin, lo, hi
+"""
+
+
+Q["hist_age"] = FEATURES + "," + _hist("features_p1", "age", 30)
+Q["hist_unreachable"] = FEATURES + "," + _hist("features_p1", "unreachable_frac", 30)
+Q["hist_21610"] = FEATURES + "," + _hist("features_p1", "frac_21610", 20)
+Q["hist_risk"] = FEATURES + "," + _hist("features_p2", "100.0::double * optout_frac", 10, "0.0", "10.0")
+Q["category_counts"] = FEATURES + """
+SELECT feature, value, count(*) AS n FROM (
+  UNPIVOT (SELECT CAST(parent AS varchar) AS parent, CAST(isv AS varchar) AS isv,
+                  CAST(cannabis AS varchar) AS cannabis FROM features_p1)
+  ON parent, isv, cannabis INTO NAME feature VALUE value) u
+GROUP BY 1, 2
+"""
+Q["cohort_sums"] = FEATURES + f"""
+SELECT age < 12 AS under_1_yr, fam_size < 50 AS under_50_fam, count(*) AS n_rows,
+  {", ".join(f"round(sum(CAST({c} AS double)), 6) AS sum_{c}" for c in NUMERIC)}
+FROM features_p1 GROUP BY 1, 2
+"""
+Q["cohort_counts"] = FEATURES + """
+SELECT age < 12 AS under_1_yr, fam_size < 50 AS under_50_fam, count(*) AS n_rows,
+  count(age) AS cnt_age, count(fam_size) AS cnt_fam_size
+FROM features_p1 GROUP BY 1, 2
+"""
+Q["column_totals"] = FEATURES + f"""
+SELECT column_name, total FROM (
+  UNPIVOT (SELECT {", ".join(f"round(sum(CAST({c} AS double)), 6) AS {c}" for c in NUMERIC)} FROM features_p1)
+  ON COLUMNS(*) INTO NAME column_name VALUE total) u
+"""
+Q["mean_by_flag"] = FEATURES + " UNION ALL ".join(
+    f"SELECT '{f}' AS flag, CAST({f} AS varchar) AS flag_value, round(avg(frac_7726), 6) AS mean_frac_7726, "
+    f"round(avg(optout_frac), 6) AS mean_optout_frac FROM features_p1 GROUP BY 1, 2 "
+    for f in ["parent", "isv", "cannabis"])
+
+# --- risk-score arithmetic --------------------------------------------------
+Q["baseline_rmse"] = FEATURES + """
+SELECT 'optout' AS target, count(optout_frac) AS n, round(stddev_pop(optout_frac), 6) AS rmse FROM features_p2
+UNION ALL
+SELECT 'spam' AS target, count(frac_7726) AS n, round(stddev_pop(frac_7726), 6) AS rmse FROM features_p2
+"""
+Q["geomean_top"] = FEATURES + """
+SELECT account_id, frac_7726, optout_frac, sqrt(frac_7726 * optout_frac) AS score_sqrt
+FROM features_p2 ORDER BY score_sqrt DESC, account_id LIMIT 10
+"""
+Q["geomean_plus_top"] = FEATURES + """
+SELECT account_id, frac_7726, optout_frac, sqrt((frac_7726 + 1.0::double) * optout_frac) AS score_sqrt_plus
+FROM features_p2 ORDER BY score_sqrt_plus DESC, account_id LIMIT 10
+"""
+Q["blend_sweep_top20"] = FEATURES + """,
+wts AS (SELECT CAST(i AS double) * 0.1::double AS w FROM range(0, 10) t(i)),
+scored AS (
+  SELECT round(w, 1) AS weight, account_id, frac_7726, optout_frac,
+         w * frac_7726 + (1.0::double - w) * optout_frac AS risk_score
+  FROM features_p2, wts)
+SELECT * FROM (
+  SELECT weight, row_number() OVER (PARTITION BY weight ORDER BY risk_score DESC, account_id) AS rnk,
+         account_id, frac_7726, optout_frac, risk_score FROM scored) x
+WHERE rnk <= 20
+"""
+Q["risk_capped"] = FEATURES + """
+SELECT account_id, optout_frac, 100.0::double * optout_frac AS risk,
+       least(100.0::double * optout_frac, 10.0::double) AS risk_capped
+FROM features_p2
+"""
+Q["risk_quantile"] = FEATURES + """,
+r AS (SELECT 100.0::double * optout_frac AS risk FROM features_p2)
+SELECT count(risk) AS n, round(avg(risk), 6) AS mean, round(stddev_samp(risk), 6) AS std, min(risk) AS min,
+  round(quantile_cont(risk, 0.25), 6) AS p25, round(quantile_cont(risk, 0.5), 6) AS p50,
+  round(quantile_cont(risk, 0.75), 6) AS p75, max(risk) AS max, round(quantile_cont(risk, 0.85), 6) AS p_q,
+  count(*) FILTER (WHERE risk > 10.0::double) AS n_above
+FROM r
+"""
+
+# --- message profiles -------------------------------------------------------
+for _c in ["from_cc", "to_cc", "from_type", "status"]:
+    Q[f"share_{_c}"] = SNAP_MONTH + f"""
+SELECT {_c}, count(*) AS ct_{_c}, count(*) / sum(CAST(count(*) AS double)) OVER () AS perc_{_c}
+FROM snap GROUP BY 1 ORDER BY 2 DESC
+"""
+Q["share_cc_pair"] = SNAP_MONTH + """
+SELECT from_cc, to_cc, count(*) AS ct_pair, count(*) / sum(CAST(count(*) AS double)) OVER () AS perc_pair
+FROM snap GROUP BY 1, 2 ORDER BY 3 DESC
+"""
+Q["share_error_code"] = SNAP_MONTH + """
+SELECT error_code, count(*) AS ct_error_code,
+       count(*) / sum(CAST(count(*) AS double)) OVER () AS perc_error_code
+FROM snap WHERE error_code != 0 GROUP BY 1 ORDER BY 2 DESC
+"""
+Q["top_error_codes"] = """
+SELECT error_code, count(*) AS ct FROM messages
+WHERE date_updated >= TIMESTAMP '2024-01-01' AND date_updated <= TIMESTAMP '2024-01-30'
+GROUP BY 1 ORDER BY ct DESC, error_code LIMIT 25
+"""
+Q["top_failed_codes"] = """
+SELECT error_code, count(*) AS ct FROM messages WHERE status = 'FAILED'
+GROUP BY error_code ORDER BY count(*) DESC, error_code LIMIT 20
+"""
+Q["dq_duplicates"] = TRAITS + """
+SELECT customer_id, account_id, count(*) AS n FROM xwalk GROUP BY customer_id, account_id HAVING count(*) > 1
+"""
+Q["dq_null_keys"] = "SELECT parent_sid, sid FROM accounts WHERE sid IS NULL"
+Q["dq_key_containment"] = """
+SELECT count(DISTINCT customer_id) AS n_customers FROM customer_link
+WHERE customer_id IN (SELECT DISTINCT id FROM isv_list)
+"""
+Q["dq_weeks_per_account"] = SNAP_MONTH + "," + _mode_cte("from_type") + """
+SELECT account_id, count(*) AS n_weeks FROM mode_from_type GROUP BY account_id
+"""
+Q["dq_week_duplicates"] = WEEK_RATES + "," + MODES_AND_TRAITS + "," + TRAITS + """
+SELECT u.account_id, u.wk, count(*) AS n
+FROM week_rates u
+INNER JOIN traits_v3 r ON u.account_id = r.account_id AND u.wk = r.wk
+INNER JOIN traits a ON u.account_id = a.sid
+GROUP BY u.account_id, u.wk HAVING count(*) > 1
+"""

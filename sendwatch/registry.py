@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sendwatch.config import DEFAULT_PARAMS as PRM
-from sendwatch.plans import bodies, complaints, rates, suspension, traits
+from sendwatch.plans import (assemble, bodies, complaints, feature_profile, profile, rates, score,
+                             suspension, traits)
 from sendwatch.sources import Sources, load
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +50,59 @@ def _relational() -> dict[str, QueryFn]:
     }
 
 
+def _f1(fn: Callable[[DataFrame], DataFrame]) -> QueryFn:
+    return _q(lambda s: fn(assemble.features_p1(s)))
+
+
+def _f2(fn: Callable[[DataFrame], DataFrame]) -> QueryFn:
+    return _q(lambda s: fn(assemble.features_p2(s)))
+
+
+def _profiles() -> dict[str, QueryFn]:
+    return {
+        "share_from_cc": _q(lambda s: profile.share_of(s, "from_cc")),
+        "share_to_cc": _q(lambda s: profile.share_of(s, "to_cc")),
+        "share_cc_pair": _q(lambda s: profile.share_cc_pair(s)),
+        "share_from_type": _q(lambda s: profile.share_of(s, "from_type")),
+        "share_status": _q(lambda s: profile.share_of(s, "status")),
+        "share_error_code": _q(lambda s: profile.share_error_code(s)),
+        "top_error_codes": _q(lambda s: profile.top_error_codes(s)),
+        "top_failed_codes": _q(lambda s: profile.top_failed_codes(s)),
+        "dq_duplicates": _q(lambda s: profile.dq_duplicates(s)),
+        "dq_null_keys": _q(lambda s: profile.dq_null_keys(s)),
+        "dq_key_containment": _q(lambda s: profile.dq_key_containment(s)),
+        "dq_weeks_per_account": _q(lambda s: profile.dq_weeks_per_account(s)),
+        "dq_week_duplicates": _q(lambda s: profile.dq_week_duplicates(s)),
+    }
+
+
+def _features() -> dict[str, QueryFn]:
+    return {
+        "features_p1": _q(lambda s: assemble.features_p1(s)),
+        "features_p2": _q(lambda s: assemble.features_p2(s)),
+        "describe_features": _f1(feature_profile.describe_features),
+        "null_counts": _q(lambda s: feature_profile.null_counts(assemble.merged_period1(s))),
+        "corr_long": _f1(feature_profile.corr_features),
+        "hist_age": _f1(feature_profile.hist_age),
+        "hist_unreachable": _f1(feature_profile.hist_unreachable),
+        "hist_21610": _f1(feature_profile.hist_21610),
+        "hist_risk": _f2(feature_profile.hist_risk),
+        "category_counts": _f1(feature_profile.category_counts),
+        "cohort_sums": _f1(feature_profile.cohort_sums),
+        "cohort_counts": _f1(feature_profile.cohort_counts),
+        "column_totals": _f1(feature_profile.column_totals),
+        "mean_by_flag": _f1(feature_profile.mean_by_flag),
+        "baseline_rmse": _f2(score.baseline_rmse),
+        "geomean_top": _f2(lambda f: score.geomean_top(f)),
+        "geomean_plus_top": _f2(lambda f: score.geomean_top(f, plus_one=True)),
+        "blend_sweep_top20": _f2(lambda f: score.blend_sweep_top(f)),
+        "risk_capped": _f2(score.risk_capped),
+        "risk_quantile": _f2(score.risk_quantile),
+    }
+
+
 def queries() -> dict[str, QueryFn]:
     out = _relational()
+    out.update(_profiles())
+    out.update(_features())
     return out
