@@ -768,3 +768,47 @@ INNER JOIN traits_v3 r ON u.account_id = r.account_id AND u.wk = r.wk
 INNER JOIN traits a ON u.account_id = a.sid
 GROUP BY u.account_id, u.wk HAVING count(*) > 1
 """
+
+# --- exact KNN (train = period-1 accounts with account_id % 10 < 7) ----------
+KNN_FEATURES = ["age", "isv", "parent", "unreachable_frac", "frac_30007", "frac_21610", "frac_30008",
+                "aup_frac", "fraud_frac", "cannabis", "fam_size", "default_name"]
+_DIST = " + ".join(f"(CAST(q.{c} AS double) - CAST(t.{c} AS double)) * (CAST(q.{c} AS double) - CAST(t.{c} AS double))"
+                   for c in KNN_FEATURES)
+
+
+def _knn_ranked(name: str, query: str, target: str, k: int) -> str:
+    return f"""
+{name} AS (
+  SELECT * FROM (
+    SELECT q.account_id AS qid, q.{target} AS actual, t.{target} AS y,
+      row_number() OVER (PARTITION BY q.account_id ORDER BY {_DIST}, t.account_id) AS rn
+    FROM {query} q, (SELECT * FROM features_p1 WHERE account_id % 10 < 7) t) x
+  WHERE rn <= {k})"""
+
+
+Q["knn_predict"] = FEATURES + "," + _knn_ranked("nn", "features_p2", "optout_frac", 23) + """
+SELECT qid AS account_id, any_value(actual) AS optout_frac, round(avg(y), 6) AS knn_pred FROM nn GROUP BY qid
+"""
+
+
+def _sweep(target_name: str, target: str) -> str:
+    parts = []
+    for split, cond in (("train", "< 7"), ("test", ">= 7")):
+        parts.append(_knn_ranked(f"nn_{target_name}_{split}",
+                                 f"(SELECT * FROM features_p1 WHERE account_id % 10 {cond})", target, 50))
+        parts.append(f"""
+rm_{target_name}_{split} AS (
+  SELECT rn AS k, round(sqrt(avg((actual - pred) * (actual - pred))), 6) AS rmse FROM (
+    SELECT qid, rn, actual,
+      avg(y) OVER (PARTITION BY qid ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pred
+    FROM nn_{target_name}_{split}) p GROUP BY rn)""")
+    return ",".join(parts)
+
+
+Q["knn_k_sweep"] = FEATURES + "," + _sweep("optout", "optout_frac") + "," + _sweep("spam", "frac_7726") + """
+SELECT 'optout' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse
+FROM rm_optout_train a JOIN rm_optout_test b ON a.k = b.k
+UNION ALL
+SELECT 'spam' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse
+FROM rm_spam_train a JOIN rm_spam_test b ON a.k = b.k
+"""

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sendwatch.config import DEFAULT_PARAMS as PRM
-from sendwatch.plans import (assemble, bodies, complaints, feature_profile, profile, rates, score,
-                             suspension, traits)
+from sendwatch.plans import (assemble, bodies, complaints, feature_profile, models, profile, rates,
+                             score, suspension, traits)
+from sendwatch.session import materialize
 from sendwatch.sources import Sources, load
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -101,8 +102,69 @@ def _features() -> dict[str, QueryFn]:
     }
 
 
+def _split(s: Sources):
+    """Feature tables cut from their lineage once (reliable checkpoint), so
+    the neighbour search's block sizing and scoring do not recompute them."""
+    f1 = materialize(assemble.features_p1(s))
+    flag = assemble.split_flag(PRM)
+    return f1.where(flag), f1.where(~flag), materialize(assemble.features_p2(s))
+
+
+def _knn() -> dict[str, QueryFn]:
+    def predict(s: Sources) -> DataFrame:
+        train, _, f2 = _split(s)
+        return models.knn_scores(train, f2, "optout")
+
+    def sweep(s: Sources) -> DataFrame:
+        train, test, _ = _split(s)
+        return models.knn_sweep(train, test)
+
+    return {"knn_predict": _q(predict), "knn_k_sweep": _q(sweep)}
+
+
+def _ml() -> dict[str, QueryFn]:
+    """Model-training jobs (no SQL oracle; checked against brute force in tests)."""
+    def frames(s: Sources):
+        return models.model_frames(assemble.features_p1(s), assemble.features_p2(s), PRM)
+
+    def tree_sweep(s):
+        tr, te, _ = frames(s)
+        return models.depth_sweep(tr, te, "tree")
+
+    def forest_sweep(s):
+        tr, te, _ = frames(s)
+        return models.depth_sweep(tr, te, "forest")
+
+    def best_depth(s):
+        tr, te, _ = frames(s)
+        return models.best_param(models.depth_sweep(tr, te, "tree"), "depth")
+
+    def importances(s):
+        tr, _, _ = frames(s)
+        return models.importance_trees(tr)
+
+    def permutation(s):
+        tr, _, sc = frames(s)
+        return models.permutation_importance(tr, sc, "optout")
+
+    def board(s):
+        tr, _, sc = frames(s)
+        return models.leaderboard(tr, sc)
+
+    def ranking(s):
+        tr, _, sc = frames(s)
+        return models.risk_ranking(tr, sc)
+
+    return {"tree_depth_sweep": _q(tree_sweep), "forest_depth_sweep": _q(forest_sweep),
+            "tree_best_depth": _q(best_depth), "importance_trees": _q(importances),
+            "importance_permutation": _q(permutation), "leaderboard": _q(board),
+            "risk_ranking": _q(ranking)}
+
+
 def queries() -> dict[str, QueryFn]:
     out = _relational()
     out.update(_profiles())
     out.update(_features())
+    out.update(_knn())
+    out.update(_ml())
     return out
