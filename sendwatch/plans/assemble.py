@@ -64,8 +64,7 @@ def merged_period1(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Period-1 merge before filling (what the profile's non-null counts see)."""
     p: Period = params.period1
     fam, age, names = _side_tables(src, params)
-    return (rates.account_rates(src, p, params)
-            .join(rates.account_error_counts(src, p, params), "account_id", "left")
+    return (rates.account_rates(src, p, params, with_errors=True)
             .join(suspension.aup_messages(src, params.suspensions_p1, params), "account_id", "left")
             .join(suspension.fraud_messages(src, params.suspensions_p1, params), "account_id", "left")
             .join(fam, "account_id", "inner")
@@ -83,8 +82,7 @@ def features_p2(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
     age / family joins are inner."""
     p: Period = params.period2
     fam, age, names = _side_tables(src, params)
-    june = (rates.account_rates(src, p, params)
-            .join(rates.account_error_counts(src, p, params), "account_id", "left")
+    june = (rates.account_rates(src, p, params, with_errors=True)
             .join(suspension.fraud_messages(src, params.suspensions_p2, params), "account_id", "left")
             .join(suspension.aup_messages(src, params.suspensions_p2, params), "account_id", "left")
             .join(names, "account_id", "left"))

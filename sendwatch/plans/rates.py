@@ -76,25 +76,38 @@ def optouts(src: Sources, period: Period, internal_free: bool = True) -> DataFra
     return o.groupBy("account_id").agg(F.count(F.lit(1)).alias("optouts"))
 
 
-def account_rates(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS) -> DataFrame:
+def month_counts(src: Sources, period: Period) -> DataFrame:
+    """Every per-account count of a month in one pass over the messages:
+    attempted, delivered (NULL, not 0, when none), error classes, sender
+    types. Jobs that select a subset get the unused aggregates pruned."""
+    return (month_messages(src, period).groupBy("account_id").agg(
+        F.count(F.lit(1)).alias("attempted"),
+        F.nullif(F.count_if(F.col("error_code") == 0), F.lit(0)).alias("delivered"),
+        *_error_counts(30007, 30008, 21610), *_sender_type_counts()))
+
+
+ERROR_COLUMNS = ["unreachable", "n_30007", "n_30008", "n_21610", "is_LC", "is_SC", "is_AL"]
+
+
+def account_rates(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS,
+                  with_errors: bool = False) -> DataFrame:
     """Attempted / delivered sends, opt-outs and spam reports per sending
-    account. ``delivered`` stays NULL (not 0) for an account without any
-    delivered message, as with the separate left-joined count."""
+    account (``with_errors`` adds the error-class counts from the same pass).
+    ``delivered`` stays NULL (not 0) for an account without any delivered
+    message, as with the separate left-joined count."""
     period = period or params.month
-    sends = (month_messages(src, period).groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("attempted"),
-        F.nullif(F.count_if(F.col("error_code") == 0), F.lit(0)).alias("delivered")))
+    extra = ERROR_COLUMNS if with_errors else []
+    sends = month_counts(src, period).select("account_id", "attempted", "delivered", *extra)
     return (sends.join(optouts(src, period), "account_id", "left")
             .join(spam_reports(src, period), "account_id", "left")
-            .select("account_id", "attempted", "delivered", "optouts", "n_7726"))
+            .select("account_id", "attempted", "delivered", "optouts", "n_7726", *extra))
 
 
 def account_error_counts(src: Sources, period: Period | None = None,
                          params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Error-class and sender-type counts per account."""
     period = period or params.month
-    return (month_messages(src, period).groupBy("account_id")
-            .agg(*_error_counts(30007, 30008, 21610), *_sender_type_counts()))
+    return month_counts(src, period).select("account_id", *ERROR_COLUMNS)
 
 
 SNAPSHOT_COLUMNS = ["account_id", "sid", "status", "sent_date", "error_code", "from_type",

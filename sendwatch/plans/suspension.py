@@ -44,32 +44,43 @@ def suspensions_in(src: Sources, period: Period, category: str) -> DataFrame:
                    & (F.col("suspension_day") <= date_lit(period.last)))
 
 
-def messages_before_suspension(src: Sources, period: Period, category: str, lookback_days: int,
-                               params: Params = DEFAULT_PARAMS) -> DataFrame:
+def suspension_day_counts(src: Sources, period: Period, params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """Delivered, unflagged messages per account and creation day, with one
+    count per category lookback; shared by the AUP and FRAUD attribution of
+    the same suspension period (one scan, one shuffle)."""
     window = params.suspension_window_days
-    lookback = period.first - dt.timedelta(days=lookback_days)
-    read_from = max(lookback, period.first - dt.timedelta(days=window))
+    lookbacks = {"aup": period.first - dt.timedelta(days=params.aup_lookback_days),
+                 "fraud": period.first - dt.timedelta(days=params.fraud_lookback_days)}
+    read_from = max(min(lookbacks.values()), period.first - dt.timedelta(days=window))
     read_to = period.last + dt.timedelta(days=1)
     m = src.messages.where(
         P.not_flagged("flags") & (F.col("error_code") == 0)
-        & P.ts_from("date_created", lookback) & P.load_day_from("data_load_date", lookback)
-        & (F.col("date_created") >= ts_lit(read_from)) & (F.col("date_created") < ts_lit(read_to)))
-    per_day = (m.groupBy("account_id", F.to_date("date_created").alias("d"))
-               .agg(F.count(F.lit(1)).alias("ct")))
+        & (F.col("date_created") >= ts_lit(read_from)) & (F.col("date_created") < ts_lit(read_to))
+        & P.load_day_from("data_load_date", min(lookbacks.values())))
+    counts = [F.count_if(P.ts_from("date_created", lb) & P.load_day_from("data_load_date", lb)).alias(f"ct_{c}")
+              for c, lb in lookbacks.items()]
+    return m.groupBy("account_id", F.to_date("date_created").alias("d")).agg(*counts)
+
+
+def messages_before_suspension(src: Sources, period: Period, category: str,
+                               params: Params = DEFAULT_PARAMS,
+                               per_day: DataFrame | None = None) -> DataFrame:
+    per_day = per_day if per_day is not None else suspension_day_counts(src, period, params)
     s = suspensions_in(src, period, category)
-    j = within_days_before(per_day, s, "account_id", "d", "suspension_day", window)
+    j = within_days_before(per_day.select("account_id", "d", F.col(f"ct_{category}").alias("ct")),
+                           s, "account_id", "d", "suspension_day", params.suspension_window_days)
     return j.groupBy("account_id").agg(F.sum("ct").alias(category))
 
 
 def aup_messages(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS) -> DataFrame:
     period = period or params.suspensions_month
-    return messages_before_suspension(src, period, "aup", params.aup_lookback_days, params)
+    return messages_before_suspension(src, period, "aup", params)
 
 
 def fraud_messages(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Messages before a FRAUD suspension, with the cannabis-list marker."""
     period = period or params.suspensions_month
-    f = messages_before_suspension(src, period, "fraud", params.fraud_lookback_days, params)
+    f = messages_before_suspension(src, period, "fraud", params)
     listed = src.cannabis_list.select(F.col("sid").alias("account_id")).distinct().withColumn("_hit", F.lit(1))
     return (f.join(listed, "account_id", "left")
             .select("account_id", F.when(F.col("_hit").isNotNull(), 1).otherwise(0).alias("cannabis"),
