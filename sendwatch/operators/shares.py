@@ -16,5 +16,7 @@ from pyspark.sql import functions as F
 def frequency_with_share(df: DataFrame, keys: Sequence[str], count_name: str,
                          share_name: str) -> DataFrame:
     freq = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name))
-    total = df.agg(F.count(F.lit(1)).cast("double"))
+    # summed from the (small) frequency table: the aggregate's shuffle is
+    # shared with the main plan instead of rescanning the input
+    total = freq.agg(F.sum(count_name).cast("double"))
     return freq.withColumn(share_name, F.col(count_name).cast("double") / total.scalar())

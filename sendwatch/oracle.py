@@ -812,3 +812,5 @@ UNION ALL
 SELECT 'spam' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse
 FROM rm_spam_train a JOIN rm_spam_test b ON a.k = b.k
 """
+
+Q["sorted_21610"] = FEATURES + "SELECT account_id, frac_21610 FROM features_p1 ORDER BY frac_21610 NULLS LAST, account_id"

@@ -79,6 +79,11 @@ def column_totals(features: DataFrame) -> DataFrame:
     return stats.column_totals(features, NUMERIC)
 
 
+def sorted_column(features: DataFrame, column: str = "frac_21610") -> DataFrame:
+    """One feature in ascending order (NULLs last), with its account."""
+    return features.select("account_id", column).orderBy(F.col(column).asc_nulls_last(), "account_id")
+
+
 def mean_by_flag(features: DataFrame) -> DataFrame:
     return stats.mean_by_flag(features, FLAGS, ["frac_7726", "optout_frac"])
 

@@ -101,8 +101,11 @@ def _union(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def _rmse_by(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return scored.groupBy(*keys).agg(r6(F.sqrt(F.avg((F.col("y") - F.col("pred")) * (F.col("y") - F.col("pred")))))
-                                     .alias("rmse"))
+    """RMSE and R^2 (1 - SSE / SST around the group's own mean) per group."""
+    se = (F.col("y") - F.col("pred")) * (F.col("y") - F.col("pred"))
+    sst = F.var_pop("y") * F.count("y")
+    return scored.groupBy(*keys).agg(r6(F.sqrt(F.avg(se))).alias("rmse"),
+                                     r6(F.lit(1.0) - F.try_divide(F.sum(se), sst)).alias("r2"))
 
 
 def depth_sweep(train: DataFrame, test: DataFrame, family: str,
@@ -118,8 +121,8 @@ def depth_sweep(train: DataFrame, test: DataFrame, family: str,
             frames.append(_scored(m, test, label, {"target": tname, "depth": d, "split": "test"}))
     r = _rmse_by(_union(frames), ["target", "depth", "split"])
     return (r.groupBy("target", "depth")
-            .agg(F.max(F.when(F.col("split") == "train", F.col("rmse"))).alias("train_rmse"),
-                 F.max(F.when(F.col("split") == "test", F.col("rmse"))).alias("test_rmse")))
+            .agg(*[F.max(F.when(F.col("split") == sp, F.col(m))).alias(f"{sp}_{m}")
+                   for m in ("rmse", "r2") for sp in ("train", "test")]))
 
 
 def best_param(sweep: DataFrame, param: str) -> DataFrame:
@@ -231,9 +234,29 @@ def leaderboard(train: DataFrame, scored: DataFrame) -> DataFrame:
                       .withColumn("target", F.lit(tname)).withColumn("model", F.lit("knn")))
     rm = _rmse_by(_union(frames), ["target", "model"])
     base = scored.agg(*[r6(F.stddev_pop(c)).alias(t) for t, c in TARGETS.items()])
-    base = base.unpivot([], list(TARGETS), "target", "rmse").withColumn("model", F.lit("mean"))
+    base = (base.unpivot([], list(TARGETS), "target", "rmse").withColumn("model", F.lit("mean"))
+            .withColumn("r2", F.lit(0.0)))
     del spark
-    return rm.unionByName(base.select("target", "model", "rmse"))
+    return rm.unionByName(base.select("target", "model", "rmse", "r2"))
+
+
+def top_predictions(train: DataFrame, scored: DataFrame, target: str = "optout", k: int = 10) -> DataFrame:
+    """Each tuned model scores period 2; the k accounts with the highest
+    predicted rate per model, next to the actual rate (group-limited window)."""
+    label = TARGETS[target]
+    ests = {"tree": _tree(BEST_TREE_DEPTH[target], label),
+            "forest": _forest(BEST_FOREST_DEPTH[target], label),
+            "bagging": _forest(5, label, BAGGING_TREES)}
+    models = _fit_all(list(ests.values()), train)
+    frames = [m.transform(scored).select("account_id", F.col(label).alias("actual"),
+                                         F.col("prediction").alias("pred"), F.lit(n).alias("model"))
+              for n, m in zip(ests, models)]
+    kp = knn.knn_predict(scored, train, "account_id", FEATURES, label, BEST_K[target])
+    frames.append(scored.select("account_id", F.col(label).alias("actual")).join(kp, "account_id")
+                  .select("account_id", "actual", F.col("prediction").alias("pred"), F.lit("knn").alias("model")))
+    w = Window.partitionBy("model").orderBy(F.col("pred").desc(), F.col("account_id").asc())
+    return (_union(frames).withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
+            .select("model", "rnk", "account_id", "actual", r6(F.col("pred")).alias("pred")))
 
 
 def risk_ranking(train: DataFrame, scored: DataFrame, top: int = 20) -> DataFrame:

@@ -21,24 +21,26 @@ from sendwatch.sources import Sources
 FAILED_STATUS = "FAILED"
 
 
-def _snap(src: Sources, period: Period | None, params: Params) -> DataFrame:
-    return message_snapshot(src, period or params.month)
+def _snap(src: Sources, period: Period | None, params: Params, snapshot: DataFrame | None = None) -> DataFrame:
+    return snapshot if snapshot is not None else message_snapshot(src, period or params.month)
 
 
 def share_of(src: Sources, column: str, period: Period | None = None,
-             params: Params = DEFAULT_PARAMS) -> DataFrame:
-    f = frequency_with_share(_snap(src, period, params), [column], f"ct_{column}", f"perc_{column}")
+             params: Params = DEFAULT_PARAMS, snapshot: DataFrame | None = None) -> DataFrame:
+    f = frequency_with_share(_snap(src, period, params, snapshot), [column], f"ct_{column}", f"perc_{column}")
     return f.orderBy(F.col(f"ct_{column}").desc(), F.col(column).asc_nulls_last())
 
 
-def share_cc_pair(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS) -> DataFrame:
-    f = frequency_with_share(_snap(src, period, params), ["from_cc", "to_cc"], "ct_pair", "perc_pair")
+def share_cc_pair(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS,
+                  snapshot: DataFrame | None = None) -> DataFrame:
+    f = frequency_with_share(_snap(src, period, params, snapshot), ["from_cc", "to_cc"], "ct_pair", "perc_pair")
     return f.orderBy(F.col("ct_pair").desc())
 
 
-def share_error_code(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS) -> DataFrame:
+def share_error_code(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS,
+                     snapshot: DataFrame | None = None) -> DataFrame:
     """Share of each non-zero error code among messages that failed."""
-    snap = _snap(src, period, params).where(F.col("error_code") != 0)
+    snap = _snap(src, period, params, snapshot).where(F.col("error_code") != 0)
     f = frequency_with_share(snap, ["error_code"], "ct_error_code", "perc_error_code")
     return f.orderBy(F.col("ct_error_code").desc())
 

@@ -99,6 +99,7 @@ def _features() -> dict[str, QueryFn]:
         "blend_sweep_top20": _f2(lambda f: score.blend_sweep_top(f)),
         "risk_capped": _f2(score.risk_capped),
         "risk_quantile": _f2(score.risk_quantile),
+        "sorted_21610": _f1(feature_profile.sorted_column),
     }
 
 
@@ -155,7 +156,12 @@ def _ml() -> dict[str, QueryFn]:
         tr, _, sc = frames(s)
         return models.risk_ranking(tr, sc)
 
-    return {"tree_depth_sweep": _q(tree_sweep), "forest_depth_sweep": _q(forest_sweep),
+    def top_pred(s):
+        tr, _, sc = frames(s)
+        return models.top_predictions(tr, sc)
+
+    return {"top_predictions": _q(top_pred),
+            "tree_depth_sweep": _q(tree_sweep), "forest_depth_sweep": _q(forest_sweep),
             "tree_best_depth": _q(best_depth), "importance_trees": _q(importances),
             "importance_permutation": _q(permutation), "leaderboard": _q(board),
             "risk_ranking": _q(ranking)}
