@@ -82,7 +82,7 @@ def nearest_neighbours(query: DataFrame, train: DataFrame, id_col: str, features
     cand = (q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb"))
             .applyInPandas(_block_topk(k, feats), CANDIDATE_SCHEMA))
     w = Window.partitionBy("qid").orderBy(F.col("dist").asc(), F.col("tid").asc())
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (cand.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
             .select("qid", "rank", "tid", "dist", "y"))
 
 
@@ -101,5 +101,6 @@ def knn_k_sweep(query: DataFrame, train: DataFrame, id_col: str, features: Seque
     run = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     preds = nn.withColumn("pred", F.avg("y").over(run)).select("qid", F.col("rank").alias("k"), "pred")
     actual = query.select(F.col(id_col).alias("qid"), F.col(target).cast("double").alias("actual"))
-    se = preds.join(actual, "qid").withColumn("se", (F.col("actual") - F.col("pred")) ** 2)
+    err = F.col("actual") - F.col("pred")
+    se = preds.join(actual, "qid").withColumn("se", err * err)
     return se.groupBy("k").agg(F.sqrt(F.avg("se")).alias("rmse"))

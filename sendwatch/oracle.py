@@ -92,56 +92,54 @@ def _w(c: str) -> str:
 
 Q: dict[str, str] = {}
 
+PHONE_SENDER = "(sender IS NULL OR sender NOT LIKE 'MG%')"
+KEEP = f"{NOT_FLAGGED}"
+
 # --- account rates (one month) ---------------------------------------------
 Q["account_rates"] = f"""
-optouts AS (
-  SELECT account_id, count(*) AS optouts FROM optout_log
-  WHERE (CASE WHEN allowed = 0 THEN true ELSE false END)
-    AND (CASE WHEN sender LIKE 'MG%' THEN 'messaging service' ELSE 'phone number' END) = 'phone number'
-    AND updated_ts >= TIMESTAMP '2024-01-01' AND updated_ts <= TIMESTAMP '2024-01-30'
-    AND account_id IN {INTERNAL_FREE}
-  GROUP BY account_id),
-spam AS (
-  SELECT account_id, count(*) AS n_7726 FROM complaints
-  WHERE CAST(processed_ts AS date) >= TIMESTAMP '2024-01-01' AND CAST(processed_ts AS date) <= TIMESTAMP '2024-01-30'
-    AND account_id IN {INTERNAL_FREE}
-  GROUP BY account_id),
-attempted AS (
-  SELECT account_id, count(*) AS attempted FROM messages
-  WHERE date_created >= TIMESTAMP '2024-01-01' AND date_created <= TIMESTAMP '2024-01-30'
-    AND data_load_date >= TIMESTAMP '2024-01-01' AND {NOT_FLAGGED}
-  GROUP BY account_id),
-delivered AS (
-  SELECT account_id, count(*) AS delivered FROM messages
-  WHERE date_created >= TIMESTAMP '2024-01-01' AND date_created <= TIMESTAMP '2024-01-30'
-    AND data_load_date >= TIMESTAMP '2024-01-01' AND {NOT_FLAGGED} AND error_code = 0
-  GROUP BY account_id)
-SELECT a.account_id, a.attempted, d.delivered, o.optouts, s.n_7726
-FROM attempted a
-LEFT JOIN delivered d ON d.account_id = a.account_id
-LEFT JOIN optouts o ON o.account_id = a.account_id
-LEFT JOIN spam s ON s.account_id = a.account_id
+month_msgs AS (
+  SELECT account_id, error_code FROM messages
+  WHERE date_created BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-30'
+    AND data_load_date >= DATE '2024-01-01' AND {KEEP}),
+sends AS (
+  SELECT account_id, count(*) AS attempted,
+         nullif(count(*) FILTER (WHERE error_code = 0), 0) AS delivered
+  FROM month_msgs GROUP BY account_id),
+outs AS (
+  SELECT o.account_id, count(*) AS optouts FROM optout_log o
+  SEMI JOIN account_flags f ON f.account_id = o.account_id AND NOT f.is_internal
+  WHERE o.allowed = 0 AND {PHONE_SENDER}
+    AND o.updated_ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-30'
+  GROUP BY o.account_id),
+reports AS (
+  SELECT c.account_id, count(*) AS n_7726 FROM complaints c
+  SEMI JOIN account_flags f ON f.account_id = c.account_id AND NOT f.is_internal
+  WHERE CAST(c.processed_ts AS date) BETWEEN DATE '2024-01-01' AND DATE '2024-01-30'
+  GROUP BY c.account_id)
+SELECT s.account_id, s.attempted, s.delivered, o.optouts, r.n_7726
+FROM sends s LEFT JOIN outs o USING (account_id) LEFT JOIN reports r USING (account_id)
 """
 
 Q["account_error_counts"] = f"""
 SELECT account_id,
-  CAST(sum(CASE WHEN {UNREACH} THEN 1 ELSE 0 END) AS bigint) AS unreachable,
-  CAST(sum(CASE WHEN error_code = 30007 THEN 1 ELSE 0 END) AS bigint) AS n_30007,
-  CAST(sum(CASE WHEN error_code = 30008 THEN 1 ELSE 0 END) AS bigint) AS n_30008,
-  CAST(sum(CASE WHEN error_code = 21610 THEN 1 ELSE 0 END) AS bigint) AS n_21610,
-  CAST(sum(CASE WHEN from_type = 'LC' THEN 1 ELSE 0 END) AS bigint) AS is_LC,
-  CAST(sum(CASE WHEN from_type = 'SC' THEN 1 ELSE 0 END) AS bigint) AS is_SC,
-  CAST(sum(CASE WHEN from_type = 'AL' THEN 1 ELSE 0 END) AS bigint) AS is_AL
+  count(*) FILTER (WHERE {UNREACH}) AS unreachable,
+  count(*) FILTER (WHERE error_code = 30007) AS n_30007,
+  count(*) FILTER (WHERE error_code = 30008) AS n_30008,
+  count(*) FILTER (WHERE error_code = 21610) AS n_21610,
+  count(*) FILTER (WHERE from_type = 'LC') AS is_LC,
+  count(*) FILTER (WHERE from_type = 'SC') AS is_SC,
+  count(*) FILTER (WHERE from_type = 'AL') AS is_AL
 FROM messages
-WHERE date_created >= TIMESTAMP '2024-01-01' AND date_created <= TIMESTAMP '2024-01-30'
-  AND data_load_date >= TIMESTAMP '2024-01-01' AND {NOT_FLAGGED}
+WHERE date_created BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-30'
+  AND data_load_date >= DATE '2024-01-01' AND {KEEP}
 GROUP BY account_id
 """
 
+# trimmed snapshot: send day strictly inside (lo, hi)
 SNAPSHOT = """
 snap AS (
   SELECT account_id, sid, status, sent_date, error_code, from_type, from_cc, to_cc FROM messages
-  WHERE CAST(sent_date AS date) > DATE '{lo}' AND CAST(sent_date AS date) < DATE '{hi}')
+  WHERE sent_date >= DATE '{lo}' + INTERVAL 1 DAY AND sent_date < DATE '{hi}')
 """
 SNAP_MONTH = SNAPSHOT.format(lo="2024-01-02", hi="2024-01-30")
 
@@ -154,115 +152,100 @@ weekly AS (
     count(*) FILTER (WHERE error_code = 30007) AS n_30007,
     count(*) FILTER (WHERE error_code = 30002) AS n_30002,
     count(*) FILTER (WHERE error_code = 21610) AS n_21610
-  FROM snap GROUP BY 1, 2),
-spam_wk AS (
+  FROM snap GROUP BY ALL),
+reports_wk AS (
   SELECT account_id, {_w('processed_ts')} AS wk, count(*) AS n_7726 FROM complaints
-  WHERE CAST(processed_ts AS date) > DATE '2024-01-02' AND CAST(processed_ts AS date) < DATE '2024-01-30'
-  GROUP BY 1, 2),
-optout_wk AS (
-  SELECT account_id, count(*) AS optouts, {_w('updated_ts')} AS wk FROM optout_log
-  WHERE allowed = 0
-    AND (CASE WHEN sender LIKE 'MG%' THEN 'messaging service' ELSE 'phone number' END) = 'phone number'
+  WHERE processed_ts >= DATE '2024-01-03' AND processed_ts < DATE '2024-01-30'
+  GROUP BY ALL),
+outs_wk AS (
+  SELECT account_id, {_w('updated_ts')} AS wk, count(*) AS optouts FROM optout_log
+  WHERE allowed = 0 AND {PHONE_SENDER}
     AND updated_ts > TIMESTAMP '2024-01-02' AND updated_ts < TIMESTAMP '2024-01-30'
-  GROUP BY 1, 3),
+  GROUP BY ALL),
 week_rates AS (
   SELECT w.account_id, w.wk, w.total, w.unreachable, w.n_30007, w.n_30002, w.n_21610,
-    coalesce(s.n_7726, 0) AS n_7726, coalesce(o.optouts, 0) AS optouts,
+    coalesce(r.n_7726, 0) AS n_7726, coalesce(o.optouts, 0) AS optouts,
     100.0::double * w.unreachable / w.total AS unreachable_pct,
     100.0::double * w.n_30007 / w.total AS n_30007_pct,
     100.0::double * w.n_30002 / w.total AS n_30002_pct,
     100.0::double * w.n_21610 / w.total AS n_21610_pct,
-    100.0::double * coalesce(s.n_7726, 0) / w.total AS n_7726_pct,
+    100.0::double * coalesce(r.n_7726, 0) / w.total AS n_7726_pct,
     100.0::double * coalesce(o.optouts, 0) / w.total AS optouts_pct
   FROM weekly w
-  LEFT JOIN spam_wk s ON w.account_id = s.account_id AND w.wk = s.wk
-  LEFT JOIN optout_wk o ON w.account_id = o.account_id AND w.wk = o.wk)
+  LEFT JOIN reports_wk r USING (account_id, wk)
+  LEFT JOIN outs_wk o USING (account_id, wk))
 """
 Q["week_unwanted_rates"] = WEEK_RATES + "SELECT * FROM week_rates"
 
 
 def _mode_cte(trait: str) -> str:
+    """Most frequent non-NULL value per account-week (ties: smallest value)."""
     return f"""
 mode_{trait} AS (
   SELECT account_id, wk, {trait} FROM (
-    SELECT account_id, wk, {trait},
-      row_number() OVER (PARTITION BY account_id, wk ORDER BY ct DESC, {trait} ASC NULLS LAST) AS rnk
-    FROM (SELECT account_id, {_w('sent_date')} AS wk, {trait}, count(*) AS ct
-          FROM snap WHERE {trait} IS NOT NULL GROUP BY 1, 2, 3) f) r
-  WHERE rnk = 1)"""
+    SELECT account_id, {_w('sent_date')} AS wk, {trait}, count(*) AS n
+    FROM snap WHERE {trait} IS NOT NULL GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY account_id, wk ORDER BY n DESC, {trait}) = 1)"""
 
 
 MODES_AND_TRAITS = ",".join(_mode_cte(t) for t in ["from_cc", "to_cc", "from_type", "status"]) + f""",
-volume AS (SELECT account_id, {_w('sent_date')} AS wk, count(*) AS ct FROM snap GROUP BY 1, 2),
+volume AS (SELECT account_id, {_w('sent_date')} AS wk, count(*) AS ct FROM snap GROUP BY ALL),
 traits_v3 AS (
-  SELECT fc.account_id, fc.wk, fc.from_cc, tc.to_cc, ft.from_type, s.status, p.ct
-  FROM mode_from_cc fc
-  LEFT JOIN mode_to_cc tc ON fc.account_id = tc.account_id AND fc.wk = tc.wk
-  LEFT JOIN mode_from_type ft ON fc.account_id = ft.account_id AND fc.wk = ft.wk
-  LEFT JOIN mode_status s ON fc.account_id = s.account_id AND fc.wk = s.wk
-  LEFT JOIN volume p ON fc.account_id = p.account_id AND fc.wk = p.wk)
+  SELECT account_id, wk, a.from_cc, b.to_cc, c.from_type, d.status, v.ct
+  FROM mode_from_cc a
+  LEFT JOIN mode_to_cc b USING (account_id, wk)
+  LEFT JOIN mode_from_type c USING (account_id, wk)
+  LEFT JOIN mode_status d USING (account_id, wk)
+  LEFT JOIN volume v USING (account_id, wk))
 """
 WEEK_TRAITS = SNAP_MONTH + "," + MODES_AND_TRAITS
 Q["week_dominant_traits"] = WEEK_TRAITS + "SELECT * FROM traits_v3"
-Q["week_volume"] = SNAP_MONTH + f"SELECT account_id, {_w('sent_date')} AS wk, count(*) AS ct FROM snap GROUP BY 1, 2"
+Q["week_volume"] = SNAP_MONTH + f"SELECT account_id, {_w('sent_date')} AS wk, count(*) AS ct FROM snap GROUP BY ALL"
 
 # --- account traits --------------------------------------------------------
-TRAITS = """
+AGE = "CAST(datesub('month', CAST(date_created AS date), DATE '2024-01-31') AS int)"
+TRAITS = f"""
 xwalk AS (
-  SELECT account_id, customer_id,
-    CASE WHEN customer_id IN (SELECT id FROM isv_list) THEN 1 ELSE 0 END AS isv
-  FROM customer_link WHERE account_id IS NOT NULL AND account_id != -1),
-live AS (SELECT * FROM accounts WHERE date_created < TIMESTAMP '2024-01-31'),
-fam AS (
-  SELECT CASE WHEN parent_sid IS NOT NULL THEN parent_sid ELSE sid END AS id,
-         count(DISTINCT sid) - 1 AS num_sub
-  FROM live GROUP BY 1),
+  SELECT l.account_id, l.customer_id, CAST((i.id IS NOT NULL) AS int) AS isv
+  FROM customer_link l LEFT JOIN (SELECT DISTINCT id FROM isv_list) i ON i.id = l.customer_id
+  WHERE l.account_id IS NOT NULL AND l.account_id <> -1),
+live AS (SELECT *, coalesce(parent_sid, sid) AS root FROM accounts
+         WHERE date_created < TIMESTAMP '2024-01-31'),
+fam AS (SELECT root, count(DISTINCT sid) - 1 AS num_sub FROM live GROUP BY root),
 traits AS (
-  SELECT parent_sid, sid, a.id AS family_id, age, parent, num_sub, coalesce(isv, 0) AS isv,
-    CASE WHEN age <= 11 THEN '0-11' WHEN age > 11 AND age <= 26 THEN '11-26'
-         WHEN age > 47 THEN '> 47' ELSE '26-47' END AS age_cat,
-    CASE WHEN num_sub = 0 THEN '0' WHEN num_sub = 1 THEN '1' ELSE '> 1' END AS num_sub_cat
-  FROM (
-    SELECT parent_sid, sid, CASE WHEN parent_sid IS NOT NULL THEN parent_sid ELSE sid END AS id,
-      CAST(datesub('month', CAST(date_created AS date), DATE '2024-01-31') AS int) AS age,
-      CASE WHEN parent_sid IS NULL THEN 0 ELSE 1 END AS parent
-    FROM live) a
-  LEFT JOIN fam s ON s.id = a.id
-  LEFT JOIN xwalk r ON r.account_id = a.id)
+  SELECT l.parent_sid, l.sid, l.root AS family_id, {AGE} AS age,
+    CAST((l.parent_sid IS NOT NULL) AS int) AS parent, f.num_sub, coalesce(x.isv, 0) AS isv,
+    CASE WHEN {AGE} IS NULL THEN '26-47' WHEN {AGE} <= 11 THEN '0-11' WHEN {AGE} <= 26 THEN '11-26'
+         WHEN {AGE} <= 47 THEN '26-47' ELSE '> 47' END AS age_cat,
+    CASE f.num_sub WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE '> 1' END AS num_sub_cat
+  FROM live l LEFT JOIN fam f USING (root) LEFT JOIN xwalk x ON x.account_id = l.root)
 """
 Q["account_traits"] = TRAITS + "SELECT * FROM traits"
 Q["isv_flag"] = TRAITS + "SELECT * FROM xwalk"
-Q["family_size"] = TRAITS + """
-SELECT DISTINCT f.sid, coalesce(f.num_sub, 0) + 1 AS fam_size
-FROM traits f LEFT JOIN traits q ON f.sid = q.parent_sid
-"""
+Q["family_size"] = TRAITS + "SELECT DISTINCT sid, coalesce(num_sub, 0) + 1 AS fam_size FROM traits"
 Q["default_name_flag"] = """
-SELECT sid, friendly_name, CASE WHEN friendly_name LIKE '%BUILDING%' THEN 1 ELSE 0 END AS default_name
+SELECT sid, friendly_name, CAST(coalesce(contains(friendly_name, 'BUILDING'), false) AS int) AS default_name
 FROM accounts
 """
-Q["age_tile_cutpoints"] = """
+Q["age_tile_cutpoints"] = f"""
 SELECT DISTINCT age FROM (
-  SELECT sid, age, ntile(100) OVER (ORDER BY age) AS perc FROM (
-    SELECT parent_sid, sid, CAST(datesub('month', CAST(date_created AS date), DATE '2024-01-31') AS int) AS age
-    FROM accounts WHERE date_created < TIMESTAMP '2024-01-31') sub) t
-WHERE perc = 0 OR perc = 25 OR perc = 50 OR perc = 75
+  SELECT {AGE} AS age FROM accounts WHERE date_created < TIMESTAMP '2024-01-31')
+QUALIFY ntile(100) OVER (ORDER BY age) IN (25, 50, 75)
 """
 Q["subaccount_tile_cutpoints"] = """
 SELECT DISTINCT num_sub FROM (
-  SELECT id, num_sub, ntile(100) OVER (ORDER BY num_sub) AS perc FROM (
-    SELECT CASE WHEN parent_sid IS NOT NULL THEN parent_sid ELSE sid END AS id,
-           count(DISTINCT sid) - 1 AS num_sub
-    FROM accounts WHERE date_created < TIMESTAMP '2024-01-31' GROUP BY 1) sub
-  WHERE sub.num_sub > 0) t
-WHERE perc = 0 OR perc = 25 OR perc = 50 OR perc = 75
+  SELECT coalesce(parent_sid, sid) AS root, count(DISTINCT sid) - 1 AS num_sub
+  FROM accounts WHERE date_created < TIMESTAMP '2024-01-31' GROUP BY root)
+WHERE num_sub > 0
+QUALIFY ntile(100) OVER (ORDER BY num_sub) IN (25, 50, 75)
 """
 
 Q["week_wide"] = WEEK_RATES + "," + MODES_AND_TRAITS + "," + TRAITS + """
 SELECT u.*, r.from_cc, r.to_cc, r.from_type, r.status, r.ct,
        a.parent_sid, a.sid, a.family_id, a.age, a.parent, a.num_sub, a.isv, a.age_cat, a.num_sub_cat
 FROM week_rates u
-INNER JOIN traits_v3 r ON u.account_id = r.account_id AND u.wk = r.wk
-INNER JOIN traits a ON u.account_id = a.sid
+JOIN traits_v3 r USING (account_id, wk)
+JOIN traits a ON a.sid = u.account_id
 """
 
 
@@ -272,47 +255,38 @@ def _period_wide(lo: str, hi: str) -> str:
                 "to_US", "to_CA", "to_GB", "to_AU", "to_IN", "is_LC", "is_SC", "is_AL",
                 "delivered", "undelivered", "sent"]
     pcts = ",\n    ".join(f"100.0::double * {c} / total AS {c}_pct" for c in pct_cols)
+    cnt = lambda cond, name: f"count(*) FILTER (WHERE {cond}) AS {name}"
+    counts = ",\n    ".join(
+        [cnt(UNREACH, "unreachable")] + [cnt(f"error_code = {c}", f"n_{c}") for c in (30007, 30008, 21610)]
+        + [cnt(f"from_cc = '{c}'", f"from_{c}") for c in ("US", "CA", "GB", "AU", "FR")]
+        + [cnt(f"to_cc = '{c}'", f"to_{c}") for c in ("US", "CA", "GB", "AU", "IN")]
+        + [cnt(f"from_type = '{t}'", f"is_{t}") for t in ("LC", "SC", "AL")]
+        + [cnt(f"status = '{v}'", n) for n, v in (("delivered", "DELIVERED"), ("undelivered", "UNDELIVERED"),
+                                                   ("sent", "SENT"))])
     return SNAPSHOT.format(lo=lo, hi=hi) + f""",
+external AS (SELECT account_id FROM account_flags WHERE NOT is_internal),
 per_account AS (
   SELECT account_id, count(*) AS total,
-    count(*) FILTER (WHERE {UNREACH}) AS unreachable,
-    count(*) FILTER (WHERE error_code = 30007) AS n_30007,
-    count(*) FILTER (WHERE error_code = 30008) AS n_30008,
-    count(*) FILTER (WHERE error_code = 21610) AS n_21610,
-    count(*) FILTER (WHERE from_cc = 'US') AS from_US, count(*) FILTER (WHERE from_cc = 'CA') AS from_CA,
-    count(*) FILTER (WHERE from_cc = 'GB') AS from_GB, count(*) FILTER (WHERE from_cc = 'AU') AS from_AU,
-    count(*) FILTER (WHERE from_cc = 'FR') AS from_FR,
-    count(*) FILTER (WHERE to_cc = 'US') AS to_US, count(*) FILTER (WHERE to_cc = 'CA') AS to_CA,
-    count(*) FILTER (WHERE to_cc = 'GB') AS to_GB, count(*) FILTER (WHERE to_cc = 'AU') AS to_AU,
-    count(*) FILTER (WHERE to_cc = 'IN') AS to_IN,
-    count(*) FILTER (WHERE from_type = 'LC') AS is_LC, count(*) FILTER (WHERE from_type = 'SC') AS is_SC,
-    count(*) FILTER (WHERE from_type = 'AL') AS is_AL,
-    count(*) FILTER (WHERE status = 'DELIVERED') AS delivered,
-    count(*) FILTER (WHERE status = 'UNDELIVERED') AS undelivered,
-    count(*) FILTER (WHERE status = 'SENT') AS sent
-  FROM snap WHERE status != 'RECEIVED' AND account_id IN {INTERNAL_FREE}
+    {counts}
+  FROM snap SEMI JOIN external USING (account_id)
+  WHERE status <> 'RECEIVED'
   GROUP BY account_id),
-spam_p AS (
-  SELECT account_id, count(*) AS n_7726 FROM complaints
-  WHERE CAST(processed_ts AS date) > DATE '{lo}' AND CAST(processed_ts AS date) < DATE '{hi}'
-    AND account_id IN {INTERNAL_FREE}
-  GROUP BY 1),
-optout_p AS (
-  SELECT account_id, count(*) AS optouts FROM optout_log
-  WHERE allowed = 0
-    AND (CASE WHEN sender LIKE 'MG%' THEN 'messaging service' ELSE 'phone number' END) = 'phone number'
+reports_p AS (
+  SELECT account_id, count(*) AS n_7726 FROM complaints SEMI JOIN external USING (account_id)
+  WHERE processed_ts >= DATE '{lo}' + INTERVAL 1 DAY AND processed_ts < DATE '{hi}'
+  GROUP BY account_id),
+outs_p AS (
+  SELECT account_id, count(*) AS optouts FROM optout_log SEMI JOIN external USING (account_id)
+  WHERE allowed = 0 AND {PHONE_SENDER}
     AND updated_ts > TIMESTAMP '{lo}' AND updated_ts < TIMESTAMP '{hi}'
-    AND account_id IN {INTERNAL_FREE}
-  GROUP BY 1),
+  GROUP BY account_id),
 joined AS (
-  SELECT p.*, coalesce(s.n_7726, 0) AS n_7726, coalesce(o.optouts, 0) AS optouts
-  FROM per_account p LEFT JOIN spam_p s ON p.account_id = s.account_id
-  LEFT JOIN optout_p o ON p.account_id = o.account_id),
+  SELECT p.*, coalesce(r.n_7726, 0) AS n_7726, coalesce(o.optouts, 0) AS optouts
+  FROM per_account p LEFT JOIN reports_p r USING (account_id) LEFT JOIN outs_p o USING (account_id)),
 u AS (SELECT *, {pcts} FROM joined),
-""" + TRAITS + f"""
-SELECT u.*, a.*
-FROM u INNER JOIN traits a ON u.account_id = a.sid
-WHERE u.account_id IN {INTERNAL_FREE}
+""" + TRAITS + """
+SELECT u.*, a.* FROM u JOIN traits a ON a.sid = u.account_id
+WHERE u.account_id IN (SELECT account_id FROM external)
 """
 
 
@@ -321,149 +295,123 @@ Q["account_wide_p2"] = _period_wide("2024-01-17", "2024-01-30")
 
 
 # --- suspensions -----------------------------------------------------------
+def _category_sql(category: str, other: str) -> str:
+    """Tagged with the category, or carrying none of the known tags (NULL
+    details never qualify)."""
+    others = " OR ".join(f"contains(details, '{m}')" for m in (
+        "parent_suspended", "suspended_by_parent", "Account suspended VIA suspension trigger",
+        f"category: {other}", "category: CUSTOMER REQUEST"))
+    return (f"details IS NOT NULL AND (contains(details, 'category: {category}') "
+            f"OR NOT ({others} OR details = 'Account suspended'))")
+
+
 def _suspension(category: str, other: str, lookback: str, first: str = "2024-01-08",
                 last: str = "2024-01-30") -> str:
     return f"""
-last_susp AS (
-  SELECT * FROM (
-    SELECT date_created, event_name, details, account_id, event_id,
-      row_number() OVER (PARTITION BY account_id ORDER BY date_created DESC, event_id DESC) AS suspension_number
-    FROM audit_events WHERE event_name IN ('Account suspended')) t
-  WHERE suspension_number = 1),
-earliest_suspension AS (
-  SELECT sid, suspension_time FROM (
-    SELECT account_id AS sid, strftime(date_created, '%Y-%m-%d') AS suspension_time
-    FROM last_susp
-    WHERE date_created >= TIMESTAMP '{first}' AND date_created <= TIMESTAMP '{last}'
-      AND (((details IS NOT NULL) AND details LIKE '%category: {category}%'
-            OR (details NOT LIKE '%parent_suspended%'
-                AND details NOT LIKE '%suspended_by_parent%'
-                AND details NOT LIKE '%Account suspended VIA suspension trigger%'
-                AND details NOT LIKE '%category: {other}%'
-                AND details NOT LIKE '%category: CUSTOMER REQUEST%'
-                AND details != 'Account suspended')))) x
-  WHERE suspension_time >= '{first}' AND suspension_time <= '{last}'),
-msgs AS (
-  SELECT account_id, CAST(date_created AS date) AS d, count(*) AS ct FROM messages
-  WHERE account_id IN (SELECT sid FROM earliest_suspension)
-    AND {NOT_FLAGGED} AND error_code = 0
-    AND date_created >= TIMESTAMP '{lookback}' AND data_load_date >= TIMESTAMP '{lookback}'
-  GROUP BY 1, 2)
+latest AS (
+  SELECT account_id, date_created, details FROM audit_events WHERE event_name = 'Account suspended'
+  QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY date_created DESC, event_id DESC) = 1),
+hit AS (
+  SELECT account_id, CAST(date_created AS date) AS sday FROM latest
+  WHERE date_created BETWEEN TIMESTAMP '{first}' AND TIMESTAMP '{last}'
+    AND CAST(date_created AS date) BETWEEN DATE '{first}' AND DATE '{last}'
+    AND {_category_sql(category, other)}),
+daily AS (
+  SELECT account_id, CAST(date_created AS date) AS d, count(*) AS n FROM messages
+  WHERE {KEEP} AND error_code = 0
+    AND date_created >= TIMESTAMP '{lookback}' AND data_load_date >= DATE '{lookback}'
+  GROUP BY ALL)
 """
 
 
 Q["aup_messages"] = _suspension("AUP", "FRAUD", "2024-01-01") + """
-SELECT account_id, CAST(sum(ct) AS bigint) AS aup FROM msgs
-LEFT JOIN earliest_suspension ON earliest_suspension.sid = msgs.account_id
-WHERE d BETWEEN CAST(suspension_time AS date) - INTERVAL '7' DAY AND CAST(suspension_time AS date)
-GROUP BY 1
+SELECT h.account_id, CAST(sum(n) AS bigint) AS aup
+FROM hit h JOIN daily m ON m.account_id = h.account_id AND m.d BETWEEN h.sday - 7 AND h.sday
+GROUP BY h.account_id
 """
-Q["fraud_messages"] = _suspension("FRAUD", "AUP", "2023-01-07") + """,
-fraud_msgs AS (
-  SELECT account_id, CAST(sum(ct) AS bigint) AS fraud FROM msgs
-  LEFT JOIN earliest_suspension ON earliest_suspension.sid = msgs.account_id
-  WHERE d BETWEEN CAST(suspension_time AS date) - INTERVAL '7' DAY AND CAST(suspension_time AS date)
-  GROUP BY 1)
-SELECT account_id, CASE WHEN account_id IN (SELECT sid FROM cannabis_list) THEN 1 ELSE 0 END AS cannabis, fraud
-FROM fraud_msgs
+Q["fraud_messages"] = _suspension("FRAUD", "AUP", "2023-01-07") + """
+SELECT h.account_id, CAST(max(c.sid IS NOT NULL) AS int) AS cannabis, CAST(sum(n) AS bigint) AS fraud
+FROM hit h JOIN daily m ON m.account_id = h.account_id AND m.d BETWEEN h.sday - 7 AND h.sday
+LEFT JOIN (SELECT DISTINCT sid FROM cannabis_list) c ON c.sid = h.account_id
+GROUP BY h.account_id
 """
 
 # --- top body per risky account ---------------------------------------------
 Q["top_body_per_account"] = f"""
-ranked AS (
-  SELECT sms.account_id, bodies.body,
-    row_number() OVER (PARTITION BY sms.account_id
-                       ORDER BY count(DISTINCT sms.sid) DESC, bodies.body ASC NULLS LAST) AS rnk,
-    count(DISTINCT sms.sid) AS n_sids
-  FROM messages AS sms
-  LEFT JOIN bodies ON bodies.sid = sms.sid
-  WHERE sms.account_id IN (SELECT sid FROM risky_list)
-    AND NOT coalesce((sms.flags & 1) >= 1, false) AND sms.error_code = 0
-    AND sms.date_created >= TIMESTAMP '2024-01-01' AND sms.data_load_date >= TIMESTAMP '2024-01-01'
-    AND sms.date_created < TIMESTAMP '2024-02-01' AND sms.data_load_date < TIMESTAMP '2024-02-01'
-  GROUP BY 1, 2)
-SELECT account_id, body, n_sids FROM ranked WHERE rnk = 1
+risky_msgs AS (
+  SELECT m.account_id, m.sid FROM messages m
+  WHERE m.account_id IN (SELECT sid FROM risky_list) AND {KEEP} AND m.error_code = 0
+    AND m.date_created >= TIMESTAMP '2024-01-01' AND m.date_created < TIMESTAMP '2024-02-01'
+    AND m.data_load_date >= DATE '2024-01-01' AND m.data_load_date < DATE '2024-02-01'),
+per_body AS (
+  SELECT r.account_id, b.body, count(DISTINCT r.sid) AS n_sids
+  FROM risky_msgs r LEFT JOIN bodies b ON b.sid = r.sid GROUP BY ALL)
+SELECT account_id, body, n_sids FROM per_body
+QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY n_sids DESC, body ASC NULLS LAST) = 1
 """
 
 # --- complaints ------------------------------------------------------------
 PT = "timezone('America/Los_Angeles', timezone('UTC', {c}))"
-COMPLAINT_TAG_LIKES = " OR ".join(
-    f"array_to_string(t.tags, ',') LIKE '%{p}%' ESCAPE '^'" for p in [
-        "carrier^_complaint^_^_sms/voice^_^_cannabis^_abo",
-        "carrier^_complaint^_^_sms/voice^_^_harassment^_abo",
-        "carrier^_complaint^_^_sms/voice^_^_other^_abo",
-        "carrier^_complaint^_^_political^_abo",
-        "carrier^_complaint^_^_sms/voice^_^_spam^_abo",
-        "consumer^_^_cannabis^_abo",
-        "consumer^_^_harassment^_abo",
-        "consumer^_^_other^_abo",
-        "consumer^_^_political^_abo",
-        "consumer^_^_spam^_abo"])
-ISSUE = ("CASE WHEN array_to_string(t.tags, ',') LIKE '%carrier^_complaint%' ESCAPE '^' THEN 'Carrier Complaint' "
-         "WHEN array_to_string(t.tags, ',') LIKE '%consumer^_^_%' ESCAPE '^' THEN 'Consumer Complaint' END")
-# rolling window for as_of 2024-01-30 (a Tuesday): Monday 2024-01-29 - 89 weeks, + 90 weeks
+COMPLAINT_TAGS = [
+    "carrier_complaint__sms/voice__cannabis_abo", "carrier_complaint__sms/voice__harassment_abo",
+    "carrier_complaint__sms/voice__other_abo", "carrier_complaint__political_abo",
+    "carrier_complaint__sms/voice__spam_abo", "consumer__cannabis_abo", "consumer__harassment_abo",
+    "consumer__other_abo", "consumer__political_abo", "consumer__spam_abo"]
+JOINED = "array_to_string(t.tags, ',')"
+IS_COMPLAINT = " OR ".join(f"contains({JOINED}, '{p}')" for p in COMPLAINT_TAGS)
+# rolling ticket window for as_of 2024-01-30 (a Tuesday): [Monday - 89 weeks, Monday + 1 week)
 UPD_WINDOW = (f"{PT.format(c='t.updated_at')} >= TIMESTAMP '2024-01-29' - INTERVAL 623 DAY "
               f"AND {PT.format(c='t.updated_at')} < TIMESTAMP '2024-01-29' + INTERVAL 7 DAY")
 
-Q["complaint_rate_account"] = f"""
-spam AS (
-  SELECT count(*) AS n_7726, account_id FROM complaints
-  WHERE CAST(processed_ts AS date) >= TIMESTAMP '2024-01-01' GROUP BY 2),
-tix AS (
-  SELECT t.account_id, {ISSUE} AS issuetype, count(*) AS ct
-  FROM tickets t LEFT JOIN ticket_groups g ON g.id = t.group_id
-  WHERE {PT.format(c='t.created_at')} >= TIMESTAMP '2024-01-01'
-    AND {PT.format(c='t.created_at')} <= TIMESTAMP '2024-01-30'
-    AND {UPD_WINDOW} AND ({COMPLAINT_TAG_LIKES})
-  GROUP BY 1, 2),
-attempted_sends AS (
-  SELECT count(*) AS attempts, error_code, account_id FROM messages
-  WHERE {NOT_FLAGGED}
-    AND date_created >= TIMESTAMP '2024-01-01' AND date_created <= TIMESTAMP '2024-01-30'
-    AND data_load_date >= TIMESTAMP '2024-01-01' AND data_load_date <= TIMESTAMP '2024-01-30'
-  GROUP BY 3, 2)
-SELECT account_id, n_7726, complaints_carrier, complaints_consumer,
-  (coalesce(n_7726, 0) + coalesce(complaints_carrier, 0) + coalesce(complaints_consumer, 0)) / CAST(denom AS double)
-    AS complaint_rate
-FROM (
-  SELECT a.account_id, n_7726, complaints_carrier, complaints_consumer, sum(attempts) AS denom
-  FROM attempted_sends a
-  LEFT JOIN (SELECT account_id, CAST(sum(ct) AS bigint) AS complaints_carrier FROM tix
-             WHERE issuetype = 'Carrier Complaint' GROUP BY 1) cc ON cc.account_id = a.account_id
-  LEFT JOIN (SELECT account_id, CAST(sum(ct) AS bigint) AS complaints_consumer FROM tix
-             WHERE issuetype = 'Consumer Complaint' GROUP BY 1) cs ON cs.account_id = a.account_id
-  LEFT JOIN spam ON spam.account_id = a.account_id
-  GROUP BY 1, 2, 3, 4) x
-"""
-
-Q["complaint_rate_month"] = f"""
-spam AS (
-  SELECT count(*) AS n_7726, strftime(processed_ts, '%Y-%m') AS wk FROM complaints
-  WHERE CAST(processed_ts AS date) >= TIMESTAMP '2024-01-01' GROUP BY 2),
+
+def _tickets(created_to: str | None) -> str:
+    upper = f"AND {PT.format(c='t.created_at')} <= TIMESTAMP '{created_to}'" if created_to else ""
+    return f"""
 tix AS (
-  SELECT strftime({PT.format(c='t.created_at')}, '%Y-%m') AS wk, {ISSUE} AS issuetype, count(*) AS ct
+  SELECT t.account_id, {PT.format(c='t.created_at')} AS created_pt,
+    contains({JOINED}, 'carrier_complaint') AS carrier,
+    NOT contains({JOINED}, 'carrier_complaint') AND contains({JOINED}, 'consumer__') AS consumer
   FROM tickets t LEFT JOIN ticket_groups g ON g.id = t.group_id
-  WHERE {PT.format(c='t.created_at')} >= TIMESTAMP '2024-01-01'
-    AND {UPD_WINDOW} AND ({COMPLAINT_TAG_LIKES})
-  GROUP BY 1, 2),
-attempted_sends AS (
-  SELECT count(*) AS attempts, error_code, strftime(date_created, '%Y-%m') AS wk FROM messages
-  WHERE {NOT_FLAGGED}
-    AND date_created >= TIMESTAMP '2024-01-01' AND data_load_date >= TIMESTAMP '2024-01-01'
-  GROUP BY 3, 2)
-SELECT wk AS month, n_7726, complaints_carrier, complaints_consumer,
-  (coalesce(n_7726, 0) + coalesce(complaints_carrier, 0) + coalesce(complaints_consumer, 0)) / CAST(denom AS double)
-    AS complaint_rate
-FROM (
-  SELECT a.wk, n_7726, complaints_carrier, complaints_consumer, sum(attempts) AS denom
-  FROM attempted_sends a
-  LEFT JOIN (SELECT wk, CAST(sum(ct) AS bigint) AS complaints_carrier FROM tix
-             WHERE issuetype = 'Carrier Complaint' GROUP BY 1) cc ON cc.wk = a.wk
-  LEFT JOIN (SELECT wk, CAST(sum(ct) AS bigint) AS complaints_consumer FROM tix
-             WHERE issuetype = 'Consumer Complaint' GROUP BY 1) cs ON cs.wk = a.wk
-  LEFT JOIN spam ON spam.wk = a.wk
-  WHERE a.error_code = 0
-  GROUP BY 1, 2, 3, 4) x
+  WHERE {PT.format(c='t.created_at')} >= TIMESTAMP '2024-01-01' {upper}
+    AND {UPD_WINDOW} AND ({IS_COMPLAINT}))"""
+
+
+RATE = ("(coalesce(n_7726, 0) + coalesce(complaints_carrier, 0) + coalesce(complaints_consumer, 0))"
+        " / CAST(denom AS double) AS complaint_rate")
+
+Q["complaint_rate_account"] = _tickets("2024-01-30") + f""",
+tix_acct AS (
+  SELECT account_id, nullif(count(*) FILTER (WHERE carrier), 0) AS complaints_carrier,
+         nullif(count(*) FILTER (WHERE consumer), 0) AS complaints_consumer
+  FROM tix GROUP BY account_id),
+reports AS (
+  SELECT account_id, count(*) AS n_7726 FROM complaints
+  WHERE processed_ts >= DATE '2024-01-01' GROUP BY account_id),
+attempts AS (
+  SELECT account_id, count(*) AS denom FROM messages
+  WHERE {KEEP} AND date_created BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-30'
+    AND data_load_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-30'
+  GROUP BY account_id)
+SELECT account_id, n_7726, complaints_carrier, complaints_consumer, {RATE}
+FROM attempts LEFT JOIN tix_acct USING (account_id) LEFT JOIN reports USING (account_id)
+"""
+
+Q["complaint_rate_month"] = _tickets(None) + f""",
+tix_month AS (
+  SELECT strftime(created_pt, '%Y-%m') AS month,
+         nullif(count(*) FILTER (WHERE carrier), 0) AS complaints_carrier,
+         nullif(count(*) FILTER (WHERE consumer), 0) AS complaints_consumer
+  FROM tix GROUP BY month),
+reports AS (
+  SELECT strftime(processed_ts, '%Y-%m') AS month, count(*) AS n_7726 FROM complaints
+  WHERE processed_ts >= DATE '2024-01-01' GROUP BY month),
+delivered AS (
+  SELECT strftime(date_created, '%Y-%m') AS month, count(*) AS denom FROM messages
+  WHERE {KEEP} AND error_code = 0
+    AND date_created >= TIMESTAMP '2024-01-01' AND data_load_date >= DATE '2024-01-01'
+  GROUP BY month)
+SELECT month, n_7726, complaints_carrier, complaints_consumer, {RATE}
+FROM delivered LEFT JOIN tix_month USING (month) LEFT JOIN reports USING (month)
 """
 
 
@@ -525,11 +473,7 @@ def _susp_block(p: str, category: str, other: str, lookback: str, first: str, la
 {p}_es AS (
   SELECT account_id AS sid, CAST(date_created AS date) AS sday FROM {p}_last
   WHERE date_created >= TIMESTAMP '{first}' AND date_created <= TIMESTAMP '{last}'
-    AND ((details IS NOT NULL AND details LIKE '%category: {category}%')
-         OR (details NOT LIKE '%parent_suspended%' AND details NOT LIKE '%suspended_by_parent%'
-             AND details NOT LIKE '%Account suspended VIA suspension trigger%'
-             AND details NOT LIKE '%category: {other}%' AND details NOT LIKE '%category: CUSTOMER REQUEST%'
-             AND details != 'Account suspended'))
+    AND {_category_sql(category, other)}
     AND CAST(date_created AS date) BETWEEN DATE '{first}' AND DATE '{last}'),
 {p}_msgs AS (
   SELECT account_id, CAST(date_created AS date) AS d, count(*) AS ct FROM messages
@@ -565,8 +509,7 @@ FEATURES = TRAITS + "," + _rates_block("r1", "2024-01-01", "2024-01-15") + "," \
     + _rates_block("r2", "2024-01-16", "2024-01-30") + "," \
     + _susp_block("aup2", "AUP", "FRAUD", "2024-01-09", "2024-01-16", "2024-01-30") + "," \
     + _susp_block("fraud2", "FRAUD", "AUP", "2023-01-15", "2024-01-16", "2024-01-30") + f""",
-famsize AS (SELECT DISTINCT f.sid AS account_id, coalesce(f.num_sub, 0) + 1 AS fam_size
-        FROM traits f LEFT JOIN traits q ON f.sid = q.parent_sid),
+famsize AS (SELECT DISTINCT sid AS account_id, coalesce(num_sub, 0) + 1 AS fam_size FROM traits),
 age_x AS (SELECT sid AS account_id, age, parent, isv FROM traits),
 names AS (SELECT sid AS account_id, max(CASE WHEN friendly_name LIKE '%BUILDING%' THEN 1 ELSE 0 END) AS default_name
           FROM accounts GROUP BY 1),
@@ -814,3 +757,10 @@ FROM rm_spam_train a JOIN rm_spam_test b ON a.k = b.k
 """
 
 Q["sorted_21610"] = FEATURES + "SELECT account_id, frac_21610 FROM features_p1 ORDER BY frac_21610 NULLS LAST, account_id"
+
+Q["knn_best_k"] = Q["knn_k_sweep"].replace("""
+SELECT 'optout' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse""", """,
+sweep AS (
+SELECT 'optout' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse""").rstrip() + """)
+SELECT target, arg_min(k, (test_rmse, k)) AS k, min(test_rmse) AS test_rmse FROM sweep GROUP BY target
+"""

@@ -79,7 +79,7 @@ def _gbt(label: str, loss: str, depth: int, iters: int) -> GBTRegressor:
                         maxIter=iters, stepSize=0.1, maxBins=MAX_BINS, seed=SEED)
 
 
-def _fit_all(estimators: Sequence, data: DataFrame, parallelism: int = 4) -> list:
+def _fit_all(estimators: Sequence, data: DataFrame, parallelism: int = 8) -> list:
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         return list(pool.map(lambda e: e.fit(data), estimators))
 
@@ -108,15 +108,46 @@ def _rmse_by(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
                                      r6(F.lit(1.0) - F.try_divide(F.sum(se), sst)).alias("r2"))
 
 
+def grown_depth(model) -> int:
+    """Depth actually reached: a tree's depth, a forest's deepest member."""
+    if hasattr(model, "trees"):
+        return max(t.depth for t in model.trees)
+    return model.depth
+
+
+def fit_depths(make, depths: Sequence[int], train: DataFrame, parallelism: int = 8) -> dict:
+    """Fit one model per depth limit, in waves of ``parallelism`` fits.
+
+    Exact shortcut: splits are chosen greedily node by node, so a model whose
+    grown depth stays below its limit stopped for reasons that do not depend
+    on the limit (pure or too-small nodes, no gain); every larger limit gives
+    the identical model (for forests: same seeded bootstrap samples, all
+    features at every split). Its fit is reused for the remaining depths."""
+    depths = sorted(depths)
+    models: dict = {}
+    for i in range(0, len(depths), parallelism):
+        wave = depths[i:i + parallelism]
+        models.update(zip(wave, _fit_all([make(d) for d in wave], train, parallelism)))
+        saturated = [d for d in wave if grown_depth(models[d]) < d]
+        if saturated:
+            first = saturated[0]
+            for d in depths:
+                if d > first:
+                    models[d] = models[first]
+            break
+    return models
+
+
 def depth_sweep(train: DataFrame, test: DataFrame, family: str,
                 depths: Iterable[int] = range(1, MAX_SPARK_DEPTH + 1)) -> DataFrame:
-    """(target, depth, train_rmse, test_rmse) for trees or forests."""
+    """(target, depth, train/test RMSE and R^2) for trees or forests."""
     depths = list(depths)
     frames = []
     for tname, label in TARGETS.items():
-        ests = [_tree(d, label) if family == "tree" else _forest(d, label) for d in depths]
-        models = _fit_all(ests, train)
-        for d, m in zip(depths, models):
+        make = (lambda d, lb=label: _tree(d, lb)) if family == "tree" else (lambda d, lb=label: _forest(d, lb))
+        fitted = fit_depths(make, depths, train)
+        for d in depths:
+            m = fitted[d]
             frames.append(_scored(m, train, label, {"target": tname, "depth": d, "split": "train"}))
             frames.append(_scored(m, test, label, {"target": tname, "depth": d, "split": "test"}))
     r = _rmse_by(_union(frames), ["target", "depth", "split"])
@@ -255,7 +286,7 @@ def top_predictions(train: DataFrame, scored: DataFrame, target: str = "optout",
     frames.append(scored.select("account_id", F.col(label).alias("actual")).join(kp, "account_id")
                   .select("account_id", "actual", F.col("prediction").alias("pred"), F.lit("knn").alias("model")))
     w = Window.partitionBy("model").orderBy(F.col("pred").desc(), F.col("account_id").asc())
-    return (_union(frames).withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
+    return (_union(frames).withColumn("rnk", F.row_number().over(w).cast("bigint")).where(F.col("rnk") <= k)
             .select("model", "rnk", "account_id", "actual", r6(F.col("pred")).alias("pred")))
 
 

@@ -38,7 +38,7 @@ def blend_sweep_top(features: DataFrame, spam: str = "frac_7726", optout: str =
               .withColumn("risk_score", F.col("_w") * F.col(spam) + (F.lit(1.0) - F.col("_w")) * F.col(optout))
               .withColumn("weight", F.round(F.col("_w"), 1)))
     win = Window.partitionBy("weight").orderBy(F.col("risk_score").desc(), F.col("account_id").asc())
-    return (scored.withColumn("rnk", F.row_number().over(win)).where(F.col("rnk") <= k)
+    return (scored.withColumn("rnk", F.row_number().over(win).cast("bigint")).where(F.col("rnk") <= k)
             .select("weight", "rnk", "account_id", spam, optout, "risk_score"))
 
 

@@ -120,7 +120,11 @@ def _knn() -> dict[str, QueryFn]:
         train, test, _ = _split(s)
         return models.knn_sweep(train, test)
 
-    return {"knn_predict": _q(predict), "knn_k_sweep": _q(sweep)}
+    def best_k(s: Sources) -> DataFrame:
+        train, test, _ = _split(s)
+        return models.best_param(models.knn_sweep(train, test), "k")
+
+    return {"knn_predict": _q(predict), "knn_k_sweep": _q(sweep), "knn_best_k": _q(best_k)}
 
 
 def _ml() -> dict[str, QueryFn]:

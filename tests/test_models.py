@@ -47,3 +47,15 @@ def test_depth_sweep_train_error_falls(tiny):
     sweep = {(r.target, r.depth): r.train_rmse
              for r in models.depth_sweep(train, test, "tree", depths=[1, 8]).collect()}
     assert sweep[("optout", 8)] <= sweep[("optout", 1)]
+
+
+def test_fit_depths_reuse_is_exact(tiny):
+    """Depths past the saturation point reuse a fit; a real refit at such a
+    depth predicts identically."""
+    label = "optout_frac"
+    fitted = models.fit_depths(lambda d: models._tree(d, label), list(range(1, 31)), tiny, parallelism=4)
+    sat = min(d for d in fitted if models.grown_depth(fitted[d]) < d)
+    refit = models._tree(30, label).fit(tiny)
+    a = [r.prediction for r in fitted[30].transform(tiny).orderBy("account_id").collect()]
+    b = [r.prediction for r in refit.transform(tiny).orderBy("account_id").collect()]
+    assert a == b and fitted[30] is fitted[sat]
