@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -74,6 +73,11 @@ def _forest(depth: int, label: str, trees: int = FOREST_TREES) -> RandomForestRe
                                  seed=SEED)
 
 
+def _bagging(label: str, trees: int = BAGGING_TREES) -> RandomForestRegressor:
+    """Bagged full-depth trees: a forest that considers every feature."""
+    return _forest(MAX_SPARK_DEPTH, label, trees)
+
+
 def _gbt(label: str, loss: str, depth: int, iters: int) -> GBTRegressor:
     return GBTRegressor(featuresCol="features", labelCol=label, lossType=loss, maxDepth=depth,
                         maxIter=iters, stepSize=0.1, maxBins=MAX_BINS, seed=SEED)
@@ -198,7 +202,7 @@ def importance_trees(train: DataFrame) -> DataFrame:
     for tname, label in TARGETS.items():
         ests = {"tree": _tree(BEST_TREE_DEPTH[tname], label),
                 "forest": _forest(BEST_FOREST_DEPTH[tname], label),
-                "bagging": _forest(5, label, BAGGING_TREES)}
+                "bagging": _bagging(label)}
         models = _fit_all(list(ests.values()), train)
         out += [_importances(m, n, tname, spark) for n, m in zip(ests, models)]
     return _union(out).withColumn("importance", r6(F.col("importance")))
@@ -249,12 +253,11 @@ def permutation_importance(train: DataFrame, scored: DataFrame, target: str = "o
 def leaderboard(train: DataFrame, scored: DataFrame) -> DataFrame:
     """Period-2 RMSE of each tuned model family next to the mean-predictor
     baseline, per target."""
-    spark = train.sparkSession
     frames = []
     for tname, label in TARGETS.items():
         ests = {"tree": _tree(BEST_TREE_DEPTH[tname], label),
                 "forest": _forest(BEST_FOREST_DEPTH[tname], label),
-                "bagging": _forest(5, label, BAGGING_TREES)}
+                "bagging": _bagging(label)}
         if tname == "spam":
             ests["boosting"] = _gbt(label, GBT_SPAM["loss"], GBT_SPAM["maxDepth"], GBT_SPAM["maxIter"])
         models = _fit_all(list(ests.values()), train)
@@ -267,7 +270,6 @@ def leaderboard(train: DataFrame, scored: DataFrame) -> DataFrame:
     base = scored.agg(*[r6(F.stddev_pop(c)).alias(t) for t, c in TARGETS.items()])
     base = (base.unpivot([], list(TARGETS), "target", "rmse").withColumn("model", F.lit("mean"))
             .withColumn("r2", F.lit(0.0)))
-    del spark
     return rm.unionByName(base.select("target", "model", "rmse", "r2"))
 
 
@@ -277,7 +279,7 @@ def top_predictions(train: DataFrame, scored: DataFrame, target: str = "optout",
     label = TARGETS[target]
     ests = {"tree": _tree(BEST_TREE_DEPTH[target], label),
             "forest": _forest(BEST_FOREST_DEPTH[target], label),
-            "bagging": _forest(5, label, BAGGING_TREES)}
+            "bagging": _bagging(label)}
     models = _fit_all(list(ests.values()), train)
     frames = [m.transform(scored).select("account_id", F.col(label).alias("actual"),
                                          F.col("prediction").alias("pred"), F.lit(n).alias("model"))
@@ -326,7 +328,7 @@ def bagging_grid_cv(train: DataFrame, target: str = "optout", sizes: Sequence[in
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     label = TARGETS[target]
-    est = _forest(MAX_SPARK_DEPTH, label)
+    est = _bagging(label)
     grid = ParamGridBuilder().addGrid(est.numTrees, list(sizes)).build()
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid, numFolds=folds, parallelism=parallelism,
                         evaluator=RegressionEvaluator(labelCol=label, metricName="r2"), foldCol="fold",
@@ -365,11 +367,3 @@ def boosting_grid_cv(train: DataFrame, target: str = "optout", sizes: Sequence[i
     df = train.sparkSession.createDataFrame(rows, "loss string, n_estimators int, r2 double")
     return (df.groupBy("loss", "n_estimators").agg(r6(F.avg("r2")).alias("mean_r2"))
             .withColumn("target", F.lit(target)))
-
-
-def pipeline_for(label: str, estimator) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), estimator])
-
-
-__all__ = ["model_frames", "depth_sweep", "best_param", "knn_sweep", "knn_scores", "importance_trees",
-           "permutation_importance", "leaderboard", "risk_ranking", "pipeline_for", "PipelineModel"]
