@@ -25,3 +25,23 @@ def test_stream_matches_batch(spark, src_small):
                   F.count_if(F.col("error_code") == 30007).alias("n_30007")))
     want = {(r.account_id, r.wk): (r.total, r.unreachable, r.n_30007) for r in batch.collect()}
     assert got == want
+
+
+def test_append_writes_only_finished_weeks(spark, src_small):
+    root = tempfile.mkdtemp(prefix="sendwatch-stream-append-")
+    msgs = src_small.messages
+    for lo, hi in (("2024-01-01", "2024-01-12"), ("2024-01-12", "2024-01-22"), ("2024-01-22", "2024-02-01")):
+        part = msgs.where((F.col("sent_date") >= F.lit(lo).cast("timestamp_ntz"))
+                          & (F.col("sent_date") < F.lit(hi).cast("timestamp_ntz")))
+        weekly.land_messages(part, root + "/in")
+    q = weekly.start_final_weeks(spark, root + "/in", root + "/out", root + "/ckpt", lateness="2 days",
+                                 available_now=True, max_files_per_trigger=1)
+    q.awaitTermination()
+    got = {(r.account_id, str(r.wk)): r.total for r in spark.read.parquet(root + "/out").collect()}
+    batch = (msgs.groupBy("account_id", week_key(F.col("sent_date")).alias("wk"))
+             .agg(F.count(F.lit(1)).alias("total")))
+    want = {(r.account_id, r.wk): r.total for r in batch.collect()}
+    done_weeks = {wk for _, wk in got}
+    # last event is on 2024-01-30: only weeks ending by 2024-01-28 are final
+    assert done_weeks and max(done_weeks) <= "2024-01-15"
+    assert got == {k: v for k, v in want.items() if k[1] in done_weeks}
