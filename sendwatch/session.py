@@ -52,8 +52,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, honouring the cluster's setting.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that is used
-    as is. Only when nothing is configured (local tests) a scratch folder is
-    created.
+    as is. Only a local-mode session (tests, the bench) without a setting gets
+    a scratch folder; on a cluster a missing setting is an error, because a
+    machine-local folder would not survive the loss of the executor that
+    wrote it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,6 +63,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
+                               "distributed file system) before running jobs that checkpoint")
         configured = tempfile.mkdtemp(prefix="sendwatch-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
