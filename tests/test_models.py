@@ -59,3 +59,29 @@ def test_fit_depths_reuse_is_exact(tiny):
     a = [r.prediction for r in fitted[30].transform(tiny).orderBy("account_id").collect()]
     b = [r.prediction for r in refit.transform(tiny).orderBy("account_id").collect()]
     assert a == b and fitted[30] is fitted[sat]
+
+
+def test_huber_boosting_first_steps_match_numpy(tiny):
+    from sendwatch.operators.huber import fit_huber_boosting
+
+    label = "optout_frac"
+    model = fit_huber_boosting(tiny, label, n_trees=2, max_depth=2, learning_rate=0.1, alpha=0.9)
+    rows = tiny.select("account_id", "features", label).orderBy("account_id").collect()
+    y = np.array([r[label] for r in rows])
+    f = np.full(len(y), np.percentile(y, 50))
+    assert model.init == pytest.approx(f[0])
+    frame = tiny.orderBy("account_id")
+    for tree, values in model.stages:
+        leaf = np.array([r["_leaf"] for r in tree.copy().setLeafCol("_leaf").setPredictionCol("_p")
+                         .transform(frame).select("_leaf").collect()])
+        r = y - f
+        delta = np.percentile(np.abs(r), 90)
+        for lf in np.unique(leaf):
+            rr = np.sort(r[leaf == lf])
+            med = rr[int(np.ceil(0.5 * len(rr))) - 1]            # lower median
+            dev = rr - med
+            want = med + np.mean(np.sign(dev) * np.minimum(np.abs(dev), delta))
+            assert values[lf] == pytest.approx(want, rel=1e-9, abs=1e-12)
+        f = f + 0.1 * np.array([values[lf] for lf in leaf])
+    got = [r["prediction"] for r in model.transform(frame).select("prediction").collect()]
+    assert np.allclose(got, f, rtol=1e-12, atol=1e-12)
