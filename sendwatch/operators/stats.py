@@ -81,12 +81,17 @@ def corr_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None,
               hi: float | None = None) -> DataFrame:
     """Equal-width histogram (non-empty bins). Without a range the bins span
-    [min, max] and the maximum falls into the last bin; with a range, values
-    outside it are dropped."""
+    [min, max] (one summary row read first) and the maximum falls into the
+    last bin; with a range, values outside it are dropped."""
     v = F.col(column).cast("double")
     base = df.where(v.isNotNull())
     if lo is None or hi is None:
-        lo_c, hi_c = base.agg(F.min(v)).scalar(), base.agg(F.max(v)).scalar()
+        # the range is one summary row (two values), fetched once and inlined
+        rng = base.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+        if rng["lo"] is None:
+            return base.select(F.lit(1).cast("bigint").alias("bin"), F.lit(None).cast("double").alias("bin_lo"),
+                               F.lit(None).cast("double").alias("bin_hi"), F.lit(0).cast("bigint").alias("n")).limit(0)
+        lo_c, hi_c = F.lit(float(rng["lo"])), F.lit(float(rng["hi"]))
     else:
         lo_c, hi_c = F.lit(float(lo)), F.lit(float(hi))
         base = base.where((v >= lo_c) & (v <= hi_c))

@@ -35,11 +35,14 @@ def _tile_of(i: Column, n: Column, n_tiles: int) -> Column:
 def tile_cutpoints(df: DataFrame, value: str, tiles: Iterable[int], n_tiles: int = 100) -> DataFrame:
     """Distinct values of ``value`` whose rows fall into any of ``tiles``."""
     freq = df.groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
-    n = df.agg(F.count(F.lit(1))).scalar()
-    # running count over distinct values only (bounded by the value domain)
-    w = Window.orderBy(F.col(value).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    ranged = (freq.withColumn("_end", F.sum("_cnt").over(w))
+    # running count and total over the distinct values only (bounded by the
+    # value domain, one window operator)
+    order = Window.orderBy(F.col(value).asc_nulls_last())
+    ranged = (freq.withColumn("_end", F.sum("_cnt").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("_n", F.sum("_cnt").over(order.rowsBetween(Window.unboundedPreceding,
+                                                                     Window.unboundedFollowing)))
               .withColumn("_start", F.col("_end") - F.col("_cnt") + 1))
+    n = F.col("_n")
     t_lo = _tile_of(F.col("_start"), n, n_tiles)
     t_hi = _tile_of(F.col("_end"), n, n_tiles)
     hit = None

@@ -115,18 +115,23 @@ def week_dominant_traits(src: Sources, period: Period | None = None, params: Par
                          snapshot: DataFrame | None = None) -> DataFrame:
     """Per account-week: most frequent non-NULL origin country, destination
     country, sender type and status, plus the week's message volume. Weeks
-    without any origin country are absent (the table is keyed on it)."""
+    without any origin country are absent (the table is keyed on it).
+
+    One pass over the snapshot: (account, week, trait, value) counts, then
+    per (account, week, trait) the mode (struct-min over non-NULL values,
+    ties to the smallest value) and the total (every message carries each
+    trait, NULL included, so any trait's total is the week's volume)."""
     period = period or params.month
     snap = snapshot if snapshot is not None else message_snapshot(src, period)
     freq = _week_trait_frequencies(snap)
-    modes = mode_per_group(freq.where(F.col("value").isNotNull()), ["account_id", "wk", "trait"], "value")
-    wide = modes.groupBy("account_id", "wk").agg(
-        *[F.max(F.when(F.col("trait") == t, F.col("value"))).alias(t) for t in WEEK_TRAITS])
-    volume = (freq.where(F.col("trait") == "from_cc").groupBy("account_id", "wk")
-              .agg(F.sum("ct").alias("ct")))
-    return (wide.where(F.col("from_cc").isNotNull())
-            .join(volume, ["account_id", "wk"], "left")
-            .select("account_id", "wk", *WEEK_TRAITS, "ct"))
+    pick = F.min(F.when(F.col("value").isNotNull(),
+                        F.struct((-F.col("ct")).alias("neg_ct"), F.col("value").alias("v"))))
+    per_trait = (freq.groupBy("account_id", "wk", "trait")
+                 .agg(pick.alias("_pick"), F.sum("ct").alias("_total")))
+    wide = per_trait.groupBy("account_id", "wk").agg(
+        *[F.max(F.when(F.col("trait") == t, F.col("_pick.v"))).alias(t) for t in WEEK_TRAITS],
+        F.max("_total").alias("ct"))
+    return wide.where(F.col("from_cc").isNotNull()).select("account_id", "wk", *WEEK_TRAITS, "ct")
 
 
 def week_wide(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
