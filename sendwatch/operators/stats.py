@@ -3,9 +3,9 @@
 Every statistic is an aggregate over the (account-level) frame: one scan,
 partial aggregation per task, results unpivoted to long tables. Floating
 results are rounded to 6 decimals so that order-dependent sums are stable.
-Exact quantiles use ``percentile`` (linear interpolation between order
-statistics); its buffer is a value->count map per column, bounded by the
-number of distinct values of an account-level column.
+Exact quantiles come from distributed ranks (``operators/ranks.py``) rather
+than ``percentile``, whose buffer would hold every distinct value of a column
+in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sendwatch.operators.ranks import exact_quantiles
+
 DIGITS = 6
 SEP = "|"
 
@@ -29,15 +31,16 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max per column (long form)."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (_long(df, columns).groupBy("column_name").agg(
+    """count, mean, sample std, min, quartiles, max per column (long form).
+    Quartiles are exact (linear interpolation) from distributed ranks."""
+    long = _long(df, columns)
+    basic = long.groupBy("column_name").agg(
         F.count("value").alias("count"), r6(F.avg("value")).alias("mean"),
-        r6(F.stddev_samp("value")).alias("std"), F.min("value").alias("min"),
-        q.alias("_q"), F.max("value").alias("max"))
-        .select("column_name", "count", "mean", "std", "min",
-                r6(F.col("_q")[0]).alias("p25"), r6(F.col("_q")[1]).alias("p50"),
-                r6(F.col("_q")[2]).alias("p75"), "max"))
+        r6(F.stddev_samp("value")).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = exact_quantiles(long, ["column_name"], "value", [0.25, 0.5, 0.75])
+    return (basic.join(q, "column_name", "left")
+            .select("column_name", "count", "mean", "std", "min", r6(F.col("q_0")).alias("p25"),
+                    r6(F.col("q_1")).alias("p50"), r6(F.col("q_2")).alias("p75"), "max"))
 
 
 def non_null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -130,9 +133,11 @@ def quantile_summary(df: DataFrame, column: str, q: float, above: float) -> Data
     """describe() of one column plus its q-quantile and the count above a
     threshold (one row)."""
     v = F.col(column).cast("double")
-    qs = F.percentile(v, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, q)]))
-    return df.agg(F.count(v).alias("n"), r6(F.avg(v)).alias("mean"), r6(F.stddev_samp(v)).alias("std"),
-                  F.min(v).alias("min"), qs.alias("_q"), F.max(v).alias("max"),
-                  F.count_if(v > above).alias("n_above")).select(
-        "n", "mean", "std", "min", r6(F.col("_q")[0]).alias("p25"), r6(F.col("_q")[1]).alias("p50"),
-        r6(F.col("_q")[2]).alias("p75"), "max", r6(F.col("_q")[3]).alias("p_q"), "n_above")
+    one = df.select(F.lit(0).alias("_k"), v.alias("_v"))
+    basic = one.groupBy("_k").agg(F.count("_v").alias("n"), r6(F.avg("_v")).alias("mean"),
+                                  r6(F.stddev_samp("_v")).alias("std"), F.min("_v").alias("min"),
+                                  F.max("_v").alias("max"), F.count_if(F.col("_v") > above).alias("n_above"))
+    qs = exact_quantiles(one, ["_k"], "_v", [0.25, 0.5, 0.75, q])
+    return basic.join(qs, "_k", "left").select(
+        "n", "mean", "std", "min", r6(F.col("q_0")).alias("p25"), r6(F.col("q_1")).alias("p50"),
+        r6(F.col("q_2")).alias("p75"), "max", r6(F.col("q_3")).alias("p_q"), "n_above")

@@ -2,13 +2,10 @@
 
 A global ``ntile`` window moves every row into one partition. Tile membership
 only depends on each row's rank, and all rows sharing a value occupy a
-contiguous rank range, so it is enough to know, per distinct value, the
-cumulative row count. The job therefore
-
-  1. aggregates to value frequencies (partial + final, one shuffle of distinct
-     values only),
-  2. takes the running count over the distinct values, and
-  3. keeps a value when its rank range [start, end] overlaps a wanted tile.
+contiguous rank range, so it is enough to know, per distinct value, its rank
+range [start, end] (``operators/ranks.py``: value frequencies, bucketed
+running counts, broadcast offsets — no single-partition step), and to keep a
+value when that range overlaps a wanted tile.
 
 With n rows, q = n div N and r = n mod N, tiles 1..r hold q+1 rows and the rest
 q rows; rank i falls in tile ``(i-1) div (q+1) + 1`` when i <= r(q+1), else
@@ -20,9 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sendwatch.operators.ranks import value_ranks
+
 
 def _tile_of(i: Column, n: Column, n_tiles: int) -> Column:
     q = F.floor(n / n_tiles).cast("bigint")
@@ -33,20 +32,21 @@ def _tile_of(i: Column, n: Column, n_tiles: int) -> Column:
 
 
 def tile_cutpoints(df: DataFrame, value: str, tiles: Iterable[int], n_tiles: int = 100) -> DataFrame:
-    """Distinct values of ``value`` whose rows fall into any of ``tiles``."""
-    freq = df.groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
-    # running count and total over the distinct values only (bounded by the
-    # value domain, one window operator)
-    order = Window.orderBy(F.col(value).asc_nulls_last())
-    ranged = (freq.withColumn("_end", F.sum("_cnt").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("_n", F.sum("_cnt").over(order.rowsBetween(Window.unboundedPreceding,
-                                                                     Window.unboundedFollowing)))
-              .withColumn("_start", F.col("_end") - F.col("_cnt") + 1))
-    n = F.col("_n")
-    t_lo = _tile_of(F.col("_start"), n, n_tiles)
-    t_hi = _tile_of(F.col("_end"), n, n_tiles)
-    hit = None
-    for t in tiles:
-        c = (F.lit(t) >= t_lo) & (F.lit(t) <= t_hi)
-        hit = c if hit is None else hit | c
-    return ranged.where(hit).select(value)
+    """Distinct values of ``value`` whose rows fall into any of ``tiles``
+    (NULLs sort last and count as rows)."""
+    r = value_ranks(df, [], value)
+    total = F.col("n") + F.col("n_null")
+
+    def hit(start, end):
+        t_lo, t_hi = _tile_of(start, total, n_tiles), _tile_of(end, total, n_tiles)
+        cond = None
+        for t in tiles:
+            c = (F.lit(t) >= t_lo) & (F.lit(t) <= t_hi)
+            cond = c if cond is None else cond | c
+        return cond
+
+    values = r.where(hit(F.col("start"), F.col("end"))).select(value)
+    null_rows = (r.groupBy().agg(F.max("n").alias("n"), F.max("n_null").alias("n_null"))
+                 .where((F.col("n_null") > 0) & hit(F.col("n") + 1, total))
+                 .select(F.lit(None).cast(df.schema[value].dataType).alias(value)))
+    return values.unionByName(null_rows)

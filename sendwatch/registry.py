@@ -52,11 +52,14 @@ def _relational() -> dict[str, QueryFn]:
 
 
 def _f1(fn: Callable[[DataFrame], DataFrame]) -> QueryFn:
-    return _q(lambda s: fn(assemble.features_p1(s)))
+    """Profile of the period-1 features: the feature table is cut from its
+    lineage once (reliable checkpoint), so a profile that reads it in several
+    branches does not re-run the feature joins per branch."""
+    return _q(lambda s: fn(materialize(assemble.features_p1(s))))
 
 
 def _f2(fn: Callable[[DataFrame], DataFrame]) -> QueryFn:
-    return _q(lambda s: fn(assemble.features_p2(s)))
+    return _q(lambda s: fn(materialize(assemble.features_p2(s))))
 
 
 def _profiles() -> dict[str, QueryFn]:

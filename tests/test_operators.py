@@ -92,3 +92,31 @@ def test_knn_sweep_first_k_is_nearest_label(spark):
     query = spark.createDataFrame([(9, 1.0, 2.0)], "id long, f double, y double")
     rows = {r.k: r.rmse for r in knn.knn_k_sweep(query, train, "id", ["f"], "y", 2).collect()}
     assert rows[1] == pytest.approx(1.0) and rows[2] == pytest.approx(0.0)
+
+
+@pytest.mark.parametrize("n,buckets", [(1, 4), (7, 4), (250, 8), (999, 16)])
+def test_exact_quantiles_match_numpy(spark, n, buckets):
+    from sendwatch.operators.ranks import exact_quantiles
+
+    rnd = np.random.default_rng(n)
+    vals = np.concatenate([rnd.integers(0, 30, size=n).astype(float), np.zeros(n // 3)])  # hot value 0
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "v double")
+    qs = [0.0, 0.25, 0.5, 0.75, 0.85, 1.0]
+    row = exact_quantiles(df, [], "v", qs, buckets=buckets).first()
+    for i, q in enumerate(qs):
+        assert row[f"q_{i}"] == pytest.approx(np.percentile(vals, 100 * q), abs=1e-9)
+
+
+def test_value_ranks_cover_all_rows_per_key(spark):
+    from sendwatch.operators.ranks import value_ranks
+
+    rows = [("a", x % 5) for x in range(40)] + [("b", x % 3) for x in range(9)] + [("b", None)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {}
+    for r in value_ranks(df, ["k"], "v", buckets=3).collect():
+        got.setdefault(r.k, []).append((r.start, r.end, r.n, r.n_null))
+    for k, spans in got.items():
+        spans.sort()
+        assert spans[0][0] == 1 and spans[-1][1] == spans[0][2]
+        assert all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:]))
+    assert got["b"][0][3] == 1 and got["a"][0][3] == 0
