@@ -51,15 +51,20 @@ def _relational() -> dict[str, QueryFn]:
     }
 
 
-def _f1(fn: Callable[[DataFrame], DataFrame]) -> QueryFn:
-    """Profile of the period-1 features: the feature table is cut from its
-    lineage once (reliable checkpoint), so a profile that reads it in several
-    branches does not re-run the feature joins per branch."""
-    return _q(lambda s: fn(materialize(assemble.features_p1(s))))
+def _f1(fn: Callable[[DataFrame], DataFrame], shared: bool = False) -> QueryFn:
+    """Profile of the period-1 features. ``shared``: the profile reads the
+    feature table in several branches (a summary row, then a pass), so the
+    table is written once under the checkpoint folder and read back instead
+    of re-running the feature joins per branch."""
+    if shared:
+        return _q(lambda s: fn(materialize(assemble.features_p1(s))))
+    return _q(lambda s: fn(assemble.features_p1(s)))
 
 
-def _f2(fn: Callable[[DataFrame], DataFrame]) -> QueryFn:
-    return _q(lambda s: fn(materialize(assemble.features_p2(s))))
+def _f2(fn: Callable[[DataFrame], DataFrame], shared: bool = False) -> QueryFn:
+    if shared:
+        return _q(lambda s: fn(materialize(assemble.features_p2(s))))
+    return _q(lambda s: fn(assemble.features_p2(s)))
 
 
 def _profiles() -> dict[str, QueryFn]:
@@ -84,13 +89,13 @@ def _features() -> dict[str, QueryFn]:
     return {
         "features_p1": _q(lambda s: assemble.features_p1(s)),
         "features_p2": _q(lambda s: assemble.features_p2(s)),
-        "describe_features": _f1(feature_profile.describe_features),
+        "describe_features": _f1(feature_profile.describe_features, shared=True),
         "null_counts": _q(lambda s: feature_profile.null_counts(assemble.merged_period1(s))),
-        "corr_long": _f1(feature_profile.corr_features),
-        "hist_age": _f1(feature_profile.hist_age),
-        "hist_unreachable": _f1(feature_profile.hist_unreachable),
-        "hist_21610": _f1(feature_profile.hist_21610),
-        "hist_risk": _f2(feature_profile.hist_risk),
+        "corr_long": _f1(feature_profile.corr_features, shared=True),
+        "hist_age": _f1(feature_profile.hist_age, shared=True),
+        "hist_unreachable": _f1(feature_profile.hist_unreachable, shared=True),
+        "hist_21610": _f1(feature_profile.hist_21610, shared=True),
+        "hist_risk": _f2(feature_profile.hist_risk, shared=True),
         "category_counts": _f1(feature_profile.category_counts),
         "cohort_sums": _f1(feature_profile.cohort_sums),
         "cohort_counts": _f1(feature_profile.cohort_counts),
@@ -101,7 +106,7 @@ def _features() -> dict[str, QueryFn]:
         "geomean_plus_top": _f2(lambda f: score.geomean_top(f, plus_one=True)),
         "blend_sweep_top20": _f2(lambda f: score.blend_sweep_top(f)),
         "risk_capped": _f2(score.risk_capped),
-        "risk_quantile": _f2(score.risk_quantile),
+        "risk_quantile": _f2(score.risk_quantile, shared=True),
         "sorted_21610": _f1(feature_profile.sorted_column),
     }
 
