@@ -33,8 +33,8 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = D
     """(keys..., value, cnt, start, end, n, n_null) for every non-NULL
     distinct value; ``n`` counts the key's non-NULL rows."""
     keys = list(keys)
-    if not keys:                      # one group: a constant key keeps every join an equi-join
-        return value_ranks(df.withColumn("_all", F.lit(0)), ["_all"], value, buckets).drop("_all")
+    if not keys:
+        return _single_group_ranks(df, value, buckets)
     v = F.col(value)
     freq = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
     nulls = freq.where(v.isNull()).select(*keys, F.col("cnt").alias("n_null"))
@@ -61,13 +61,38 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = D
                          F.coalesce("n_null", F.lit(0)).alias("n_null"))
 
 
+def _single_group_ranks(df: DataFrame, value: str, buckets: int) -> DataFrame:
+    """value_ranks for one group. The bucket boundaries (buckets - 1 values)
+    and the bucket totals (at most ``buckets`` rows) are bounded summaries,
+    read once and inlined as literals, so no join is needed."""
+    v = F.col(value)
+    freq = df.groupBy(value).agg(F.count(F.lit(1)).alias("cnt"))
+    qs = [i / buckets for i in range(1, buckets)]
+    head = freq.agg(F.percentile_approx(v, qs, max(10_000, 100 * buckets)).alias("b"),
+                    F.sum(F.when(v.isNull(), F.col("cnt"))).alias("n_null")).first()
+    bounds, n_null = head["b"] or [], head["n_null"] or 0
+    bucket = (F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda x: x < v))
+              if bounds else F.lit(0))
+    tagged = freq.where(v.isNotNull()).withColumn("_bk", bucket)
+    local = tagged.withColumn("_lend", F.sum("cnt").over(
+        Window.partitionBy("_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    totals = sorted((r["_bk"], r["t"]) for r in tagged.groupBy("_bk").agg(F.sum("cnt").alias("t")).collect())
+    off, run = None, 0
+    for bk, t in totals:
+        off = F.when(F.col("_bk") == bk, F.lit(run)) if off is None else off.when(F.col("_bk") == bk, F.lit(run))
+        run += t
+    off = off.otherwise(F.lit(0)) if off is not None else F.lit(0)
+    return (local.withColumn("end", off + F.col("_lend"))
+            .withColumn("start", F.col("end") - F.col("cnt") + 1)
+            .select(value, "cnt", "start", "end", F.lit(run).cast("bigint").alias("n"),
+                    F.lit(n_null).cast("bigint").alias("n_null")))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
                     buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """(keys..., q_0, q_1, ...): linear-interpolation quantiles (position
     (n-1)q between order statistics), NULLs ignored."""
     keys = list(keys)
-    if not keys:
-        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, qs, buckets).drop("_all")
     r = value_ranks(df, keys, value, buckets)
     aggs = []
     for i, q in enumerate(qs):

@@ -131,13 +131,14 @@ def mean_by_flag(df: DataFrame, flags: Sequence[str], values: Sequence[str]) ->
 
 def quantile_summary(df: DataFrame, column: str, q: float, above: float) -> DataFrame:
     """describe() of one column plus its q-quantile and the count above a
-    threshold (one row)."""
+    threshold (one row). The four exact quantiles are one bounded summary
+    row, inlined as literals into the aggregate."""
     v = F.col(column).cast("double")
-    one = df.select(F.lit(0).alias("_k"), v.alias("_v"))
-    basic = one.groupBy("_k").agg(F.count("_v").alias("n"), r6(F.avg("_v")).alias("mean"),
-                                  r6(F.stddev_samp("_v")).alias("std"), F.min("_v").alias("min"),
-                                  F.max("_v").alias("max"), F.count_if(F.col("_v") > above).alias("n_above"))
-    qs = exact_quantiles(one, ["_k"], "_v", [0.25, 0.5, 0.75, q])
-    return basic.join(qs, "_k", "left").select(
-        "n", "mean", "std", "min", r6(F.col("q_0")).alias("p25"), r6(F.col("q_1")).alias("p50"),
-        r6(F.col("q_2")).alias("p75"), "max", r6(F.col("q_3")).alias("p_q"), "n_above")
+    one = df.select(v.alias("_v"))
+    qrow = exact_quantiles(one, [], "_v", [0.25, 0.5, 0.75, q]).first()
+    lit = lambda i: F.lit(qrow[f"q_{i}"] if qrow else None).cast("double")
+    return one.agg(F.count("_v").alias("n"), r6(F.avg("_v")).alias("mean"),
+                   r6(F.stddev_samp("_v")).alias("std"), F.min("_v").alias("min"),
+                   r6(lit(0)).alias("p25"), r6(lit(1)).alias("p50"), r6(lit(2)).alias("p75"),
+                   F.max("_v").alias("max"), r6(lit(3)).alias("p_q"),
+                   F.count_if(F.col("_v") > above).alias("n_above"))

@@ -118,3 +118,12 @@ def test_blend_top_k_is_group_limited(spark, src_small):
     df = score.blend_sweep_top(assemble.features_p2(src_small))
     df.collect()
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_registered_query_plans_a_cartesian_product(spark):
+    bad = []
+    for name in sorted(E.oracle_sql()):
+        plan = _plan(E.queries()[name](spark, SF_SMALL))
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            bad.append(name)
+    assert bad == []
