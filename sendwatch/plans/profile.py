@@ -14,8 +14,8 @@ from sendwatch.config import DEFAULT_PARAMS, Params, Period
 from sendwatch.functions import predicates as P
 from sendwatch.operators.shares import frequency_with_share
 from sendwatch.plans.rates import message_snapshot
-from sendwatch.plans.traits import (_week_trait_frequencies, isv_crosswalk, mode_per_group,
-                                    week_wide)
+from sendwatch.operators.top1 import mode_per_group
+from sendwatch.plans.traits import _week_trait_frequencies, isv_crosswalk, week_wide
 from sendwatch.sources import Sources
 
 FAILED_STATUS = "FAILED"

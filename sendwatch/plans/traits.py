@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from sendwatch.config import DEFAULT_PARAMS, Params, Period
 from sendwatch.functions.dates import complete_months, date_lit, ts_lit, week_key
 from sendwatch.operators.tiles import tile_cutpoints
-from sendwatch.operators.top1 import mode_per_group
 from sendwatch.plans.rates import message_snapshot
 from sendwatch.sources import Sources
 from sendwatch.sources.fixtures import DEFAULT_NAME_MARKER
