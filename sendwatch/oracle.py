@@ -764,3 +764,7 @@ sweep AS (
 SELECT 'optout' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse""").rstrip() + """)
 SELECT target, arg_min(k, (test_rmse, k)) AS k, min(test_rmse) AS test_rmse FROM sweep GROUP BY target
 """
+
+Q["knn_predict_spam"] = FEATURES + "," + _knn_ranked("nn", "features_p2", "frac_7726", 43) + """
+SELECT qid AS account_id, any_value(actual) AS frac_7726, round(avg(y), 6) AS knn_pred FROM nn GROUP BY qid
+"""

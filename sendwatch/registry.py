@@ -132,7 +132,12 @@ def _knn() -> dict[str, QueryFn]:
         train, test, _ = _split(s)
         return models.best_param(models.knn_sweep(train, test), "k")
 
-    return {"knn_predict": _q(predict), "knn_k_sweep": _q(sweep), "knn_best_k": _q(best_k)}
+    def predict_spam(s: Sources) -> DataFrame:
+        train, _, f2 = _split(s)
+        return models.knn_scores(train, f2, "spam")
+
+    return {"knn_predict": _q(predict), "knn_predict_spam": _q(predict_spam), "knn_k_sweep": _q(sweep),
+            "knn_best_k": _q(best_k)}
 
 
 def _ml() -> dict[str, QueryFn]:
