@@ -181,7 +181,11 @@ def _ml() -> dict[str, QueryFn]:
         tr, _, sc = frames(s)
         return models.gbt_scores(tr, sc, "spam")
 
-    return {"top_predictions": _q(top_pred), "gbt_lad": _q(gbt_lad),
+    def top_pred_spam(s):
+        tr, _, sc = frames(s)
+        return models.top_predictions(tr, sc, "spam")
+
+    return {"top_predictions": _q(top_pred), "top_predictions_spam": _q(top_pred_spam), "gbt_lad": _q(gbt_lad),
             "tree_depth_sweep": _q(tree_sweep), "forest_depth_sweep": _q(forest_sweep),
             "tree_best_depth": _q(best_depth), "importance_trees": _q(importances),
             "importance_permutation": _q(permutation), "leaderboard": _q(board),
