@@ -8,10 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sendwatch.llm import sharding
+from sendwatch.llm import quality, sharding
 from sendwatch.llm.common import table
 
 
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    judged, _ = quality.judge(docs, "text", keep=["doc_id"])
+    q = [F.col(f"quality.{k}").alias(k) for k in
+         ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")]
+    return judged.select("doc_id", *q)
+
+
 def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
@@ -25,6 +33,7 @@ def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_weak_supervision": op3_weak_supervision,
         "op9_feistel_sharding": op9_feistel_sharding,
     }
 
