@@ -8,8 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sendwatch.llm import quality, sharding
-from sendwatch.llm.common import table
+from sendwatch.llm import quality, sharding, warc
+from sendwatch.llm.common import scratch_dir, table
+
+
+def op1_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path, "page_id", "url", "html", min_bytes=100)
+    return warc.read(spark, path).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        "refers_to")
 
 
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +39,30 @@ def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS payload_digest,
+         CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes
+  FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_chain": op1_warc_chain,
         "op3_weak_supervision": op3_weak_supervision,
         "op9_feistel_sharding": op9_feistel_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_warc_chain": OP1_SQL,
+    }
