@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sendwatch.llm import quality, sharding, warc
+from sendwatch.llm import pieces, quality, sharding, warc
 from sendwatch.llm.common import scratch_dir, table
 
 
@@ -39,6 +40,11 @@ def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), "doc_id", "text",
+                          public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP1_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS payload_digest,
@@ -59,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc_chain": op1_warc_chain,
         "op3_weak_supervision": op3_weak_supervision,
         "op9_feistel_sharding": op9_feistel_sharding,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
