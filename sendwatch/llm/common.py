@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sendwatch.session import ensure_checkpoint_dir, materialize
 
 __all__ = ["ensure_checkpoint_dir", "fresh", "global_row_numbers", "local_path", "materialize",
-           "null_safe_id", "scratch_dir", "table"]
+           "null_safe_id", "scratch_dir", "table",
+           "text_slices"]
+
+# characters of text that a Python task holds as objects at a time (or one text, if longer)
+BATCH_CHARS = 1_000_000
 
 # ids at or above this stand for rows whose id is null (see ``null_safe_id``)
 NULL_ID_BASE = 1 << 62
@@ -77,3 +84,16 @@ def global_row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
         return held.withColumn(name, F.lit(0).cast("long")).drop(pos)
     table_ = F.array(*[F.lit(offsets.get(i, 0)).cast("long") for i in range(max(offsets) + 1)])
     return held.withColumn(name, F.element_at(table_, (part + 1).cast("int")) + index).drop(pos)
+
+
+def text_slices(batch: pa.RecordBatch, text: str, limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows of about ``limit`` characters (one row at least)."""
+    lengths = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(lengths.tolist()):
+        if total and total + n > limit:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)

@@ -25,12 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sendwatch.llm.common import text_slices
 
 SPACE = "▁"
 NEVER = np.int64(1 << 40)
 LONG = 48
 MEMO = 300_000
-BATCH_CHARS = 1_000_000
 
 
 class Encoder:
@@ -243,19 +245,6 @@ def encoder(model_path: str, end: bool = True) -> Encoder:
     return _ENCODERS[model_path, end]
 
 
-def pieces_of(batch: pa.RecordBatch, text: str, limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
-    """The batch cut into runs of rows of about ``limit`` characters (one row at least)."""
-    lengths = pa.compute.fill_null(pa.compute.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    start = total = 0
-    for i, n in enumerate(lengths.tolist()):
-        if total and total + n > limit:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def encode(df: DataFrame, text: str, model_path: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """Columns ``keep`` of ``df`` and the array column ``ids``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -267,7 +256,7 @@ def encode(df: DataFrame, text: str, model_path: str, keep: list[str], ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path)
         for whole in batches:
-            for b in pieces_of(whole, "__text"):
+            for b in text_slices(whole, "__text"):
                 got = [i for i, _ in enc.encode(b.column("__text").to_pylist())]
                 offsets = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
                 flat = np.concatenate(got) if got else np.empty(0, np.int32)
@@ -275,8 +264,6 @@ def encode(df: DataFrame, text: str, model_path: str, keep: list[str], ids: str
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), lists],
                                                  schema=arrow)
 
-    from pyspark.sql import functions as F
-
     cols = [F.col(f"`{k}`") for k in keep]
     return df.select(*cols, F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
@@ -286,15 +273,13 @@ def digests(df: DataFrame, id_col: str, text: str, model_path: str, with_ids: bo
     library's decoding of the ids; encoding and decoding share one pass."""
     import hashlib
 
-    from pyspark.sql import functions as F
-
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path)
         for whole in batches:
-            for b in pieces_of(whole, "__text"):
+            for b in text_slices(whole, "__text"):
                 got = list(enc.encode(b.column("__text").to_pylist()))
                 ids = [g[0].tolist() for g in got]
                 back = enc.decode(ids)
