@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sendwatch.llm import pieces, quality, sharding, warc
+from sendwatch.llm import neardup, pieces, quality, sharding, warc
 from sendwatch.llm.common import scratch_dir, table
 
 
@@ -29,6 +29,10 @@ def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *q)
 
 
+def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
@@ -59,11 +63,44 @@ SELECT page_id, payload_bytes, p.payload_digest,
 FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []
+           WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+           ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS sh
+  FROM w
+), sets AS (
+  SELECT min(doc_id) AS rep, list_sort(sh) AS sh, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY ALL
+), e AS (
+  SELECT rep, n, unnest(sh) AS g FROM sets
+), common AS (
+  SELECT x.rep AS a, y.rep AS b, x.n AS na, y.n AS nb, count(*) AS k
+  FROM e x JOIN e y ON x.g = y.g AND x.rep <> y.rep GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common WHERE 100 * k >= 85 * (na + nb - k)
+), reach AS (
+  SELECT rep AS a, rep AS b FROM sets
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+), label AS (
+  SELECT a AS rep, min(b) AS component FROM reach GROUP BY a
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles,
+       coalesce(label.component, s.doc_id) AS component_id,
+       s.doc_id = coalesce(label.component, s.doc_id) AS kept
+FROM s LEFT JOIN sets ON sets.sh = list_sort(s.sh) LEFT JOIN label ON label.rep = sets.rep
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_chain": op1_warc_chain,
         "op3_weak_supervision": op3_weak_supervision,
+        "op4_minhash_bayes": op4_minhash_bayes,
         "op9_feistel_sharding": op9_feistel_sharding,
         "op10_sentencepiece": op10_sentencepiece,
     }
@@ -72,4 +109,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_chain": OP1_SQL,
+        "op4_minhash_bayes": OP4_SQL,
     }
