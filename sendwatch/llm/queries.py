@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sendwatch.llm import neardup, pieces, quality, sharding, warc
+from sendwatch.llm import langid, neardup, pieces, quality, sharding, warc
 from sendwatch.llm.common import scratch_dir, table
 
 
@@ -33,6 +33,14 @@ def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op6_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"), langid.held_out(F.col("doc_id")).alias("held_out"),
+        "text", "lang")
+    prototypes = langid.train(docs.filter(~F.col("held_out")), "text", "lang")
+    return langid.predict(docs, "text", prototypes, keep=["doc_id", "held_out"])
+
+
 def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
@@ -101,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc_chain": op1_warc_chain,
         "op3_weak_supervision": op3_weak_supervision,
         "op4_minhash_bayes": op4_minhash_bayes,
+        "op6_hyperdimensional": op6_hyperdimensional,
         "op9_feistel_sharding": op9_feistel_sharding,
         "op10_sentencepiece": op10_sentencepiece,
     }
