@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sendwatch.llm import langid, neardup, pieces, quality, sharding, warc
+from sendwatch.llm import decontam, langid, neardup, pieces, quality, sharding, warc
 from sendwatch.llm.common import scratch_dir, table
 
 
@@ -41,6 +41,11 @@ def op6_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, "text", prototypes, keep=["doc_id", "held_out"])
 
 
+def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), "doc_id", "text",
+                            table(spark, sf_dir, "benchmark"), "item_id", "text").drop("node")
+
+
 def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
@@ -103,6 +108,44 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles,
 FROM s LEFT JOIN sets ON sets.sh = list_sort(s.sh) LEFT JOIN label ON label.rep = sets.rep
 """
 
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS ws
+  FROM documents
+), b AS (
+  SELECT item_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS ws
+  FROM benchmark
+), item AS (
+  SELECT item_id, ws, least(5, len(ws)) AS k, len(ws) - least(5, len(ws)) + 1 AS w FROM b WHERE len(ws) > 0
+), item_shingle AS (
+  SELECT item_id, k, w, s, count(*) AS c
+  FROM (SELECT item_id, k, w, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, w + 1)]) AS s FROM item)
+  GROUP BY ALL
+), doc_shingle AS (
+  SELECT doc_id, k, unnest([{'p': i - 1, 's': array_to_string(ws[i:i + k - 1], ' ')}
+                            FOR i IN range(1, len(ws) - k + 2)], recursive := true)
+  FROM d, (SELECT DISTINCT k FROM item) WHERE len(ws) >= k
+), place AS (
+  SELECT DISTINCT doc_id, item_id, doc_shingle.k, w, unnest(range(p - w + 1, p + 1)) AS start
+  FROM doc_shingle JOIN item_shingle USING (k, s)
+), weight AS (
+  SELECT place.doc_id, place.item_id, place.w, start, doc_shingle.s, count(*) AS c
+  FROM place JOIN doc_shingle ON doc_shingle.doc_id = place.doc_id AND doc_shingle.k = place.k
+       AND doc_shingle.p BETWEEN start AND start + place.w - 1
+  WHERE start >= 0 GROUP BY ALL
+), total AS (
+  SELECT doc_id, weight.item_id, weight.w, start, sum(weight.c) AS n, sum(least(weight.c, coalesce(i.c, 0))) AS common
+  FROM weight LEFT JOIN item_shingle i ON i.item_id = weight.item_id AND i.s = weight.s GROUP BY ALL
+), hit AS (
+  SELECT *, common / (2 * w - common) AS similarity FROM total
+  WHERE n = w AND 100 * common >= 80 * (2 * w - common)
+)
+SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CAST(start AS BIGINT) AS start FROM hit
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -110,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_weak_supervision": op3_weak_supervision,
         "op4_minhash_bayes": op4_minhash_bayes,
         "op6_hyperdimensional": op6_hyperdimensional,
+        "op8_simhash_windows": op8_simhash_windows,
         "op9_feistel_sharding": op9_feistel_sharding,
         "op10_sentencepiece": op10_sentencepiece,
     }
@@ -119,4 +163,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_chain": OP1_SQL,
         "op4_minhash_bayes": OP4_SQL,
+        "op8_simhash_windows": OP8_SQL,
     }
