@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sendwatch.llm import decontam, langid, neardup, pieces, quality, sharding, warc
+from sendwatch.llm import (decontam, huffman, langid, neardup, pieces, quality, separators, sharding,
+                            warc)
 from sendwatch.llm.common import scratch_dir, table
 
 
@@ -33,6 +34,15 @@ def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens per document, read back from flat files by the end-of-document id."""
+    end_id = 49407  # fixed value: <|endoftext|> of the vocabulary
+    written = separators.write(table(spark, sf_dir, "documents"), "doc_id", "text", scratch_dir(spark, "flat"),
+                               public_tokenizers.path("word_bpe_49k.json"), end_id)
+    counts = separators.scan(written.select("uri").distinct(), "<u2", end_id)
+    return written.join(counts, ["uri", "place"]).select("doc_id", "n_tokens")
+
+
 def op6_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long").alias("doc_id"), langid.held_out(F.col("doc_id")).alias("held_out"),
@@ -41,6 +51,13 @@ def op6_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, "text", prototypes, keep=["doc_id", "held_out"])
 
 
+def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_dir(spark, "huffman")
+    huffman.write(table(spark, sf_dir, "documents"), "doc_id", "text", folder,
+                  public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return huffman.read_crc32(spark, folder)
+
+
 def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), "doc_id", "text",
                             table(spark, sf_dir, "benchmark"), "item_id", "text").drop("node")
@@ -152,7 +169,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc_chain": op1_warc_chain,
         "op3_weak_supervision": op3_weak_supervision,
         "op4_minhash_bayes": op4_minhash_bayes,
+        "op5_separator_scan": op5_separator_scan,
         "op6_hyperdimensional": op6_hyperdimensional,
+        "op7_huffman_ids": op7_huffman_ids,
         "op8_simhash_windows": op8_simhash_windows,
         "op9_feistel_sharding": op9_feistel_sharding,
         "op10_sentencepiece": op10_sentencepiece,
