@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -247,3 +248,22 @@ def predict(df: DataFrame, text: str, prototypes: dict[str, np.ndarray], keep: l
 def held_out(id_col: Column) -> Column:
     """Rows kept from training: CRC-32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
+
+
+def keep_known(df: DataFrame, text: str, prototypes: dict[str, np.ndarray], least: float,
+               p: Params = Params()) -> DataFrame:
+    """The rows of ``df`` whose language is recognised: not ``und``, score ``least`` or more."""
+    handed = df.sparkSession.sparkContext.broadcast(prototypes)
+
+    @F.pandas_udf("boolean")
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        judge = predictor(handed.value, p)
+        for series in texts:
+            batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string(), from_pandas=True)], ["text"])
+            out = [np.empty(0, dtype=bool)]
+            for b in text_slices(batch, "text", SLICE_CHARS):
+                names, scores = judge(b.column("text"))
+                out.append((np.array(names, dtype=object) != UNKNOWN) & (scores >= least))
+            yield pd.Series(np.concatenate(out).astype(bool))
+
+    return df.filter(known(F.col(f"`{text}`")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sendwatch.llm import (decontam, huffman, langid, neardup, pieces, quality, separators, sharding,
-                            warc)
+                            urls, warc)
 from sendwatch.llm.common import scratch_dir, table
 
 
@@ -22,6 +22,11 @@ def op1_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         "refers_to")
 
 
+def op2_url_words_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").withColumn("page_id", F.col("page_id").cast("long"))
+    return urls.judge(pages, "url", "html", keep=["page_id"])
+
+
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     judged, _ = quality.judge(docs, "text", keep=["doc_id"])
@@ -167,6 +172,7 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_chain": op1_warc_chain,
+        "op2_url_words_bayes": op2_url_words_bayes,
         "op3_weak_supervision": op3_weak_supervision,
         "op4_minhash_bayes": op4_minhash_bayes,
         "op5_separator_scan": op5_separator_scan,
