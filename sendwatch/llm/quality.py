@@ -170,14 +170,15 @@ def accuracies(model: VoteModel) -> dict[str, float]:
     return out
 
 
-def fit(patterns: DataFrame, rounds: int = 40, tolerance: float = 1e-6, smoothing: float = 1.0,
+def fit(patterns: DataFrame, rounds: int = 40, tolerance: float = 1e-6, strength: float = 10.0,
         start: float = 0.95) -> VoteModel | None:
     """EM over ``patterns`` (a byte column per rule of RULE_NAMES and ``n``).
 
     Starts from "good with probability ``start`` unless a rule votes bad".
-    ``smoothing`` pseudo-counts keep every probability above 0 and tie each
-    rule to its meaning: a vote on the class that it names gets the larger
-    share of them. None for an empty table."""
+    ``strength``: weight of GOOD_PRIOR and BAD_PRIOR against the documents of
+    the class. Rules look at different faults and are not independent, and
+    without the priors the estimate may settle on one kind of fault and take
+    the others for good. None for an empty table."""
     votes = [F.col(k) for k in RULE_NAMES]
     any_bad = votes[0] == -1
     for v in votes[1:]:
@@ -197,7 +198,7 @@ def fit(patterns: DataFrame, rounds: int = 40, tolerance: float = 1e-6, smoothin
         row = q.agg(*sums).collect()[0]
         if row["good"] is None:
             return None
-        model = _model(row, smoothing)
+        model = _model(row, strength)
         flat = [model.prior, *(p for part in (*model.good, *model.bad) for p in part)]
         if last is not None and max(abs(a - b) for a, b in zip(flat, last)) < tolerance:
             break
@@ -206,18 +207,22 @@ def fit(patterns: DataFrame, rounds: int = 40, tolerance: float = 1e-6, smoothin
     return model
 
 
-def _model(row, smoothing: float) -> VoteModel:
+# What the rules are built for, as vote probabilities in the order of VOTES: a good document is
+# hardly ever voted bad, and a bad one is mostly bad in one way, so that most rules still vote good.
+GOOD_PRIOR = (0.001, 0.049, 0.95)
+BAD_PRIOR = (0.1, 0.1, 0.8)
+
+
+def _model(row, strength: float) -> VoteModel:
     good_n, bad_n = float(row["good"]), float(row["bad"])
-    # pseudo-votes per class, in the order of VOTES: good documents are rarely voted bad and the reverse
-    for_good = (0.1 * smoothing, smoothing, smoothing)
-    for_bad = (smoothing, smoothing, 0.1 * smoothing)
-    good, bad = [], []
-    for name in RULE_NAMES:
-        good.append(tuple((float(row[f"g_{name}_{i}"]) + s) / (good_n + sum(for_good))
-                          for i, s in enumerate(for_good)))
-        bad.append(tuple((float(row[f"b_{name}_{i}"]) + s) / (bad_n + sum(for_bad))
-                         for i, s in enumerate(for_bad)))
-    return VoteModel((good_n + 1) / (good_n + bad_n + 2), tuple(good), tuple(bad))
+
+    def rates(prefix: str, name: str, n: float, prior: tuple[float, ...]) -> tuple[float, ...]:
+        weight = strength * n + 1
+        return tuple((float(row[f"{prefix}_{name}_{i}"]) + weight * x) / (n + weight) for i, x in enumerate(prior))
+
+    return VoteModel((good_n + 1) / (good_n + bad_n + 2),
+                     tuple(rates("g", name, good_n, GOOD_PRIOR) for name in RULE_NAMES),
+                     tuple(rates("b", name, bad_n, BAD_PRIOR) for name in RULE_NAMES))
 
 
 def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = 0.5,

@@ -27,7 +27,7 @@ def _em(patterns, rounds=40, tolerance=1e-6, start=0.95):
     v = np.array([p[:-1] for p in patterns])
     n = np.array([p[-1] for p in patterns], dtype=float)
     q = np.where((v == -1).any(axis=1), 1 - start, start)
-    sg, sb = np.array([0.1, 1, 1]), np.array([1, 1, 0.1])
+    sg, sb = np.array(Q.GOOD_PRIOR), np.array(Q.BAD_PRIOR)
     last = None
     for _ in range(rounds):
         good, bad = (n * q).sum(), (n * (1 - q)).sum()
@@ -35,7 +35,8 @@ def _em(patterns, rounds=40, tolerance=1e-6, start=0.95):
         hit = np.stack([v == x for x in (-1, 0, 1)], axis=2)
         g = ((n * q)[:, None, None] * hit).sum(axis=0)
         b = ((n * (1 - q))[:, None, None] * hit).sum(axis=0)
-        g, b = (g + sg) / (good + sg.sum()), (b + sb) / (bad + sb.sum())
+        wg, wb = 10 * good + 1, 10 * bad + 1
+        g, b = (g + wg * sg) / (good + wg), (b + wb * sb) / (bad + wb)
         flat = np.concatenate([[prior], g.ravel(), b.ravel()])
         if last is not None and abs(flat - last).max() < tolerance:
             break
