@@ -59,11 +59,13 @@ class Params:
     ticket_weeks_back: int = 89
     ticket_weeks_span: int = 90
     # outlier gate of the feature tables (strict inequalities)
-    min_attempted: int = 15
+    min_attempted: int = 1000
     min_delivered: int = 1
-    # test account excluded from the ISV crosswalk (none in the driver data)
+    # test account excluded from the ISV crosswalk
     sentinel_account_id: int = -1
-    # train/test split: pmod(account_id, 10) < 7 trains
+    # part of the name that marks an account with a default name
+    default_name_marker: str = "Default"
+    # train/test split: MD5 prefix of the account id modulo 10 under 7 trains
     split_buckets: int = 10
     train_buckets: int = 7
 

@@ -21,7 +21,7 @@ ONE_DAY = dt.timedelta(days=1)
 def not_flagged(flags: Column | str = "flags") -> Column:
     """Bit 0 of ``flags`` marks traffic to exclude; NULL flags are kept."""
     flags = F.col(flags) if isinstance(flags, str) else flags
-    return ~F.coalesce(flags.bitwiseAND(F.shiftleft(F.lit(1), 0)) >= 1, F.lit(False))
+    return ~F.coalesce(flags.bitwiseAND(F.lit(1)) == 1, F.lit(False))
 
 
 def phone_number_sender(sender: Column | str = "sender") -> Column:
@@ -82,11 +82,11 @@ def _suspension_category(details: Column, mark: str, other_mark: str) -> Column:
 
     An untagged detail matches both categories; NULL details match neither
     (the second disjunct is NULL, the first FALSE)."""
-    untagged = ~details.contains(other_mark)
-    for m in OTHER_SUSPENSION_MARKS:
-        untagged = ~details.contains(m) & untagged
-    untagged = untagged & (details != F.lit(BARE_SUSPENSION_DETAIL))
-    return (details.isNotNull() & details.contains(mark)) | untagged
+    tagged = details.contains(mark)
+    untagged = details != F.lit(BARE_SUSPENSION_DETAIL)
+    for m in [other_mark, *OTHER_SUSPENSION_MARKS]:
+        untagged = untagged & ~details.contains(m)
+    return (details.isNotNull() & tagged) | untagged
 
 
 def aup_suspension(details: Column | str = "details") -> Column:

@@ -6,8 +6,10 @@ The trimmed message snapshot is written once, partitioned by send day, and
 read back: the weekly tables, message profiles and period tables then share
 that one pass over the raw message table, and their lineage starts at a table
 on shared storage (a lost executor recomputes from the snapshot files, not
-from the raw month). Feature tables are written before the risk arithmetic
-reads them. Each output is its own directory under ``out_dir``.
+from the raw month). Tables that later steps read (account traits, features) are
+written as Parquet whatever the format of the outputs. Each output is its own
+directory under ``out_dir``. The run takes the session that it is given; it
+sets neither a master nor a number of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from sendwatch.config import DEFAULT_PARAMS, Params
-from sendwatch.plans import (assemble, bodies, complaints, profile, rates, score, suspension,
-                             traits)
+from sendwatch.plans import (assemble, bodies, complaints, models, profile, rates, score,
+                             suspension, traits)
+from sendwatch.session import materialize
 from sendwatch.sources import load, sinks
 
 
@@ -39,9 +42,8 @@ def run_month(spark: SparkSession, sf_dir: str, out_dir: str, params: Params = D
     written["message_snapshot"] = snap_path
     snap = spark.read.parquet(snap_path)
 
-    acct = traits.account_traits(src, params)
+    acct = materialize(traits.account_traits(src, params))
     out("account_traits", acct)
-    acct = spark.read.parquet(written["account_traits"]) if fmt == "parquet" else acct
     out("week_unwanted_rates", rates.week_unwanted_rates(src, params.month, params, snapshot=snap))
     out("week_dominant_traits", traits.week_dominant_traits(src, params.month, params, snapshot=snap))
     for col in ("from_cc", "to_cc", "from_type", "status"):
@@ -57,22 +59,27 @@ def run_month(spark: SparkSession, sf_dir: str, out_dir: str, params: Params = D
     out("complaint_rate_month", complaints.complaint_rate_month(src, params.month, params))
     for tag, period in (("p1", params.period1), ("p2", params.period2)):
         out(f"account_wide_{tag}", rates.account_wide(src, period, acct))
-    out("features_p1", assemble.features_p1(src, params))
-    out("features_p2", assemble.features_p2(src, params))
-    if fmt == "parquet":
-        f2 = spark.read.parquet(written["features_p2"])
-        out("blend_sweep_top20", score.blend_sweep_top(f2), partition_by=["weight"])
-        out("risk_capped", score.risk_capped(f2))
+    f1 = materialize(assemble.features_p1(src, params))
+    f2 = materialize(assemble.features_p2(src, params))
+    out("features_p1", f1)
+    out("features_p2", f2)
+    train = f1.where(assemble.split_flag(params))
+    predicted = materialize(models.knn_predictions(train, f2))
+    out("blend_sweep_top20", score.blend_sweep_top(predicted), partition_by=["weight"])
+    out("risk_capped", score.risk_capped(predicted))
+    tr, _, sc = models.model_frames(f1, f2, params)
+    out("risk_ranking", models.risk_ranking(tr, sc), partition_by=["weight"])
     return written
 
 
 def main(argv: list[str]) -> None:
-    from sendwatch.session import get_spark
+    from sendwatch.sources.fixtures import FIXTURE_PARAMS
 
     sf_dir, out_dir = argv[0], argv[1]
     fmt = argv[2] if len(argv) > 2 else "parquet"
-    spark = get_spark()
-    for name, path in run_month(spark, sf_dir, out_dir, fmt=fmt).items():
+    spark = (SparkSession.builder.appName("sendwatch-monthly")
+             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+    for name, path in run_month(spark, sf_dir, out_dir, FIXTURE_PARAMS, fmt=fmt).items():
         print(name, path)
 
 

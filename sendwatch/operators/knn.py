@@ -1,89 +1,71 @@
-"""Exact k-nearest-neighbour regression (Euclidean, uniform weights).
-
-Exact KNN compares every query row with every training row; the work is
-quadratic by definition, so the point is to spread it evenly and to keep it
-out of rows: no pair is ever materialised as a DataFrame row and nothing
-passes through the driver.
-
-  * Training rows are hashed into ``bt`` blocks and query rows into ``bq``
-    blocks of at most ``block_rows`` rows (sizes from two counts).
-  * Each training row is replicated to the ``bq`` query blocks and each query
-    row to the ``bt`` training blocks; a ``cogroup`` on (query block,
-    training block) hands one bounded pair of blocks to one task.
-  * Inside the task numpy computes the distances in chunks and keeps each
-    query row's ``k`` nearest (ties by training id), so a task emits at most
-    ``k`` candidates per query row.
-  * The candidates of a query row (at most ``bt * k``) are merged with a
-    bounded ``row_number`` window (planned as a ``WindowGroupLimit``).
-
-Distances are accumulated feature by feature in list order, the same
-left-to-right sum a SQL expression computes.
+"""K-nearest-neighbour regression (Euclidean, uniform weights).
+
+The model is its training rows. At most ``max_train_rows`` of them (a
+documented bound; those with the smallest hash of the id when there are more)
+are sent to every task once; each task then searches them for its own query
+rows. So the work grows with the query rows, nothing is replicated per block
+pair, no pair is ever a row, and no shuffle is needed. Up to the bound the
+search is exact over all training rows.
+
+Inside a task numpy computes distances in chunks and keeps each query row's
+``k`` nearest (ties by training id): the k-th distance by partial selection,
+then an exact sort of the rows up to it. Distances are accumulated feature by
+feature in list order, the same left-to-right sum a SQL expression computes.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATE_SCHEMA = "qid long, tid long, dist double, y double"
+NEIGHBOUR_SCHEMA = "qid long, rank long, tid long, dist double, y double"
 CHUNK = 256
+MAX_TRAIN_ROWS = 200_000
 
 
-def _block_topk(k: int, features: Sequence[str]):
-    feats = list(features)
-
-    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "tid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64"), "y": pd.Series([], dtype="float64")})
-        qx = q[feats].to_numpy(dtype=np.float64)
-        tx = t[feats].to_numpy(dtype=np.float64)
-        tid = t["tid"].to_numpy(dtype=np.int64)
-        ty = t["y"].to_numpy(dtype=np.float64)
-        qid = q["qid"].to_numpy(dtype=np.int64)
-        kk = min(k, len(t))
-        out = []
-        for s in range(0, len(q), CHUNK):
-            block = qx[s:s + CHUNK]
-            d = np.zeros((len(block), len(t)))
-            for j in range(len(feats)):
-                diff = block[:, j:j + 1] - tx[None, :, j]
-                d = d + diff * diff
-            order = np.lexsort((np.broadcast_to(tid, d.shape), d), axis=-1)[:, :kk]
-            rows = np.repeat(np.arange(len(block)), kk)
-            cols = order.reshape(-1)
-            out.append(pd.DataFrame({"qid": np.repeat(qid[s:s + CHUNK], kk), "tid": tid[cols],
-                                     "dist": d[rows, cols], "y": ty[cols]}))
-        return pd.concat(out, ignore_index=True)
-
-    return run
+def _bounded(train: DataFrame, most: int) -> pd.DataFrame:
+    """At most ``most`` rows: all, or those with the smallest hash of the id."""
+    h = F.xxhash64("tid")
+    return train.orderBy(h, "tid").limit(most).toPandas().sort_values("tid", ignore_index=True)
 
 
 def nearest_neighbours(query: DataFrame, train: DataFrame, id_col: str, features: Sequence[str],
-                       target: str, k: int, block_rows: int = 10_000) -> DataFrame:
+                       target: str, k: int, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """(qid, rank, tid, dist, y): the ``k`` nearest training rows of every
     query row, rank 1 = nearest, ties broken by training id."""
     feats = list(features)
-    n_train, n_query = train.count(), query.count()
-    bt = max(1, math.ceil(n_train / block_rows))
-    bq = max(1, math.ceil(n_query / block_rows))
     cast = [F.col(c).cast("double").alias(c) for c in feats]
-    t = (train.select(F.col(id_col).alias("tid"), *cast, F.col(target).cast("double").alias("y"))
-         .withColumn("tb", F.pmod(F.xxhash64("tid"), F.lit(bt)))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
-    q = (query.select(F.col(id_col).alias("qid"), *cast)
-         .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq)))
-         .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(bt - 1)))))
-    cand = (q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb"))
-            .applyInPandas(_block_topk(k, feats), CANDIDATE_SCHEMA))
-    w = Window.partitionBy("qid").orderBy(F.col("dist").asc(), F.col("tid").asc())
-    return (cand.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
-            .select("qid", "rank", "tid", "dist", "y"))
+    t = _bounded(train.select(F.col(id_col).cast("long").alias("tid"), *cast,
+                              F.col(target).cast("double").alias("y")), max_train_rows)
+    model = query.sparkSession.sparkContext.broadcast(
+        (t[feats].to_numpy(np.float64), t["tid"].to_numpy(np.int64), t["y"].to_numpy(np.float64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tx, tid, ty = model.value
+        kk = min(k, len(tid))
+        for q in batches:
+            qx, qid = q[feats].to_numpy(np.float64), q["qid"].to_numpy(np.int64)
+            for s in range(0, len(q) if kk else 0, CHUNK):
+                block = qx[s:s + CHUNK]
+                d = np.zeros((len(block), len(tid)))
+                for j in range(len(feats)):
+                    diff = block[:, j:j + 1] - tx[None, :, j]
+                    d = d + diff * diff
+                limit = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+                near = np.empty((len(block), kk), dtype=np.int64)
+                for i in range(len(block)):  # rows are in order of id, so a stable sort breaks ties
+                    c = np.flatnonzero(~(d[i] > limit[i]))
+                    near[i] = c[np.argsort(d[i, c], kind="stable")[:kk]]
+                flat = near.reshape(-1)
+                yield pd.DataFrame({"qid": np.repeat(qid[s:s + CHUNK], kk),
+                                    "rank": np.tile(np.arange(1, kk + 1), len(block)), "tid": tid[flat],
+                                    "dist": np.take_along_axis(d, near, axis=1).reshape(-1), "y": ty[flat]})
+
+    return query.select(F.col(id_col).cast("long").alias("qid"), *cast).mapInPandas(run, NEIGHBOUR_SCHEMA)
 
 
 def knn_predict(query: DataFrame, train: DataFrame, id_col: str, features: Sequence[str],

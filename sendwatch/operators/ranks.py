@@ -8,12 +8,14 @@ and distinct value, the 1-based rank range [start, end] of its rows:
      becomes one row (partial aggregation before the shuffle);
   2. split each key's distinct values into ``buckets`` ranges using
      approximate-quantile boundaries over the distinct values (one small
-     array per key); the bucket is a pure function of the value, so it is the
-     same on every recomputation;
+     array per key, written once: a sketch recomputed in another order may give
+     other boundaries); there are more buckets for more distinct values, so a
+     bucket stays bounded;
   3. running count inside each (key, bucket) — a bounded window, since a
      bucket holds about 1/``buckets`` of the key's distinct values;
-  4. per-bucket totals -> offsets (key x buckets rows, broadcast) added to
-     the local running count.
+  4. per-bucket totals -> offsets (key x buckets rows) added to the local
+     running count. The small tables are joined without a hint: Spark
+     broadcasts them by their size.
 
 NULL values are excluded from the ranks; ``n_null`` per key is reported so
 callers can place NULLs last.
@@ -26,7 +28,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sendwatch.session import materialize
+
 DEFAULT_BUCKETS = 64
+BUCKET_VALUES = 100_000   # distinct values that a bucket should hold at most
+
+
+def _bucket_count(freq: DataFrame, least: int) -> int:
+    return max(least, -(-freq.count() // BUCKET_VALUES))
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
@@ -36,14 +45,15 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = D
     if not keys:
         return _single_group_ranks(df, value, buckets)
     v = F.col(value)
-    freq = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    freq = materialize(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")))
+    buckets = _bucket_count(freq, buckets)
     nulls = freq.where(v.isNull()).select(*keys, F.col("cnt").alias("n_null"))
     freq = freq.where(v.isNotNull())
     qs = [i / buckets for i in range(1, buckets)]
-    bounds = freq.groupBy(*keys).agg(
-        F.percentile_approx(v, qs, max(10_000, 100 * buckets)).alias("_bounds"))
+    bounds = materialize(freq.groupBy(*keys).agg(
+        F.percentile_approx(v, qs, max(10_000, 100 * buckets)).alias("_bounds")))
     bucket = F.size(F.filter(F.col("_bounds"), lambda b: b < v))
-    tagged = freq.join(F.broadcast(bounds), keys).withColumn("_bk", bucket).drop("_bounds")
+    tagged = freq.join(bounds, keys).withColumn("_bk", bucket).drop("_bounds")
     local_w = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.withColumn("_lend", F.sum("cnt").over(local_w))
     totals = tagged.groupBy(*keys, "_bk").agg(F.sum("cnt").alias("_bt"))
@@ -53,10 +63,10 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = D
                    by_key.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .withColumn("n", F.sum("_bt").over(by_key))
                .select(*keys, "_bk", "_off", "n"))
-    ranked = (local.join(F.broadcast(offsets), [*keys, "_bk"])
+    ranked = (local.join(offsets, [*keys, "_bk"])
               .withColumn("end", F.col("_off") + F.col("_lend"))
               .withColumn("start", F.col("end") - F.col("cnt") + 1))
-    ranked = ranked.join(F.broadcast(nulls), keys, "left")
+    ranked = ranked.join(nulls, keys, "left")
     return ranked.select(*keys, value, "cnt", "start", "end", "n",
                          F.coalesce("n_null", F.lit(0)).alias("n_null"))
 
@@ -66,7 +76,8 @@ def _single_group_ranks(df: DataFrame, value: str, buckets: int) -> DataFrame:
     and the bucket totals (at most ``buckets`` rows) are bounded summaries,
     read once and inlined as literals, so no join is needed."""
     v = F.col(value)
-    freq = df.groupBy(value).agg(F.count(F.lit(1)).alias("cnt"))
+    freq = materialize(df.groupBy(value).agg(F.count(F.lit(1)).alias("cnt")))
+    buckets = _bucket_count(freq, buckets)
     qs = [i / buckets for i in range(1, buckets)]
     head = freq.agg(F.percentile_approx(v, qs, max(10_000, 100 * buckets)).alias("b"),
                     F.sum(F.when(v.isNull(), F.col("cnt"))).alias("n_null")).first()

@@ -205,7 +205,7 @@ Q["week_volume"] = SNAP_MONTH + f"SELECT account_id, {_w('sent_date')} AS wk, co
 # --- account traits --------------------------------------------------------
 AGE = "CAST(datesub('month', CAST(date_created AS date), DATE '2024-01-31') AS int)"
 TRAITS = f"""
-xwalk AS (
+isv_link AS (
   SELECT l.account_id, l.customer_id, CAST((i.id IS NOT NULL) AS int) AS isv
   FROM customer_link l LEFT JOIN (SELECT DISTINCT id FROM isv_list) i ON i.id = l.customer_id
   WHERE l.account_id IS NOT NULL AND l.account_id <> -1),
@@ -218,10 +218,10 @@ traits AS (
     CASE WHEN {AGE} IS NULL THEN '26-47' WHEN {AGE} <= 11 THEN '0-11' WHEN {AGE} <= 26 THEN '11-26'
          WHEN {AGE} <= 47 THEN '26-47' ELSE '> 47' END AS age_cat,
     CASE f.num_sub WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE '> 1' END AS num_sub_cat
-  FROM live l LEFT JOIN fam f USING (root) LEFT JOIN xwalk x ON x.account_id = l.root)
+  FROM live l LEFT JOIN fam f USING (root) LEFT JOIN isv_link x ON x.account_id = l.root)
 """
 Q["account_traits"] = TRAITS + "SELECT * FROM traits"
-Q["isv_flag"] = TRAITS + "SELECT * FROM xwalk"
+Q["isv_flag"] = TRAITS + "SELECT * FROM isv_link"
 Q["family_size"] = TRAITS + "SELECT DISTINCT sid, coalesce(num_sub, 0) + 1 AS fam_size FROM traits"
 Q["default_name_flag"] = """
 SELECT sid, friendly_name, CAST(coalesce(contains(friendly_name, 'BUILDING'), false) AS int) AS default_name
@@ -602,7 +602,6 @@ FROM binned GROUP BY bin, lo, hi
 Q["hist_age"] = FEATURES + "," + _hist("features_p1", "age", 30)
 Q["hist_unreachable"] = FEATURES + "," + _hist("features_p1", "unreachable_frac", 30)
 Q["hist_21610"] = FEATURES + "," + _hist("features_p1", "frac_21610", 20)
-Q["hist_risk"] = FEATURES + "," + _hist("features_p2", "100.0::double * optout_frac", 10, "0.0", "10.0")
 Q["category_counts"] = FEATURES + """
 SELECT feature, value, count(*) AS n FROM (
   UNPIVOT (SELECT CAST(parent AS varchar) AS parent, CAST(isv AS varchar) AS isv,
@@ -644,31 +643,6 @@ Q["geomean_plus_top"] = FEATURES + """
 SELECT account_id, frac_7726, optout_frac, sqrt((frac_7726 + 1.0::double) * optout_frac) AS score_sqrt_plus
 FROM features_p2 ORDER BY score_sqrt_plus DESC, account_id LIMIT 10
 """
-Q["blend_sweep_top20"] = FEATURES + """,
-wts AS (SELECT CAST(i AS double) * 0.1::double AS w FROM range(0, 10) t(i)),
-scored AS (
-  SELECT round(w, 1) AS weight, account_id, frac_7726, optout_frac,
-         w * frac_7726 + (1.0::double - w) * optout_frac AS risk_score
-  FROM features_p2, wts)
-SELECT * FROM (
-  SELECT weight, row_number() OVER (PARTITION BY weight ORDER BY risk_score DESC, account_id) AS rnk,
-         account_id, frac_7726, optout_frac, risk_score FROM scored) x
-WHERE rnk <= 20
-"""
-Q["risk_capped"] = FEATURES + """
-SELECT account_id, optout_frac, 100.0::double * optout_frac AS risk,
-       least(100.0::double * optout_frac, 10.0::double) AS risk_capped
-FROM features_p2
-"""
-Q["risk_quantile"] = FEATURES + """,
-r AS (SELECT 100.0::double * optout_frac AS risk FROM features_p2)
-SELECT count(risk) AS n, round(avg(risk), 6) AS mean, round(stddev_samp(risk), 6) AS std, min(risk) AS min,
-  round(quantile_cont(risk, 0.25), 6) AS p25, round(quantile_cont(risk, 0.5), 6) AS p50,
-  round(quantile_cont(risk, 0.75), 6) AS p75, max(risk) AS max, round(quantile_cont(risk, 0.85), 6) AS p_q,
-  count(*) FILTER (WHERE risk > 10.0::double) AS n_above
-FROM r
-"""
-
 # --- message profiles -------------------------------------------------------
 for _c in ["from_cc", "to_cc", "from_type", "status"]:
     Q[f"share_{_c}"] = SNAP_MONTH + f"""
@@ -694,7 +668,7 @@ SELECT error_code, count(*) AS ct FROM messages WHERE status = 'FAILED'
 GROUP BY error_code ORDER BY count(*) DESC, error_code LIMIT 20
 """
 Q["dq_duplicates"] = TRAITS + """
-SELECT customer_id, account_id, count(*) AS n FROM xwalk GROUP BY customer_id, account_id HAVING count(*) > 1
+SELECT customer_id, account_id, count(*) AS n FROM isv_link GROUP BY customer_id, account_id HAVING count(*) > 1
 """
 Q["dq_null_keys"] = "SELECT parent_sid, sid FROM accounts WHERE sid IS NULL"
 Q["dq_key_containment"] = """
@@ -712,7 +686,8 @@ INNER JOIN traits a ON u.account_id = a.sid
 GROUP BY u.account_id, u.wk HAVING count(*) > 1
 """
 
-# --- exact KNN (train = period-1 accounts with account_id % 10 < 7) ----------
+# --- exact KNN (train = period-1 accounts whose md5 prefix % 10 < 7) ---------
+_SPLIT = "CAST('0x' || substr(md5(CAST(account_id AS VARCHAR)), 1, 4) AS INTEGER) % 10"
 KNN_FEATURES = ["age", "isv", "parent", "unreachable_frac", "frac_30007", "frac_21610", "frac_30008",
                 "aup_frac", "fraud_frac", "cannabis", "fam_size", "default_name"]
 _DIST = " + ".join(f"(CAST(q.{c} AS double) - CAST(t.{c} AS double)) * (CAST(q.{c} AS double) - CAST(t.{c} AS double))"
@@ -725,7 +700,7 @@ def _knn_ranked(name: str, query: str, target: str, k: int) -> str:
   SELECT * FROM (
     SELECT q.account_id AS qid, q.{target} AS actual, t.{target} AS y,
       row_number() OVER (PARTITION BY q.account_id ORDER BY {_DIST}, t.account_id) AS rn
-    FROM {query} q, (SELECT * FROM features_p1 WHERE account_id % 10 < 7) t) x
+    FROM {query} q, (SELECT * FROM features_p1 WHERE {_SPLIT} < 7) t) x
   WHERE rn <= {k})"""
 
 
@@ -738,7 +713,7 @@ def _sweep(target_name: str, target: str) -> str:
     parts = []
     for split, cond in (("train", "< 7"), ("test", ">= 7")):
         parts.append(_knn_ranked(f"nn_{target_name}_{split}",
-                                 f"(SELECT * FROM features_p1 WHERE account_id % 10 {cond})", target, 50))
+                                 f"(SELECT * FROM features_p1 WHERE {_SPLIT} {cond})", target, 50))
         parts.append(f"""
 rm_{target_name}_{split} AS (
   SELECT rn AS k, round(sqrt(avg((actual - pred) * (actual - pred))), 6) AS rmse FROM (
@@ -768,3 +743,37 @@ SELECT target, arg_min(k, (test_rmse, k)) AS k, min(test_rmse) AS test_rmse FROM
 Q["knn_predict_spam"] = FEATURES + "," + _knn_ranked("nn", "features_p2", "frac_7726", 43) + """
 SELECT qid AS account_id, any_value(actual) AS frac_7726, round(avg(y), 6) AS knn_pred FROM nn GROUP BY qid
 """
+
+# --- risk scores on the KNN predictions --------------------------------------
+PREDICTED = FEATURES + "," + _knn_ranked("near_o", "features_p2", "optout_frac", 23) + "," \
+    + _knn_ranked("near_s", "features_p2", "frac_7726", 43) + """,
+predicted AS (
+  SELECT f.account_id, f.optout_frac, f.frac_7726, o.p AS optout_pred, s.p AS spam_pred
+  FROM features_p2 f
+  JOIN (SELECT qid, round(avg(y), 6) AS p FROM near_o GROUP BY qid) o ON o.qid = f.account_id
+  JOIN (SELECT qid, round(avg(y), 6) AS p FROM near_s GROUP BY qid) s ON s.qid = f.account_id)"""
+Q["hist_risk"] = PREDICTED + "," + _hist("predicted", "100.0::double * optout_pred", 10, "0.0", "10.0")
+Q["blend_sweep_top20"] = PREDICTED + """,
+wts AS (SELECT CAST(i AS double) * 0.1::double AS w FROM range(0, 10) t(i)),
+scored AS (
+  SELECT round(w, 1) AS weight, account_id, spam_pred, optout_pred, frac_7726, optout_frac,
+         w * spam_pred + (1.0::double - w) * optout_pred AS risk_score
+  FROM predicted, wts)
+SELECT * FROM (
+  SELECT weight, row_number() OVER (PARTITION BY weight ORDER BY risk_score DESC, account_id) AS rnk,
+         account_id, spam_pred, optout_pred, frac_7726, optout_frac, risk_score FROM scored) x
+WHERE rnk <= 20
+"""
+Q["risk_capped"] = PREDICTED + """
+SELECT account_id, optout_pred, optout_frac, 100.0::double * optout_pred AS risk,
+       least(100.0::double * optout_pred, 10.0::double) AS risk_capped
+FROM predicted
+"""
+Q["risk_quantile"] = PREDICTED + """,
+r AS (SELECT 100.0::double * optout_pred AS risk FROM predicted)
+SELECT count(risk) AS n, round(avg(risk), 6) AS mean, round(stddev_samp(risk), 6) AS std, min(risk) AS min,
+  round(quantile_cont(risk, 0.25), 6) AS p25, round(quantile_cont(risk, 0.5), 6) AS p50,
+  round(quantile_cont(risk, 0.75), 6) AS p75, max(risk) AS max, round(quantile_cont(risk, 0.85), 6) AS p_q,
+  count(*) FILTER (WHERE risk > 10.0::double) AS n_above
+FROM r
+"""

@@ -44,12 +44,26 @@ def _rates(df: DataFrame) -> DataFrame:
 
 def _side_tables(src: Sources, params: Params):
     tr = traits.account_traits(src, params)
-    fam = traits.family_size(tr).withColumnRenamed("sid", "account_id")
-    age = tr.select(F.col("sid").alias("account_id"), "age", "parent", "isv")
+    # family size and age in one table: the traits are computed once
+    own = tr.select(F.col("sid").alias("account_id"), (F.coalesce("num_sub", F.lit(0)) + 1).alias("fam_size"),
+                    "age", "parent", "isv").distinct()
     # one row per account even if an account carried two names
-    names = (traits.default_name_flags(src).groupBy(F.col("sid").alias("account_id"))
+    names = (traits.default_name_flags(src, params).groupBy(F.col("sid").alias("account_id"))
              .agg(F.max("default_name").alias("default_name")))
-    return fam, age, names
+    return own, names
+
+
+def _traffic(src: Sources, period: Period, suspensions: Period, params: Params) -> DataFrame:
+    """Rates, error classes and pre-suspension traffic: one pass over the messages."""
+    counts = suspension.rates_and_suspensions(src, period, suspensions, params)
+    extra = [*rates.ERROR_COLUMNS, "aup", "fraud"]
+    base = counts.select("account_id", "attempted", "delivered", *extra)
+    return (base.join(rates.optouts(src, period), "account_id", "left")
+            .join(rates.spam_reports(src, period), "account_id", "left")
+            .join(suspension.listed_accounts(src), "account_id", "left")
+            .select("account_id", "attempted", "delivered", "optouts", "n_7726", *rates.ERROR_COLUMNS, "aup",
+                    F.when(F.col("fraud").isNotNull(), F.when(F.col("_hit").isNotNull(), 1).otherwise(0))
+                    .alias("cannabis"), "fraud"))
 
 
 def _gate(df: DataFrame, params: Params) -> DataFrame:
@@ -62,13 +76,9 @@ def _fill(df: DataFrame) -> DataFrame:
 
 def merged_period1(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Period-1 merge before filling (what the profile's non-null counts see)."""
-    p: Period = params.period1
-    fam, age, names = _side_tables(src, params)
-    return (rates.account_rates(src, p, params, with_errors=True)
-            .join(suspension.aup_messages(src, params.suspensions_p1, params), "account_id", "left")
-            .join(suspension.fraud_messages(src, params.suspensions_p1, params), "account_id", "left")
-            .join(fam, "account_id", "inner")
-            .join(age, "account_id", "left")
+    own, names = _side_tables(src, params)
+    return (_traffic(src, params.period1, params.suspensions_p1, params)
+            .join(own, "account_id", "inner")
             .join(names, "account_id", "left"))
 
 
@@ -80,17 +90,16 @@ def features_p1(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
 def features_p2(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Scored period: gate before the rates (no division by zero), then the
     age / family joins are inner."""
-    p: Period = params.period2
-    fam, age, names = _side_tables(src, params)
-    june = (rates.account_rates(src, p, params, with_errors=True)
-            .join(suspension.fraud_messages(src, params.suspensions_p2, params), "account_id", "left")
-            .join(suspension.aup_messages(src, params.suspensions_p2, params), "account_id", "left")
+    own, names = _side_tables(src, params)
+    june = (_traffic(src, params.period2, params.suspensions_p2, params)
             .join(names, "account_id", "left"))
     june = _rates(_gate(_fill(june), params))
     june = june.where((F.col("aup_frac") <= 1) & (F.col("fraud_frac") <= 1))
-    return june.join(age, "account_id", "inner").join(fam, "account_id", "inner").select(*OUTPUT_COLUMNS)
+    return june.join(own, "account_id", "inner").select(*OUTPUT_COLUMNS)
 
 
 def split_flag(params: Params = DEFAULT_PARAMS):
-    """True for the training split (stable, partition independent)."""
-    return F.pmod(F.col("account_id"), F.lit(params.split_buckets)) < params.train_buckets
+    """True for the training split: a hash of the account id (its MD5 prefix),
+    stable, independent of partitions and of how ids are given out."""
+    prefix = F.substring(F.md5(F.col("account_id").cast("string")), 1, 4)
+    return F.conv(prefix, 16, 10).cast("int") % params.split_buckets < params.train_buckets

@@ -46,15 +46,14 @@ def hist_21610(features: DataFrame) -> DataFrame:
     return stats.histogram(features, "frac_21610", BINS_21610)
 
 
-def risk_frame(features_p2: DataFrame) -> DataFrame:
-    """Risk score = 100 x opt-out rate (actual rate standing in for the
-    model's prediction)."""
-    return features_p2.withColumn("risk", F.lit(RISK_SCALE) * F.col("optout_frac"))
+def risk_frame(predicted: DataFrame, prediction: str = "optout_pred") -> DataFrame:
+    """Risk score = 100 x predicted opt-out rate."""
+    return predicted.withColumn("risk", F.lit(RISK_SCALE) * F.col(prediction))
 
 
-def hist_risk(features_p2: DataFrame) -> DataFrame:
+def hist_risk(predicted: DataFrame) -> DataFrame:
     lo, hi = RISK_RANGE
-    return stats.histogram(risk_frame(features_p2), "risk", RISK_BINS, lo, hi)
+    return stats.histogram(risk_frame(predicted), "risk", RISK_BINS, lo, hi)
 
 
 def category_counts(features: DataFrame) -> DataFrame:

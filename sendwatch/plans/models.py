@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 
 from sendwatch.config import DEFAULT_PARAMS, Params
 from sendwatch.operators import knn
+from sendwatch.operators.ranks import value_ranks
 from sendwatch.operators.stats import r6
 from sendwatch.plans.assemble import FEATURES, TARGETS, split_flag
 from sendwatch.session import materialize
 
 # --- fixed values: model settings of the reference study --------------------
-MAX_SPARK_DEPTH = 30              # reference sweeps 1..50; Spark trees stop at 30
+SWEEP_DEPTHS = range(1, 51)
+MAX_SPARK_DEPTH = 30              # Spark's own limit; see depth_sweep
 KNN_K_MAX = 50
 BEST_K = {"optout": 23, "spam": 43}
 BEST_TREE_DEPTH = {"optout": 9, "spam": 6}
@@ -144,21 +146,35 @@ def fit_depths(make, depths: Sequence[int], train: DataFrame, parallelism: int =
 
 
 def depth_sweep(train: DataFrame, test: DataFrame, family: str,
-                depths: Iterable[int] = range(1, MAX_SPARK_DEPTH + 1)) -> DataFrame:
-    """(target, depth, train/test RMSE and R^2) for trees or forests."""
-    depths = list(depths)
-    frames = []
+                depths: Iterable[int] = SWEEP_DEPTHS) -> DataFrame:
+    """(target, depth, reached, train/test RMSE and R^2) for trees or forests,
+    one row per depth. Spark's trees stop at depth 30. A model that stops
+    growing below its limit is the model of every larger limit, so those rows
+    are exact; where one still grows at 30, rows beyond hold the model of
+    depth 30 and say ``reached`` = false."""
+    depths = sorted(depths)
+    possible = [d for d in depths if d <= MAX_SPARK_DEPTH]
+    results = []
     for tname, label in TARGETS.items():
         make = (lambda d, lb=label: _tree(d, lb)) if family == "tree" else (lambda d, lb=label: _forest(d, lb))
-        fitted = fit_depths(make, depths, train)
-        for d in depths:
-            m = fitted[d]
-            frames.append(_scored(m, train, label, {"target": tname, "depth": d, "split": "train"}))
-            frames.append(_scored(m, test, label, {"target": tname, "depth": d, "split": "test"}))
-    r = _rmse_by(_union(frames), ["target", "depth", "split"])
-    return (r.groupBy("target", "depth")
-            .agg(*[F.max(F.when(F.col("split") == sp, F.col(m))).alias(f"{sp}_{m}")
-                   for m in ("rmse", "r2") for sp in ("train", "test")]))
+        fitted = fit_depths(make, possible, train)
+        top = max(possible)
+        same = {d: id(fitted[d]) for d in possible}
+        first = {}
+        for d in possible:
+            first.setdefault(same[d], d)
+        # each distinct model is evaluated once; its rows are then given to all its depths
+        frames = [_scored(fitted[d], frame, label, {"depth": d, "split": split})
+                  for d in sorted(first.values()) for frame, split in ((train, "train"), (test, "test"))]
+        r = _rmse_by(_union(frames), ["depth", "split"])
+        r = r.groupBy("depth").agg(*[F.max(F.when(F.col("split") == sp, F.col(m))).alias(f"{sp}_{m}")
+                                     for m in ("rmse", "r2") for sp in ("train", "test")])
+        grows = grown_depth(fitted[top]) >= top
+        rows = [(tname, d, first[same[min(d, top)]], d <= top or not grows) for d in depths]
+        names = train.sparkSession.createDataFrame(rows, "target string, depth int, model int, reached boolean")
+        results.append(names.join(r.withColumnRenamed("depth", "model"), "model").drop("model"))
+    return _union(results).select("target", "depth", "reached",
+                                  *[f"{sp}_{m}" for m in ("rmse", "r2") for sp in ("train", "test")])
 
 
 def best_param(sweep: DataFrame, param: str) -> DataFrame:
@@ -189,6 +205,13 @@ def knn_scores(train: DataFrame, scored: DataFrame, target: str = "optout", k: i
             .select("account_id", label, r6(F.col("prediction")).alias("knn_pred")))
 
 
+def knn_predictions(train: DataFrame, scored: DataFrame) -> DataFrame:
+    """(account_id, optout_frac, frac_7726, optout_pred, spam_pred): actual and predicted rates."""
+    o = knn_scores(train, scored, "optout").withColumnRenamed("knn_pred", "optout_pred")
+    s = knn_scores(train, scored, "spam").withColumnRenamed("knn_pred", "spam_pred")
+    return o.join(s, "account_id")
+
+
 def _importances(model, name: str, target: str, spark: SparkSession) -> DataFrame:
     vals = model.featureImportances.toArray().tolist()
     return spark.createDataFrame([(name, target, f, float(v)) for f, v in zip(FEATURES, vals)],
@@ -209,34 +232,40 @@ def importance_trees(train: DataFrame) -> DataFrame:
     return _union(out).withColumn("importance", r6(F.col("importance")))
 
 
+def permuted_values(stacked: DataFrame, value) -> DataFrame:
+    """``stacked`` (account_id, j, r, ...) with ``_perm``: ``value`` of another
+    account of the same variant. The account of rank i by one hash takes the
+    value of the account of rank i by another; ranks come from bounded buckets,
+    the same way at every size, so no window spans a variant."""
+    keys = ["j", "r"]
+    rows = stacked.withColumn("_to", F.xxhash64("account_id", "j", "r")).withColumn(
+        "_from", F.xxhash64("account_id", "j", "r", F.lit("from"))).withColumn("_value", value)
+    rows = materialize(rows)
+    to = value_ranks(rows, keys, "_to").select(*keys, "_to", F.col("start").alias("_rank"))
+    source = value_ranks(rows, keys, "_from").select(*keys, "_from", F.col("start").alias("_rank"))
+    donors = rows.select(*keys, "_from", F.col("_value").alias("_perm")).join(source, [*keys, "_from"])
+    return (rows.join(to, [*keys, "_to"]).drop("_from")
+            .join(donors.select(*keys, "_rank", "_perm"), [*keys, "_rank"])
+            .drop("_to", "_rank", "_value"))
+
+
 def permutation_importance(train: DataFrame, scored: DataFrame, target: str = "optout",
-                           k: int | None = None, repeats: int = PERMUTATION_REPEATS,
-                           bucket_rows: int = 1000) -> DataFrame:
+                           k: int | None = None, repeats: int = PERMUTATION_REPEATS) -> DataFrame:
     """KNN permutation importance on the scored period: increase in MSE when
-    one feature's values are permuted across accounts, mean over repeats.
-
-    All 12 x repeats variants are stacked (bounded fan-out) and scored in one
-    neighbour search. A permutation is a one-step rotation of the feature's
-    values inside hash buckets of ~``bucket_rows`` accounts ordered by a
-    per-variant hash, so no window spans the whole table."""
+    one feature's values are permuted across accounts, mean over repeats. All
+    12 x repeats variants are stacked (bounded fan-out) and scored in one
+    neighbour search."""
     label = TARGETS[target]
     k = k or BEST_K[target]
-    n = scored.count()
-    buckets = max(1, n // bucket_rows)
     variants = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(r).alias("r"))
                                    for j in range(len(FEATURES)) for r in range(repeats)]))
     base = scored.select("account_id", label, *FEATURES)
     stacked = base.select("*", variants.alias("v")).select("*", "v.j", "v.r").drop("v")
     value = F.element_at(F.array(*[F.col(c).cast("double") for c in FEATURES]), F.col("j") + 1)
-    h = F.xxhash64("account_id", "j", "r")
-    w = (Window.partitionBy("j", "r", F.pmod(h, F.lit(buckets)))
-         .orderBy(F.xxhash64("account_id", "j", "r", F.lit("order")), "account_id"))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    permuted = F.coalesce(F.lag(value, 1).over(w), F.last(value).over(whole))
-    stacked = stacked.withColumn("_perm", permuted)
+    stacked = permuted_values(stacked, value)
     for i, c in enumerate(FEATURES):
         stacked = stacked.withColumn(c, F.when(F.col("j") == i, F.col("_perm")).otherwise(F.col(c).cast("double")))
-    stacked = stacked.withColumn("qid", F.col("account_id") * F.lit(1000) + F.col("j") * F.lit(10) + F.col("r"))
+    stacked = materialize(stacked.withColumn("qid", F.monotonically_increasing_id()))
     nn = knn.knn_predict(stacked.select("qid", *FEATURES, label), train.withColumnRenamed("account_id", "qid"),
                          "qid", FEATURES, label, k)
     err = (stacked.select("qid", "j", "r", F.col(label).alias("y")).join(nn, "qid")
@@ -304,7 +333,7 @@ def risk_ranking(train: DataFrame, scored: DataFrame, top: int = 20) -> DataFram
                               _tree(RISK_TREE_DEPTH, opt_label)], train, parallelism=2)
     s = spam_m.transform(scored).select("account_id", F.col("prediction").alias("spam_pred"))
     o = opt_m.transform(scored).select("account_id", F.col("prediction").alias("optout_pred"))
-    preds = s.join(o, "account_id")
+    preds = s.join(o, "account_id").join(scored.select("account_id", *TARGETS.values()), "account_id")
     return blend_sweep_top(preds, spam="spam_pred", optout="optout_pred", k=top)
 
 

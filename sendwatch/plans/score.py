@@ -29,27 +29,33 @@ TOP_GEOMEAN = 10
 # -----------------------------------------------------------------------------
 
 
-def blend_sweep_top(features: DataFrame, spam: str = "frac_7726", optout: str = "optout_frac",
+ACTUAL = ("frac_7726", "optout_frac")
+
+
+def blend_sweep_top(predicted: DataFrame, spam: str = "spam_pred", optout: str = "optout_pred",
                     k: int = TOP_PER_WEIGHT) -> DataFrame:
+    """Per spam weight the ``k`` accounts with the highest blend of the two
+    predicted rates, with the actual rates beside them."""
     w = F.col("_i").cast("double") * F.lit(BLEND_STEP)
-    scored = (features.select("account_id", spam, optout,
-                              F.explode(F.sequence(F.lit(0), F.lit(BLEND_STEPS - 1))).alias("_i"))
+    scored = (predicted.select("account_id", spam, optout, *ACTUAL,
+                               F.explode(F.sequence(F.lit(0), F.lit(BLEND_STEPS - 1))).alias("_i"))
               .withColumn("_w", w)
               .withColumn("risk_score", F.col("_w") * F.col(spam) + (F.lit(1.0) - F.col("_w")) * F.col(optout))
               .withColumn("weight", F.round(F.col("_w"), 1)))
     win = Window.partitionBy("weight").orderBy(F.col("risk_score").desc(), F.col("account_id").asc())
     return (scored.withColumn("rnk", F.row_number().over(win).cast("bigint")).where(F.col("rnk") <= k)
-            .select("weight", "rnk", "account_id", spam, optout, "risk_score"))
+            .select("weight", "rnk", "account_id", spam, optout, *ACTUAL, "risk_score"))
 
 
-def risk_capped(features_p2: DataFrame) -> DataFrame:
-    r = risk_frame(features_p2)
-    return r.select("account_id", "optout_frac", "risk",
+def risk_capped(predicted: DataFrame) -> DataFrame:
+    """Risk score of the predicted opt-out rate, capped, beside the actual rate."""
+    r = risk_frame(predicted)
+    return r.select("account_id", "optout_pred", "optout_frac", "risk",
                     F.least(F.col("risk"), F.lit(RISK_CAP)).alias("risk_capped"))
 
 
-def risk_quantile(features_p2: DataFrame) -> DataFrame:
-    return stats.quantile_summary(risk_frame(features_p2), "risk", RISK_QUANTILE, RISK_CAP)
+def risk_quantile(predicted: DataFrame) -> DataFrame:
+    return stats.quantile_summary(risk_frame(predicted), "risk", RISK_QUANTILE, RISK_CAP)
 
 
 def geomean_top(features: DataFrame, plus_one: bool = False, k: int = TOP_GEOMEAN) -> DataFrame:

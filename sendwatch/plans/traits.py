@@ -13,18 +13,15 @@ from pyspark.sql import functions as F
 from sendwatch.config import DEFAULT_PARAMS, Params, Period
 from sendwatch.functions.dates import complete_months, date_lit, ts_lit, week_key
 from sendwatch.operators.tiles import tile_cutpoints
-from sendwatch.plans.rates import message_snapshot
+from sendwatch.plans.rates import WEEK_TRAITS, message_snapshot, week_trait_counts
+from sendwatch.session import materialize
 from sendwatch.sources import Sources
-from sendwatch.sources.fixtures import DEFAULT_NAME_MARKER
 
 # --- fixed values: age and family-size buckets (months / sub-accounts) ------
 AGE_CUTS = (11, 26, 47)
 CUTPOINT_TILES = (0, 25, 50, 75)
 # ---------------------------------------------------------------------------
 
-WEEK_TRAITS = ["from_cc", "to_cc", "from_type", "status"]
-
-
 def _live_accounts(src: Sources, params: Params) -> DataFrame:
     return (src.accounts.where(F.col("date_created") < ts_lit(params.ages_as_of))
             .withColumn("family_id", F.coalesce("parent_sid", "sid")))
@@ -76,11 +73,11 @@ def family_size(traits: DataFrame) -> DataFrame:
     return traits.select("sid", (F.coalesce("num_sub", F.lit(0)) + 1).alias("fam_size")).distinct()
 
 
-def default_name_flags(src: Sources) -> DataFrame:
+def default_name_flags(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """sid, friendly_name and whether the name is the default one."""
     return src.accounts.select(
         "sid", "friendly_name",
-        F.when(F.col("friendly_name").contains(DEFAULT_NAME_MARKER), 1).otherwise(0).alias("default_name"))
+        F.when(F.col("friendly_name").contains(params.default_name_marker), 1).otherwise(0).alias("default_name"))
 
 
 def age_cutpoints(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
@@ -94,12 +91,12 @@ def subaccount_cutpoints(src: Sources, params: Params = DEFAULT_PARAMS) -> DataF
     return tile_cutpoints(fams, "num_sub", CUTPOINT_TILES)
 
 
-def _week_trait_frequencies(snap: DataFrame) -> DataFrame:
-    """(account, week, trait, value) -> count, NULL values included, from one
-    pass over the snapshot."""
-    long = (snap.select("account_id", week_key(F.col("sent_date")).alias("wk"), *WEEK_TRAITS)
-            .unpivot(["account_id", "wk"], WEEK_TRAITS, "trait", "value"))
-    return long.groupBy("account_id", "wk", "trait", "value").agg(F.count(F.lit(1)).alias("ct"))
+def _week_trait_frequencies(counts: DataFrame) -> DataFrame:
+    """(account, week, trait, value) -> count, NULL values included. The
+    fan-out by trait is over aggregated counts, not over messages."""
+    long = (counts.select("account_id", "wk", "ct", *WEEK_TRAITS)
+            .unpivot(["account_id", "wk", "ct"], WEEK_TRAITS, "trait", "value"))
+    return long.groupBy("account_id", "wk", "trait", "value").agg(F.sum("ct").alias("ct"))
 
 
 def week_volume(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS,
@@ -111,18 +108,21 @@ def week_volume(src: Sources, period: Period | None = None, params: Params = DEF
 
 
 def week_dominant_traits(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS,
-                         snapshot: DataFrame | None = None) -> DataFrame:
+                         snapshot: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Per account-week: most frequent non-NULL origin country, destination
     country, sender type and status, plus the week's message volume. Weeks
     without any origin country are absent (the table is keyed on it).
 
-    One pass over the snapshot: (account, week, trait, value) counts, then
+    One pass over the snapshot: counts per account, week and combination of
+    traits (``counts``, if they are there already), of these counts per
+    (account, week, trait, value), then
     per (account, week, trait) the mode (struct-min over non-NULL values,
     ties to the smallest value) and the total (every message carries each
     trait, NULL included, so any trait's total is the week's volume)."""
     period = period or params.month
-    snap = snapshot if snapshot is not None else message_snapshot(src, period)
-    freq = _week_trait_frequencies(snap)
+    if counts is None:
+        counts = week_trait_counts(snapshot if snapshot is not None else message_snapshot(src, period))
+    freq = _week_trait_frequencies(counts)
     pick = F.min(F.when(F.col("value").isNotNull(),
                         F.struct((-F.col("ct")).alias("neg_ct"), F.col("value").alias("v"))))
     per_trait = (freq.groupBy("account_id", "wk", "trait")
@@ -134,12 +134,13 @@ def week_dominant_traits(src: Sources, period: Period | None = None, params: Par
 
 
 def week_wide(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """Weekly rates joined to the week's dominant traits and account traits."""
+    """Weekly rates joined to the week's dominant traits and account traits.
+    Both come from one aggregate of the messages, written once."""
     from sendwatch.plans.rates import week_unwanted_rates
 
-    snap = message_snapshot(src, params.month)
-    u = week_unwanted_rates(src, params.month, params, snapshot=snap)
-    r = week_dominant_traits(src, params.month, params, snapshot=snap)
+    counts = materialize(week_trait_counts(message_snapshot(src, params.month)))
+    u = week_unwanted_rates(src, params.month, params, counts=counts)
+    r = week_dominant_traits(src, params.month, params, counts=counts)
     a = account_traits(src, params)
     j = u.join(r, ["account_id", "wk"], "inner")
     return j.join(a, j["account_id"] == a["sid"], "inner")

@@ -10,11 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sendwatch.config import DEFAULT_PARAMS as PRM
 from sendwatch.plans import (assemble, bodies, complaints, feature_profile, models, profile, rates,
                              score, suspension, traits)
 from sendwatch.session import materialize
 from sendwatch.sources import Sources, load
+from sendwatch.sources.fixtures import FIXTURE_PARAMS as PRM
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -38,7 +38,7 @@ def _relational() -> dict[str, QueryFn]:
         "account_traits": _q(lambda s: traits.account_traits(s)),
         "isv_flag": _q(lambda s: traits.isv_crosswalk(s)),
         "family_size": _q(lambda s: traits.family_size(traits.account_traits(s))),
-        "default_name_flag": _q(lambda s: traits.default_name_flags(s)),
+        "default_name_flag": _q(lambda s: traits.default_name_flags(s, PRM)),
         "age_tile_cutpoints": _q(lambda s: traits.age_cutpoints(s)),
         "subaccount_tile_cutpoints": _q(lambda s: traits.subaccount_cutpoints(s)),
         "account_wide_p1": _q(lambda s: rates.account_wide(s, PRM.period1, traits.account_traits(s))),
@@ -57,14 +57,14 @@ def _f1(fn: Callable[[DataFrame], DataFrame], shared: bool = False) -> QueryFn:
     table is written once under the checkpoint folder and read back instead
     of re-running the feature joins per branch."""
     if shared:
-        return _q(lambda s: fn(materialize(assemble.features_p1(s))))
-    return _q(lambda s: fn(assemble.features_p1(s)))
+        return _q(lambda s: fn(materialize(assemble.features_p1(s, PRM))))
+    return _q(lambda s: fn(assemble.features_p1(s, PRM)))
 
 
 def _f2(fn: Callable[[DataFrame], DataFrame], shared: bool = False) -> QueryFn:
     if shared:
-        return _q(lambda s: fn(materialize(assemble.features_p2(s))))
-    return _q(lambda s: fn(assemble.features_p2(s)))
+        return _q(lambda s: fn(materialize(assemble.features_p2(s, PRM))))
+    return _q(lambda s: fn(assemble.features_p2(s, PRM)))
 
 
 def _profiles() -> dict[str, QueryFn]:
@@ -85,17 +85,25 @@ def _profiles() -> dict[str, QueryFn]:
     }
 
 
+def _predicted(fn: Callable[[DataFrame], DataFrame]) -> QueryFn:
+    """A risk job on the KNN predictions of the scored period."""
+    def run(s: Sources) -> DataFrame:
+        train, _, f2 = _split(s)
+        return fn(materialize(models.knn_predictions(train, f2)))
+    return _q(run)
+
+
 def _features() -> dict[str, QueryFn]:
     return {
-        "features_p1": _q(lambda s: assemble.features_p1(s)),
-        "features_p2": _q(lambda s: assemble.features_p2(s)),
+        "features_p1": _q(lambda s: assemble.features_p1(s, PRM)),
+        "features_p2": _q(lambda s: assemble.features_p2(s, PRM)),
         "describe_features": _f1(feature_profile.describe_features, shared=True),
-        "null_counts": _q(lambda s: feature_profile.null_counts(assemble.merged_period1(s))),
+        "null_counts": _q(lambda s: feature_profile.null_counts(assemble.merged_period1(s, PRM))),
         "corr_long": _f1(feature_profile.corr_features, shared=True),
         "hist_age": _f1(feature_profile.hist_age, shared=True),
         "hist_unreachable": _f1(feature_profile.hist_unreachable, shared=True),
         "hist_21610": _f1(feature_profile.hist_21610, shared=True),
-        "hist_risk": _f2(feature_profile.hist_risk, shared=True),
+        "hist_risk": _predicted(feature_profile.hist_risk),
         "category_counts": _f1(feature_profile.category_counts),
         "cohort_sums": _f1(feature_profile.cohort_sums),
         "cohort_counts": _f1(feature_profile.cohort_counts),
@@ -104,9 +112,9 @@ def _features() -> dict[str, QueryFn]:
         "baseline_rmse": _f2(score.baseline_rmse),
         "geomean_top": _f2(lambda f: score.geomean_top(f)),
         "geomean_plus_top": _f2(lambda f: score.geomean_top(f, plus_one=True)),
-        "blend_sweep_top20": _f2(lambda f: score.blend_sweep_top(f)),
-        "risk_capped": _f2(score.risk_capped),
-        "risk_quantile": _f2(score.risk_quantile, shared=True),
+        "blend_sweep_top20": _predicted(lambda f: score.blend_sweep_top(f)),
+        "risk_capped": _predicted(score.risk_capped),
+        "risk_quantile": _predicted(score.risk_quantile),
         "sorted_21610": _f1(feature_profile.sorted_column),
     }
 
@@ -114,9 +122,9 @@ def _features() -> dict[str, QueryFn]:
 def _split(s: Sources):
     """Feature tables cut from their lineage once (reliable checkpoint), so
     the neighbour search's block sizing and scoring do not recompute them."""
-    f1 = materialize(assemble.features_p1(s))
+    f1 = materialize(assemble.features_p1(s, PRM))
     flag = assemble.split_flag(PRM)
-    return f1.where(flag), f1.where(~flag), materialize(assemble.features_p2(s))
+    return f1.where(flag), f1.where(~flag), materialize(assemble.features_p2(s, PRM))
 
 
 def _knn() -> dict[str, QueryFn]:
@@ -143,7 +151,7 @@ def _knn() -> dict[str, QueryFn]:
 def _ml() -> dict[str, QueryFn]:
     """Model-training jobs (no SQL oracle; checked against brute force in tests)."""
     def frames(s: Sources):
-        return models.model_frames(assemble.features_p1(s), assemble.features_p2(s), PRM)
+        return models.model_frames(assemble.features_p1(s, PRM), assemble.features_p2(s, PRM), PRM)
 
     def tree_sweep(s):
         tr, te, _ = frames(s)

@@ -19,6 +19,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sendwatch.config import Params
 from sendwatch.functions.dates import ts_lit
 from sendwatch.sources.tables import read_table
 
@@ -66,6 +67,8 @@ TICKET_TAGS = {0: "vip,carrier_complaint__sms/voice__spam_abo",
                4: "consumer__harassment_abo,x"}
 TICKET_TAGS_DEFAULT = "carrier_complaint__sms/voice__fraud_abo"
 DEFAULT_NAME_MARKER = "BUILDING"
+# the mapped accounts are small: their volume gate, and their marker of a default name
+FIXTURE_PARAMS = Params(min_attempted=15, default_name_marker=DEFAULT_NAME_MARKER)
 # ---------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from sendwatch.config import DEFAULT_PARAMS as PRM
+from sendwatch.sources.fixtures import FIXTURE_PARAMS as PRM
 from sendwatch.plans import assemble, complaints, rates, traits
 
 T = dt.datetime
@@ -72,7 +72,7 @@ def test_missing_family_root_and_two_names(spark):
     assert tr[21].family_id == 20 and tr[21].num_sub == 0 and tr[21].age == 2
     fam = {r.sid: r.fam_size for r in traits.family_size(traits.account_traits(src)).collect()}
     assert fam == {10: 2, 11: 2, 21: 1}
-    _, _, names = assemble._side_tables(src, PRM)
+    _, names = assemble._side_tables(src, PRM)
     got = {r.account_id: r.default_name for r in names.collect()}
     assert got == {10: 1, 11: 0, 21: 0}          # one row per account: max over its names
 

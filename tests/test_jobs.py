@@ -1,19 +1,15 @@
 """Jobs on the smallest driver tables: oracle agreement (DuckDB), invariants
 and plan shape."""
 
-import os
-
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from sendwatch import oracle, registry
+from sendwatch.sources.fixtures import FIXTURE_PARAMS
 from tests.conftest import SF_SMALL
 
-FULL = os.environ.get("SENDWATCH_FULL") == "1"
-CORE = ["account_rates", "account_error_counts", "week_unwanted_rates", "week_dominant_traits",
-        "account_traits", "aup_messages", "fraud_messages", "top_body_per_account",
-        "complaint_rate_account", "complaint_rate_month", "share_cc_pair", "age_tile_cutpoints",
-        "features_p1", "blend_sweep_top20"]
+OWN_SQL = oracle.oracle_sql()
 
 
 def _compare(spark, name, sf_dir=SF_SMALL):
@@ -27,21 +23,15 @@ def _compare(spark, name, sf_dir=SF_SMALL):
     assert rows_of(df.columns, s_rows, True) == rows_of(rel.columns, o_rows, True)
 
 
-@pytest.mark.parametrize("name", CORE)
-def test_core_queries_match_oracle(spark, name):
-    _compare(spark, name)
-
-
-@pytest.mark.skipif(not FULL, reason="set SENDWATCH_FULL=1 for every registered oracle")
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(OWN_SQL))
 def test_all_queries_match_oracle(spark, name):
     _compare(spark, name)
 
 
 def test_every_query_has_oracle_or_is_model_job():
-    no_sql = set(E.queries()) - set(E.oracle_sql())
-    assert no_sql <= {"top_predictions", "top_predictions_spam", "gbt_lad", "tree_depth_sweep", "forest_depth_sweep", "tree_best_depth", "importance_trees",
-                      "importance_permutation", "leaderboard", "risk_ranking"}
+    no_sql = set(registry.queries()) - set(OWN_SQL)
+    assert no_sql <= {"top_predictions", "top_predictions_spam", "gbt_lad", "tree_depth_sweep", "forest_depth_sweep",
+                      "tree_best_depth", "importance_trees", "importance_permutation", "leaderboard", "risk_ranking"}
 
 
 def test_entry_runs(spark):
@@ -72,18 +62,15 @@ def test_delivered_null_not_zero(spark, src_small):
     assert df.where(F.col("delivered") == 0).count() == 0
 
 
-def test_blend_weight_zero_is_optout(spark, src_small):
-    from sendwatch.plans import assemble, score
-
-    f2 = assemble.features_p2(src_small)
-    top = score.blend_sweep_top(f2).where(F.col("weight") == 0.0)
-    assert top.where(F.col("risk_score") != F.col("optout_frac")).count() == 0
+def test_blend_weight_zero_is_optout(spark):
+    top = E.queries()["blend_sweep_top20"](spark, SF_SMALL).where(F.col("weight") == 0.0)
+    assert top.count() and top.where(F.col("risk_score") != F.col("optout_pred")).count() == 0
 
 
 def test_feature_rates_are_fractions(spark, src_small):
     from sendwatch.plans import assemble
 
-    f1 = assemble.features_p1(src_small)
+    f1 = assemble.features_p1(src_small, FIXTURE_PARAMS)
     assert f1.where((F.col("aup_frac") > 1) | (F.col("fraud_frac") > 1)).count() == 0
     assert f1.where((F.col("attempted") <= 15) | (F.col("delivered") <= 1)).count() == 0
 
@@ -112,17 +99,34 @@ def test_account_rates_single_scan_with_pushed_filters(spark, src_small):
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in scans[0]
 
 
-def test_blend_top_k_is_group_limited(spark, src_small):
-    from sendwatch.plans import assemble, score
+def test_volume_gate_default(spark, src_small):
+    from sendwatch.config import Params
+    from sendwatch.plans import assemble
+
+    assert Params().min_attempted == 1000
+    assert assemble.features_p1(src_small).where("attempted <= 1000").count() == 0
+
+
+def _event_scans(df):
+    return [line for line in _plan(df).split("\n") if "FileScan parquet" in line and "events" in line]
+
+
+@pytest.mark.parametrize("name", ["features_p1", "features_p2", "account_wide_p1", "aup_messages"])
+def test_messages_are_scanned_once(spark, name):
+    scans = [s for s in _event_scans(registry.queries()[name](spark, SF_SMALL)) if "event_type" in s or "user_id" in s]
+    messages = [s for s in scans if "signup" not in s]
+    assert 1 <= len(messages) <= 2  # messages, and the opt-out log that the fixture maps onto the same file
+
 
-    df = score.blend_sweep_top(assemble.features_p2(src_small))
+def test_blend_top_k_is_group_limited(spark):
+    df = E.queries()["blend_sweep_top20"](spark, SF_SMALL)
     df.collect()
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_no_registered_query_plans_a_cartesian_product(spark):
     bad = []
-    for name in sorted(E.oracle_sql()):
+    for name in sorted(registry.queries()):
         plan = _plan(E.queries()[name](spark, SF_SMALL))
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             bad.append(name)

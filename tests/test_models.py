@@ -85,3 +85,57 @@ def test_huber_boosting_first_steps_match_numpy(tiny):
         f = f + 0.1 * np.array([values[lf] for lf in leaf])
     got = [r["prediction"] for r in model.transform(frame).select("prediction").collect()]
     assert np.allclose(got, f, rtol=1e-12, atol=1e-12)
+
+
+def test_sweep_has_every_depth(tiny):
+    """Depths beyond Spark's limit hold the saturated model."""
+    train, test = tiny.where("account_id % 3 != 0"), tiny.where("account_id % 3 = 0")
+    rows = models.depth_sweep(train, test, "tree").collect()
+    assert sorted((r.target, r.depth) for r in rows) == sorted((t, d) for t in models.TARGETS for d in range(1, 51))
+    by = {(r.target, r.depth): r for r in rows}
+    assert all(r.reached for r in rows)
+    for t in models.TARGETS:
+        assert by[t, 50].test_rmse == by[t, 30].test_rmse
+
+
+def test_permutation_is_one_at_every_size(spark):
+    """Every variant's values are a permutation of the feature's values, and are moved."""
+    for n in (5, 700):
+        df = spark.range(n).selectExpr("id AS account_id", "id * 10.0 AS x", "explode(array(0, 1)) AS j", "0 AS r")
+        got = models.permuted_values(df, F.col("x")).toPandas()
+        assert len(got) == 2 * n
+        for _, part in got.groupby("j"):
+            assert sorted(part._perm) == sorted(part.x)
+        assert n < 50 or (got._perm != got.x).mean() > 0.95
+
+
+def test_leaderboard_and_rankings(tiny):
+    """Registered model jobs against numpy on their own predictions."""
+    train, scored = tiny.where("account_id % 3 != 0"), tiny.where("account_id % 3 = 0")
+    label = "optout_frac"
+    board = {(r.target, r.model): r for r in models.leaderboard(train, scored).collect()}
+    y = np.array([r[label] for r in scored.select(label).collect()])
+    assert board["optout", "mean"].rmse == pytest.approx(y.std(), abs=1e-6)
+    m = models._tree(models.BEST_TREE_DEPTH["optout"], label).fit(train)
+    p = np.array([(r[label], r.prediction) for r in m.transform(scored).collect()])
+    assert board["optout", "tree"].rmse == pytest.approx(np.sqrt(((p[:, 0] - p[:, 1]) ** 2).mean()), abs=1e-6)
+    top = models.top_predictions(train, scored, "optout", k=3).where("model = 'tree'").orderBy("rnk").collect()
+    assert [round(v, 6) for v in sorted(p[:, 1])[::-1][:3]] == [r.pred for r in top]
+    ranks = models.risk_ranking(train, scored, top=4)
+    assert ranks.count() == 40 and {"optout_frac", "frac_7726"} <= set(ranks.columns)
+    for r in ranks.collect():
+        assert r.risk_score == pytest.approx(r.weight * r.spam_pred + (1 - r.weight) * r.optout_pred)
+    gbt = models.gbt_scores(train, scored).collect()
+    assert len(gbt) == scored.count()
+    imp = models.importance_trees(train).groupBy("model", "target").agg(F.sum("importance").alias("s")).collect()
+    assert all(r.s == pytest.approx(1, abs=1e-4) for r in imp) and len(imp) == 6
+    perm = {r.feature: r.importance for r in models.permutation_importance(train, scored, "optout", k=3, repeats=2).collect()}
+    assert set(perm) == set(FEATURES)
+
+
+def test_knn_bound_takes_a_reproducible_part(tiny):
+    from sendwatch.operators import knn
+
+    a, b = (knn.nearest_neighbours(tiny.repartition(n), tiny.repartition(n + 2), "account_id", FEATURES, "optout_frac",
+                                   4, max_train_rows=20).orderBy("qid", "rank").collect() for n in (1, 3))
+    assert a == b and len({r.tid for r in a}) <= 20 and len(a) == 4 * tiny.count()

@@ -76,8 +76,7 @@ def test_knn_matches_numpy_brute_force(spark):
     query = spark.createDataFrame([(100 + i, *map(float, q[i]), 0.0) for i in range(25)],
                                   "id long, f0 double, f1 double, f2 double, y double")
     k = 7
-    # block_rows small enough to force several blocks on both sides
-    nn = knn.nearest_neighbours(query, train, "id", ["f0", "f1", "f2"], "y", k, block_rows=16)
+    nn = knn.nearest_neighbours(query, train, "id", ["f0", "f1", "f2"], "y", k)
     got = {}
     for r in nn.collect():
         got.setdefault(r.qid, []).append((r.rank, r.tid))
