@@ -34,7 +34,7 @@ def share_of(src: Sources, column: str, period: Period | None = None,
 def share_cc_pair(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS,
                   snapshot: DataFrame | None = None) -> DataFrame:
     f = frequency_with_share(_snap(src, period, params, snapshot), ["from_cc", "to_cc"], "ct_pair", "perc_pair")
-    return f.orderBy(F.col("ct_pair").desc())
+    return f.orderBy(F.col("ct_pair").desc(), F.col("from_cc").asc_nulls_last(), F.col("to_cc").asc_nulls_last())
 
 
 def share_error_code(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS,
@@ -42,7 +42,7 @@ def share_error_code(src: Sources, period: Period | None = None, params: Params
     """Share of each non-zero error code among messages that failed."""
     snap = _snap(src, period, params, snapshot).where(F.col("error_code") != 0)
     f = frequency_with_share(snap, ["error_code"], "ct_error_code", "perc_error_code")
-    return f.orderBy(F.col("ct_error_code").desc())
+    return f.orderBy(F.col("ct_error_code").desc(), F.col("error_code").asc())
 
 
 def top_error_codes(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS,

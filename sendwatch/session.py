@@ -24,6 +24,11 @@ BROADCAST_BOUND_BYTES = 64 * 1024 * 1024
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "sendwatch") -> SparkSession:
+    """The active session if there is one (a cluster's, with its own master and
+    partitions); else, for tests and the bench, a local one."""
+    active = SparkSession.getActiveSession()
+    if active is not None and master is None:
+        return active
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     master = master or f"local[{cpus}]"
     shuffle_partitions = shuffle_partitions or max(2 * cpus, 8)

@@ -1,8 +1,8 @@
 """Typed readers for the driver's Parquet tables.
 
-Schemas are declared, never inferred: on a 100 TB directory Spark then reads
-no footers up front, and a drifting file fails loudly instead of silently
-widening a column. Only the columns a job touches are ever decoded (Catalyst
+Schemas are declared. A declared Parquet schema gives NULLs for a column that
+a file does not have, so the table's columns are checked by name when it is
+opened (one footer), and tables that are not declared are refused. Only the columns a job touches are ever decoded (Catalyst
 prunes the ``ReadSchema``), and comparisons on raw columns reach the scan as
 ``PushedFilters``.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SCHEMAS: dict[str, str] = {
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
@@ -28,8 +29,11 @@ SCHEMAS: dict[str, str] = {
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name not in SCHEMAS:
+        raise ValueError(f"undeclared table {name!r}")
     path = os.path.join(sf_dir, f"{name}.parquet")
-    reader = spark.read
-    if name in SCHEMAS:
-        reader = reader.schema(SCHEMAS[name])
-    return reader.parquet(path)
+    found = spark.read.parquet(path).columns
+    missing = [f.name for f in StructType.fromDDL(SCHEMAS[name]) if f.name not in found]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    return spark.read.schema(SCHEMAS[name]).parquet(path)
