@@ -614,9 +614,9 @@ SELECT age < 12 AS under_1_yr, fam_size < 50 AS under_50_fam, count(*) AS n_rows
   {", ".join(f"round(sum(CAST({c} AS double)), 6) AS sum_{c}" for c in NUMERIC)}
 FROM features_p1 GROUP BY 1, 2
 """
-Q["cohort_counts"] = FEATURES + """
+Q["cohort_counts"] = FEATURES + f"""
 SELECT age < 12 AS under_1_yr, fam_size < 50 AS under_50_fam, count(*) AS n_rows,
-  count(age) AS cnt_age, count(fam_size) AS cnt_fam_size
+  {", ".join(f"count({c}) AS cnt_{c}" for c in NUMERIC)}
 FROM features_p1 GROUP BY 1, 2
 """
 Q["column_totals"] = FEATURES + f"""

@@ -71,7 +71,7 @@ def cohort_sums(features: DataFrame) -> DataFrame:
 
 def cohort_counts(features: DataFrame) -> DataFrame:
     return features.groupBy(*_cohorts(features)).agg(
-        F.count(F.lit(1)).alias("n_rows"), *[F.count(c).alias(f"cnt_{c}") for c in ("age", "fam_size")])
+        F.count(F.lit(1)).alias("n_rows"), *[F.count(c).alias(f"cnt_{c}") for c in NUMERIC])
 
 
 def column_totals(features: DataFrame) -> DataFrame:

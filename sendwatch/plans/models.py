@@ -48,6 +48,9 @@ RISK_TREE_DEPTH = 7
 PERMUTATION_REPEATS = 5
 MAX_BINS = 256
 SEED = 0
+# Models are fitted on at most about this many labelled rows (all of them when there are fewer):
+# tree nodes on the driver and exact medians of residuals are bounded by it.
+MAX_FIT_ROWS = 1_000_000
 # -----------------------------------------------------------------------------
 
 
@@ -62,7 +65,15 @@ def model_frames(features_p1: DataFrame, features_p2: DataFrame, params: Params
     Materialised once (reliable checkpoint) and reused by every fit."""
     p1 = materialize(_vectorised(features_p1).withColumn("is_train", split_flag(params)))
     p2 = materialize(_vectorised(features_p2))
-    return p1.where("is_train"), p1.where("NOT is_train"), p2
+    return fit_rows(p1.where("is_train")), p1.where("NOT is_train"), p2
+
+
+def fit_rows(train: DataFrame, most: int = MAX_FIT_ROWS) -> DataFrame:
+    """The rows that models are fitted on: those whose account hash is below the
+    share ``most`` / rows, so about ``most`` at any size and all up to it."""
+    share = min(1.0, most / max(1, train.count()))
+    place = F.pmod(F.xxhash64("account_id", F.lit("fit")), F.lit(1 << 30))
+    return train.where(place < int(share * (1 << 30)))
 
 
 def _tree(depth: int, label: str) -> DecisionTreeRegressor:
@@ -227,6 +238,8 @@ def importance_trees(train: DataFrame) -> DataFrame:
         ests = {"tree": _tree(BEST_TREE_DEPTH[tname], label),
                 "forest": _forest(BEST_FOREST_DEPTH[tname], label),
                 "bagging": _bagging(label)}
+        if tname == "spam":
+            ests["boosting"] = _gbt(label, GBT_SPAM["loss"], GBT_SPAM["maxDepth"], GBT_SPAM["maxIter"])
         models = _fit_all(list(ests.values()), train)
         out += [_importances(m, n, tname, spark) for n, m in zip(ests, models)]
     return _union(out).withColumn("importance", r6(F.col("importance")))
@@ -310,6 +323,8 @@ def top_predictions(train: DataFrame, scored: DataFrame, target: str = "optout",
     ests = {"tree": _tree(BEST_TREE_DEPTH[target], label),
             "forest": _forest(BEST_FOREST_DEPTH[target], label),
             "bagging": _bagging(label)}
+    if target == "spam":
+        ests["boosting"] = _gbt(label, GBT_SPAM["loss"], GBT_SPAM["maxDepth"], GBT_SPAM["maxIter"])
     models = _fit_all(list(ests.values()), train)
     frames = [m.transform(scored).select("account_id", F.col(label).alias("actual"),
                                          F.col("prediction").alias("pred"), F.lit(n).alias("model"))

@@ -165,6 +165,10 @@ def _ml() -> dict[str, QueryFn]:
         tr, te, _ = frames(s)
         return models.best_param(models.depth_sweep(tr, te, "tree"), "depth")
 
+    def forest_best_depth(s):
+        tr, te, _ = frames(s)
+        return models.best_param(models.depth_sweep(tr, te, "forest"), "depth")
+
     def importances(s):
         tr, _, _ = frames(s)
         return models.importance_trees(tr)
@@ -173,6 +177,10 @@ def _ml() -> dict[str, QueryFn]:
         tr, _, sc = frames(s)
         return models.permutation_importance(tr, sc, "optout")
 
+    def permutation_spam(s):
+        tr, _, sc = frames(s)
+        return models.permutation_importance(tr, sc, "spam")
+
     def board(s):
         tr, _, sc = frames(s)
         return models.leaderboard(tr, sc)
@@ -196,6 +204,7 @@ def _ml() -> dict[str, QueryFn]:
     return {"top_predictions": _q(top_pred), "top_predictions_spam": _q(top_pred_spam), "gbt_lad": _q(gbt_lad),
             "tree_depth_sweep": _q(tree_sweep), "forest_depth_sweep": _q(forest_sweep),
             "tree_best_depth": _q(best_depth), "importance_trees": _q(importances),
+            "forest_best_depth": _q(forest_best_depth), "importance_permutation_spam": _q(permutation_spam),
             "importance_permutation": _q(permutation), "leaderboard": _q(board),
             "risk_ranking": _q(ranking)}
 

@@ -31,7 +31,7 @@ def test_all_queries_match_oracle(spark, name):
 def test_every_query_has_oracle_or_is_model_job():
     no_sql = set(registry.queries()) - set(OWN_SQL)
     assert no_sql <= {"top_predictions", "top_predictions_spam", "gbt_lad", "tree_depth_sweep", "forest_depth_sweep",
-                      "tree_best_depth", "importance_trees", "importance_permutation", "leaderboard", "risk_ranking"}
+                      "tree_best_depth", "importance_trees", "importance_permutation", "importance_permutation_spam", "forest_best_depth", "leaderboard", "risk_ranking"}
 
 
 def test_entry_runs(spark):

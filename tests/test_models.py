@@ -128,7 +128,7 @@ def test_leaderboard_and_rankings(tiny):
     gbt = models.gbt_scores(train, scored).collect()
     assert len(gbt) == scored.count()
     imp = models.importance_trees(train).groupBy("model", "target").agg(F.sum("importance").alias("s")).collect()
-    assert all(r.s == pytest.approx(1, abs=1e-4) for r in imp) and len(imp) == 6
+    assert all(r.s == pytest.approx(1, abs=1e-4) for r in imp) and len(imp) == 7
     perm = {r.feature: r.importance for r in models.permutation_importance(train, scored, "optout", k=3, repeats=2).collect()}
     assert set(perm) == set(FEATURES)
 
@@ -139,3 +139,10 @@ def test_knn_bound_takes_a_reproducible_part(tiny):
     a, b = (knn.nearest_neighbours(tiny.repartition(n), tiny.repartition(n + 2), "account_id", FEATURES, "optout_frac",
                                    4, max_train_rows=20).orderBy("qid", "rank").collect() for n in (1, 3))
     assert a == b and len({r.tid for r in a}) <= 20 and len(a) == 4 * tiny.count()
+
+
+def test_fit_rows_bound(spark):
+    df = spark.range(20_000).toDF("account_id")
+    assert models.fit_rows(df).count() == 20_000
+    part = models.fit_rows(df, most=2_000).count()
+    assert 1_700 < part < 2_300
