@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 def within_days_before(days: DataFrame, events: DataFrame, key: str, day_col: str,
                        event_day_col: str, before_days: int) -> DataFrame:
-    cond = ((days[key] == events[key])
-            & (days[day_col] >= F.date_sub(events[event_day_col], before_days))
-            & (days[day_col] <= events[event_day_col]))
-    return days.join(events, cond, "inner").drop(events[key])
+    events = events.withColumnRenamed(key, "_event_key")
+    cond = ((F.col(key) == F.col("_event_key"))
+            & (F.col(day_col) >= F.date_sub(event_day_col, before_days))
+            & (F.col(day_col) <= F.col(event_day_col)))
+    return days.join(events, cond, "inner").drop("_event_key")

@@ -24,6 +24,7 @@ from sendwatch.functions.dates import date_lit, ts_lit
 from sendwatch.operators.interval_join import within_days_before
 from sendwatch.operators.top1 import latest_per_group
 from sendwatch.plans import rates
+from sendwatch.session import materialize
 from sendwatch.sources import Sources
 
 SUSPENDED_EVENT = "Account suspended"
@@ -45,10 +46,24 @@ def suspensions_in(src: Sources, period: Period, category: str) -> DataFrame:
                    & (F.col("suspension_day") <= date_lit(period.last)))
 
 
-def suspension_day_counts(src: Sources, period: Period, params: Params = DEFAULT_PARAMS) -> DataFrame:
+# a list of suspended accounts up to this length is sent to the scan (8 MB of ids)
+BROADCAST_ACCOUNTS = 1_000_000
+
+
+def only_accounts(messages: DataFrame, accounts: DataFrame, most: int = BROADCAST_ACCOUNTS) -> DataFrame:
+    """``messages`` of ``accounts`` if these are few enough to broadcast, else
+    all of them (the join after the aggregate then selects): raw messages are
+    never shuffled for the list. Pass ``accounts`` materialised."""
+    listed = accounts.select("account_id").distinct()
+    if listed.limit(most + 1).count() > most:
+        return messages
+    return messages.join(F.broadcast(listed), "account_id", "left_semi")
+
+
+def suspension_day_counts(src: Sources, period: Period, params: Params = DEFAULT_PARAMS,
+                          accounts: DataFrame | None = None) -> DataFrame:
     """Delivered, unflagged messages per account and creation day, with one
-    count per category lookback; shared by the AUP and FRAUD attribution of
-    the same suspension period (one scan, one shuffle)."""
+    count per category lookback. ``accounts``: those whose days are wanted."""
     window = params.suspension_window_days
     lookbacks = {"aup": period.first - dt.timedelta(days=params.aup_lookback_days),
                  "fraud": period.first - dt.timedelta(days=params.fraud_lookback_days)}
@@ -60,14 +75,18 @@ def suspension_day_counts(src: Sources, period: Period, params: Params = DEFAULT
         & P.load_day_from("data_load_date", min(lookbacks.values())))
     counts = [F.count_if(P.ts_from("date_created", lb) & P.load_day_from("data_load_date", lb)).alias(f"ct_{c}")
               for c, lb in lookbacks.items()]
+    if accounts is not None:
+        m = only_accounts(m, accounts)
     return m.groupBy("account_id", F.to_date("date_created").alias("d")).agg(*counts)
 
 
 def messages_before_suspension(src: Sources, period: Period, category: str,
                                params: Params = DEFAULT_PARAMS,
                                per_day: DataFrame | None = None) -> DataFrame:
-    per_day = per_day if per_day is not None else suspension_day_counts(src, period, params)
     s = suspensions_in(src, period, category)
+    if per_day is None:
+        s = materialize(s)
+        per_day = suspension_day_counts(src, period, params, accounts=s)
     j = within_days_before(per_day.select("account_id", "d", F.col(f"ct_{category}").alias("ct")),
                            s, "account_id", "d", "suspension_day", params.suspension_window_days)
     return j.groupBy("account_id").agg(F.sum("ct").alias(category))

@@ -112,3 +112,12 @@ def test_one_pass_equals_separate_passes(spark):
     cols = ["account_id", "attempted", "delivered", *rates.ERROR_COLUMNS, "aup", "fraud"]
     key = lambda r: r.account_id
     assert sorted(got.select(*cols).collect(), key=key) == sorted(want.select(*cols).collect(), key=key)
+
+
+def test_account_list_before_or_after_the_aggregate(spark, src_small):
+    """Few listed accounts filter the scan, many the aggregate; same rows."""
+    accounts = src_small.accounts.selectExpr("sid AS account_id")
+    m = rates.month_messages(src_small, FIXTURE_PARAMS.month)
+    few, many = suspension.only_accounts(m, accounts), suspension.only_accounts(m, accounts, most=3)
+    assert "BroadcastHashJoin" in _plan(few) and "Join" not in _plan(many)
+    assert many.count() == m.count()
