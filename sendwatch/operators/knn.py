@@ -77,7 +77,7 @@ def knn_predict(query: DataFrame, train: DataFrame, id_col: str, features: Seque
 
 def knn_k_sweep(query: DataFrame, train: DataFrame, id_col: str, features: Sequence[str],
                 target: str, k_max: int) -> DataFrame:
-    """(k, rmse) for k = 1..k_max from one neighbour search: the prediction
+    """(k, rmse, r2) for k = 1..k_max from one neighbour search: the prediction
     for k is the running mean over the first k neighbours."""
     nn = nearest_neighbours(query, train, id_col, features, target, k_max)
     run = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -85,4 +85,6 @@ def knn_k_sweep(query: DataFrame, train: DataFrame, id_col: str, features: Seque
     actual = query.select(F.col(id_col).alias("qid"), F.col(target).cast("double").alias("actual"))
     err = F.col("actual") - F.col("pred")
     se = preds.join(actual, "qid").withColumn("se", err * err)
-    return se.groupBy("k").agg(F.sqrt(F.avg("se")).alias("rmse"))
+    sst = F.var_pop("actual") * F.count("actual")
+    return se.groupBy("k").agg(F.sqrt(F.avg("se")).alias("rmse"),
+                               (F.lit(1.0) - F.try_divide(F.sum("se"), sst)).alias("r2"))

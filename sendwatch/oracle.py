@@ -716,7 +716,9 @@ def _sweep(target_name: str, target: str) -> str:
                                  f"(SELECT * FROM features_p1 WHERE {_SPLIT} {cond})", target, 50))
         parts.append(f"""
 rm_{target_name}_{split} AS (
-  SELECT rn AS k, round(sqrt(avg((actual - pred) * (actual - pred))), 6) AS rmse FROM (
+  SELECT rn AS k, round(sqrt(avg((actual - pred) * (actual - pred))), 6) AS rmse,
+    round(1.0::double - sum((actual - pred) * (actual - pred))
+          / nullif(var_pop(actual) * count(actual), 0), 6) AS r2 FROM (
     SELECT qid, rn, actual,
       avg(y) OVER (PARTITION BY qid ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pred
     FROM nn_{target_name}_{split}) p GROUP BY rn)""")
@@ -724,19 +726,19 @@ rm_{target_name}_{split} AS (
 
 
 Q["knn_k_sweep"] = FEATURES + "," + _sweep("optout", "optout_frac") + "," + _sweep("spam", "frac_7726") + """
-SELECT 'optout' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse
+SELECT 'optout' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse, a.r2 AS train_r2, b.r2 AS test_r2
 FROM rm_optout_train a JOIN rm_optout_test b ON a.k = b.k
 UNION ALL
-SELECT 'spam' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse
+SELECT 'spam' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse, a.r2 AS train_r2, b.r2 AS test_r2
 FROM rm_spam_train a JOIN rm_spam_test b ON a.k = b.k
 """
 
 Q["sorted_21610"] = FEATURES + "SELECT account_id, frac_21610 FROM features_p1 ORDER BY frac_21610 NULLS LAST, account_id"
 
 Q["knn_best_k"] = Q["knn_k_sweep"].replace("""
-SELECT 'optout' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse""", """,
+SELECT 'optout' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse,""", """,
 sweep AS (
-SELECT 'optout' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse""").rstrip() + """)
+SELECT 'optout' AS target, a.k, a.rmse AS train_rmse, b.rmse AS test_rmse,""").rstrip() + """)
 SELECT target, arg_min(k, (test_rmse, k)) AS k, min(test_rmse) AS test_rmse FROM sweep GROUP BY target
 """
 

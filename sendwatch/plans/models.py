@@ -196,16 +196,14 @@ def best_param(sweep: DataFrame, param: str) -> DataFrame:
 
 
 def knn_sweep(train: DataFrame, test: DataFrame, k_max: int = KNN_K_MAX) -> DataFrame:
-    """(target, k, train_rmse, test_rmse) for k = 1..k_max."""
+    """(target, k, RMSE and R^2 on train and test) for k = 1..k_max."""
     out = []
     for tname, label in TARGETS.items():
-        tr = knn.knn_k_sweep(train, train, "account_id", FEATURES, label, k_max)
-        te = knn.knn_k_sweep(test, train, "account_id", FEATURES, label, k_max)
-        out.append(tr.withColumnRenamed("rmse", "train_rmse").join(
-            te.withColumnRenamed("rmse", "test_rmse"), "k").withColumn("target", F.lit(tname)))
-    u = _union(out)
-    return u.select("target", "k", r6(F.col("train_rmse")).alias("train_rmse"),
-                    r6(F.col("test_rmse")).alias("test_rmse"))
+        tr, te = (knn.knn_k_sweep(df, train, "account_id", FEATURES, label, k_max)
+                  .select("k", r6(F.col("rmse")).alias(f"{split}_rmse"), r6(F.col("r2")).alias(f"{split}_r2"))
+                  for df, split in ((train, "train"), (test, "test")))
+        out.append(tr.join(te, "k").withColumn("target", F.lit(tname)))
+    return _union(out).select("target", "k", "train_rmse", "test_rmse", "train_r2", "test_r2")
 
 
 def knn_scores(train: DataFrame, scored: DataFrame, target: str = "optout", k: int | None = None) -> DataFrame:
