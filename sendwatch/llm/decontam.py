@@ -6,10 +6,11 @@ each occurs (fewer than five words form one shingle): the similarity is the
 sum of smaller weights over the sum of larger ones, and a window is a match at
 ``percent`` / 100 or more.
 
-1. A fixed-size bitmap of the items' shingles (``BITMAP_BITS`` bits whatever
-   the benchmark's size) marks the places of a document that can match. A
-   window whose marked places are too few to reach the threshold cannot be a
-   match and is passed over; this bound loses nothing.
+1. A fixed-size bitmap of the items' shingles, alone and with the item's size
+   (2**``BITMAP_BITS`` bits whatever the benchmark's size), marks the places of
+   a document that can match an item of a size. A window with too few marked
+   places of its size to reach the threshold cannot be a match and is passed
+   over; this bound loses nothing.
 2. The other windows get a 64-bit SimHash of their weighted shingles.
    Equal windows, of whichever documents, are one row from here on.
 3. Fingerprints are cut into ``blocks`` parts. If two differ in at most
@@ -96,8 +97,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def sized(shingles: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of (shingle, item size)."""
+    return words.mix(shingles + np.uint64(size) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _items(benchmark: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(item_id, size, k, fp, shingles): items with at least one word."""
+    """(item_id, size, fp, marks, tagged): items with at least one word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -107,22 +113,23 @@ def _items(benchmark: DataFrame, id_col: str, text: str) -> DataFrame:
                     h = words.word_hashes(t)
                     if len(h):
                         s = grams(h, min(words.SHINGLE, len(h)))
-                        rows.append((item, len(h), _signed(simhash(s)), s.view(np.int64).tolist(),
+                        rows.append((item, len(h), _signed(simhash(s)),
+                                     np.concatenate([s, sized(s, len(h))]).view(np.int64).tolist(),
                                      tagged(s).view(np.int64).tolist()))
                 columns = list(zip(*rows)) if rows else [[]] * 5
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                                 ["item_id", "size", "fp", "shingles", "tagged"])
+                                                 ["item_id", "size", "fp", "marks", "tagged"])
 
     return materialize(
         benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("text"))
-        .mapInArrow(run, "item_id long, size int, fp long, shingles array<long>, tagged array<long>"))
+        .mapInArrow(run, "item_id long, size int, fp long, marks array<long>, tagged array<long>"))
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:
     """The bitmap as bytes; at most 2**BITMAP_BITS / 64 words reach the driver."""
     place = F.shiftrightunsigned(F.col("s"), 64 - BITMAP_BITS)
-    bits = (items.select(F.explode("shingles").alias("s"))
+    bits = (items.select(F.explode("marks").alias("s"))
             .select(F.shiftright(place, 6).alias("word"),
                     F.expr(f"shiftleft(1L, cast(shiftrightunsigned(s, {64 - BITMAP_BITS}) & 63 as int))").alias("bit"))
             .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect())
@@ -147,11 +154,17 @@ def windows_of(h: np.ndarray, sizes: list[int], bitmap: np.ndarray, percent: int
         marked = _marked(bitmap, s)
         if not marked.any():
             continue
-        total = np.concatenate([[0], np.cumsum(marked)])
+        places = np.flatnonzero(marked)
         for n in sizes:
             if min(words.SHINGLE, n) != k or n > len(h):
                 continue
             w = n - k + 1  # shingles in a window, and in the item
+            own = places[_marked(bitmap, sized(s[places], n))]
+            if (100 + percent) * len(own) < 2 * percent * w:
+                continue
+            marked[:] = False
+            marked[own] = True
+            total = np.concatenate([[0], np.cumsum(marked)])
             # common <= marked places and common / (2w - common) >= percent / 100
             for start in np.flatnonzero((100 + percent) * (total[w:] - total[:-w]) >= 2 * percent * w).tolist():
                 out.append((n, start, s[start:start + w]))
