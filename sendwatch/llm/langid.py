@@ -49,7 +49,7 @@ class Params:
     order: int = 3           # letters in an n-gram; at most 3 fit the packed form
     dimensions: int = 1024
     seed: int = 7
-    max_languages: int = 10_000  # a larger number of labels is an error, not a cut
+    max_languages: int = 1_000  # a larger number of labels is an error, not a cut
 
 
 _LETTERS = np.zeros(0x110000, dtype=np.int8)  # 0 not looked at, 1 letter, 2 other
