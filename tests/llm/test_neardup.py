@@ -8,10 +8,10 @@ from sendwatch.llm.components import connected_components
 from tests.llm import brute
 
 
-def _check(spark, docs, **kw):
+def _check(spark, docs, p=N.Params()):
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id long, text string, node string, n int")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.groups(df, "doc_id", "text").collect()}
-    want = brute.groups(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.groups(df, "doc_id", "text", p).collect()}
+    want = brute.groups(docs, p.percent)
     assert got == {d: (n, c, c == d) for d, (n, c) in want.items()}
 
 
@@ -53,6 +53,20 @@ def test_large_groups(spark):
     _check(spark, list(enumerate(docs)))
 
 
+def test_cloud_around_the_threshold(spark):
+    """Near copies of a text that is not there: similarities lie on both sides of the threshold,
+    so pivots join few and chunks of the large buckets are compared."""
+    r = random.Random(2)
+    base = [f"v{r.randrange(10 ** 6)}" for _ in range(150)]
+    docs = []
+    for i in range(90):
+        near = list(base)
+        for k in r.sample(range(150), r.choice([1, 2, 3])):
+            near[k] = f"changed{i}-{k}"
+        docs.append(" ".join(near))
+    _check(spark, list(enumerate(docs)), N.Params(percent=94, small_bucket=2, chunk_nodes=20))
+
+
 def test_null_and_repeated_ids(spark):
     t = "one two three four five six seven"
     rows = [(None, t), (None, "lonely text of some seven other words"), (4, t), (9, t), (9, t), (12, None), (None, "")]
@@ -80,6 +94,14 @@ def test_signature_estimates_similarity():
     assert abs((sa == sb).mean() - 1500 / 2500) < 0.12
 
 
+def test_intersections():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(12)]
+    x, y = np.triu_indices(12, 1)
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)]
+    assert N._intersections(sets, x, y).tolist() == want
+
+
 def test_pruning_keeps_links():
     p = N.Params()
     for n, m in N.fewest_matches(p):
