@@ -6,8 +6,9 @@ the package-merge algorithm gives the optimal code lengths of at most
 ``max_bits``, and canonical codes follow from the lengths alone, which are all
 that ``codebook`` stores.
 
-Documents are written in ascending id order, each with an end id; the order is
-a range exchange over the texts, and every task writes one file:
+Documents are written in ascending id order, each with an end id; texts are
+tokenised once, the order is a range exchange over their ids, and every task
+writes one file:
 
     magic, u32 tokens per block, u32 tokens per checkpoint
     blocks: u32 tokens, u32 words, u32 bit offset of every checkpoint, code words
@@ -33,10 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sendwatch.llm.common import fresh, local_path, materialize, text_slices
+from sendwatch.llm.common import local_path, scratch_dir, text_slices
 from sendwatch.llm.tokens import PartFile, part_number, record_batch, tokenizer
 
 MAGIC = b"HUFIDS01"
@@ -44,9 +46,9 @@ MAGIC = b"HUFIDS01"
 
 @dataclass(frozen=True)
 class Params:
-    max_bits: int = 20
+    max_bits: int = 18
     block_tokens: int = 1 << 16
-    checkpoint_tokens: int = 512
+    checkpoint_tokens: int = 256
     unit_docs: int = 1024  # documents that a reading task takes at a time
 
 
@@ -100,14 +102,15 @@ class Code:
         self.lengths = lengths.astype(np.int64)
         self.codes = canonical_codes(lengths)
         self.bits = int(lengths.max(initial=1))
-        self.symbol = np.zeros(1 << self.bits, dtype=np.uint32)
-        self.length = np.ones(1 << self.bits, dtype=np.int64)
+        # one table of symbol << 5 | length: a single look-up per id
+        self.table = np.ones(1 << self.bits, dtype=np.uint32)
+        if self.bits > 24 or len(lengths) > 1 << 27:
+            raise ValueError("codes of at most 24 bits and ids under 2**27")
         used = np.flatnonzero(lengths)
         used = used[np.lexsort((used, lengths[used]))]
         spans = 1 << (self.bits - self.lengths[used])
         total = int(spans.sum())
-        self.symbol[:total] = np.repeat(used, spans)
-        self.length[:total] = np.repeat(self.lengths[used], spans)
+        self.table[:total] = np.repeat((used << 5 | self.lengths[used]).astype(np.uint32), spans)
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(big-endian 32-bit code words, bit offset of every id)."""
@@ -126,20 +129,21 @@ class Code:
         """Ids of all lanes joined: lane i has counts[i] ids from bit starts[i].
         Lanes run in step, so counts should be alike."""
         words = np.append(words.astype(np.uint64), np.zeros(2, np.uint64))
-        out = np.zeros((len(starts), int(counts.max(initial=0))), dtype=np.uint32)
+        pairs = words[:-1] << np.uint64(32) | words[1:]
+        out = np.zeros((int(counts.max(initial=0)), len(starts)), dtype=np.uint32)
         at = starts.astype(np.int64).copy()
         down = np.uint64(64 - self.bits)
         live = np.argsort(-counts, kind="stable")
         at, left = at[live], counts[live]
-        for k in range(out.shape[1]):
+        for k in range(out.shape[0]):
             n = int(np.searchsorted(-left, -k, side="left"))  # lanes with more than k ids
             now = at[:n]
-            word = now >> 5
-            pair = words[word] << np.uint64(32) | words[word + 1]
-            code = (pair << (now & 31).astype(np.uint64)) >> down
-            out[live[:n], k] = self.symbol[code]
-            at[:n] = now + self.length[code]
-        return out[np.arange(out.shape[1]) < counts[:, None]]
+            code = (pairs[now >> 5] << (now & 31).astype(np.uint64)) >> down
+            out[k, :n] = got = self.table[code]
+            now += got & np.uint32(31)
+        flat = np.empty((len(starts), out.shape[0]), dtype=np.uint32)
+        flat[live] = out.T
+        return flat[np.arange(out.shape[0]) < counts[:, None]] >> np.uint32(5)
 
 
 def encode_block(code: Code, ids: np.ndarray, every: int) -> bytes:
@@ -163,23 +167,57 @@ def decode_blocks(code: Code, blocks: list[bytes], every: int) -> np.ndarray:
 
 # ------------------------------------------------------------------- writing
 
-def count_ids(docs: DataFrame, model_path: str, end_id: int) -> np.ndarray:
-    """Occurrences of every id over all texts, end ids included."""
-    schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
+WIDE = np.dtype("<u4")
+NARROW = np.dtype("<u2")
+
+
+def tokenised(docs: DataFrame, model_path: str, end_id: int) -> DataFrame:
+    """(doc_id, tie, wide, ids): the ids of each text as bytes, end id included;
+    ``wide`` ids take four bytes, others two. Written once, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(model_path)
-        total = np.zeros(max(tok.library.get_vocab_size(), end_id + 1), dtype=np.int64)
+        wide = tok.dtype == WIDE or end_id >> 16 > 0
+        end = np.array([end_id], dtype=WIDE if wide else NARROW).tobytes()
         for whole in batches:
             for b in text_slices(whole, "text"):
-                ids = np.frombuffer(b"".join(tok.encode(b.column("text").to_pylist())), dtype=tok.dtype)
-                total += np.bincount(ids, minlength=len(total))
-                total[end_id] += b.num_rows
+                ids = tok.encode(b.column("text").to_pylist())
+                if wide and tok.dtype != WIDE:
+                    ids = [np.frombuffer(x, tok.dtype).astype(WIDE).tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), b.column("tie"), pa.array([wide] * b.num_rows, pa.bool_()),
+                     pa.array([x + end for x in ids], pa.binary())], ["doc_id", "tie", "wide", "ids"])
+
+    path = scratch_dir(docs.sparkSession, "tables")
+    (docs.withColumn("tie", F.monotonically_increasing_id())
+     .mapInArrow(run, "doc_id long, tie long, wide boolean, ids binary")
+     .write.option("compression", "zstd").parquet(path))
+    return docs.sparkSession.read.parquet(path)
+
+
+def _ids(data: bytes, wide: bool) -> np.ndarray:
+    return np.frombuffer(data, dtype=WIDE if wide else NARROW)
+
+
+def count_ids(tokens: DataFrame) -> np.ndarray:
+    """Occurrences of every id."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype=np.int64)
+        for b in batches:
+            for wide in (False, True):
+                data = b"".join(b.filter(pc.equal(b.column("wide"), wide)).column("ids").to_pylist())
+                n = np.bincount(_ids(data, wide))
+                if len(n) > len(total):
+                    total = np.pad(total, (0, len(n) - len(total)))
+                total[:len(n)] += n
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], schema=schema)
 
-    rows = docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(max([r["id"] for r in rows], default=end_id) + 1, dtype=np.int64)
+    rows = (tokens.select("wide", "ids").mapInArrow(run, "id long, n long")
+            .groupBy("id").agg(F.sum("n").alias("n")).collect())
+    out = np.zeros(max([r["id"] for r in rows], default=0) + 1, dtype=np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
     return out
@@ -230,7 +268,8 @@ def write(df: DataFrame, id_col: str, text: str, folder: str, model_path: str, e
     """Files of all texts under ``folder``, with ``manifest`` and ``codebook``."""
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    lengths = code_lengths(count_ids(docs, model_path, end_id), p.max_bits)
+    tokens = tokenised(docs, model_path, end_id)
+    lengths = code_lengths(count_ids(tokens), p.max_bits)
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, bits int").coalesce(1) \
         .write.parquet(f"{folder}/codebook")
@@ -239,21 +278,16 @@ def write(df: DataFrame, id_col: str, text: str, folder: str, model_path: str, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
-        tok = tokenizer(model_path)
-        for whole in batches:
-            for b in text_slices(whole, "text"):
-                writer = writer or _Writer(f"{folder}/files", Code(handed.value), p)
-                for doc_id, data in zip(b.column("doc_id").to_pylist(), tok.encode(b.column("text").to_pylist())):
-                    ids = np.empty(len(data) // tok.dtype.itemsize + 1, dtype=np.uint32)
-                    ids[:-1] = np.frombuffer(data, dtype=tok.dtype)
-                    ids[-1] = end_id
-                    writer.add(doc_id, ids)
+        for b in batches:
+            writer = writer or _Writer(f"{folder}/files", Code(handed.value), p)
+            for doc_id, wide, data in zip(b.column("doc_id").to_pylist(), b.column("wide").to_pylist(),
+                                          b.column("ids")):
+                writer.add(doc_id, _ids(data.as_py(), wide))
         if writer:
             yield record_batch([writer.close()], schema)
 
-    tie = fresh(docs, "tie")
-    ordered = (docs.withColumn(tie, F.monotonically_increasing_id())
-               .repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie).select("doc_id", "text"))
+    ordered = (tokens.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+               .select("doc_id", "wide", "ids"))
     ordered.mapInArrow(run, "part int, uri string, n_docs long, n_tokens long").write.parquet(f"{folder}/manifest")
 
 
