@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sendwatch.llm import decontam, langid, neardup, pieces, quality
-from sendwatch.llm.common import fresh, materialize, table
+from sendwatch.llm.common import fresh, materialize, share_package, table
 
 # a document's cosine with its language's prototype; texts of a few words in a known language exceed it
 LEAST_LANGUAGE_SCORE = 0.1
@@ -32,6 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: those in no language that the labelled documents teach."""
+    share_package(spark)
     prototypes = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))), "text", "lang")
     return langid.keep_known(docs, "text", prototypes, LEAST_LANGUAGE_SCORE)
 
@@ -39,6 +40,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (similarity 0.8 or more) the document
     with the smallest id stays. A pair at 0.8 shares no band with probability 8e-5."""
+    share_package(spark)
     return neardup.deduplicate(docs, "doc_id", "text", neardup.Params(percent=80, bands=40, rows=7, batch=40))
 
 
@@ -49,6 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and digests of the ids and of their decoding."""
+    share_package(spark)
     return pieces.digests(docs, "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from sendwatch.session import ensure_checkpoint_dir, materialize
 
 __all__ = ["ensure_checkpoint_dir", "fresh", "global_row_numbers", "local_path", "materialize",
-           "null_safe_id", "scratch_dir", "table",
+           "null_safe_id", "scratch_dir", "share_package", "table",
            "text_slices"]
 
 # characters of text that a Python task holds as objects at a time (or one text, if longer)
@@ -23,7 +24,19 @@ BATCH_CHARS = 1_000_000
 NULL_ID_BASE = 1 << 62
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a
+    local session, or nodes with the same installation; elsewhere the path is
+    idle and the package comes by --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
