@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from sendwatch.config import DEFAULT_PARAMS, Params, Period
 from sendwatch.functions import predicates as P
+from sendwatch.functions.dates import week_key
 from sendwatch.operators.shares import frequency_with_share
 from sendwatch.plans.rates import message_snapshot
-from sendwatch.operators.top1 import mode_per_group
-from sendwatch.plans.traits import _week_trait_frequencies, isv_crosswalk, week_wide
+from sendwatch.plans.traits import isv_crosswalk, week_wide
 from sendwatch.sources import Sources
 
 FAILED_STATUS = "FAILED"
@@ -83,10 +83,9 @@ def dq_key_containment(src: Sources) -> DataFrame:
 
 def dq_weeks_per_account(src: Sources, period: Period | None = None, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Weeks per account in the dominant-sender-type table (at most 5)."""
-    freq = _week_trait_frequencies(_snap(src, period, params))
-    modes = mode_per_group(freq.where((F.col("trait") == "from_type") & F.col("value").isNotNull()),
-                           ["account_id", "wk", "trait"], "value")
-    return modes.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_weeks"))
+    weeks = (_snap(src, period, params).where(F.col("from_type").isNotNull())
+             .select("account_id", week_key(F.col("sent_date")).alias("wk")).distinct())
+    return weeks.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_weeks"))
 
 
 def dq_week_duplicates(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
