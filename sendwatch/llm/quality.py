@@ -150,10 +150,13 @@ class VoteModel:
     bad: tuple[tuple[float, ...], ...]
 
     def log_odds(self, votes: list[Column]) -> Column:
-        total = F.lit(math.log(self.prior) - math.log1p(-self.prior))
+        total = F.lit(0.0)
+        first = math.log(self.prior) - math.log1p(-self.prior)
         for column, g, b in zip(votes, self.good, self.bad, strict=True):
-            for v, pg, pb in zip(VOTES, g, b, strict=True):
-                total = total + F.when(column == v, F.lit(math.log(pg) - math.log(pb))).otherwise(F.lit(0.0))
+            # array literals: every round of the EM runs the same generated code
+            weights = [first + math.log(pg) - math.log(pb) for pg, pb in zip(g, b, strict=True)]
+            total = total + F.element_at(F.lit(weights), column + F.lit(2))
+            first = 0.0
         return total
 
     def posterior(self, votes: list[Column]) -> Column:
@@ -171,34 +174,35 @@ def accuracies(model: VoteModel) -> dict[str, float]:
 
 
 def fit(patterns: DataFrame, rounds: int = 40, tolerance: float = 1e-6, strength: float = 10.0,
-        start: float = 0.95) -> VoteModel | None:
+        start: float = 0.95, per_document: bool = True) -> VoteModel | None:
     """EM over ``patterns`` (a byte column per rule of RULE_NAMES and ``n``).
 
     Starts from "good with probability ``start`` unless a rule votes bad".
-    ``strength``: weight of GOOD_PRIOR and BAD_PRIOR against the documents of
-    the class. Rules look at different faults and are not independent, and
-    without the priors the estimate may settle on one kind of fault and take
-    the others for good. None for an empty table."""
+    ``strength``: weight of GOOD_PRIOR and BAD_PRIOR. With ``per_document`` it
+    is multiplied by the documents of the class, so the priors keep the same
+    share at every size; without, it is a number of pseudo-documents, which
+    fades as the class grows and leaves the rates to the votes. Rules look at
+    different faults and are not independent, and with hardly any prior the
+    estimate of a few hundred documents may settle on one kind of fault and
+    take the others for good. None for an empty table."""
     votes = [F.col(k) for k in RULE_NAMES]
     any_bad = votes[0] == -1
     for v in votes[1:]:
         any_bad = any_bad | (v == -1)
     posterior = F.when(any_bad, F.lit(1 - start)).otherwise(F.lit(start))
+    # one number per rule and vote; -1 for the totals
+    cells = F.array(F.lit(-1), *[v.cast("int") + F.lit(3 * i + 1) for i, v in enumerate(votes)])
     model = None
     last = None
     for _ in range(rounds):
-        q = patterns.withColumn("q", posterior)
-        sums = [F.sum(F.col("n") * F.col("q")).alias("good"),
-                F.sum(F.col("n") * (1 - F.col("q"))).alias("bad")]
-        for name in RULE_NAMES:
-            for i, v in enumerate(VOTES):
-                hit = F.col(name) == v
-                sums.append(F.sum(F.when(hit, F.col("n") * F.col("q")).otherwise(0.0)).alias(f"g_{name}_{i}"))
-                sums.append(F.sum(F.when(hit, F.col("n") * (1 - F.col("q"))).otherwise(0.0)).alias(f"b_{name}_{i}"))
-        row = q.agg(*sums).collect()[0]
-        if row["good"] is None:
+        q = _once(patterns.coalesce(1), q=posterior).select(F.col("n"), F.col("q"), F.explode(cells).alias("cell"))
+        sums = {}
+        for r in q.groupBy("cell").agg(F.sum(F.col("n") * F.col("q")).alias("good"),
+                                       F.sum(F.col("n") * (1 - F.col("q"))).alias("bad")).collect():
+            sums |= {f"g{r['cell']}": r["good"], f"b{r['cell']}": r["bad"]}
+        if not sums:
             return None
-        model = _model(row, strength)
+        model = _model(sums, strength, per_document)
         flat = [model.prior, *(p for part in (*model.good, *model.bad) for p in part)]
         if last is not None and max(abs(a - b) for a, b in zip(flat, last)) < tolerance:
             break
@@ -213,16 +217,18 @@ GOOD_PRIOR = (0.001, 0.049, 0.95)
 BAD_PRIOR = (0.1, 0.1, 0.8)
 
 
-def _model(row, strength: float) -> VoteModel:
-    good_n, bad_n = float(row["good"]), float(row["bad"])
+def _model(sums: dict[str, float], strength: float, per_document: bool) -> VoteModel:
+    good_n, bad_n = float(sums["g-1"]), float(sums["b-1"])
 
-    def rates(prefix: str, name: str, n: float, prior: tuple[float, ...]) -> tuple[float, ...]:
-        weight = strength * n + 1
-        return tuple((float(row[f"{prefix}_{name}_{i}"]) + weight * x) / (n + weight) for i, x in enumerate(prior))
+    def rates(prefix: str, rule: int, n: float, prior: tuple[float, ...]) -> tuple[float, ...]:
+        weight = strength * n + 1 if per_document else strength
+        return tuple((float(sums.get(f"{prefix}{3 * rule + i}", 0.0)) + weight * x) / (n + weight)
+                     for i, x in enumerate(prior))
 
+    rules_ = range(len(RULE_NAMES))
     return VoteModel((good_n + 1) / (good_n + bad_n + 2),
-                     tuple(rates("g", name, good_n, GOOD_PRIOR) for name in RULE_NAMES),
-                     tuple(rates("b", name, bad_n, BAD_PRIOR) for name in RULE_NAMES))
+                     tuple(rates("g", k, good_n, GOOD_PRIOR) for k in rules_),
+                     tuple(rates("b", k, bad_n, BAD_PRIOR) for k in rules_))
 
 
 def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = 0.5,
@@ -243,7 +249,7 @@ def _judged(counted: DataFrame, counts: str, threshold: float, verdict: str
     votes = rules(c)
     patterns = materialize(counted.select(*[v.alias(k) for k, v in votes.items()])
                            .groupBy(*RULE_NAMES).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    model = fit(patterns)
+    model = fit(patterns, per_document=False)
     posterior = model.posterior([votes[k] for k in RULE_NAMES]) if model else F.lit(None).cast("double")
     failed = base_failed(c)
     kept = ~failed & (posterior >= threshold)

@@ -58,6 +58,28 @@ def test_em_matches_numpy(spark):
     assert all(0 <= a <= 1 for a in Q.accuracies(model).values())
 
 
+def test_rule_accuracies_are_estimated(spark):
+    """Rules that see 90, 70 and 60 % of the bad documents, and one that votes bad on 30 % of either kind."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(6000):
+        bad = i % 10 < 3
+        symbols, letters, capitals = (bool(x) for x in (rng.random(3) < (.9, .7, .6)) & bad)
+        rows.append((i, 100, 500, 50 if symbols else 0, 0, 0, 10, 60, 300 if letters else 480,
+                     290 if capitals else 5, 0, 60 if rng.random() < .3 else 0))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_unique",
+             "n_letters", "n_upper", "n_digits", "n_marks")
+    assert sorted(names) == sorted(Q.COUNTS)
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{k} long" for k in names))
+    counted = df.select("id", F.struct(*Q.COUNTS).alias("counts"))
+    out, model = Q._judged(counted, "counts", 0.5, "quality")
+    seen = {k: (g[0], b[0]) for k, g, b in zip(Q.RULE_NAMES, model.good, model.bad)}
+    for name, share in (("symbols", .9), ("letters", .7), ("capitals", .6)):
+        assert seen[name][1] == pytest.approx(share, abs=0.05) and seen[name][0] < 0.01
+    assert abs(math.log(seen["marks"][1] / seen["marks"][0])) < 0.2
+    assert out.filter("quality.kept != (id % 10 >= 3)").count() < 0.02 * len(rows)
+
+
 def test_judge_edges(spark):
     clean = "the quick brown fox jumps over some lazy dogs while many birds sing in tall trees today"
     junk = "wh%%% onn*** of%%% it%%% res$$$ and$$$ or%%% he### se*** ng&&& onn%%% so&&& up*** to###"
