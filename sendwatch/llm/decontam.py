@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash over windows of the items' sizes.
 
-An item of n words is looked for in every window of n words of every document.
+An item of n words is looked for in every window of n words of every document;
+a document shorter than the item is one window, the whole of it.
 Windows and items are compared by their 5-word shingles, weighted by how often
 each occurs (fewer than five words form one shingle): the similarity is the
 sum of smaller weights over the sum of larger ones, and a window is a match at
@@ -21,10 +22,12 @@ sum of smaller weights over the sum of larger ones, and a window is a match at
 
 With the defaults (6 parts, 2 flips) the radius is 17 of 64 bits. A window at
 the threshold 0.8 itself is farther with probability under 1 %, one at 0.9
-with probability under 1e-5; a verbatim passage has distance 0.
+with probability under 1e-5; a verbatim passage has distance 0. A whole
+document short of the item gets a second fingerprint that counts ties of its
+bits as ones, as the words it lacks may tip them either way.
 
-Edge cases: items and texts that are null or without words match nothing; a
-document shorter than an item has no window of its size; repeated items are
+Edge cases: items and texts that are null or without words match nothing;
+repeated items are
 reported under each id; ties of similarity go to the first window; rows that
 share an id are one document; rows without an id are reported with a null id;
 empty tables give no rows; other columns may have any name.
@@ -87,10 +90,11 @@ def tagged(shingles: np.ndarray) -> np.ndarray:
     return words.mix(s + (np.arange(len(s)) - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def simhash(shingles: np.ndarray) -> int:
-    """64-bit SimHash; a repeated shingle counts as often as it occurs."""
+def simhash(shingles: np.ndarray, ties: bool = False) -> int:
+    """64-bit SimHash; a repeated shingle counts as often as it occurs. ``ties``:
+    a bit that half of the shingles have is set."""
     ones = ((shingles[:, None] & MASKS) != 0).sum(axis=0)
-    return int(MASKS[2 * ones > len(shingles)].sum(dtype=np.uint64))
+    return int(MASKS[2 * ones + ties > len(shingles)].sum(dtype=np.uint64))
 
 
 def _signed(x: int) -> int:
@@ -156,9 +160,14 @@ def windows_of(h: np.ndarray, sizes: list[int], bitmap: np.ndarray, percent: int
             continue
         places = np.flatnonzero(marked)
         for n in sizes:
-            if min(words.SHINGLE, n) != k or n > len(h):
+            if min(words.SHINGLE, n) != k:
                 continue
             w = n - k + 1  # shingles in a window, and in the item
+            if n > len(h):  # common <= marked places and common / (len(s) + w - common) >= percent / 100
+                if 100 * len(s) >= percent * w and (100 + percent) * int(
+                        _marked(bitmap, sized(s[places], n)).sum()) >= percent * (len(s) + w):
+                    out.append((n, 0, s))
+                continue
             own = places[_marked(bitmap, sized(s[places], n))]
             if (100 + percent) * len(own) < 2 * percent * w:
                 continue
@@ -189,7 +198,9 @@ def _windows(docs: DataFrame, sizes: list[int], bitmap: np.ndarray, p: Params) -
                     for n, start, s in windows_of(words.word_hashes(t), sizes_, bitmap_, p.percent):
                         x = tagged(s)
                         same = xxhash.xxh3_64_intdigest(np.sort(x).tobytes(), seed=n)
-                        rows.append((node, n, start, _signed(simhash(s)), _signed(same), x.view(np.int64).tolist()))
+                        whole_doc = len(s) < n - min(words.SHINGLE, n) + 1
+                        for fp in {simhash(s), simhash(s, ties=True)} if whole_doc else (simhash(s),):
+                            rows.append((node, n, start, _signed(fp), _signed(same), x.view(np.int64).tolist()))
                         if len(rows) >= 2000:
                             yield batch(rows)
                             rows = []
@@ -220,13 +231,14 @@ def _index(items: DataFrame, p: Params) -> DataFrame:
 def matches(docs: DataFrame, id_col: str, text: str, benchmark: DataFrame, item_id: str, item_text: str,
             p: Params = Params()) -> DataFrame:
     """(node, doc_id, item_id, similarity, start): the best window of every
-    document and item that match; ``start`` is the window's first word."""
+    document and item that match; ``start`` is the window's first word (0 for a
+    document shorter than the item)."""
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     nodes = docs.select(null_safe_id(F.col(f"`{id_col}`"), content).alias("node"), content.alias("text"))
     items = _items(benchmark, item_id, item_text)
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     seen = materialize(_windows(nodes, sizes, _bitmap(items), p))
-    one_each = seen.select("size", "same", "fp", "tagged").dropDuplicates(["size", "same"])
+    one_each = seen.select("size", "same", "fp", "tagged").dropDuplicates(["size", "same", "fp"])
     probes = F.array(*[F.struct(F.lit(i).alias("part"), F.shiftrightunsigned("fp", at).bitwiseAND(
         F.lit((1 << bits) - 1)).alias("value")) for i, (at, bits) in enumerate(p.cuts())])
     near = (one_each.select("size", "same", "fp", F.inline(probes))
@@ -235,7 +247,7 @@ def matches(docs: DataFrame, id_col: str, text: str, benchmark: DataFrame, item_
             .select("size", "same", "item_id").distinct())
     common = F.size(F.array_intersect("tagged", "item_tagged"))
     union = F.size("tagged") + F.size("item_tagged") - common
-    verified = (near.join(one_each.select("size", "same", "tagged"), ["size", "same"])
+    verified = (near.join(one_each.select("size", "same", "tagged").dropDuplicates(["size", "same"]), ["size", "same"])
                 .join(items.select("item_id", "size", F.col("tagged").alias("item_tagged")), ["item_id", "size"])
                 .filter(100 * common >= p.percent * union)
                 .select("size", "same", "item_id", (common / union).alias("similarity")).distinct())

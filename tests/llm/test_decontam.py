@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -36,6 +37,43 @@ def test_against_brute_force(spark):
         assert abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1]
 
 
+def _short_leaks(docs, items, percent=80):
+    """{(doc_id, item_id): similarity} of documents shorter than the item, as one window."""
+    out = {}
+    for d, t in docs:
+        for i, it in items:
+            ws, iw = brute.words(t), brute.words(it)
+            k = min(5, len(iw))
+            if k <= len(ws) < len(iw):
+                got, want = Counter(brute.shingles(ws, k)), Counter(brute.shingles(iw, k))
+                common, union = sum((got & want).values()), sum((got | want).values())
+                if 100 * common >= percent * union:
+                    out[d, i] = common / union
+    return out
+
+
+def test_documents_shorter_than_an_item(spark):
+    r = random.Random(5)
+    items = [(i, " ".join(f"w{r.randrange(400)}" for _ in range(n))) for i, n in enumerate([3, 5, 8, 9, 10, 14, 20, 40, 59])]
+    items += [(30, "go " * 12), (31, None)]
+    docs = []
+    for i, t in items[:-1]:
+        ws = t.split()
+        for cut in range(1, 14):
+            docs += [(len(docs), " ".join(ws[:-cut])), (len(docs) + 1, " ".join(ws[cut:]).upper())]
+        docs.append((len(docs), " ".join(["changed", *ws[1:-1]])))
+    docs += [(9000, None), (9001, "")]
+    want = _short_leaks(docs, items) | {k: s for k, (s, _) in brute.leaks(docs, items).items()}
+    got = _run(spark, docs, items)
+    assert set(got) == set(want) and all(abs(got[k][0] - want[k]) < 1e-12 for k in want)
+    short = _short_leaks(docs, items)
+    assert len(short) > 40 and all(got[k][1] == 0 for k in short)
+    item = items[7][1]
+    d = spark.createDataFrame([(1, " ".join(item.split()[:-3])), (2, " ".join(item.split()[:20]))], "doc_id long, text string")
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [x.doc_id for x in D.clean(d, "doc_id", "text", b, "item_id", "text").collect()] == [2]
+
+
 def test_clean_and_edges(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta"
     docs = spark.createDataFrame([(1, "so " + item, 0), (2, "nothing here", 0), (None, item, 0), (3, None, 0), (3, None, 0)],
