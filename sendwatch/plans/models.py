@@ -60,12 +60,15 @@ def _vectorised(df: DataFrame) -> DataFrame:
                                   *[F.col(c).cast("double").alias(c) for c in TARGETS.values()]))
 
 
-def model_frames(features_p1: DataFrame, features_p2: DataFrame, params: Params = DEFAULT_PARAMS):
+def model_frames(features_p1: DataFrame, features_p2: DataFrame, params: Params = DEFAULT_PARAMS,
+                 whole: bool = False):
     """(train, test, scored): period-1 split by account hash, period 2 scored.
-    Materialised once (reliable checkpoint) and reused by every fit."""
+    Materialised once (reliable checkpoint) and reused by every fit. ``whole``:
+    train is the whole split, not only the rows that models are fitted on."""
     p1 = materialize(_vectorised(features_p1).withColumn("is_train", split_flag(params)))
     p2 = materialize(_vectorised(features_p2))
-    return fit_rows(p1.where("is_train")), p1.where("NOT is_train"), p2
+    train = p1.where("is_train")
+    return train if whole else fit_rows(train), p1.where("NOT is_train"), p2
 
 
 def fit_rows(train: DataFrame, most: int = MAX_FIT_ROWS) -> DataFrame:
@@ -159,16 +162,17 @@ def fit_depths(make, depths: Sequence[int], train: DataFrame, parallelism: int =
 def depth_sweep(train: DataFrame, test: DataFrame, family: str,
                 depths: Iterable[int] = SWEEP_DEPTHS) -> DataFrame:
     """(target, depth, reached, train/test RMSE and R^2) for trees or forests,
-    one row per depth. Spark's trees stop at depth 30. A model that stops
+    one row per depth. Fitted on ``fit_rows(train)``, scored on all rows. Spark's trees stop at depth 30. A model that stops
     growing below its limit is the model of every larger limit, so those rows
     are exact; where one still grows at 30, rows beyond hold the model of
     depth 30 and say ``reached`` = false."""
     depths = sorted(depths)
+    fit_on = fit_rows(train)
     possible = [d for d in depths if d <= MAX_SPARK_DEPTH]
     results = []
     for tname, label in TARGETS.items():
         make = (lambda d, lb=label: _tree(d, lb)) if family == "tree" else (lambda d, lb=label: _forest(d, lb))
-        fitted = fit_depths(make, possible, train)
+        fitted = fit_depths(make, possible, fit_on)
         top = max(possible)
         same = {d: id(fitted[d]) for d in possible}
         first = {}

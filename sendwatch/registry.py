@@ -150,23 +150,23 @@ def _knn() -> dict[str, QueryFn]:
 
 def _ml() -> dict[str, QueryFn]:
     """Model-training jobs (no SQL oracle; checked against brute force in tests)."""
-    def frames(s: Sources):
-        return models.model_frames(assemble.features_p1(s, PRM), assemble.features_p2(s, PRM), PRM)
+    def frames(s: Sources, whole: bool = False):
+        return models.model_frames(assemble.features_p1(s, PRM), assemble.features_p2(s, PRM), PRM, whole)
 
     def tree_sweep(s):
-        tr, te, _ = frames(s)
+        tr, te, _ = frames(s, whole=True)
         return models.depth_sweep(tr, te, "tree")
 
     def forest_sweep(s):
-        tr, te, _ = frames(s)
+        tr, te, _ = frames(s, whole=True)
         return models.depth_sweep(tr, te, "forest")
 
     def best_depth(s):
-        tr, te, _ = frames(s)
+        tr, te, _ = frames(s, whole=True)
         return models.best_param(models.depth_sweep(tr, te, "tree"), "depth")
 
     def forest_best_depth(s):
-        tr, te, _ = frames(s)
+        tr, te, _ = frames(s, whole=True)
         return models.best_param(models.depth_sweep(tr, te, "forest"), "depth")
 
     def importances(s):

@@ -146,3 +146,17 @@ def test_fit_rows_bound(spark):
     assert models.fit_rows(df).count() == 20_000
     part = models.fit_rows(df, most=2_000).count()
     assert 1_700 < part < 2_300
+
+
+def test_depth_sweep_scores_all_training_rows(tiny, monkeypatch):
+    """Beyond the bound the fit is on part of the rows, the statistics on all."""
+    fit_rows, label = models.fit_rows, "optout_frac"
+    monkeypatch.setattr(models, "fit_rows", lambda df: fit_rows(df, most=20))
+    train, test = tiny.where("account_id % 3 != 0"), tiny.where("account_id % 3 = 0")
+    part = fit_rows(train, most=20)
+    assert 0 < part.count() < train.count()
+    got = {r.target: r for r in models.depth_sweep(train, test, "tree", depths=[3]).collect()}["optout"]
+    p = models._tree(3, label).fit(part).transform(train).select(label, "prediction").toPandas()
+    assert got.train_rmse == pytest.approx(np.sqrt(((p[label] - p.prediction) ** 2).mean()), abs=1e-6)
+    assert got.train_r2 == pytest.approx(1 - ((p[label] - p.prediction) ** 2).sum() / (
+        (p[label] - p[label].mean()) ** 2).sum(), abs=1e-6)
