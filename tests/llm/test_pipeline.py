@@ -1,7 +1,14 @@
+import hashlib
+import math
 import subprocess
 import sys
+import unicodedata
+import zlib
+from collections import Counter
 from pathlib import Path
 
+import numpy as np
+import public_tokenizers
 import pytest
 
 import corpus_pipeline as C
@@ -42,6 +49,91 @@ def test_stages_against_brute_force(spark, steps):
     assert {r.doc_id for r in steps[-1].collect()} == set(clean)
 
 
+def _votes(text):
+    """Votes of the nine rules, written out."""
+    t = text or ""
+    ws = brute.WORD.findall(t)
+    n, chars, symbols, dup, repeat = brute.quality_counts(t)
+    lines = sum(bool(brute.WORD.search(x)) for x in t.split("\n"))
+    letters = [c for c in t if unicodedata.category(c)[0] == "L"]
+    upper = sum(unicodedata.category(c) == "Lu" for c in letters)
+    digits, marks = sum(c in "0123456789" for c in t), sum(c in "!?" for c in t)
+    per = lambda a, b: a / max(b, 1)
+    vote = lambda bad, good: -1 if bad else 1 if good else 0
+    x, a, u, v, w = per(symbols, n), per(len(letters), chars), per(upper, len(letters)), per(len(set(ws)), n), per(chars, n)
+    d, r, g, m = per(dup, lines), per(repeat, n), per(digits, chars), per(marks, n)
+    return (vote(x > .1, x <= .02), vote(a < .8, a >= .9), vote(u > .5, u <= .2), vote(n >= 50 and v < .2, v >= .4),
+            vote(w < 2.5 or w > 12, 3.5 <= w <= 8), vote(d > .5, d <= .2), vote(r > .2, r <= .1),
+            vote(g > .5, g <= .2), vote(m > .5, m <= .1))
+
+
+def _good(every):
+    votes = {d: _votes(t) for d, t in every.items()}
+    q = {d: .05 if -1 in v else .95 for d, v in votes.items()}
+    last = None
+    for _ in range(40):
+        good = sum(q.values())
+        bad = len(q) - good
+        sums = Counter()
+        for d, v in votes.items():
+            for k, x in enumerate(v):
+                sums[1, k, x] += q[d]
+                sums[0, k, x] += 1 - q[d]
+        rate = {(c, k, x): (sums[c, k, x] + 10 * p) / (n + 10) for k in range(9)
+                for c, n, prior in ((1, good, (.001, .049, .95)), (0, bad, (.1, .1, .8))) for x, p in zip((-1, 0, 1), prior)}
+        share = (good + 1) / (good + bad + 2)
+        flat = [share, *rate.values()]
+        if last and max(abs(a - b) for a, b in zip(flat, last)) < 1e-6:
+            break
+        last = flat
+        q = {d: 1 / (1 + math.exp(-math.log(share / (1 - share)) - sum(
+            math.log(rate[1, k, x] / rate[0, k, x]) for k, x in enumerate(v)))) for d, v in votes.items()}
+    counts = {d: brute.quality_counts(t) for d, t in every.items()}
+    return {d for d in every if q[d] >= .5 and counts[d][0] >= 10 and 100 * counts[d][4] <= 20 * counts[d][0]}
+
+
+def _vector(text, v, memo):
+    codes = [0]
+    for c in (text or "").lower():
+        code = ord(c) if unicodedata.category(c)[0] == "L" else 0
+        if code or codes[-1]:
+            codes.append(code)
+    codes += [0] * bool(codes[-1])
+    out = np.zeros(1024)
+    for g, n in Counter(zip(codes, codes[1:], codes[2:])).items():
+        if g not in memo:
+            memo[g] = np.roll(v.letter(g[0]), 2) * np.roll(v.letter(g[1]), 1) * v.letter(g[2])
+        out += n * memo[g].astype(float)
+    return out
+
+
+def _known(good, langs):
+    v, memo = langid.Vectors(langid.Params()), {}
+    vectors = {d: _vector(t, v, memo) for d, t in good.items()}
+    prototypes = {}
+    for d, x in vectors.items():
+        if langs[d] is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            prototypes[langs[d]] = prototypes.get(langs[d], 0) + x
+    cosine = lambda a, b: a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-30)
+    return {d for d, x in vectors.items() if max(cosine(x, y) for y in prototypes.values()) >= C.LEAST_LANGUAGE_SCORE}
+
+
+def test_kept_ids_and_digests_against_plain_python(spark, steps):
+    import sentencepiece
+
+    every, good, known = map(_texts, steps[:3])
+    assert set(good) == _good(every)
+    langs = {r.doc_id: r.lang for r in steps[1].select("doc_id", "lang").collect()}
+    assert set(known) == _known(good, langs)
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for d, t in _texts(steps[-2]).items():
+        ids = sp.encode(t or "", add_eos=True)
+        want[d] = (len(ids), sha(" ".join(map(str, ids))), sha(sp.decode(ids)), ids)
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256, list(r.ids)) for r in steps[-1].collect()} == want
+
+
 def test_labels(spark, steps):
     """Documents of good quality that are no copies survive the filters."""
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_SMALL}/labels.parquet").collect()}
