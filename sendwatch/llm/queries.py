@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sendwatch.llm import (decontam, huffman, langid, neardup, pieces, quality, separators, sharding,
-                            urls, warc)
+from sendwatch.llm import (decontam, divergence, huffman, langid, mixing, neardup, pieces, quality, separators,
+                            sharding, spelling, urls, warc)
 from sendwatch.llm.common import scratch_dir, table
 
 
@@ -84,6 +84,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_fp_tree_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, terms = divergence.audit(table(spark, sf_dir, "documents"))
+    return (pairs.withColumn("part", F.lit("pair")).unionByName(terms.withColumn("part", F.lit("term")))
+            .select("lang", "source", "part", "item", "value", "rank"))
+
+
+def op12_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", keep={"doc_id": "doc_id"},
+                      weights=(5, 2, 1), share=1.5, epochs=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"), "doc_id", "text") \
+        .select("word", "form", "root", "n", "n_near", "form_n")
+
+
 OP1_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS payload_digest,
@@ -168,6 +184,80 @@ SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CAST(start AS
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), e AS (
+  SELECT id, lang, source, unnest(ts) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS n FROM e GROUP BY ALL HAVING count(DISTINCT id) >= 3
+), l AS (
+  SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang
+), c AS (
+  SELECT e.lang, source, e.term, count(*) AS n FROM e JOIN k USING (lang, term) GROUP BY ALL
+), s AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.total + l.v) AS p,
+         1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v) AS q
+  FROM s JOIN k USING (lang) JOIN l USING (lang)
+       LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), pair AS (
+  SELECT s.lang, s.source, o.source AS item, coalesce(any_value(f.value), 0)::BIGINT AS value
+  FROM s JOIN s o ON o.lang = s.lang AND o.source <> s.source
+       LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+                  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+         ON f.lang = s.lang AND f.source = s.source AND f.item = o.source
+  GROUP BY ALL
+), part AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM part
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(concat_ws(':', '0', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS hash
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [5.0, 2.0, 1.0][1 + ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3]::DOUBLE AS weight
+  FROM d GROUP BY source
+), o AS (  -- in order of cap to weight; with the first k sources clamped, a unit of weight gets rest / open
+  SELECT *, 1.5::DOUBLE * (SELECT sum(source_size) FROM s) - 2 * coalesce(sum(source_size) OVER w, 0) AS rest,
+         (SELECT sum(weight) FROM s) - coalesce(sum(weight) OVER w, 0) AS open,
+         row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS place
+  FROM s WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (  -- the first source that is not above its cap
+  SELECT * FROM o WHERE 2 * source_size * open >= weight * rest ORDER BY place LIMIT 1
+), goal AS (
+  SELECT o.source, o.source_size,
+         CASE WHEN o.place >= level.place THEN o.weight * level.rest / level.open ELSE 2.0 * o.source_size END AS target
+  FROM o LEFT JOIN level ON true
+), ordered AS (
+  SELECT d.doc_id, d.size, goal.source_size, goal.target, CASE WHEN goal.source_size > 0
+         THEN floor(goal.target / goal.source_size) ELSE 0 END AS whole,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY hash
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source
+)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+       CAST(size * (whole + CASE WHEN before + size / 2.0 <= target - whole * source_size AND size > 0
+                            THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ordered
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -181,6 +271,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_windows": op8_simhash_windows,
         "op9_feistel_sharding": op9_feistel_sharding,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_fp_tree_divergence": op11_fp_tree_divergence,
+        "op12_capped_water_filling": op12_capped_water_filling,
+        "op13_pivotal_grams": op13_pivotal_grams,
     }
 
 
@@ -189,4 +282,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc_chain": OP1_SQL,
         "op4_minhash_bayes": OP4_SQL,
         "op8_simhash_windows": OP8_SQL,
+        "op11_fp_tree_divergence": OP11_SQL,
+        "op12_capped_water_filling": OP12_SQL,
     }
