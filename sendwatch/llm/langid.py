@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sendwatch.llm.common import text_slices
+from sendwatch.llm.worker import state
 
 UNKNOWN = "und"
 BITS = 21  # of a code point
@@ -120,13 +121,8 @@ class Vectors:
         return out
 
 
-_VECTORS: dict[Params, Vectors] = {}
-
-
 def vectors(p: Params) -> Vectors:
-    if p not in _VECTORS:
-        _VECTORS[p] = Vectors(p)
-    return _VECTORS[p]
+    return state("langid", p, lambda: Vectors(p))
 
 
 def bundles(texts: list[str | None], p: Params) -> np.ndarray:

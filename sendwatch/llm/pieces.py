@@ -13,12 +13,14 @@ taken where they differ.
 Edge cases: null and empty texts encode to the end id alone and decode to the
 empty string; spaces, line breaks, control and unassigned characters round
 trip as the library has it; chunk results are kept in a bounded two-generation
-memo; an empty table gives no rows; input columns may have any name.
+memo of a stated size in bytes; an empty table gives no rows; input columns
+may have any name.
 """
 
 from __future__ import annotations
 
 import heapq
+import logging
 import re
 from collections.abc import Iterator
 
@@ -28,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sendwatch.llm.common import text_slices
+from sendwatch.llm.worker import state
 
+_LOG = logging.getLogger(__name__)
 SPACE = "▁"
 NEVER = np.int64(1 << 40)
 LONG = 48
-MEMO = 300_000
+MEMO_BYTES = 40_000_000  # of a generation; two are kept
 
 
 class Encoder:
@@ -66,6 +70,7 @@ class Encoder:
                                 if self.cut_spaces else f"(?s:{stop}|[^{stop}]+)" if stop else "(?s:.+)")
         self.memo: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
+        self.memo_bytes = 0
         self.differed = 0
 
     def _merge_table(self, several: list[str]) -> None:
@@ -189,12 +194,12 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         """Encode chunks not met before, checked against the library."""
-        if len(self.memo) + len(chunks) > MEMO:
-            self.older, self.memo = self.memo, {}
+        if self.memo_bytes > MEMO_BYTES:
+            self.older, self.memo, self.memo_bytes = self.memo, {}, 0
         new = []
         for c in chunks:
             if (old := self.older.get(c)) is not None:
-                self.memo[c] = old
+                self._keep(c, old)
             else:
                 new.append(c)
         short = [c for c in new if len(c) <= LONG]
@@ -211,8 +216,13 @@ class Encoder:
             ids = own[c]
             if lib is not None and lib[lead:] != ids:
                 self.differed += 1
+                _LOG.warning("chunk %r: own ids differ from the library's, which are taken", c[:100])
                 ids = lib[lead:]
-            self.memo[c] = (np.array(ids, dtype="<i4").tobytes(), " ".join(map(str, ids)))
+            self._keep(c, (np.array(ids, dtype="<i4").tobytes(), " ".join(map(str, ids))))
+
+    def _keep(self, chunk: str, got: tuple[bytes, str]) -> None:
+        self.memo[chunk] = got
+        self.memo_bytes += 350 + 4 * len(chunk) + len(got[0]) + len(got[1])  # objects and table entry
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str]]:
         """(ids, the ids as decimals joined by a space) per text, end id included."""
@@ -235,14 +245,9 @@ class Encoder:
         return self.library.decode(ids, num_threads=1) if ids else []
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(model_path: str, end: bool = True) -> Encoder:
     """The worker's encoder for a model: loaded once, its memo kept across tasks."""
-    if (model_path, end) not in _ENCODERS:
-        _ENCODERS[model_path, end] = Encoder(model_path, end)
-    return _ENCODERS[model_path, end]
+    return state("pieces", (model_path, end), lambda: Encoder(model_path, end))
 
 
 def encode(df: DataFrame, text: str, model_path: str, keep: list[str], ids: str = "ids") -> DataFrame:
@@ -281,14 +286,15 @@ def digests(df: DataFrame, id_col: str, text: str, model_path: str, with_ids: bo
         for whole in batches:
             for b in text_slices(whole, "__text"):
                 got = list(enc.encode(b.column("__text").to_pylist()))
-                ids = [g[0].tolist() for g in got]
-                back = enc.decode(ids)
-                columns = [b.column("doc_id"), pa.array([len(g) for g in ids], pa.int64()),
+                back = [t for g in got for t in enc.decode([g[0].tolist()])]
+                columns = [b.column("doc_id"), pa.array([len(g[0]) for g in got], pa.int64()),
                            pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got], pa.string()),
                            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *(len(g[0]) for g in got)])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(
+                        np.concatenate([g[0] for g in got]) if got else [], pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from sendwatch.llm.worker import state
+
 SHINGLE = 5
-MEMO = 500_000
+MEMO = 100_000  # words of at most 40 bytes, some 15 MB
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                      0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -19,17 +21,16 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 40:
+            self[word] = value
         return value
 
 
-_HASHES = _Hashes()
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hash of every word, in order."""
     words = (text or "").encode().lower().split()
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(state("words", "hashes", _Hashes).__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ def test_agenda_equals_library(enc):
 
 
 def test_memo_generations(enc, monkeypatch):
-    monkeypatch.setattr(pieces, "MEMO", 20)
+    monkeypatch.setattr(pieces, "MEMO_BYTES", 8_000)
     texts = _texts()[:100]
     for k in range(0, 100, 5):
         got = [i.tolist() for i, _ in enc.encode(texts[k:k + 5])]
