@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sendwatch.llm.common import local_path, scratch_dir, text_slices
-from sendwatch.llm.tokens import PartFile, part_number, record_batch, tokenizer
+from sendwatch.llm.tokens import SLICE_CHARS, PartFile, part_number, record_batch, tokenizer
 
 MAGIC = b"HUFIDS01"
 
@@ -180,7 +180,7 @@ def tokenised(docs: DataFrame, model_path: str, end_id: int) -> DataFrame:
         wide = tok.dtype == WIDE or end_id >> 16 > 0
         end = np.array([end_id], dtype=WIDE if wide else NARROW).tobytes()
         for whole in batches:
-            for b in text_slices(whole, "text"):
+            for b in text_slices(whole, "text", SLICE_CHARS):
                 ids = tok.encode(b.column("text").to_pylist())
                 if wide and tok.dtype != WIDE:
                     ids = [np.frombuffer(x, tok.dtype).astype(WIDE).tobytes() for x in ids]
