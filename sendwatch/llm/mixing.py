@@ -79,17 +79,18 @@ def _cuts(rows: DataFrame, goals: DataFrame) -> DataFrame:
         digits = F.substring("hash", 1, step * DIGITS)
         before = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))
-        sums = (inside.groupBy("key", digits.alias("bucket")).agg(F.sum("size").alias("words"))
-                .join(level, "key").withColumn("base", F.col("base") + before))
-        level = materialize(sums.filter("base <= rest AND rest < base + words")
+        # written first, so that rows are dealt by bucket and a source's window has 16**DIGITS rows at most
+        sums = materialize(inside.groupBy("key", digits.alias("bucket")).agg(F.sum("size").alias("words")))
+        level = materialize(sums.join(level, "key").withColumn("base", F.col("base") + before)
+                            .filter("base <= rest AND rest < base + words")
                             .select("key", "rest", F.col("bucket").alias("prefix"), "base"))
         inside = (inside.withColumn("prefix", digits).join(level.select("key", "prefix"), ["key", "prefix"], "left_semi")
                   .drop("prefix"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("hash").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
-    last = (inside.groupBy("key", "hash").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("copies"),
-                                              F.max("size").alias("size"))
-            .join(level, "key").withColumn("base", F.col("base") + before)
+    few = materialize(inside.groupBy("key", "hash").agg(F.sum("size").alias("words"), F.max("size").alias("size"),
+                                                        F.count(F.lit(1)).alias("copies")))
+    last = (few.join(level, "key").withColumn("base", F.col("base") + before)
             .filter("base <= rest AND rest < base + words"))
     return materialize(last.select("key", F.col("hash").alias("cut"), "copies",
                                    F.floor((F.col("rest") - F.col("base")) / F.col("size") + 0.5).alias("quota")))
