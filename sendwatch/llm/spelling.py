@@ -2,12 +2,13 @@
 
 Words at one edit (a code point inserted, deleted or replaced) are found with
 bigrams in a global order, rare ones first. A word's prefix is its first three
-bigrams in that order, with all places of the third. Three bigrams hold two
-that do not overlap; dynamic programming picks the two disjoint ones of the
-prefix with the smallest total frequency, the pivots. One edit spoils at most
-one pivot. If r's prefix ends no later in the order than s's, the pivot that
-survives lies in s's prefix, since a bigram of s outside it comes later than
-all of r's prefix. So r's pivots are joined with s's prefix, never words with
+bigrams in that order. Three bigrams hold two that do not overlap; dynamic
+programming picks the two disjoint ones of the prefix with the smallest total
+frequency, the pivots. One edit spoils at most one pivot. If r's prefix ends no
+later in the order than s's, the pivot that survives lies in s's prefix, since
+a bigram of s outside it comes later than all of r's prefix (where it equals
+the last one of s's prefix, it is among the first places of that bigram, which
+are indexed too). So r's pivots are joined with s's prefix, never words with
 words, and both ends of a near pair need only one of the two directions.
 
 Position limits: a surviving pivot has the edit on one side, so up to and with
@@ -16,7 +17,7 @@ nothing, or by the difference in length). And of the other side one half is
 identical again. The join key is the hash of the identical side, the length of
 the other side in r, and that half, so a key is shared by words that agree
 almost everywhere, and no bucket gathers the words with a common bigram. Pairs
-that meet are verified by the edit distance within the join.
+that meet are verified letter by letter, in time linear in their length.
 
 Bigrams are counted in 2**16 buckets (a bigram's bucket follows from its two
 code points; a bucket of several counts as one bigram, which the argument
@@ -39,7 +40,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from heapq import nsmallest
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -123,11 +125,15 @@ def gram_frequencies(words: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_of(grams: list[int], order: np.ndarray) -> list[int]:
-    """Places of the first bigrams in the global order, with all places of the last of them."""
-    places = sorted(range(len(grams)), key=lambda i: (order[grams[i]], i))
-    last = order[grams[places[min(PREFIX, len(places)) - 1]]]
-    return [i for i in places if order[grams[i]] <= last]
+def prefix_of(grams: list[int], order: np.ndarray, index: bool) -> list[int]:
+    """Places of the first bigrams in the global order (equal ones by place).
+    ``index``: with the first places of the last of them. A pivot is among the
+    first ``PREFIX`` places of its bigram, and one edit adds at most two before it."""
+    places = nsmallest(PREFIX, range(len(grams)), key=lambda i: (order[grams[i]], i))
+    if index:
+        last = grams[places[-1]]
+        places = sorted({*places, *islice((i for i, g in enumerate(grams) if g == last), PREFIX + 2)})
+    return places
 
 
 def pivots_of(places: list[int], cost: list[int]) -> list[int]:
@@ -161,6 +167,14 @@ def keys_of(word: str, place: int, index: bool) -> list[int]:
     return [xxhash.xxh3_64_intdigest(k.encode()) - (1 << 63) for k in out]
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Whether two words differ by one code point inserted, deleted or replaced."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[k + (len(a) >= len(b)):] == b[k + (len(b) >= len(a)):]
+
+
 def _signatures(words: DataFrame, order: np.ndarray, cost: np.ndarray, index: bool) -> DataFrame:
     """(key, word, n, last): ``last`` is the end of the word's prefix in the global order."""
     handed = words.sparkSession.sparkContext.broadcast((order, cost))  # two numbers per bucket
@@ -173,7 +187,7 @@ def _signatures(words: DataFrame, order: np.ndarray, cost: np.ndarray, index: bo
                 part = b.slice(begin, 2_000)
                 for word, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist()):
                     grams = buckets_of(word)
-                    places = prefix_of(grams, ranks)
+                    places = prefix_of(grams, ranks, index)
                     last = int(max(ranks[grams[i]] for i in places))
                     if not index:
                         places = pivots_of(places, [int(costs[grams[i]]) for i in places])
@@ -197,12 +211,18 @@ def near_pairs(words: DataFrame) -> DataFrame:
     r = _signatures(words, order, cost, index=False).alias("r")
     s = _signatures(words, order, cost, index=True).alias("s")
     met = r.join(s, (F.col("r.key") == F.col("s.key")) & (F.col("r.last") <= F.col("s.last"))
-                 & (F.col("r.word") != F.col("s.word"))
-                 & (F.levenshtein(F.col("r.word"), F.col("s.word"), 1) == 1))
+                 & (F.col("r.word") != F.col("s.word")))
     first = F.col("r.word") < F.col("s.word")
     pick = lambda c, x, y: F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
-    return met.select(pick("word", "r", "s").alias("a"), pick("n", "r", "s").alias("a_n"),
-                      pick("word", "s", "r").alias("b"), pick("n", "s", "r").alias("b_n")).distinct()
+    pairs = met.select(pick("word", "r", "s").alias("a"), pick("n", "r", "s").alias("a_n"),
+                       pick("word", "s", "r").alias("b"), pick("n", "s", "r").alias("b_n"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [one_edit(x, y) for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            yield batch.filter(pa.array(same, pa.bool_()))
+
+    return pairs.mapInArrow(verify, "a string, a_n long, b string, b_n long").distinct()
 
 
 def roots(links: DataFrame) -> DataFrame:
