@@ -42,6 +42,7 @@ MAGIC = b"WARC/1.0\r\n"
 END = "\r\n\r\n"
 RANGE_BYTES = 8 << 20
 STEP = 64 << 10
+HEADER_BYTES = 1 << 20  # past a range, for a header that starts in it
 URN = "urn:x-row:"
 
 
@@ -120,13 +121,14 @@ class _Reader:
         n = max(0, min(n, self.size - at))
         return self.file.read_at(n, at) if n else b""
 
-    def header(self, at: int, known: bytes = b"") -> bytes | None:
-        """The header block at ``at`` without its empty line, or None."""
-        data, n = known, STEP
-        while (end := data.find(b"\r\n\r\n")) < 0:
-            if len(data) >= self.size - at:
+    def header(self, at: int, known: bytes = b"", most: int | None = None) -> bytes | None:
+        """The header block at ``at`` without its empty line (which ends within
+        ``most`` bytes, if given), or None."""
+        data = known
+        while (end := data.find(b"\r\n\r\n", 0, most)) < 0:
+            if len(data) >= self.size - at or most and len(data) >= most:
                 return None
-            data = self.get(at, max(n, 2 * len(data)))
+            data = self.get(at, max(STEP, 2 * len(data)) if most is None else most)
         return data[:end] if data.startswith(MAGIC) else None
 
     def close(self) -> None:
@@ -138,27 +140,38 @@ def _successor(at: int, head: bytes) -> int | None:
     return at + len(head) + 4 + int(length) + len(END) if length.isdigit() and len(length) < 19 else None
 
 
-def candidates(uri: str, start: int, end: int) -> list[tuple[int, int]]:
-    """(offset, successor) of every readable header whose magic starts in [start, end)."""
+def candidates(uri: str, start: int, end: int, most: int = HEADER_BYTES) -> list[tuple[int, int]]:
+    """(offset, successor) of every readable header whose magic starts in
+    [start, end). A record starts at offset 0 or behind an empty line, so the
+    header blocks of candidates do not overlap and each byte is read once. A
+    header that runs on for more than ``most`` bytes past the range (one per
+    range at most) has itself as successor: it is read if the chain comes there."""
     reader = _Reader(uri)
-    data = reader.get(start, end - start + len(MAGIC) - 1)
+    lead = min(start, len(END))
+    data = reader.get(start - lead, end - start + lead + len(MAGIC) - 1)
     out = []
-    at = data.find(MAGIC)
+    at = data.find(MAGIC, lead)
     while at >= 0:
-        head_end = data.find(b"\r\n\r\n", at)
-        head = data[at:head_end] if head_end >= 0 else reader.header(start + at, data[at:])
-        if head is not None and (succ := _successor(start + at, head)) is not None:
-            out.append((start + at, succ))
+        place = start - lead + at
+        if place == 0 or data[at - len(END):at] == END.encode():
+            head_end = data.find(b"\r\n\r\n", at)
+            head = data[at:head_end] if head_end >= 0 else reader.header(place, data[at:], len(data) - at + most)
+            if head is not None:
+                if (succ := _successor(place, head)) is not None:
+                    out.append((place, succ))
+            elif reader.size - place > len(data) - at + most:
+                out.append((place, place))
         at = data.find(MAGIC, at + 1)
     reader.close()
     return out
 
 
 def exits(found: list[tuple[int, int]], end: int) -> list[tuple[int, int]]:
-    """(offset, first offset at or beyond ``end`` on its chain), dead chains left out."""
+    """(offset, first offset on its chain that is at or beyond ``end`` or has a
+    header still to be read), dead chains left out."""
     leave: dict[int, int] = {}
     for at, succ in reversed(found):
-        if succ >= end:
+        if succ >= end or succ == at:
             leave[at] = succ
         elif succ in leave:
             leave[at] = leave[succ]
@@ -180,13 +193,13 @@ def _spread(ranges: DataFrame, n: int) -> DataFrame:
     return ranges.repartition(max(1, min(n, 20_000)), "file", "start")
 
 
-def chain_entries(ranges: DataFrame, n_ranges: int, most: int) -> DataFrame:
+def chain_entries(ranges: DataFrame, n_ranges: int, most: int, header_bytes: int = HEADER_BYTES) -> DataFrame:
     """(file, start, entry): where the chain from offset 0 enters each range that it enters."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, uri, start, end in zip(*(b.column(c).to_pylist() for c in ("file", "uri", "start", "end"))):
-                links = exits(candidates(uri, start, end), end)
+                links = exits(candidates(uri, start, end, header_bytes), end)
                 if links:
                     at, leave = zip(*links)
                     yield pa.RecordBatch.from_arrays(
@@ -195,22 +208,51 @@ def chain_entries(ranges: DataFrame, n_ranges: int, most: int) -> DataFrame:
                         ["file", "start", "at", "leave"])
 
     links = materialize(_spread(ranges, n_ranges).mapInArrow(scan, "file long, start long, at long, leave long"))
-    # a chain can enter a range only at offset 0 of the file or where some chain leaves another range
-    targets = links.select("file", F.col("leave").alias("at")).distinct()
-    jump = materialize(links.join(targets, ["file", "at"], "left_semi")
-                       .unionByName(links.filter("at = 0")).select("file", "at", "leave").distinct())
-    reached = jump.filter("at = 0").select("file", "at")
     rounds = max(1, most - 1).bit_length()
-    for _ in range(rounds):
-        ahead = reached.join(jump, ["file", "at"]).select("file", F.col("leave").alias("at"))
-        reached = materialize(reached.unionByName(ahead).distinct())
-        far = jump.select("file", F.col("at").alias("leave"), F.col("leave").alias("beyond"))
-        jump = materialize(jump.join(far, ["file", "leave"], "left")
-                           .select("file", "at", F.coalesce("beyond", "leave").alias("leave")))
+    while True:
+        # a chain can enter a range only at offset 0 of the file or where some chain leaves another range
+        targets = links.select("file", F.col("leave").alias("at")).distinct()
+        jump = materialize(links.join(targets, ["file", "at"], "left_semi")
+                           .unionByName(links.filter("at = 0")).select("file", "at", "leave").distinct())
+        open_ = jump.filter("at = leave").select("file", "at")
+        reached = jump.filter("at = 0").select("file", "at")
+        for _ in range(rounds):
+            ahead = reached.join(jump, ["file", "at"]).select("file", F.col("leave").alias("at"))
+            reached = materialize(reached.unionByName(ahead).distinct())
+            far = jump.select("file", F.col("at").alias("leave"), F.col("leave").alias("beyond"))
+            jump = materialize(jump.join(far, ["file", "leave"], "left")
+                               .select("file", "at", F.coalesce("beyond", "leave").alias("leave")))
+        still = open_.join(reached, ["file", "at"], "left_semi")
+        if not still.limit(1).count():
+            break
+        links = _read_on(links, still, ranges)
     return (links.select("file", "start", "at").join(reached, ["file", "at"])
             .groupBy("file", "start").agg(F.min("at").alias("entry")))
 
 
+def _read_on(links: DataFrame, still: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``links`` (file, start, at, leave) with the successors of the very long
+    headers at ``still``, which the chain has reached."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for uri, at in zip(b.column("uri").to_pylist(), b.column("at").to_pylist()):
+                reader = _Reader(uri)
+                head = reader.header(at)
+                out.append(None if head is None else _successor(at, head))
+                reader.close()
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("at"), pa.array(out, pa.int64())],
+                                             ["file", "at", "succ"])
+
+    found = (still.join(ranges.select("file", "uri").distinct(), "file")
+             .mapInArrow(run, "file long, at long, succ long"))
+    # a header that cannot be read ends its chain
+    return materialize(links.join(found.withColumn("read", F.lit(True)), ["file", "at"], "left")
+                       .withColumn("leave", F.when(F.col("read"), F.col("succ")).otherwise(F.col("leave")))
+                       .filter("leave IS NOT NULL").select("file", "start", "at", "leave"))
+
+
 RECORD = ("id long, uri string, type string, refers_to long, payload_bytes long, payload_digest string, "
           "declared_digest string, file string, offset long")
 
@@ -245,13 +287,13 @@ def records_in(uri: str, entry: int, end: int, with_payload: bool) -> Iterator[t
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = False,
-         range_bytes: int = RANGE_BYTES) -> DataFrame:
+         range_bytes: int = RANGE_BYTES, header_bytes: int = HEADER_BYTES) -> DataFrame:
     """One row per record (columns of RECORD; ``payload`` binary on request,
     empty in revisits). ``payload_digest`` of a response is computed from the
     bytes read; ``declared_digest`` is the header's."""
     ranges = _ranges(spark, path, range_bytes)
     total = ranges.agg(F.count(F.lit(1)), F.max(F.ceil(F.col("length") / range_bytes))).collect()[0]
-    entries = chain_entries(ranges, total[0], int(total[1] or 1))
+    entries = chain_entries(ranges, total[0], int(total[1] or 1), header_bytes)
     schema = RECORD + (", payload binary" if with_payload else "")
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}

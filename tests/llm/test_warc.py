@@ -72,3 +72,31 @@ def test_chains(tmp_path):
     assert chain == offsets and at == len(data)
     assert [r[8] for r in W.records_in(str(path), 0, len(data), False)] == offsets
     assert dict(W.exits(found, len(data)))[0] == len(data)
+
+
+def test_payloads_full_of_magic(spark):
+    """8 MB of magic lines without an empty line, candidates that never end, and headers longer than ranges."""
+    import time
+
+    lines = "WARC/1.0\r\n" * 800_000
+    rows = [(1, "u", lines), (2, "u", "a\r\n\r\n" + lines), (3, "u", "WARC/1.0\r\nx: y\r\n" * 50_000),
+            (4, "http://h/" + "q" * 3_000_000, "long header"), (5, "u", "end"), (6, "v" * 200_000, "x"),
+            (7, "u", "\r\n\r\nWARC/1.0\r\nContent-Length: 7\r\n" + "z" * 5_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = scratch_dir(spark, "warc-test")
+    W.write(df, path, "page_id", "url", "html")
+    begin = time.monotonic()
+    for range_bytes in (1 << 20, W.RANGE_BYTES):
+        got = W.read(spark, path, range_bytes=range_bytes)
+        assert _rows(got) == _brute(rows)
+    assert time.monotonic() - begin < 90
+
+
+def test_headers_past_the_bound_are_read_on_the_chain(spark):
+    rows = [(i, "h" * (40 + 700 * (i % 3)), f"<p>{i}</p>" * (i % 9)) for i in range(40)]
+    path = scratch_dir(spark, "warc-test")
+    W.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), path, "page_id", "url", "html")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()
+    ends = [W.candidates(f.path, k, min(k + 300, f.length), 64) for f in files for k in range(0, f.length, 300)]
+    assert any(at == succ for found in ends for at, succ in found)
+    assert _rows(W.read(spark, path, range_bytes=300, header_bytes=64)) == _brute(rows)
