@@ -56,19 +56,28 @@ def _tokens(text):
     return [t for t in re.split(r"[^0-9\w]+|_", re.sub("[0-9]+", "0", text.lower())) if t]
 
 
+RULES = (("casino-win.com/", "block"), ("win-pills.net/", "block"), ("goodnews.org/", "allow"), ("news.good.org/", "allow"),
+         ("net/adv/", "block"), ("org/en/", "allow"))
+
+
 def test_judge_matches_brute_force(spark):
-    sites = ["cheappills.org", "goodnews.org", "news.good.org", "casino-win.net", "win.org", "m.goodpills.net"]
-    pages = [(i, f"http://{sites[i % 6]}/{'en' if i % 4 else 'es'}/{i}", "<p>good news cheap win</p><script>zzz</script>" * 3)
-             for i in range(60)]
-    pages += [(None, None, None), (3, "http://goodnews.org/en/3", None), (3, "http://goodnews.org/en/3", None)]
+    sites = ["cheappills.biz", "goodnews.org", "news.good.org", "casino-win.com", "wincasino.info", "m.good-news.biz",
+             "win-pills.net", "xn.net"]
+    pages = [(i, f"http://{sites[i % 8]}/{('en', 'es', 'adv/x1')[i % 3]}/{i}", "<p>good news cheap</p><script>zzz</script>" * 3)
+             for i in range(80)]
+    pages += [(None, None, None), (3, "http://goodnews.org/en/3", None), (3, "http://goodnews.org/en/3", None),
+              (200, "http://other.info/adv/x9/7", None), (201, "http://other.info/en/7", None)]
+    pages += [(i, f"http://x{i % 5}.org/en/{i}", None) for i in range(300, 340)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, token string")
-    got = U.judge(df, "url", "html", keep=["page_id"]).collect()
+    got = U.judge(df, "url", "html", keep=["page_id"], rules=RULES).collect()
     assert len(got) == len(pages)
     p = U.Params()
-    counts = {w: p.seed_count for w in U.SEED_WORDS}
+    counts = {}
     for _, _, h in pages:
-        for w in ["good", "news", "cheap", "win"] * (3 if h else 0):
+        for w in ["good", "news", "cheap"] * (3 if h else 0):
             counts[w] = counts.get(w, 0) + 1
+    for w in [w for h in {_parts(u)[0] for _, u, _ in pages} for part in h.split(".") if "-" in part for w in _tokens(part)]:
+        counts[w] = counts.get(w, 0) + p.label_count
     total = float(sum(counts.values()))
 
     def host_words(host):
@@ -78,26 +87,77 @@ def test_judge_matches_brute_force(spark):
             out += U.split_words(label, found, total, p.longest_word)
         return out
 
-    blocked, allowed, sizes = {}, {}, [0, 0]
+    def rule(host, path):
+        fits = [(len(r), r, v) for r, v in RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0]))
+                and path.startswith("/" + r.split("/", 1)[1])]
+        return max(fits)[1:] if fits else (None, None)
+
+    classes, sizes = ({}, {}), [0, 0]
     rows = []
     for i, u, _ in pages:
         host, path = _parts(u)
         ts = ["h:" + w for w in host_words(host)] + ["p:" + w for w in _tokens(path)]
-        bad = any(t[2:] in U.SEED_WORDS for t in ts if t[0] == "h")
-        sizes[bad] += 1
-        for t in ts:
-            for d in (blocked, allowed):
-                d.setdefault(t, 0)
-            (blocked if bad else allowed)[t] += 1
+        says = rule(host, path)[1]
+        if says:
+            bad = says == "block"
+            sizes[bad] += 1
+            for t in ts:
+                classes[bad][t] = classes[bad].get(t, 0) + 1
         rows.append((i, host, path, ts))
-    tb, ta, v = sum(blocked.values()), sum(allowed.values()), len(blocked)
+    known = set(classes[0]) | set(classes[1])
+    ta, tb, v = sum(classes[0].values()), sum(classes[1].values()), len(known)
     want = []
     for i, host, path, ts in rows:
         odds = math.log((sizes[1] + 1) / (sizes[0] + 1)) + sum(
-            math.log((blocked[t] + 1) / (tb + v)) - math.log((allowed[t] + 1) / (ta + v)) for t in ts)
-        rule, says = _rule(host, path)
-        want.append((i or -1, host, path, rule or "", says or ("block" if odds > 0 else "allow"), round(odds, 6)))
+            math.log((classes[1].get(t, 0) + 1) / (tb + v)) - math.log((classes[0].get(t, 0) + 1) / (ta + v))
+            for t in ts if t in known)
+        r, says = rule(host, path)
+        want.append((i or -1, host, path, r or "", says or ("block" if odds > 0 else "allow"), round(odds, 6)))
     assert sorted((r.page_id or -1, r.host, r.path, r.rule or "", r.verdict, round(r.log_odds, 6)) for r in got) == sorted(want)
-    verdicts = {r.host: r.verdict for r in got if r.rule is None}
-    assert verdicts["cheappills.org"] == "block" and verdicts["goodnews.org"] == "allow"
+    verdicts = {(r.host, r.path.split("/")[1:2] == ["adv"]): r.verdict for r in got if r.rule is None}
+    assert verdicts["wincasino.info", False] == "block"  # known only when cut into words
+    assert verdicts["m.good-news.biz", False] == "allow"
+    assert verdicts["other.info", True] == "block" and verdicts["other.info", False] == "allow"  # by the path alone
     assert U.judge(df.limit(0), "url", "html", keep=["page_id"]).count() == 0
+
+
+def test_held_out_agreement_with_the_rules(spark):
+    """URLs decided by rules, a quarter of which the model has not learnt from."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    teaches = F.crc32(F.concat("host", "path")) % 4 != 0
+    got = U.judge(pages, "url", "html", keep=["page_id"], teaches=teaches).filter("rule IS NOT NULL") \
+        .withColumn("held", ~teaches).collect()
+    held = [r for r in got if r.held]
+    right = sum((r.log_odds > 0) == (r.verdict == "block") for r in held)
+    most = max(sum(r.verdict == v for r in held) for v in ("allow", "block"))
+    print("held-out agreement", right, len(held), "most frequent class", most)
+    assert len(held) > 10 and right >= 0.8 * len(held) and right > most
+
+
+def test_very_long_host(spark):
+    long = "ab" * 30_000
+    df = spark.createDataFrame([(1, f"http://{long}.org/x", "<p>ab abab</p>"), (2, "http://a.com/", "ab")],
+                               "page_id long, url string, html string")
+    got = {r.page_id: r for r in U.judge(df, "url", "html", keep=["page_id"]).collect()}
+    assert got[1].host == long + ".org" and got[2].verdict == "allow"
+
+
+def test_host_path_and_rule_match_sql(spark):
+    """The query's host, path and rule over the smallest table, in DuckDB."""
+    from sendwatch.llm import queries as Q
+    from tests.conftest import SF_SMALL
+    from tools.oracle_check import duck
+
+    want = duck(SF_SMALL).sql(r"""
+        WITH p AS (
+          SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path FROM pages)
+        SELECT page_id, host, path, CASE
+          WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+          WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+          WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+          WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+          WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM p""").fetchall()
+    got = Q.queries()["op2_url_words_bayes"](spark, SF_SMALL).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
