@@ -162,23 +162,24 @@ WITH d AS (
   FROM (SELECT item_id, k, w, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, w + 1)]) AS s FROM item)
   GROUP BY ALL
 ), doc_shingle AS (
-  SELECT doc_id, k, unnest([{'p': i - 1, 's': array_to_string(ws[i:i + k - 1], ' ')}
+  SELECT doc_id, k, len(ws) - k + 1 AS wd, unnest([{'p': i - 1, 's': array_to_string(ws[i:i + k - 1], ' ')}
                             FOR i IN range(1, len(ws) - k + 2)], recursive := true)
   FROM d, (SELECT DISTINCT k FROM item) WHERE len(ws) >= k
 ), place AS (
-  SELECT DISTINCT doc_id, item_id, doc_shingle.k, w, unnest(range(p - w + 1, p + 1)) AS start
+  SELECT DISTINCT doc_id, item_id, doc_shingle.k, w, wd, unnest(range(p - w + 1, p + 1)) AS start
   FROM doc_shingle JOIN item_shingle USING (k, s)
 ), weight AS (
-  SELECT place.doc_id, place.item_id, place.w, start, doc_shingle.s, count(*) AS c
+  SELECT place.doc_id, place.item_id, place.w, place.wd, start, doc_shingle.s, count(*) AS c
   FROM place JOIN doc_shingle ON doc_shingle.doc_id = place.doc_id AND doc_shingle.k = place.k
        AND doc_shingle.p BETWEEN start AND start + place.w - 1
   WHERE start >= 0 GROUP BY ALL
 ), total AS (
-  SELECT doc_id, weight.item_id, weight.w, start, sum(weight.c) AS n, sum(least(weight.c, coalesce(i.c, 0))) AS common
+  SELECT doc_id, weight.item_id, weight.w, wd, start, sum(weight.c) AS n, sum(least(weight.c, coalesce(i.c, 0))) AS common
   FROM weight LEFT JOIN item_shingle i ON i.item_id = weight.item_id AND i.s = weight.s GROUP BY ALL
 ), hit AS (
-  SELECT *, common / (2 * w - common) AS similarity FROM total
-  WHERE n = w AND 100 * common >= 80 * (2 * w - common)
+  -- a document shorter than the item is one window, the whole of it
+  SELECT *, common / (n + w - common) AS similarity FROM total
+  WHERE (n = w OR (wd < w AND start = 0)) AND 100 * common >= 80 * (n + w - common)
 )
 SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CAST(start AS BIGINT) AS start FROM hit
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1

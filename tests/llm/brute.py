@@ -47,17 +47,18 @@ def groups(docs, percent=85):
 
 
 def leaks(docs, items, percent=80):
-    """{(doc_id, item_id): (similarity, start)} of the best window of the item's size."""
+    """{(doc_id, item_id): (similarity, start)} of the best window of the item's size (or the whole shorter document)."""
     out = {}
     for d, t in docs:
         ws = words(t)
         for i, it in items:
             iw = words(it)
-            if not iw or len(iw) > len(ws):
+            k = min(5, len(iw))
+            if not iw or len(ws) < k:
                 continue
             want = Counter(shingles(iw))
-            for s in range(len(ws) - len(iw) + 1):
-                got = Counter(shingles(ws[s:s + len(iw)]))
+            for s in range(max(1, len(ws) - len(iw) + 1)):  # a shorter document is one window
+                got = Counter(shingles(ws[s:s + len(iw)], k))
                 common, union = sum((want & got).values()), sum((want | got).values())
                 if 100 * common >= percent * union:
                     out[d, i] = max(out.get((d, i), (0, 0)), (common / union, -s))
