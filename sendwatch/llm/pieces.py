@@ -36,7 +36,7 @@ _LOG = logging.getLogger(__name__)
 SPACE = "▁"
 NEVER = np.int64(1 << 40)
 LONG = 48
-MEMO_BYTES = 40_000_000  # of a generation; two are kept
+MEMO_BYTES = 100_000_000  # of a generation; two are kept
 
 
 class Encoder:
