@@ -1,11 +1,16 @@
-"""K-nearest-neighbour regression (Euclidean, uniform weights).
+"""K-nearest-neighbour regression (Euclidean, uniform weights), exact at any size.
 
-The model is its training rows. At most ``max_train_rows`` of them (a
-documented bound; those with the smallest hash of the id when there are more)
-are sent to every task once; each task then searches them for its own query
-rows. So the work grows with the query rows, nothing is replicated per block
-pair, no pair is ever a row, and no shuffle is needed. Up to the bound the
-search is exact over all training rows.
+Up to ``max_train_rows`` training rows are sent to every task once, and each
+task searches them for its own query rows: no shuffle, no pair as a row.
+
+Beyond that the training rows are dealt to spatial cells. Median cuts of a
+bounded sample give the cells; each has the exact bounding box of its rows,
+and a cell with many rows (many equal ones, say) is several parts with one
+box. A query row first searches the part whose box is nearest, which bounds
+its k-th distance, and then only the parts whose box is not farther than that.
+Query rows and training rows of a part meet in a task; parts with many
+visitors are served by several tasks. Boxes (two numbers per feature for every
+``part_rows`` training rows) are what reaches the driver.
 
 Inside a task numpy computes distances in chunks and keeps each query row's
 ``k`` nearest (ties by training id): the k-th distance by partial selection,
@@ -16,56 +21,196 @@ feature in list order, the same left-to-right sum a SQL expression computes.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sendwatch.session import materialize, share_package
+
 NEIGHBOUR_SCHEMA = "qid long, rank long, tid long, dist double, y double"
 CHUNK = 256
 MAX_TRAIN_ROWS = 200_000
-
-
-def _bounded(train: DataFrame, most: int) -> pd.DataFrame:
-    """At most ``most`` rows: all, or those with the smallest hash of the id."""
-    h = F.xxhash64("tid")
-    return train.orderBy(h, "tid").limit(most).toPandas().sort_values("tid", ignore_index=True)
-
-
-def nearest_neighbours(query: DataFrame, train: DataFrame, id_col: str, features: Sequence[str],
-                       target: str, k: int, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+PART_ROWS = 20_000
+SAMPLE_ROWS = 20_000  # of the training rows, for the cuts between cells
+VISITORS = 20_000     # query rows that a task serves at a time
+
+
+def _nearest(qx: np.ndarray, qid: np.ndarray, tx: np.ndarray, tid: np.ndarray, ty: np.ndarray, k: int
+             ) -> Iterator[pd.DataFrame]:
+    """The ``k`` nearest of the training rows (in order of id) for every query row."""
+    kk = min(k, len(tid))
+    for s in range(0, len(qid) if kk else 0, CHUNK):
+        block = qx[s:s + CHUNK]
+        d = np.zeros((len(block), len(tid)))
+        for j in range(tx.shape[1]):
+            diff = block[:, j:j + 1] - tx[None, :, j]
+            d = d + diff * diff
+        limit = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+        near = np.empty((len(block), kk), dtype=np.int64)
+        for i in range(len(block)):  # rows are in order of id, so a stable sort breaks ties
+            c = np.flatnonzero(~(d[i] > limit[i]))
+            near[i] = c[np.argsort(d[i, c], kind="stable")[:kk]]
+        flat = near.reshape(-1)
+        yield pd.DataFrame({"qid": np.repeat(qid[s:s + CHUNK], kk), "rank": np.tile(np.arange(1, kk + 1), len(block)),
+                            "tid": tid[flat], "dist": np.take_along_axis(d, near, axis=1).reshape(-1), "y": ty[flat]})
+
+
+def nearest_neighbours(query: DataFrame, train: DataFrame, id_col: str, features: Sequence[str], target: str, k: int,
+                       max_train_rows: int = MAX_TRAIN_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """(qid, rank, tid, dist, y): the ``k`` nearest training rows of every
     query row, rank 1 = nearest, ties broken by training id."""
+    share_package(query.sparkSession)
     feats = list(features)
     cast = [F.col(c).cast("double").alias(c) for c in feats]
-    t = _bounded(train.select(F.col(id_col).cast("long").alias("tid"), *cast,
-                              F.col(target).cast("double").alias("y")), max_train_rows)
+    t = train.select(F.col(id_col).cast("long").alias("tid"), *cast, F.col(target).cast("double").alias("y"))
+    q = query.select(F.col(id_col).cast("long").alias("qid"), *cast)
+    if t.limit(max_train_rows + 1).count() > max_train_rows:
+        return _by_cells(q, materialize(t), feats, k, part_rows)
+    rows = t.toPandas().sort_values("tid", ignore_index=True)  # at most max_train_rows
     model = query.sparkSession.sparkContext.broadcast(
-        (t[feats].to_numpy(np.float64), t["tid"].to_numpy(np.int64), t["y"].to_numpy(np.float64)))
+        (rows[feats].to_numpy(np.float64), rows["tid"].to_numpy(np.int64), rows["y"].to_numpy(np.float64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tx, tid, ty = model.value
-        kk = min(k, len(tid))
-        for q in batches:
-            qx, qid = q[feats].to_numpy(np.float64), q["qid"].to_numpy(np.int64)
-            for s in range(0, len(q) if kk else 0, CHUNK):
-                block = qx[s:s + CHUNK]
-                d = np.zeros((len(block), len(tid)))
-                for j in range(len(feats)):
-                    diff = block[:, j:j + 1] - tx[None, :, j]
-                    d = d + diff * diff
-                limit = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-                near = np.empty((len(block), kk), dtype=np.int64)
-                for i in range(len(block)):  # rows are in order of id, so a stable sort breaks ties
-                    c = np.flatnonzero(~(d[i] > limit[i]))
-                    near[i] = c[np.argsort(d[i, c], kind="stable")[:kk]]
-                flat = near.reshape(-1)
-                yield pd.DataFrame({"qid": np.repeat(qid[s:s + CHUNK], kk),
-                                    "rank": np.tile(np.arange(1, kk + 1), len(block)), "tid": tid[flat],
-                                    "dist": np.take_along_axis(d, near, axis=1).reshape(-1), "y": ty[flat]})
-
-    return query.select(F.col(id_col).cast("long").alias("qid"), *cast).mapInPandas(run, NEIGHBOUR_SCHEMA)
+        for b in batches:
+            yield from _nearest(b[feats].to_numpy(np.float64), b["qid"].to_numpy(np.int64), *model.value, k)
+
+    return q.mapInPandas(run, NEIGHBOUR_SCHEMA)
+
+
+# ------------------------------------------------------------------- spatial cells
+
+@dataclass
+class Cells:
+    """A tree of cuts (children of node i: ``below[i]`` and ``above[i]``, a cell number as -1 - cell)."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    below: np.ndarray
+    above: np.ndarray
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), dtype=np.int64)
+        if not len(self.feature):
+            return at
+        while (inner := at >= 0).any():
+            node = at[inner]
+            low = x[inner, self.feature[node]] <= self.cut[node]
+            at[inner] = np.where(low, self.below[node], self.above[node])
+        return -1 - at
+
+
+def grow_cells(sample: np.ndarray, cells: int) -> Cells:
+    """About ``cells`` cells of equal shares of the sample, cut at medians of the widest feature."""
+    least = max(1, len(sample) // max(1, cells))
+    nodes: list[list] = []
+    n_cells = 0
+
+    def grow(rows: np.ndarray) -> int:
+        nonlocal n_cells
+        x = sample[rows]
+        spread = x.max(axis=0) - x.min(axis=0) if len(x) else np.zeros(sample.shape[1])
+        if len(rows) > least and spread.max(initial=0) > 0:
+            j = int(spread.argmax())
+            cut = float(np.median(x[:, j]))
+            if cut >= x[:, j].max():  # more than half are at the top: cut below it
+                cut = float(x[x[:, j] < cut, j].max())
+            me = len(nodes)
+            nodes.append([j, cut, 0, 0])
+            nodes[me][2:] = grow(rows[x[:, j] <= cut]), grow(rows[x[:, j] > cut])
+            return me
+        n_cells += 1
+        return -n_cells
+
+    grow(np.arange(len(sample)))
+    f, c, lo, hi = zip(*nodes) if nodes else ((),) * 4
+    return Cells(np.array(f, np.int64), np.array(c, np.float64), np.array(lo, np.int64), np.array(hi, np.int64))
+
+
+def _box_distances(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance of every row to every box."""
+    d = np.zeros((len(x), len(low)))
+    for j in range(x.shape[1]):
+        gap = np.maximum(np.maximum(low[None, :, j] - x[:, j:j + 1], x[:, j:j + 1] - high[None, :, j]), 0)
+        d = d + gap * gap
+    return d
+
+
+def _by_cells(q: DataFrame, t: DataFrame, feats: list[str], k: int, part_rows: int) -> DataFrame:
+    spark = t.sparkSession
+    sample = t.orderBy(F.xxhash64("tid"), "tid").limit(SAMPLE_ROWS).select(*feats).toPandas().to_numpy(np.float64)
+    n = t.count()
+    cells = spark.sparkContext.broadcast(grow_cells(sample, -(-n // part_rows)))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(cell=cells.value.of(b[feats].to_numpy(np.float64)))
+
+    numbers = ", ".join(f"`{c}` double" for c in feats)
+    t = materialize(t.mapInPandas(place, f"tid long, {numbers}, y double, cell long"))
+    boxes = t.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo{i}") for i, c in enumerate(feats)],
+                                  *[F.max(c).alias(f"hi{i}") for i, c in enumerate(feats)]).toPandas().sort_values("cell")
+    parts = -(-boxes["n"].to_numpy() // part_rows)  # per cell
+    first = dict(zip(boxes["cell"], np.cumsum(parts) - parts))
+    many = dict(zip(boxes["cell"], parts))
+    low, high = (np.repeat(boxes[[f"{s}{i}" for i in range(len(feats))]].to_numpy(np.float64), parts, axis=0)
+                 for s in ("lo", "hi"))
+    handed = spark.sparkContext.broadcast((first, many, low, high))
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            one, all_ = handed.value[:2]
+            cell = b.pop("cell").to_numpy()
+            spread = (b["tid"].to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            yield b.assign(part=[one[c] + s % all_[c] for c, s in zip(cell, spread)])
+
+    t = materialize(t.mapInPandas(number, f"tid long, {numbers}, y double, part long"))
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s in range(0, len(b), 4096):
+                part = b.iloc[s:s + 4096]
+                yield part.assign(part=_box_distances(part[feats].to_numpy(np.float64), *handed.value[2:]).argmin(axis=1))
+
+    q = materialize(q)
+    visits = f"qid long, {numbers}, part long"
+    near = materialize(_search(q.mapInPandas(own, visits), t, feats, k))
+    reach = near.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("reach"))
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s in range(0, len(b), 1024):
+                part = b.iloc[s:s + 1024]
+                d = _box_distances(part[feats].to_numpy(np.float64), *handed.value[2:])
+                limit = part.pop("reach").fillna(np.inf).to_numpy(np.float64) * (1 + 1e-12)
+                wanted = d <= limit[:, None]
+                wanted[np.arange(len(d)), d.argmin(axis=1)] = False
+                row, to = np.nonzero(wanted)
+                yield part.iloc[row].assign(part=to)
+
+    more = q.join(reach, "qid", "left").select("qid", *feats, "reach").mapInPandas(others, visits)
+    every = near.unionByName(_search(more, t, feats, k))
+    best = Window.partitionBy("qid").orderBy("dist", "tid")
+    return every.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select(
+        "qid", "rank", "tid", "dist", "y")
+
+
+def _search(visits: DataFrame, t: DataFrame, feats: list[str], k: int) -> DataFrame:
+    """The ``k`` nearest training rows of each visited part for each of ``visits`` (qid, features, part)."""
+    visits = materialize(visits)
+    tasks = (visits.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("tasks")))
+    asked = visits.join(tasks, "part").withColumn("task", F.pmod(F.xxhash64("qid"), F.col("tasks")).cast("int")).drop("tasks")
+    served = t.join(tasks, "part").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+
+    def run(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
+        ts = ts.sort_values("tid")
+        out = list(_nearest(qs[feats].to_numpy(np.float64), qs["qid"].to_numpy(np.int64), ts[feats].to_numpy(np.float64),
+                            ts["tid"].to_numpy(np.int64), ts["y"].to_numpy(np.float64), k))
+        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in NEIGHBOUR_SCHEMA.split(", ")})
+
+    return asked.groupBy("part", "task").cogroup(served.groupBy("part", "task")).applyInPandas(run, NEIGHBOUR_SCHEMA)
 
 
 def knn_predict(query: DataFrame, train: DataFrame, id_col: str, features: Sequence[str],

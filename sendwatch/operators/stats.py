@@ -10,6 +10,7 @@ in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -81,12 +82,33 @@ def corr_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                     F.split_part("pair", F.lit(SEP), F.lit(2)).alias("col_b"), "corr"))
 
 
-def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None,
+def automatic_bins(df: DataFrame, column: str) -> int:
+    """Bins for a column's values: the larger of the Sturges count,
+    log2(n) + 1, and the Freedman-Diaconis count, whose width is twice the
+    distance of the exact quartiles over the cube root of n (left out where the
+    quartiles agree). One summary row reaches the driver."""
+    v = F.col(column).cast("double")
+    base = df.where(v.isNotNull()).select(v.alias("value"))
+    quartiles = exact_quantiles(base, [], "value", [0.25, 0.75])
+    row = base.agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).first()
+    if not row["n"] or row["lo"] == row["hi"]:
+        return 1
+    q1, q3 = quartiles.first()
+    sturges = math.ceil(round(math.log2(row["n"]) + 1, 9))
+    if q1 == q3:
+        return sturges
+    width = 2 * (q3 - q1) / row["n"] ** (1 / 3)
+    return max(sturges, math.ceil(round((row["hi"] - row["lo"]) / width, 9)))
+
+
+def histogram(df: DataFrame, column: str, bins: int | None = None, lo: float | None = None,
               hi: float | None = None) -> DataFrame:
-    """Equal-width histogram (non-empty bins). Without a range the bins span
+    """Equal-width histogram (non-empty bins); without ``bins`` their number
+    follows the data (``automatic_bins``). Without a range the bins span
     [min, max] (one summary row read first) and the maximum falls into the
     last bin; with a range, values outside it are dropped."""
     v = F.col(column).cast("double")
+    bins = automatic_bins(df, column) if bins is None else bins
     base = df.where(v.isNotNull())
     if lo is None or hi is None:
         # the range is one summary row (two values), fetched once and inlined

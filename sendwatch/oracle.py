@@ -8,6 +8,8 @@ CTEs over the driver's base tables. Bounds are the default ``Params``.
 
 from __future__ import annotations
 
+from sendwatch.functions.predicates import COMPLAINT_TAGS
+
 SOURCE_VIEWS = r"""
 messages AS (
   SELECT event_id AS sid, user_id AS account_id, ts AS sent_date, ts AS date_created,
@@ -61,6 +63,9 @@ account_flags AS (SELECT c_custkey AS account_id, c_custkey % 17 = 0 AS is_inter
 customer_link AS (
   SELECT CASE WHEN c_custkey % 50 = 49 THEN NULL ELSE c_custkey END AS account_id,
          c_custkey % 300 AS customer_id FROM customer),
+crm_accounts AS (
+  SELECT c_custkey AS customer_id FROM customer WHERE c_custkey < 300
+  UNION ALL SELECT c_custkey FROM customer WHERE c_custkey < 300 AND c_custkey % 12 = 5),
 isv_list AS (SELECT s_suppkey AS id FROM supplier),
 cannabis_list AS (SELECT c_custkey AS sid FROM customer WHERE c_mktsegment = 'FURNITURE'),
 risky_list AS (SELECT c_custkey AS sid FROM customer WHERE c_acctbal < 0 OR c_custkey % 3 = 0),
@@ -208,6 +213,7 @@ TRAITS = f"""
 isv_link AS (
   SELECT l.account_id, l.customer_id, CAST((i.id IS NOT NULL) AS int) AS isv
   FROM customer_link l LEFT JOIN (SELECT DISTINCT id FROM isv_list) i ON i.id = l.customer_id
+  LEFT JOIN crm_accounts c ON c.customer_id = l.customer_id
   WHERE l.account_id IS NOT NULL AND l.account_id <> -1),
 live AS (SELECT *, coalesce(parent_sid, sid) AS root FROM accounts
          WHERE date_created < TIMESTAMP '2024-01-31'),
@@ -352,11 +358,6 @@ QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY n_sids DESC, body AS
 
 # --- complaints ------------------------------------------------------------
 PT = "timezone('America/Los_Angeles', timezone('UTC', {c}))"
-COMPLAINT_TAGS = [
-    "carrier_complaint__sms/voice__cannabis_abo", "carrier_complaint__sms/voice__harassment_abo",
-    "carrier_complaint__sms/voice__other_abo", "carrier_complaint__political_abo",
-    "carrier_complaint__sms/voice__spam_abo", "consumer__cannabis_abo", "consumer__harassment_abo",
-    "consumer__other_abo", "consumer__political_abo", "consumer__spam_abo"]
 JOINED = "array_to_string(t.tags, ',')"
 IS_COMPLAINT = " OR ".join(f"contains({JOINED}, '{p}')" for p in COMPLAINT_TAGS)
 # rolling ticket window for as_of 2024-01-30 (a Tuesday): [Monday - 89 weeks, Monday + 1 week)
@@ -577,10 +578,18 @@ UNPIVOT INCLUDE NULLS (corr FOR pair IN ({", ".join(f'"{a}|{b}"' for a, b in _PA
 """
 
 
-def _hist(src: str, expr: str, bins: int, lo: str | None = None, hi: str | None = None) -> str:
+# larger of the Sturges and Freedman-Diaconis counts
+AUTO_BINS = """CAST(CASE WHEN count(*) = 0 OR max(v) = min(v) THEN 1 ELSE greatest(ceil(round(log2(count(v)) + 1, 9)),
+      CASE WHEN quantile_cont(v, 0.75) = quantile_cont(v, 0.25) THEN 1
+           ELSE ceil(round((max(v) - min(v)) / (2 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25))
+                           / pow(count(v), 1.0 / 3)), 9)) END) END AS bigint)"""
+
+
+def _hist(src: str, expr: str, bins: int | None, lo: str | None = None, hi: str | None = None) -> str:
+    count, bins, edges = (AUTO_BINS, "nb", "lo, hi, nb") if bins is None else (bins, bins, "lo, hi")
     nb = f"CAST({bins} AS double)"
     if lo is None:
-        rng = f"b AS (SELECT min(v) AS lo, max(v) AS hi FROM h)"
+        rng = f"b AS (SELECT min(v) AS lo, max(v) AS hi, {count} AS nb FROM h)"
         where = ""
     else:
         rng = f"b AS (SELECT CAST({lo} AS double) AS lo, CAST({hi} AS double) AS hi)"
@@ -591,16 +600,16 @@ h AS (SELECT CAST({expr} AS double) AS v FROM {src}),
 binned AS (
   SELECT CASE WHEN hi - lo = 0 THEN CAST(1 AS bigint)
               ELSE least(CAST(floor((v - lo) * {nb} / (hi - lo)) AS bigint) + 1, CAST({bins} AS bigint)) END AS bin,
-         lo, hi
+         {edges}
   FROM h, b WHERE v IS NOT NULL{where})
 SELECT bin, round(lo + (hi - lo) * (CAST(bin AS double) - 1.0::double) / {nb}, 6) AS bin_lo,
   round(lo + (hi - lo) * (CAST(bin + 1 AS double) - 1.0::double) / {nb}, 6) AS bin_hi, count(*) AS n
-FROM binned GROUP BY bin, lo, hi
+FROM binned GROUP BY bin, {edges}
 """
 
 
-Q["hist_age"] = FEATURES + "," + _hist("features_p1", "age", 30)
-Q["hist_unreachable"] = FEATURES + "," + _hist("features_p1", "unreachable_frac", 30)
+Q["hist_age"] = FEATURES + "," + _hist("features_p1", "age", None)
+Q["hist_unreachable"] = FEATURES + "," + _hist("features_p1", "unreachable_frac", None)
 Q["hist_21610"] = FEATURES + "," + _hist("features_p1", "frac_21610", 20)
 Q["category_counts"] = FEATURES + """
 SELECT feature, value, count(*) AS n FROM (

@@ -14,7 +14,6 @@ FLAGS = ["parent", "isv", "cannabis"]
 # --- fixed values: cohort thresholds and histogram settings -----------------
 YOUNG_MONTHS = 12
 SMALL_FAMILY = 50
-AUTO_BINS = 30
 BINS_21610 = 20
 RISK_BINS, RISK_RANGE = 10, (0.0, 10.0)
 RISK_SCALE = 100.0
@@ -35,11 +34,11 @@ def corr_features(features: DataFrame) -> DataFrame:
 
 
 def hist_age(features: DataFrame) -> DataFrame:
-    return stats.histogram(features, "age", AUTO_BINS)
+    return stats.histogram(features, "age")
 
 
 def hist_unreachable(features: DataFrame) -> DataFrame:
-    return stats.histogram(features, "unreachable_frac", AUTO_BINS)
+    return stats.histogram(features, "unreachable_frac")
 
 
 def hist_21610(features: DataFrame) -> DataFrame:

@@ -10,24 +10,24 @@ one evaluator job per model.
 
 Differences from the single-machine learners are stated where they exist:
 Spark trees cap ``maxDepth`` at 30 and bin continuous features (``maxBins``
-raised to 256 here); GBT "absolute" uses mean leaf values where the
-reference library uses medians; Huber loss, which Spark's GBT does not offer,
-is boosted by ``operators/huber.py`` (Spark trees on clipped residuals with
-Huber leaf values).
+raised to 256 here). Absolute and Huber loss are boosted by
+``operators/boosting.py``, with the median and Huber leaf values of the study's
+library; the spread of a feature's values is binned there too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sendwatch.config import DEFAULT_PARAMS, Params
-from sendwatch.operators import knn
+from sendwatch.operators import boosting, knn
 from sendwatch.operators.ranks import value_ranks
 from sendwatch.operators.stats import r6
 from sendwatch.plans.assemble import FEATURES, TARGETS, split_flag
@@ -42,8 +42,8 @@ BEST_TREE_DEPTH = {"optout": 9, "spam": 6}
 BEST_FOREST_DEPTH = {"optout": 17, "spam": 9}
 FOREST_TREES = 100
 BAGGING_TREES = 400
-GBT_SPAM = {"loss": "absolute", "maxDepth": 6, "maxIter": 70}
-HUBER_OPTOUT = {"maxDepth": 3, "trees": 300, "learningRate": 0.1, "alpha": 0.9}
+TUNED_BOOSTER = {"optout": ("huber", 3, 300), "spam": ("lad", 6, 70)}  # loss, depth, trees
+HUBER_SIZES = (100, 300, 1000)
 RISK_TREE_DEPTH = 7
 PERMUTATION_REPEATS = 5
 MAX_BINS = 256
@@ -90,14 +90,59 @@ def _forest(depth: int, label: str, trees: int = FOREST_TREES) -> RandomForestRe
                                  seed=SEED)
 
 
-def _bagging(label: str, trees: int = BAGGING_TREES) -> RandomForestRegressor:
+def _bagging(label: str) -> RandomForestRegressor:
     """Bagged full-depth trees: a forest that considers every feature."""
-    return _forest(MAX_SPARK_DEPTH, label, trees)
+    return _forest(MAX_SPARK_DEPTH, label, BAGGING_TREES)
 
 
-def _gbt(label: str, loss: str, depth: int, iters: int) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol=label, lossType=loss, maxDepth=depth,
-                        maxIter=iters, stepSize=0.1, maxBins=MAX_BINS, seed=SEED)
+@dataclass
+class Booster:
+    """A boosted model with its cut points, used like a fitted ``pyspark.ml`` model."""
+
+    cuts: boosting.Binning
+    model: boosting.Model
+
+    def transform(self, frame: DataFrame) -> DataFrame:
+        keep = [c for c in frame.columns if c != "features"]
+        return boosting.predict(frame, self.cuts, {"prediction": self.model}, keep)
+
+    @property
+    def importances(self) -> list[float]:
+        return self.model.importances(len(self.cuts.features))
+
+
+def fit_boosters(train: DataFrame, specs: Sequence[boosting.Spec]) -> list[Booster]:
+    """Boosters of ``specs`` on one training frame, in lockstep."""
+    cuts = boosting.binning(train, FEATURES, MAX_BINS)
+    return [Booster(cuts, m) for m in boosting.fit(train, cuts, specs)]
+
+
+def tuned_spec(target: str) -> boosting.Spec:
+    return boosting.Spec(TARGETS[target], *TUNED_BOOSTER[target])
+
+
+class Fits:
+    """The tuned models of one training frame, each fitted when first asked
+    for and shared by the jobs that compare, rank and score with them."""
+
+    def __init__(self, train: DataFrame):
+        self.train = train
+        self._held: dict = {}
+
+    def boosters(self) -> dict[str, Booster]:
+        if "boosters" not in self._held:
+            both = fit_boosters(self.train, [tuned_spec(t) for t in TARGETS])
+            self._held["boosters"] = dict(zip(TARGETS, both))
+        return self._held["boosters"]
+
+    def tuned(self, target: str) -> dict:
+        """The target's tree, forest, bagged trees and booster."""
+        if target not in self._held:
+            label = TARGETS[target]
+            ests = {"tree": _tree(BEST_TREE_DEPTH[target], label), "forest": _forest(BEST_FOREST_DEPTH[target], label),
+                    "bagging": _bagging(label)}
+            self._held[target] = dict(zip(ests, _fit_all(list(ests.values()), self.train)))
+        return {**self._held[target], "boosting": self.boosters()[target]}
 
 
 def _fit_all(estimators: Sequence, data: DataFrame, parallelism: int = 8) -> list:
@@ -226,24 +271,17 @@ def knn_predictions(train: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def _importances(model, name: str, target: str, spark: SparkSession) -> DataFrame:
-    vals = model.featureImportances.toArray().tolist()
+    vals = model.importances if isinstance(model, Booster) else model.featureImportances.toArray().tolist()
     return spark.createDataFrame([(name, target, f, float(v)) for f, v in zip(FEATURES, vals)],
                                  "model string, target string, feature string, importance double")
 
 
-def importance_trees(train: DataFrame) -> DataFrame:
-    """Impurity importances of the tuned tree, forest and bagged trees (the
-    forest's importances are already averaged over its members)."""
-    spark = train.sparkSession
-    out = []
-    for tname, label in TARGETS.items():
-        ests = {"tree": _tree(BEST_TREE_DEPTH[tname], label),
-                "forest": _forest(BEST_FOREST_DEPTH[tname], label),
-                "bagging": _bagging(label)}
-        if tname == "spam":
-            ests["boosting"] = _gbt(label, GBT_SPAM["loss"], GBT_SPAM["maxDepth"], GBT_SPAM["maxIter"])
-        models = _fit_all(list(ests.values()), train)
-        out += [_importances(m, n, tname, spark) for n, m in zip(ests, models)]
+def importance_trees(train: DataFrame, fits: Fits | None = None) -> DataFrame:
+    """Impurity importances of the tuned tree, forest, bagged trees and booster
+    (the forests' are averaged over their members, the booster's are shares of
+    the gains of all its splits)."""
+    fits = fits or Fits(train)
+    out = [_importances(m, n, tname, train.sparkSession) for tname in TARGETS for n, m in fits.tuned(tname).items()]
     return _union(out).withColumn("importance", r6(F.col("importance")))
 
 
@@ -295,18 +333,13 @@ def permutation_importance(train: DataFrame, scored: DataFrame, target: str = "o
             .withColumn("target", F.lit(target)))
 
 
-def leaderboard(train: DataFrame, scored: DataFrame) -> DataFrame:
+def leaderboard(train: DataFrame, scored: DataFrame, fits: Fits | None = None) -> DataFrame:
     """Period-2 RMSE of each tuned model family next to the mean-predictor
     baseline, per target."""
+    fits = fits or Fits(train)
     frames = []
     for tname, label in TARGETS.items():
-        ests = {"tree": _tree(BEST_TREE_DEPTH[tname], label),
-                "forest": _forest(BEST_FOREST_DEPTH[tname], label),
-                "bagging": _bagging(label)}
-        if tname == "spam":
-            ests["boosting"] = _gbt(label, GBT_SPAM["loss"], GBT_SPAM["maxDepth"], GBT_SPAM["maxIter"])
-        models = _fit_all(list(ests.values()), train)
-        frames += [_scored(m, scored, label, {"target": tname, "model": n}) for n, m in zip(ests, models)]
+        frames += [_scored(m, scored, label, {"target": tname, "model": n}) for n, m in fits.tuned(tname).items()]
         kp = knn.knn_predict(scored, train, "account_id", FEATURES, label, BEST_K[tname])
         frames.append(scored.select("account_id", F.col(label).alias("y")).join(kp, "account_id")
                       .select("y", F.col("prediction").alias("pred"))
@@ -318,19 +351,15 @@ def leaderboard(train: DataFrame, scored: DataFrame) -> DataFrame:
     return rm.unionByName(base.select("target", "model", "rmse", "r2"))
 
 
-def top_predictions(train: DataFrame, scored: DataFrame, target: str = "optout", k: int = 10) -> DataFrame:
+def top_predictions(train: DataFrame, scored: DataFrame, target: str = "optout", k: int = 10,
+                    fits: Fits | None = None) -> DataFrame:
     """Each tuned model scores period 2; the k accounts with the highest
     predicted rate per model, next to the actual rate (group-limited window)."""
     label = TARGETS[target]
-    ests = {"tree": _tree(BEST_TREE_DEPTH[target], label),
-            "forest": _forest(BEST_FOREST_DEPTH[target], label),
-            "bagging": _bagging(label)}
-    if target == "spam":
-        ests["boosting"] = _gbt(label, GBT_SPAM["loss"], GBT_SPAM["maxDepth"], GBT_SPAM["maxIter"])
-    models = _fit_all(list(ests.values()), train)
+    models = (fits or Fits(train)).tuned(target)
     frames = [m.transform(scored).select("account_id", F.col(label).alias("actual"),
                                          F.col("prediction").alias("pred"), F.lit(n).alias("model"))
-              for n, m in zip(ests, models)]
+              for n, m in models.items()]
     kp = knn.knn_predict(scored, train, "account_id", FEATURES, label, BEST_K[target])
     frames.append(scored.select("account_id", F.col(label).alias("actual")).join(kp, "account_id")
                   .select("account_id", "actual", F.col("prediction").alias("pred"), F.lit("knn").alias("model")))
@@ -339,15 +368,15 @@ def top_predictions(train: DataFrame, scored: DataFrame, target: str = "optout",
             .select("model", "rnk", "account_id", "actual", r6(F.col("pred")).alias("pred")))
 
 
-def risk_ranking(train: DataFrame, scored: DataFrame, top: int = 20) -> DataFrame:
-    """Two models on one frame: boosted trees (absolute loss) for the spam
+def risk_ranking(train: DataFrame, scored: DataFrame, top: int = 20, fits: Fits | None = None) -> DataFrame:
+    """Two models on one frame: boosted trees (absolute loss, the tuned ones) for the spam
     rate, a depth-7 tree for the opt-out rate; blended for spam weights
     0.0..0.9, top accounts per weight by predicted risk."""
     from sendwatch.plans.score import blend_sweep_top
 
-    spam_label, opt_label = TARGETS["spam"], TARGETS["optout"]
-    spam_m, opt_m = _fit_all([_gbt(spam_label, GBT_SPAM["loss"], GBT_SPAM["maxDepth"], GBT_SPAM["maxIter"]),
-                              _tree(RISK_TREE_DEPTH, opt_label)], train, parallelism=2)
+    opt_label = TARGETS["optout"]
+    spam_m = fits.boosters()["spam"] if fits else fit_boosters(train, [tuned_spec("spam")])[0]
+    opt_m = _tree(RISK_TREE_DEPTH, opt_label).fit(train)
     s = spam_m.transform(scored).select("account_id", F.col("prediction").alias("spam_pred"))
     o = opt_m.transform(scored).select("account_id", F.col("prediction").alias("optout_pred"))
     preds = s.join(o, "account_id").join(scored.select("account_id", *TARGETS.values()), "account_id")
@@ -359,6 +388,7 @@ CV_FOLDS = 5
 BAGGING_SIZES = [20, 30, 40, 50, 60, 70, 100, 200, 300, 400, 500]
 BOOSTING_SIZES = [30, 40, 50, 60, 70, 100, 200, 300]
 BOOSTING_LOSSES = ["huber", "lad"]
+BOOSTING_DEPTHS = [2, 4, 6, 8]
 # -----------------------------------------------------------------------------
 
 
@@ -386,60 +416,61 @@ def bagging_grid_cv(train: DataFrame, target: str = "optout", sizes: Sequence[in
             .withColumn("mean_r2", r6(F.col("mean_r2"))))
 
 
-def boosting_grid_cv(train: DataFrame, target: str = "optout", sizes: Sequence[int] = BOOSTING_SIZES,
-                     losses: Sequence[str] = BOOSTING_LOSSES, folds: int = CV_FOLDS, depth: int = 3,
-                     parallelism: int = 4) -> DataFrame:
-    """Mean 5-fold R^2 for each (loss, number of trees).
-
-    Boosting is sequential and, with no subsampling, deterministic: the model
-    with n trees is exactly the first n trees of the largest model. So each
-    (loss, fold) needs one fit, and every prefix is scored on the held-out
-    fold in one pass (``evaluateEachIteration`` for Spark's absolute-loss
-    GBT, ``staged_mse`` for the Huber booster)."""
-    from sendwatch.operators.huber import fit_huber_boosting
-
-    label = TARGETS[target]
-    data = materialize(_with_folds(train, folds))
-    n_max = max(sizes)
-    jobs = [(loss, k) for loss in losses for k in range(folds)]
-
-    def run(job):
-        loss, k = job
-        fit_df, val_df = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
-        if loss == "huber":
-            hm = fit_huber_boosting(fit_df, label, n_trees=n_max, max_depth=depth, max_bins=MAX_BINS, seed=SEED)
-            mse = hm.staged_mse(val_df, label, sizes)
-        else:
-            gm = _gbt(label, "absolute", depth, n_max).fit(fit_df)
-            per_iter = gm.evaluateEachIteration(val_df, "squared")
-            mse = {n: per_iter[n - 1] for n in sizes}
-        var = val_df.agg(F.var_pop(label)).first()[0]
-        return [(loss, n, 1.0 - mse[n] / var if var else None) for n in sizes]
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        per_fold = list(pool.map(run, jobs))
-    rows = [r for fold in per_fold for r in fold]
-    df = train.sparkSession.createDataFrame(rows, "loss string, n_estimators int, r2 double")
-    return (df.groupBy("loss", "n_estimators").agg(r6(F.avg("r2")).alias("mean_r2"))
-            .withColumn("target", F.lit(target)))
-
-
-def gbt_scores(train: DataFrame, scored: DataFrame, target: str = "spam") -> DataFrame:
-    """The tuned absolute-loss booster (70 trees of depth 6) trained on period
-    1 and scoring period 2: account, actual rate, prediction."""
-    label = TARGETS[target]
-    m = _gbt(label, GBT_SPAM["loss"], GBT_SPAM["maxDepth"], GBT_SPAM["maxIter"]).fit(train)
-    return m.transform(scored).select("account_id", label, r6(F.col("prediction")).alias("boosting_pred"))
-
-
-def huber_scores(train: DataFrame, scored: DataFrame, target: str = "optout",
-                 settings: dict = HUBER_OPTOUT) -> DataFrame:
-    """The tuned Huber booster (300 trees of depth 3) trained on period 1 and
-    scoring period 2: account, actual rate, prediction."""
-    from sendwatch.operators.huber import fit_huber_boosting
-
-    label = TARGETS[target]
-    hm = fit_huber_boosting(train, label, n_trees=settings["trees"], max_depth=settings["maxDepth"],
-                            learning_rate=settings["learningRate"], alpha=settings["alpha"],
-                            max_bins=MAX_BINS, seed=SEED)
-    return hm.transform(scored).select("account_id", label, r6(F.col("prediction")).alias("boosting_pred"))
+def boosting_grid_cv(train: DataFrame, targets: Sequence[str] = tuple(TARGETS), sizes: Sequence[int] = BOOSTING_SIZES,
+                     losses: Sequence[str] = BOOSTING_LOSSES, depths: Sequence[int] = (3,), folds: int = CV_FOLDS
+                     ) -> DataFrame:
+    """(target, loss, max_depth, n_estimators, mean_r2): mean R^2 over folds for each grid point.
+
+    Boosting is sequential and deterministic: the model of n trees is the first
+    n trees of the largest. So each (target, loss, depth, fold) is one model,
+    all of them grow in lockstep on one binned matrix, and every size is scored
+    on the held-out fold in one pass."""
+    data = materialize(_with_folds(train, folds).drop("features"))
+    cuts = boosting.binning(data, FEATURES, MAX_BINS)
+    specs = [boosting.Spec(TARGETS[t], loss, d, max(sizes), k)
+             for t in targets for loss in losses for d in depths for k in range(folds)]
+    fitted = boosting.fit(data, cuts, specs, folds="fold")
+    label_of = {v: k for k, v in TARGETS.items()}
+    labels = [TARGETS[t] for t in targets]
+    names = {f"m{i}": m for i, m in enumerate(fitted)}
+    staged = materialize(boosting.predict(data, cuts, names, ["fold", *labels], sizes))
+    steps = sorted(set(sizes))
+    parts = []
+    for i, s in enumerate(specs):  # a row per grid point and fold: sums, then R^2
+        held = staged.where(F.col("fold") == s.fold).select(F.col(s.label).alias("y"), F.posexplode(f"m{i}").alias("j", "p"))
+        parts.append(held.groupBy("j").agg(F.avg((F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))).alias("mse"),
+                                           F.var_pop("y").alias("var"))
+                     .select(F.lit(label_of[s.label]).alias("target"), F.lit(s.loss).alias("loss"),
+                             F.lit(s.depth).alias("max_depth"),
+                             F.element_at(F.lit(steps), F.col("j") + 1).alias("n_estimators"),
+                             (F.lit(1.0) - F.try_divide("mse", "var")).alias("r2")))
+    return _union(parts).groupBy("target", "loss", "max_depth", "n_estimators").agg(r6(F.avg("r2")).alias("mean_r2"))
+
+
+def best_grid_point(grid: DataFrame) -> DataFrame:
+    """Per target the grid point of the largest mean R^2 (ties: fewer trees, lower depth, first loss)."""
+    pick = F.min(F.struct((-F.col("mean_r2")).alias("m"), "n_estimators", "max_depth", "loss"))
+    return grid.groupBy("target").agg(pick.alias("b")).select(
+        "target", "b.loss", "b.max_depth", "b.n_estimators", (-F.col("b.m")).alias("mean_r2"))
+
+
+def gbt_scores(train: DataFrame, scored: DataFrame, target: str = "spam", fits: Fits | None = None) -> DataFrame:
+    """The target's tuned booster trained on period 1 and scoring period 2:
+    account, actual rate, prediction."""
+    booster = fits.boosters()[target] if fits else fit_boosters(train, [tuned_spec(target)])[0]
+    return booster.transform(scored).select("account_id", TARGETS[target], r6(F.col("prediction")).alias("boosting_pred"))
+
+
+def huber_scores(train: DataFrame, scored: DataFrame, sizes: Sequence[int] = HUBER_SIZES) -> DataFrame:
+    """(target, account_id, actual, n_estimators, pred): Huber boosters of depth 3 for both
+    targets, one fit each, every size a prefix of it."""
+    specs = [boosting.Spec(label, "huber", 3, max(sizes)) for label in TARGETS.values()]
+    fitted = fit_boosters(train, specs)
+    steps = sorted(set(sizes))
+    keep = ["account_id", *TARGETS.values()]
+    staged = boosting.predict(scored, fitted[0].cuts, {t: b.model for t, b in zip(TARGETS, fitted)}, keep, steps)
+    rows = F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(c).alias("actual"), F.col(t).alias("p"))
+                              for t, c in TARGETS.items()]))
+    return (staged.select("account_id", rows).select("target", "account_id", "actual", F.posexplode("p").alias("j", "pred"))
+            .select("target", "account_id", "actual", F.element_at(F.lit(steps), F.col("j") + 1).alias("n_estimators"),
+                    r6(F.col("pred")).alias("pred")))

@@ -15,7 +15,7 @@ from sendwatch.functions import predicates as P
 from sendwatch.functions.dates import week_key
 from sendwatch.operators.shares import frequency_with_share
 from sendwatch.plans.rates import message_snapshot
-from sendwatch.plans.traits import isv_crosswalk, week_wide
+from sendwatch.plans.traits import weighted_crosswalk, week_wide
 from sendwatch.sources import Sources
 
 FAILED_STATUS = "FAILED"
@@ -66,8 +66,8 @@ def top_failed_codes(src: Sources, k: int = 20) -> DataFrame:
 
 def dq_duplicates(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """(customer, account) pairs listed more than once in the ISV crosswalk."""
-    return (isv_crosswalk(src, params).groupBy("customer_id", "account_id")
-            .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    return (weighted_crosswalk(src, params).groupBy("customer_id", "account_id")
+            .agg(F.sum("weight").alias("n")).where(F.col("n") > 1))
 
 
 def dq_null_keys(src: Sources) -> DataFrame:

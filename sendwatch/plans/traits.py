@@ -27,14 +27,33 @@ def _live_accounts(src: Sources, params: Params) -> DataFrame:
             .withColumn("family_id", F.coalesce("parent_sid", "sid")))
 
 
-def isv_crosswalk(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """account_id -> customer_id with an ISV marker (customer on the ISV list)."""
+def weighted_crosswalk(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """(account_id, customer_id, isv, weight): ``weight`` rows of the crosswalk.
+
+    The left join to the CRM's accounts adds no column; a customer that the CRM
+    holds n times repeats its rows n times. That is a number per customer, so
+    rows carry it and are repeated only where a job puts them out. Sources
+    without a CRM table have weight 1."""
     isv_ids = src.isv_list.select(F.col("id").alias("customer_id")).distinct().withColumn("_hit", F.lit(1))
     link = src.customer_link.where(F.col("account_id").isNotNull()
                                    & (F.col("account_id") != params.sentinel_account_id))
-    return (link.join(isv_ids, "customer_id", "left")
-            .select("account_id", "customer_id",
-                    F.when(F.col("_hit").isNotNull(), 1).otherwise(0).alias("isv")))
+    crm = getattr(src, "crm_accounts", None)
+    times = (crm.groupBy("customer_id").agg(F.count(F.lit(1)).alias("weight")) if crm is not None
+             else isv_ids.select("customer_id", F.lit(1).cast("bigint").alias("weight")))
+    return (link.join(isv_ids, "customer_id", "left").join(times, "customer_id", "left")
+            .select("account_id", "customer_id", F.when(F.col("_hit").isNotNull(), 1).otherwise(0).alias("isv"),
+                    F.coalesce("weight", F.lit(1)).alias("weight")))
+
+
+def repeated(weighted: DataFrame) -> DataFrame:
+    """Every row ``weight`` times, without the weight."""
+    return (weighted.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
+            .drop("weight", "_"))
+
+
+def isv_crosswalk(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """account_id -> customer_id with an ISV marker (customer on the ISV list)."""
+    return repeated(weighted_crosswalk(src, params))
 
 
 def family_sizes(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
@@ -46,13 +65,14 @@ def family_sizes(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
 def account_traits(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Per account: parent, family root, age in whole months, parent flag,
     family sub-account count, ISV flag looked up on the family root, and the
-    age / family buckets."""
+    age / family buckets. One row per account and crosswalk row of its root."""
     a = _live_accounts(src, params).select(
         "parent_sid", "sid", "family_id",
         complete_months(F.to_date("date_created"), date_lit(params.ages_as_of)).alias("age"),
         F.when(F.col("parent_sid").isNull(), 0).otherwise(1).alias("parent"))
     fam = family_sizes(src, params)
-    isv = isv_crosswalk(src, params).select(F.col("account_id").alias("family_id"), "isv")
+    isv = (weighted_crosswalk(src, params).groupBy(F.col("account_id").alias("family_id"), "isv")
+           .agg(F.sum("weight").alias("weight")))
     lo, mid, hi = AGE_CUTS
     age_cat = (F.when(F.col("age") <= lo, F.lit(f"0-{lo}"))
                .when((F.col("age") > lo) & (F.col("age") <= mid), F.lit(f"{lo}-{mid}"))
@@ -60,10 +80,10 @@ def account_traits(src: Sources, params: Params = DEFAULT_PARAMS) -> DataFrame:
                .otherwise(F.lit(f"{mid}-{hi}")))
     sub_cat = (F.when(F.col("num_sub") == 0, F.lit("0")).when(F.col("num_sub") == 1, F.lit("1"))
                .otherwise(F.lit("> 1")))
-    return (a.join(fam, "family_id", "left").join(isv, "family_id", "left")
-            .select("parent_sid", "sid", "family_id", "age", "parent", "num_sub",
-                    F.coalesce("isv", F.lit(0)).alias("isv"),
-                    age_cat.alias("age_cat"), sub_cat.alias("num_sub_cat")))
+    return repeated(a.join(fam, "family_id", "left").join(isv, "family_id", "left")
+                    .select("parent_sid", "sid", "family_id", "age", "parent", "num_sub",
+                            F.coalesce("isv", F.lit(0)).alias("isv"), age_cat.alias("age_cat"),
+                            sub_cat.alias("num_sub_cat"), F.coalesce("weight", F.lit(1)).alias("weight")))
 
 
 def family_size(traits: DataFrame) -> DataFrame:

@@ -148,65 +148,53 @@ def _knn() -> dict[str, QueryFn]:
             "knn_best_k": _q(best_k)}
 
 
+_SHARED: dict[tuple[str, str], tuple] = {}
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> tuple:
+    """(train, test, scored, fits, whole train) of one application and input:
+    the model frames are written once, and what one job has fitted the others use."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SHARED:
+        _SHARED.clear()  # one input at a time
+        s = load(spark, sf_dir)
+        whole, test, scored = models.model_frames(assemble.features_p1(s, PRM), assemble.features_p2(s, PRM), PRM, True)
+        train = materialize(models.fit_rows(whole))
+        _SHARED[key] = (train, test, scored, models.Fits(train), whole)
+    return _SHARED[key]
+
+
+def _m(fn: Callable) -> QueryFn:
+    """A model job: ``fn(train, test, scored, fits, whole)``."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(*_shared(spark, sf_dir))
+    return run
+
+
 def _ml() -> dict[str, QueryFn]:
     """Model-training jobs (no SQL oracle; checked against brute force in tests)."""
-    def frames(s: Sources, whole: bool = False):
-        return models.model_frames(assemble.features_p1(s, PRM), assemble.features_p2(s, PRM), PRM, whole)
-
-    def tree_sweep(s):
-        tr, te, _ = frames(s, whole=True)
-        return models.depth_sweep(tr, te, "tree")
-
-    def forest_sweep(s):
-        tr, te, _ = frames(s, whole=True)
-        return models.depth_sweep(tr, te, "forest")
-
-    def best_depth(s):
-        tr, te, _ = frames(s, whole=True)
-        return models.best_param(models.depth_sweep(tr, te, "tree"), "depth")
-
-    def forest_best_depth(s):
-        tr, te, _ = frames(s, whole=True)
-        return models.best_param(models.depth_sweep(tr, te, "forest"), "depth")
-
-    def importances(s):
-        tr, _, _ = frames(s)
-        return models.importance_trees(tr)
-
-    def permutation(s):
-        tr, _, sc = frames(s)
-        return models.permutation_importance(tr, sc, "optout")
-
-    def permutation_spam(s):
-        tr, _, sc = frames(s)
-        return models.permutation_importance(tr, sc, "spam")
-
-    def board(s):
-        tr, _, sc = frames(s)
-        return models.leaderboard(tr, sc)
-
-    def ranking(s):
-        tr, _, sc = frames(s)
-        return models.risk_ranking(tr, sc)
-
-    def top_pred(s):
-        tr, _, sc = frames(s)
-        return models.top_predictions(tr, sc)
-
-    def gbt_lad(s):
-        tr, _, sc = frames(s)
-        return models.gbt_scores(tr, sc, "spam")
-
-    def top_pred_spam(s):
-        tr, _, sc = frames(s)
-        return models.top_predictions(tr, sc, "spam")
-
-    return {"top_predictions": _q(top_pred), "top_predictions_spam": _q(top_pred_spam), "gbt_lad": _q(gbt_lad),
-            "tree_depth_sweep": _q(tree_sweep), "forest_depth_sweep": _q(forest_sweep),
-            "tree_best_depth": _q(best_depth), "importance_trees": _q(importances),
-            "forest_best_depth": _q(forest_best_depth), "importance_permutation_spam": _q(permutation_spam),
-            "importance_permutation": _q(permutation), "leaderboard": _q(board),
-            "risk_ranking": _q(ranking)}
+    def depths(family: str) -> QueryFn:
+        return _m(lambda tr, te, sc, fits, whole: models.depth_sweep(whole, te, family))
+
+    def best(family: str) -> QueryFn:
+        return _m(lambda tr, te, sc, fits, whole: models.best_param(models.depth_sweep(whole, te, family), "depth"))
+
+    return {
+        "tree_depth_sweep": depths("tree"), "forest_depth_sweep": depths("forest"),
+        "tree_best_depth": best("tree"), "forest_best_depth": best("forest"),
+        "top_predictions": _m(lambda tr, te, sc, fits, w: models.top_predictions(tr, sc, fits=fits)),
+        "top_predictions_spam": _m(lambda tr, te, sc, fits, w: models.top_predictions(tr, sc, "spam", fits=fits)),
+        "gbt_lad": _m(lambda tr, te, sc, fits, w: models.gbt_scores(tr, sc, "spam", fits)),
+        "gbt_huber": _m(lambda tr, te, sc, fits, w: models.huber_scores(tr, sc)),
+        "gbt_grid_cv": _m(lambda tr, te, sc, fits, w: models.boosting_grid_cv(tr)),
+        "gbt_grid_cv_depths": _m(lambda tr, te, sc, fits, w: models.boosting_grid_cv(
+            tr, ["spam"], depths=models.BOOSTING_DEPTHS)),
+        "importance_trees": _m(lambda tr, te, sc, fits, w: models.importance_trees(tr, fits)),
+        "importance_permutation": _m(lambda tr, te, sc, fits, w: models.permutation_importance(tr, sc, "optout")),
+        "importance_permutation_spam": _m(lambda tr, te, sc, fits, w: models.permutation_importance(tr, sc, "spam")),
+        "leaderboard": _m(lambda tr, te, sc, fits, w: models.leaderboard(tr, sc, fits)),
+        "risk_ranking": _m(lambda tr, te, sc, fits, w: models.risk_ranking(tr, sc, fits=fits)),
+    }
 
 
 def queries() -> dict[str, QueryFn]:

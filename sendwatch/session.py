@@ -77,6 +77,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a
+    local session, or nodes with the same installation; elsewhere the path is
+    idle and the package comes by --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written under the session's checkpoint folder
     (shared storage on a cluster): computed once, read back as Parquet, and a

@@ -176,6 +176,14 @@ class Sources:
             F.when(ck % 50 == 49, F.lit(None).cast("bigint")).otherwise(ck).alias("account_id"),
             (ck % 300).alias("customer_id"))
 
+    @cached_property
+    def crm_accounts(self) -> DataFrame:
+        """The CRM's accounts; every twelfth customer is there twice."""
+        ck = F.col("c_custkey")
+        times = F.when(ck % 12 == 5, 2).otherwise(1)
+        return (self._t("customer").where(ck < 300)
+                .select(ck.alias("customer_id"), F.explode(F.sequence(F.lit(1), times)).alias("_")).drop("_"))
+
     @cached_property
     def isv_list(self) -> DataFrame:
         return self._t("supplier").select(F.col("s_suppkey").alias("id"))

@@ -29,6 +29,7 @@ VIEWS: dict[str, str] = {
     "accounts": "sid BIGINT, parent_sid BIGINT, friendly_name STRING, date_created TIMESTAMP_NTZ",
     "account_flags": "account_id BIGINT, is_internal BOOLEAN",
     "customer_link": "account_id BIGINT, customer_id BIGINT",
+    "crm_accounts": "customer_id BIGINT",
     "isv_list": "id BIGINT",
     "risky_list": "sid BIGINT",
     "cannabis_list": "sid BIGINT",

@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from sendwatch.operators import boosting
 from sendwatch.plans import models
 from sendwatch.plans.assemble import FEATURES
 
@@ -24,17 +25,28 @@ def tiny(spark):
 def test_boosting_prefix_equals_refit(tiny):
     label = "optout_frac"
     fit, val = tiny.where("account_id % 4 != 0"), tiny.where("account_id % 4 = 0")
-    big = models._gbt(label, "squared", 2, 4).fit(fit)
-    small = models._gbt(label, "squared", 2, 3).fit(fit)
-    prefix_mse = big.evaluateEachIteration(val, "squared")[2]
-    p = small.transform(val).select(F.avg((F.col(label) - F.col("prediction")) ** 2)).first()[0]
-    assert prefix_mse == pytest.approx(p, rel=1e-9)
-
-
-def test_boosting_grid_cv_shape(tiny):
-    out = models.boosting_grid_cv(tiny, "optout", sizes=[2, 3], folds=2, parallelism=2).collect()
-    assert sorted((r.loss, r.n_estimators) for r in out) == [("huber", 2), ("huber", 3), ("lad", 2), ("lad", 3)]
-    assert all(r.mean_r2 is not None for r in out)
+    big, small = models.fit_boosters(fit, [boosting.Spec(label, "huber", 2, n) for n in (4, 3)])
+    staged = boosting.predict(val.drop("features"), big.cuts, {"p": big.model}, ["account_id"], [3, 4])
+    want = {r.account_id: r.prediction for r in small.transform(val).collect()}
+    assert {r.account_id: r.p[0] for r in staged.collect()} == want
+
+
+def test_boosting_grid_matches_one_fold_fits(tiny):
+    grid = {(r.target, r.loss, r.max_depth, r.n_estimators): r.mean_r2 for r in models.boosting_grid_cv(
+        tiny, sizes=[2, 5], depths=(1, 2), folds=2).collect()}
+    assert len(grid) == 2 * 2 * 2 * 2
+    data = models._with_folds(tiny, 2)
+    cuts = boosting.binning(data, FEATURES)
+    r2 = []
+    for k in range(2):
+        m = boosting.fit(data.where(f"fold <> {k}"), cuts, [boosting.Spec("frac_7726", "lad", 2, 5)])[0]
+        rows = models.Booster(cuts, m).transform(data.where(f"fold = {k}")).select("frac_7726", "prediction").toPandas()
+        r2.append(1 - ((rows.frac_7726 - rows.prediction) ** 2).mean() / rows.frac_7726.var(ddof=0))
+    assert grid["spam", "lad", 2, 5] == pytest.approx(np.mean(r2), abs=1e-6)
+    best = models.best_grid_point(tiny.sparkSession.createDataFrame(
+        [("spam", "lad", 2, 5, 0.4), ("spam", "huber", 2, 2, 0.4), ("spam", "lad", 6, 70, 0.1)],
+        "target string, loss string, max_depth int, n_estimators int, mean_r2 double")).first()
+    assert (best.loss, best.n_estimators) == ("huber", 2)
 
 
 def test_bagging_grid_cv_shape(tiny):
@@ -61,32 +73,6 @@ def test_fit_depths_reuse_is_exact(tiny):
     assert a == b and fitted[30] is fitted[sat]
 
 
-def test_huber_boosting_first_steps_match_numpy(tiny):
-    from sendwatch.operators.huber import fit_huber_boosting
-
-    label = "optout_frac"
-    model = fit_huber_boosting(tiny, label, n_trees=2, max_depth=2, learning_rate=0.1, alpha=0.9)
-    rows = tiny.select("account_id", "features", label).orderBy("account_id").collect()
-    y = np.array([r[label] for r in rows])
-    f = np.full(len(y), np.percentile(y, 50))
-    assert model.init == pytest.approx(f[0])
-    frame = tiny.orderBy("account_id")
-    for tree, values in model.stages:
-        leaf = np.array([r["_leaf"] for r in tree.copy().setLeafCol("_leaf").setPredictionCol("_p")
-                         .transform(frame).select("_leaf").collect()])
-        r = y - f
-        delta = np.percentile(np.abs(r), 90)
-        for lf in np.unique(leaf):
-            rr = np.sort(r[leaf == lf])
-            med = rr[int(np.ceil(0.5 * len(rr))) - 1]            # lower median
-            dev = rr - med
-            want = med + np.mean(np.sign(dev) * np.minimum(np.abs(dev), delta))
-            assert values[lf] == pytest.approx(want, rel=1e-9, abs=1e-12)
-        f = f + 0.1 * np.array([values[lf] for lf in leaf])
-    got = [r["prediction"] for r in model.transform(frame).select("prediction").collect()]
-    assert np.allclose(got, f, rtol=1e-12, atol=1e-12)
-
-
 def test_sweep_has_every_depth(tiny):
     """Depths beyond Spark's limit hold the saturated model."""
     train, test = tiny.where("account_id % 3 != 0"), tiny.where("account_id % 3 = 0")
@@ -109,38 +95,38 @@ def test_permutation_is_one_at_every_size(spark):
         assert n < 50 or (got._perm != got.x).mean() > 0.95
 
 
-def test_leaderboard_and_rankings(tiny):
+def test_leaderboard_and_rankings(tiny, monkeypatch):
     """Registered model jobs against numpy on their own predictions."""
     train, scored = tiny.where("account_id % 3 != 0"), tiny.where("account_id % 3 = 0")
     label = "optout_frac"
-    board = {(r.target, r.model): r for r in models.leaderboard(train, scored).collect()}
+    monkeypatch.setattr(models, "TUNED_BOOSTER", {"optout": ("huber", 2, 6), "spam": ("lad", 3, 5)})
+    monkeypatch.setattr(models, "BAGGING_TREES", 20)
+    fits = models.Fits(train)
+    board = {(r.target, r.model): r for r in models.leaderboard(train, scored, fits).collect()}
+    assert set(board) == {(t, m) for t in ("optout", "spam") for m in
+                          ("tree", "forest", "bagging", "boosting", "knn", "mean")}
     y = np.array([r[label] for r in scored.select(label).collect()])
     assert board["optout", "mean"].rmse == pytest.approx(y.std(), abs=1e-6)
     m = models._tree(models.BEST_TREE_DEPTH["optout"], label).fit(train)
     p = np.array([(r[label], r.prediction) for r in m.transform(scored).collect()])
     assert board["optout", "tree"].rmse == pytest.approx(np.sqrt(((p[:, 0] - p[:, 1]) ** 2).mean()), abs=1e-6)
-    top = models.top_predictions(train, scored, "optout", k=3).where("model = 'tree'").orderBy("rnk").collect()
+    top = models.top_predictions(train, scored, "optout", k=3, fits=fits).where("model = 'tree'").orderBy("rnk").collect()
     assert [round(v, 6) for v in sorted(p[:, 1])[::-1][:3]] == [r.pred for r in top]
-    ranks = models.risk_ranking(train, scored, top=4)
+    ranks = models.risk_ranking(train, scored, top=4, fits=fits)
     assert ranks.count() == 40 and {"optout_frac", "frac_7726"} <= set(ranks.columns)
     for r in ranks.collect():
         assert r.risk_score == pytest.approx(r.weight * r.spam_pred + (1 - r.weight) * r.optout_pred)
-    gbt = models.gbt_scores(train, scored).collect()
+    gbt = {r.account_id: r.boosting_pred for r in models.gbt_scores(train, scored).collect()}
+    assert gbt == {r.account_id: r.boosting_pred for r in models.gbt_scores(train, scored, "spam", fits).collect()}
     assert len(gbt) == scored.count()
-    imp = models.importance_trees(train).groupBy("model", "target").agg(F.sum("importance").alias("s")).collect()
-    assert all(r.s == pytest.approx(1, abs=1e-4) for r in imp) and len(imp) == 7
+    staged = models.huber_scores(train, scored, sizes=(2, 4))
+    assert staged.count() == 2 * 2 * scored.count()
+    imp = models.importance_trees(train, fits).groupBy("model", "target").agg(F.sum("importance").alias("s")).collect()
+    assert all(r.s == pytest.approx(1, abs=1e-4) for r in imp) and len(imp) == 8
     perm = {r.feature: r.importance for r in models.permutation_importance(train, scored, "optout", k=3, repeats=2).collect()}
     assert set(perm) == set(FEATURES)
 
 
-def test_knn_bound_takes_a_reproducible_part(tiny):
-    from sendwatch.operators import knn
-
-    a, b = (knn.nearest_neighbours(tiny.repartition(n), tiny.repartition(n + 2), "account_id", FEATURES, "optout_frac",
-                                   4, max_train_rows=20).orderBy("qid", "rank").collect() for n in (1, 3))
-    assert a == b and len({r.tid for r in a}) <= 20 and len(a) == 4 * tiny.count()
-
-
 def test_fit_rows_bound(spark):
     df = spark.range(20_000).toDF("account_id")
     assert models.fit_rows(df).count() == 20_000
