@@ -74,6 +74,23 @@ def test_documents_shorter_than_an_item(spark):
     assert [x.doc_id for x in D.clean(d, "doc_id", "text", b, "item_id", "text").collect()] == [2]
 
 
+def test_sql_reports_documents_shorter_than_an_item(spark):
+    import duckdb
+    import pandas as pd
+
+    from sendwatch.llm.queries import OP8_SQL
+
+    item = " ".join(f"w{i}" for i in range(40))
+    docs = [(1, " ".join(item.split()[:37])), (2, "x y " + item + " z"), (3, " ".join(item.split()[:30])), (4, "a b c"), (5, None)]
+    items = [(7, item), (8, "a b c"), (9, "b c")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    rel = con.sql(OP8_SQL)
+    got = {(r[0], r[1]): (r[2], r[3]) for r in rel.project("doc_id, item_id, similarity, start").fetchall()}
+    assert got == brute.leaks(docs, items) and (1, 7) in got and got[1, 7][1] == 0
+
+
 def test_clean_and_edges(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta"
     docs = spark.createDataFrame([(1, "so " + item, 0), (2, "nothing here", 0), (None, item, 0), (3, None, 0), (3, None, 0)],
