@@ -132,7 +132,8 @@ def mix(df: DataFrame, id_col: str, text: str, source: str, keep: dict[str, str]
     more = F.coalesce((F.col("hash") < F.col("cut")) | ((F.col("hash") == F.col("cut")) & (F.col("quota") > 0)),
                       F.lit(False)).cast("int")
     plain = rows.filter(~split).withColumn("more", more)
-    shared = _copy_numbers(rows.filter(split)).withColumn("more", (F.col("copy") < F.col("quota")).cast("int"))
+    # written first, or the window would keep the join's dealing by source
+    shared = _copy_numbers(materialize(rows.filter(split))).withColumn("more", (F.col("copy") < F.col("quota")).cast("int"))
     every = plain.unionByName(shared.select(*plain.columns))
     repeats = (F.col("whole") + F.col("more")).cast("long")
     return every.select(*[F.col(f"kept.`{v}`").alias(v) for v in keep.values()], "size", "source_size", "target",
