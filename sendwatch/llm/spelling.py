@@ -57,6 +57,7 @@ BUCKETS = 1 << 16
 PREFIX = 3   # bigram length times one edit, and one
 PIVOTS = 2   # one edit, and one
 SPOIL = 97
+USUAL = 200  # code points
 
 
 def spoiled(doc_id: object, run: bytes) -> bytes:
@@ -210,8 +211,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     order[np.lexsort((np.arange(BUCKETS), cost))] = np.arange(BUCKETS, dtype=np.int32)
     r = _signatures(words, order, cost, index=False).alias("r")
     s = _signatures(words, order, cost, index=True).alias("s")
+    # words of usual length are verified within the join, longer ones (where that takes quadratic time) behind it
+    close = (F.char_length("r.word") > USUAL) | (F.levenshtein(F.col("r.word"), F.col("s.word"), 1) == 1)
     met = r.join(s, (F.col("r.key") == F.col("s.key")) & (F.col("r.last") <= F.col("s.last"))
-                 & (F.col("r.word") != F.col("s.word")))
+                 & (F.col("r.word") != F.col("s.word")) & close)
     first = F.col("r.word") < F.col("s.word")
     pick = lambda c, x, y: F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
     pairs = met.select(pick("word", "r", "s").alias("a"), pick("n", "r", "s").alias("a_n"),
