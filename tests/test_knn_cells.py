@@ -53,3 +53,48 @@ def test_fewer_rows_than_k_and_none(spark):
     assert knn.nearest_neighbours(query, train, "id", FEATS, "y", 9, max_train_rows=2, part_rows=1).count() == 8
     assert knn.nearest_neighbours(query, train.limit(0), "id", FEATS, "y", 9).count() == 0
     assert knn.nearest_neighbours(query.limit(0), train, "id", FEATS, "y", 9, max_train_rows=2, part_rows=1).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "missing"])
+def test_leaves_equal_brute_force(kind):
+    """The groups of a task give the rows of a plain search, ties by id."""
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(2500, 4)) * [9, 1, 1, 0.1], rng.normal(size=(150, 4)) * [9, 1, 1, 0.1]
+    if kind == "ties":
+        x, q = np.round(x), np.round(q)
+        x[:900] = 1.0
+    if kind == "missing":
+        x[::50, 2], q[::30, 1] = np.nan, np.nan
+    tid = rng.permutation(2500) * 3
+    leaves = knn.Leaves(x, tid, x[:, 0])
+    seen = 0
+    for rows, near, dist in leaves.search(q, 20):
+        for r, places, found in zip(rows, near, dist):
+            d = np.zeros(len(x))
+            for j in range(4):
+                d = d + (q[r, j] - x[:, j]) ** 2
+            want = np.lexsort((tid, d))[:20]
+            if not np.isnan(d[want]).any():
+                assert leaves.tid[places].tolist() == tid[want].tolist() and found.tolist() == d[want].tolist()
+            seen += 1
+    assert seen == len(q)
+
+
+def test_a_search_holds_few_distances(monkeypatch):
+    """No step's matrix grows with the training rows, and far groups are not met."""
+    rng = np.random.default_rng(5)
+    x = rng.random((60_000, 3))
+    sizes, distances = [], knn._distances
+    monkeypatch.setattr(knn, "_distances", lambda q, t: (sizes.append(q.shape[1] * t.shape[1]), distances(q, t))[1])
+    got = list(knn.Leaves(x, np.arange(len(x)), x[:, 0]).search(rng.random((640, 3)), 10))
+    assert sum(len(r) for r, _, _ in got) == 640
+    assert max(sizes) <= knn.QUERIES * (knn.MOST_COLUMNS + 4 * knn.LEAF_ROWS)
+    assert sum(sizes) < 640 * len(x) * 0.2
+
+
+def test_prediction_is_the_mean_of_the_neighbours(spark):
+    rng = np.random.default_rng(6)
+    train, query = table(spark, rng.random((300, 3)), rng.random(300)), table(spark, rng.random((40, 3)), np.zeros(40), 900)
+    nn = knn.nearest_neighbours(query, train, "id", FEATS, "y", 5).toPandas().groupby("qid")["y"].mean()
+    got = {r.id: r.prediction for r in knn.knn_predict(query, train, "id", FEATS, "y", 5).collect()}
+    assert got == pytest.approx(nn.to_dict()) and len(got) == 40
