@@ -20,12 +20,14 @@ may have any name.
 from __future__ import annotations
 
 import heapq
+import itertools
 import logging
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,18 @@ _LOG = logging.getLogger(__name__)
 SPACE = "▁"
 NEVER = np.int64(1 << 40)
 LONG = 48
-MEMO_BYTES = 100_000_000  # of a generation; two are kept
+EMPTY = np.int64(-2)
+MEMO_BYTES = 60_000_000  # of a generation; two are kept
+
+
+def _nothing() -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    return {}, np.zeros(1, np.int64), np.empty(0, np.int32)
+
+
+def _runs(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``length`` values from each ``start``, one run after another."""
+    shift = start - (np.cumsum(length) - length)
+    return values[np.arange(int(length.sum())) + np.repeat(shift, length)]
 
 
 class Encoder:
@@ -68,8 +81,9 @@ class Encoder:
         stop = "\n" if self.cut_lines else ""
         self.chunk = re.compile((f"{stop}|" if stop else "") + f"{SPACE}*[^{SPACE}{stop}]+|{SPACE}+"
                                 if self.cut_spaces else f"(?s:{stop}|[^{stop}]+)" if stop else "(?s:.+)")
-        self.memo: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.names_of_ids = pa.array([str(i) for i in range(n)])
+        # generations: number of a chunk, where the ids of a number begin, ids
+        self.memo, self.older = _nothing(), _nothing()
         self.memo_bytes = 0
         self.differed = 0
 
@@ -84,10 +98,30 @@ class Encoder:
                     ids.append(self.ids[p])
                     rank.append(ranks[self.score[self.ids[p]]])
         order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
-        self.keys = np.append(np.array(keys, dtype=np.int64)[order], np.int64(1 << 62))
+        key = np.array(keys, dtype=np.int64)[order]
         self.merged = np.append(np.array(ids, dtype=np.int64)[order], 0)
         self.rank = np.append(np.array(rank, dtype=np.int64)[order], NEVER)
         self.pairs = {k: (r, i) for k, r, i in zip(keys, rank, ids)}
+        self.symbol_of = -1 - np.arange(0x110000, dtype=np.int32)  # by code point
+        for c, i in self.symbols.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = i
+        # an open table of the pairs, under half full: a pair lies at its home or the next free place
+        bits = max(4, (3 * len(key)).bit_length())
+        self.slot_key, self.slot_pair = np.full(1 << bits, EMPTY), np.full(1 << bits, -1, np.int32)
+        todo = np.append(True, key[1:] != key[:-1]).nonzero()[0] if len(key) else np.empty(0, np.int64)
+        at = self._home(key[todo])
+        while len(todo):
+            free = np.flatnonzero(self.slot_key[at] == EMPTY)
+            place, one = np.unique(at[free], return_index=True)
+            one = free[one]
+            self.slot_key[place], self.slot_pair[place] = key[todo[one]], todo[one]
+            rest = np.delete(np.arange(len(todo)), one)
+            todo, at = todo[rest], (at[rest] + 1) & ((1 << bits) - 1)
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        bits = len(self.slot_key).bit_length() - 1
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
     # -- the agenda -----------------------------------------------------------
 
@@ -137,34 +171,37 @@ class Encoder:
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = np.where((left >= 0) & (right >= 0), left << 20 | right, np.int64(-1))
-        at = np.searchsorted(self.keys, key)
-        hit = self.keys[at] == key
-        return np.where(hit, self.rank[at], NEVER), self.merged[at]
-
-    def merge_many(self, chunks: list[str]) -> list[list[int]]:
-        """As ``merge_heap`` for short chunks together: rounds of one merge per chunk."""
-        symbols = self.symbols
-        out: list[list[int]] = [[]] * len(chunks)
-        if not chunks:
-            return out
-        sym = np.array([symbols.get(c, -1 - ord(c)) for w in chunks for c in w], dtype=np.int64)
+        at = self._home(key)
+        found = self.slot_key[at]
+        todo = np.flatnonzero((found != key) & (found != EMPTY))
+        while len(todo):  # another pair's place: the next one
+            at[todo] = (at[todo] + 1) & (len(self.slot_key) - 1)
+            found[todo] = self.slot_key[at[todo]]
+            todo = todo[(found[todo] != key[todo]) & (found[todo] != EMPTY)]
+        pair = np.where(found == key, self.slot_pair[at], -1)  # -1: the last entry, no pair
+        return self.rank[pair], self.merged[pair]
+
+    def merge_many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, their number per chunk): as ``merge_heap`` for
+        short chunks together, by rounds of one merge per chunk."""
         length = np.array([len(w) for w in chunks], dtype=np.int64)
+        if not len(length):
+            return np.empty(0, np.int32), length
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sym = self.symbol_of[points].astype(np.int64)
         word = np.arange(len(chunks))
         last = np.cumsum(length) - 1
         rank, merged = self._look_up(sym[:-1], sym[1:])
         rank, merged = np.append(rank, NEVER), np.append(merged, 0)
         rank[last] = NEVER
+        ended: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(word):
             starts = np.cumsum(length) - length
             best = np.minimum.reduceat(rank, starts)
             done = best == NEVER
             if done.any():
                 gone = np.repeat(done, length)
-                flat = sym[gone].tolist()
-                at = 0
-                for w, n in zip(word[done].tolist(), length[done].tolist()):
-                    out[w] = self._spell(flat[at:at + n])
-                    at += n
+                ended.append((word[done], length[done], sym[gone]))
                 sym, rank, merged = sym[~gone], rank[~gone], merged[~gone]
                 word, length, best = word[~done], length[~done], best[~done]
                 if not len(word):
@@ -185,7 +222,22 @@ class Encoder:
             again = np.concatenate([new[new < ends], (new - 1)[new > starts]])
             if len(again):
                 rank[again], merged[again] = self._look_up(sym[again], sym[again + 1])
-        return out
+        word, length, sym = (np.concatenate(x) for x in zip(*ended))
+        order = np.argsort(word, kind="stable")
+        sym = _runs(sym, (np.cumsum(length) - length)[order], length[order])
+        length = length[order]
+        odd = (sym < 0) | (sym >= len(self.names))
+        if not odd.any():
+            return sym.astype(np.int32), length
+        # symbols that are no entries become byte entries
+        parts = np.split(sym, np.flatnonzero(odd))
+        spelt = [parts[0]]
+        many = np.ones(len(sym), np.int64)
+        for i, part in zip(np.flatnonzero(odd).tolist(), parts[1:]):
+            got = self._spell([int(part[0])])
+            many[i] = len(got)
+            spelt += [np.array(got, np.int64), part[1:]]
+        return np.concatenate(spelt).astype(np.int32), np.add.reduceat(many, np.cumsum(length) - length)
 
     # -- chunks and texts -----------------------------------------------------
 
@@ -193,53 +245,85 @@ class Encoder:
         return self.chunk.findall(self.library.normalize(text)) if text else []
 
     def _learn(self, chunks: set[str]) -> None:
-        """Encode chunks not met before, checked against the library."""
-        if self.memo_bytes > MEMO_BYTES:
-            self.older, self.memo, self.memo_bytes = self.memo, {}, 0
-        new = []
-        for c in chunks:
-            if (old := self.older.get(c)) is not None:
-                self._keep(c, old)
-            else:
-                new.append(c)
-        short = [c for c in new if len(c) <= LONG]
-        own = dict(zip(short, self.merge_many(short)))
-        for c in new:
-            if c not in own:
-                own[c] = self.merge_heap(c)
-        if self.cut_lines:
-            check = self.library.encode(["\n" + c for c in new], num_threads=1) if new else []
-            lead = len(self.library.encode("\n"))
-        else:
-            check, lead = [None] * len(new), 0
-        for c, lib in zip(new, check):
-            ids = own[c]
-            if lib is not None and lib[lead:] != ids:
+        """Keep chunks that the memo does not hold; those not met before are checked against the library."""
+        kept = [c for c in chunks if c in self.older[0]]
+        if kept:
+            at = np.array([self.older[0][c] for c in kept])
+            _, starts, ids = self.older
+            length = starts[at + 1] - starts[at]
+            self._keep(kept, _runs(ids, starts[at], length), length)
+        new = [c for c in chunks if c not in self.older[0]] if kept else list(chunks)
+        new.sort(key=lambda c: len(c) > LONG)
+        short = sum(len(c) <= LONG for c in new)
+        ids, length = self.merge_many(new[:short])
+        if short < len(new):
+            own = [self.merge_heap(c) for c in new[short:]]
+            ids = np.concatenate([ids, np.array([i for o in own for i in o], np.int32)])
+            length = np.concatenate([length, np.array([len(o) for o in own], np.int64)])
+        if self.cut_lines and new:
+            ids, length = self._checked(new, ids, length)
+        self._keep(new, ids, length)
+
+    def _checked(self, chunks: list[str], ids: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lead = len(self.library.encode("\n"))
+        found = self.library.encode(["\n" + c for c in chunks], num_threads=1)
+        size = np.array([len(f) for f in found], np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum()))
+        del found
+        begin = np.cumsum(size) - size
+        library = _runs(flat, begin + lead, size - lead)
+        if np.array_equal(size - lead, length) and np.array_equal(library, ids):
+            return ids, length
+        mine = np.split(ids, np.cumsum(length)[:-1])
+        for c, a, b in zip(chunks, mine, np.split(library, np.cumsum(size - lead)[:-1])):
+            if not np.array_equal(a, b):
                 self.differed += 1
                 _LOG.warning("chunk %r: own ids differ from the library's, which are taken", c[:100])
-                ids = lib[lead:]
-            self._keep(c, (np.array(ids, dtype="<i4").tobytes(), " ".join(map(str, ids))))
-
-    def _keep(self, chunk: str, got: tuple[bytes, str]) -> None:
-        self.memo[chunk] = got
-        self.memo_bytes += 350 + 4 * len(chunk) + len(got[0]) + len(got[1])  # objects and table entry
+        return library, size - lead
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        memo, starts, held = self.memo
+        memo.update(zip(chunks, range(len(memo), len(memo) + len(chunks))))
+        starts = np.concatenate([starts, starts[-1] + np.cumsum(length)])
+        self.memo = memo, starts, np.concatenate([held, ids.astype(np.int32)])
+        # objects and table entries
+        self.memo_bytes += 260 * len(chunks) + 2 * sum(map(len, chunks)) + 4 * len(ids)
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last one's end); end ids included."""
+        if self.memo_bytes > MEMO_BYTES:  # a new generation
+            self.older, self.memo, self.memo_bytes = self.memo, _nothing(), 0
+        held = [self.chunks(t or "") for t in texts]
+        words = list(itertools.chain.from_iterable(held))
+        until = np.cumsum([0, *map(len, held)])
+        del held
+        at = np.fromiter(map(self.memo[0].get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            missing = [words[i] for i in unknown.tolist()]
+            self._learn(set(missing))
+            at[unknown] = np.fromiter(map(self.memo[0].__getitem__, missing), np.int64, len(missing))
+        del words
+        _, starts, ids = self.memo
+        length = starts[at + 1] - starts[at]
+        flat = _runs(ids, starts[at], length)
+        many = np.diff(np.append(0, np.cumsum(length))[until])
+        ends = np.cumsum(many + len(self.end))
+        out = np.empty(len(flat) + len(texts) * len(self.end), np.int32)
+        out[np.arange(len(flat)) + np.repeat(np.arange(len(texts)) * len(self.end), many)] = flat
+        for i, e in enumerate(self.end):
+            out[ends - len(self.end) + i] = e
+        return out, np.append(0, ends)
+
+    def decimals(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """Per text the ids as decimals joined by a space."""
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), self.names_of_ids.take(pa.array(ids)))
+        return pc.binary_join(lists, " ").to_pylist()
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str]]:
         """(ids, the ids as decimals joined by a space) per text, end id included."""
-        held = [self.chunks(t or "") for t in texts]
-        need = set().union(*held) if held else set()
-        missing = need.difference(self.memo)
-        if missing:
-            self._learn(missing)
-            for c in need.difference(self.memo):  # a new generation began
-                self.memo[c] = self.older[c]
-        memo = self.memo
-        end = np.array(self.end, dtype="<i4").tobytes()
-        end_text = [str(i) for i in self.end]
-        for words in held:
-            got = [memo[c] for c in words]
-            yield (np.frombuffer(b"".join([g[0] for g in got]) + end, dtype="<i4"),
-                   " ".join([g[1] for g in got] + end_text))
+        ids, bounds = self.encode_flat(texts)
+        yield from zip(np.split(ids, bounds[1:-1]) if texts else [], self.decimals(ids, bounds))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1) if ids else []
@@ -262,10 +346,8 @@ def encode(df: DataFrame, text: str, model_path: str, keep: list[str], ids: str
         enc = encoder(model_path)
         for whole in batches:
             for b in text_slices(whole, "__text"):
-                got = [i for i, _ in enc.encode(b.column("__text").to_pylist())]
-                offsets = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
-                flat = np.concatenate(got) if got else np.empty(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+                flat, bounds = enc.encode_flat(b.column("__text").to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), lists],
                                                  schema=arrow)
 
@@ -285,16 +367,15 @@ def digests(df: DataFrame, id_col: str, text: str, model_path: str, with_ids: bo
         enc = encoder(model_path)
         for whole in batches:
             for b in text_slices(whole, "__text"):
-                got = list(enc.encode(b.column("__text").to_pylist()))
-                back = [t for g in got for t in enc.decode([g[0].tolist()])]
-                columns = [b.column("doc_id"), pa.array([len(g[0]) for g in got], pa.int64()),
-                           pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got], pa.string()),
-                           pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string())]
+                flat, bounds = enc.encode_flat(b.column("__text").to_pylist())
+                spelt = [hashlib.sha256(t.encode()).hexdigest() for t in enc.decimals(flat, bounds)]
+                back = [hashlib.sha256(enc.library.decode(ids.tolist()).encode()).hexdigest()
+                        for ids in np.split(flat, bounds[1:-1])]
+                columns = [b.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(spelt, pa.string()),
+                           pa.array(back, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    ends = np.cumsum([0, *(len(g[0]) for g in got)])
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(
-                        np.concatenate([g[0] for g in got]) if got else [], pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -54,3 +55,33 @@ def test_frames(spark, enc):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(list(r.ids)).encode()).hexdigest()
     assert pieces.digests(df.limit(0), "doc_id", "text", PATH).count() == 0
+
+
+def test_memo_is_compact(enc, monkeypatch):
+    """The memo holds numbers into arrays, no ids as objects, and stays within two generations."""
+    import tracemalloc
+
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(60_000)]
+    monkeypatch.setattr(pieces, "MEMO_BYTES", 6_000_000)
+    fresh = pieces.Encoder(PATH)
+    tracemalloc.start()
+    for k in range(0, len(texts), 5_000):
+        got = list(fresh.encode([" ".join(texts[k:k + 5_000])]))
+    del got
+    used, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert used < 3 * 6_000_000
+    assert len(fresh.memo[0]) + len(fresh.older[0]) > 20_000
+    ids, bounds = fresh.encode_flat([texts[0], None, "", texts[-1]])
+    want = [fresh.library.encode(t) + [2] for t in (texts[0], "", "", texts[-1])]
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    assert [len(x) for x in fresh.encode_flat([])] == [0, 1] and fresh.differed == 0
+
+
+def test_pair_table(enc):
+    left, right = (np.array(x, np.int64) for x in zip(*[(k >> 20, k & 0xFFFFF) for k in enc.pairs]))
+    rank, merged = enc._look_up(left, right)
+    assert list(zip(rank.tolist(), merged.tolist())) == list(enc.pairs.values())
+    none = enc._look_up(np.array([-1, 5, 1 << 18]), np.array([3, -7, 1 << 18]))
+    assert (none[0] == pieces.NEVER).all()
