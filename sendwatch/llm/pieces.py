@@ -24,6 +24,7 @@ import itertools
 import logging
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sendwatch.llm.common import text_slices
-from sendwatch.llm.worker import state
+from sendwatch.llm.worker import give_back, state
 
 _LOG = logging.getLogger(__name__)
 SPACE = "▁"
@@ -101,13 +102,12 @@ class Encoder:
         key = np.array(keys, dtype=np.int64)[order]
         self.merged = np.append(np.array(ids, dtype=np.int64)[order], 0)
         self.rank = np.append(np.array(rank, dtype=np.int64)[order], NEVER)
-        self.pairs = {k: (r, i) for k, r, i in zip(keys, rank, ids)}
         self.symbol_of = -1 - np.arange(0x110000, dtype=np.int32)  # by code point
         for c, i in self.symbols.items():
             if len(c) == 1:
                 self.symbol_of[ord(c)] = i
-        # an open table of the pairs, under half full: a pair lies at its home or the next free place
-        bits = max(4, (3 * len(key)).bit_length())
+        # an open table of the pairs, at most half full: a pair lies at its home or the next free place
+        bits = max(4, (2 * len(key)).bit_length())
         self.slot_key, self.slot_pair = np.full(1 << bits, EMPTY), np.full(1 << bits, -1, np.int32)
         todo = np.append(True, key[1:] != key[:-1]).nonzero()[0] if len(key) else np.empty(0, np.int64)
         at = self._home(key[todo])
@@ -119,6 +119,13 @@ class Encoder:
             rest = np.delete(np.arange(len(todo)), one)
             todo, at = todo[rest], (at[rest] + 1) & ((1 << bits) - 1)
 
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """(rank, id) by pair, tens of MB: made for the first long chunk."""
+        taken = self.slot_key != EMPTY
+        at = self.slot_pair[taken]
+        return dict(zip(self.slot_key[taken].tolist(), zip(self.rank[at].tolist(), self.merged[at].tolist())))
+
     def _home(self, key: np.ndarray) -> np.ndarray:
         bits = len(self.slot_key).bit_length() - 1
         return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
@@ -331,7 +338,13 @@ class Encoder:
 
 def encoder(model_path: str, end: bool = True) -> Encoder:
     """The worker's encoder for a model: loaded once, its memo kept across tasks."""
-    return state("pieces", (model_path, end), lambda: Encoder(model_path, end))
+
+    def make() -> Encoder:
+        made = Encoder(model_path, end)
+        give_back()  # what its making took
+        return made
+
+    return state("pieces", (model_path, end), make)
 
 
 def encode(df: DataFrame, text: str, model_path: str, keep: list[str], ids: str = "ids") -> DataFrame:

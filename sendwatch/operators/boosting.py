@@ -44,6 +44,7 @@ from sendwatch.session import materialize, share_package
 
 MAX_BINS = 256
 BLOCK = 1 << 16
+ALONE = 1 << 20        # rows up to which a model is boosted in one task
 STEP = 256             # a block sends every STEP-th order statistic of a group
 WHOLE = 1024           # or all, up to so many
 SUMMARY_CELLS = 1 << 24  # (node, feature, bin) cells of all blocks that a pass may send
@@ -264,23 +265,6 @@ class _Rows:
         self.pending = []
 
 
-class _OneBlock:
-    """As ``_Rows`` for rows that are one block, inside a task."""
-
-    def __init__(self, y: np.ndarray, fold: np.ndarray, bins: np.ndarray, labels: tuple[str, ...], specs: tuple[Spec, ...],
-                 init: Sequence[float]):
-        f = np.repeat(np.array(init, np.float64)[None, :], len(y), axis=0)
-        self.block = _Block(y, fold, bins, f, labels, specs)
-        self.shape = (labels, specs, init, bins.shape[1])
-
-    def map(self, fn: Callable[[_Block], Any]) -> list[Any]:
-        return [fn(self.block)]
-
-    def add(self, trees: dict[int, Tree]) -> None:
-        for m, t in trees.items():
-            self.block.f[:, m] += RATE * t.value[t.leaf(self.block.bins)]
-
-
 # ------------------------------------------------------------------- order statistics
 
 def _grouped(groups: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -303,7 +287,7 @@ def _bracket(parts: list[tuple[np.ndarray, np.ndarray, int]], rank: int) -> tupl
     return float(x[most_below <= rank][-1]), float(x[least_upto > rank][0])
 
 
-def order_statistics(rows: _Rows | _OneBlock, pairs: Callable[[_Block], tuple[np.ndarray, np.ndarray]],
+def order_statistics(rows: _Rows, pairs: Callable[[_Block], tuple[np.ndarray, np.ndarray]],
                      ranks: dict[int, list[int]]) -> dict[tuple[int, int], float]:
     """{(group, rank): value} for the ranks (from 0) asked of each group;
     ``pairs`` gives a block's groups and values."""
@@ -361,7 +345,21 @@ def _sums(cell: np.ndarray, whole: np.ndarray, size: int) -> np.ndarray:
     return (np.bincount(cell, high, size).astype(np.int64) << 20) + np.bincount(cell, low, size).astype(np.int64)
 
 
-def _best_splits(rows: _Rows | _OneBlock, growing: dict[int, Tree], level: int, delta: dict[int, float], unit: float
+def _choose(n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, cut, rows to the left, rows, gain) of the largest gain per node; counts and sums: (node, feature, bin)."""
+    ln, ls = n.cumsum(axis=2), s.cumsum(axis=2)
+    size, total = ln[:, :1, -1:], ls[:, :1, -1:].astype(np.float64)
+    left = ls.astype(np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = left * left / ln + (total - left) ** 2 / (size - ln) - total * total / size
+    gain = np.where((ln > 0) & (ln < size), gain, -1.0).reshape(len(n), -1)
+    best = gain.argmax(axis=1)
+    at = np.arange(len(n))
+    feature, cut = np.divmod(best, MAX_BINS)
+    return feature, cut, ln[at, feature, cut], size[:, 0, 0], gain[at, best]
+
+
+def _best_splits(rows: _Rows, growing: dict[int, Tree], level: int, delta: dict[int, float], unit: float
                  ) -> Iterator[tuple[int, int, int, int, int, int, float]]:
     """(m, node, feature, bin, rows to the left, rows, gain) of the largest gain per open node of ``level``."""
     first, many = (1 << level) - 1, 1 << level
@@ -395,17 +393,110 @@ def _best_splits(rows: _Rows | _OneBlock, growing: dict[int, Tree], level: int,
             n[m][cell] += count
             s[m][cell] += total
     for m in growing:
-        ln = n[m].reshape(many, width, MAX_BINS).cumsum(axis=2)
-        ls = s[m].reshape(many, width, MAX_BINS).cumsum(axis=2)
-        size, total = ln[:, :1, -1:], ls[:, :1, -1:].astype(np.float64)
-        left = ls.astype(np.float64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left * left / ln + (total - left) ** 2 / (size - ln) - total * total / size
-        gain = np.where((ln > 0) & (ln < size), gain, -1.0).reshape(many, -1)
-        best = gain.argmax(axis=1)
-        for k in np.flatnonzero(size[:, 0, 0]).tolist():
-            j, cut = divmod(int(best[k]), MAX_BINS)
-            yield m, first + k, j, cut, int(ln[k, j, cut]), int(size[k, 0, 0]), float(gain[k, best[k]]) * unit * unit
+        feature, cut, left, size, gain = _choose(n[m].reshape(many, width, MAX_BINS), s[m].reshape(many, width, MAX_BINS))
+        for k in np.flatnonzero(size).tolist():
+            yield m, first + k, int(feature[k]), int(cut[k]), int(left[k]), int(size[k]), float(gain[k]) * unit * unit
+
+
+class _Alone:
+    """Rows of one model in a task: trees grown without passes. A level sorts
+    nothing and counts only the rows of each smaller child; the larger child's
+    counts and sums are the parent's less those."""
+
+    def __init__(self, y: np.ndarray, bins: np.ndarray, spec: Spec, unit: float):
+        self.y, self.columns, self.spec, self.unit = y, np.ascontiguousarray(bins.T), spec, unit
+
+    def quantile(self, v: np.ndarray, q: float) -> float:
+        at = (len(v) - 1) * q
+        k = math.floor(at)
+        k1 = min(k + 1, len(v) - 1)
+        got = np.partition(v, [k, k1])
+        return float(got[k] + (at - k) * (got[k1] - got[k]))
+
+    def _cells(self, rows: np.ndarray | None, group: np.ndarray, groups: int, parts: Sequence[np.ndarray], scale: Sequence[int]
+               ) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and sums of ``parts`` x ``scale`` per (group, feature, bin)."""
+        n, s = (np.zeros((groups, len(self.columns), MAX_BINS), np.int64) for _ in range(2))
+        base = group.astype(np.int64) << 8
+        parts = [p if rows is None else p[rows] for p in parts]
+        for j, column in enumerate(self.columns):
+            cell = base + (column if rows is None else column[rows])
+            n[:, j] = np.bincount(cell, minlength=groups << 8).reshape(groups, MAX_BINS)
+            for p, k in zip(parts, scale):
+                s[:, j] += np.bincount(cell, p, groups << 8).reshape(groups, MAX_BINS).astype(np.int64) * k
+        return n, s
+
+    def grow(self, r: np.ndarray, delta: float) -> tuple[Tree, np.ndarray]:
+        """(tree without values, leaf of every row) on the residuals ``r``."""
+        tree, unit = Tree.stump(self.spec.depth), self.unit
+        g = _gradient(self.spec.loss, r, delta)
+        if self.spec.loss == "lad":  # one size, two signs
+            parts, scale = [g], [int(np.rint(1.0 / unit))]
+        else:
+            whole = np.rint(g / unit).astype(np.int64)
+            parts, scale = [(whole >> 20).astype(np.float64), (whole & 0xFFFFF).astype(np.float64)], [1 << 20, 1]
+        leaf = np.zeros(len(r), np.int32)
+        rows, place = None, np.zeros(len(r), np.int32)  # rows of open nodes, and which node
+        nodes = np.zeros(1, np.int64)
+        n, s = self._cells(None, place, 1, parts, scale)
+        for level in range(self.spec.depth):
+            feature, cut, left, size, gain = _choose(n, s)
+            gain *= unit * unit
+            splits = gain > 1e-15 * size
+            if not splits.any():
+                break
+            at = nodes[splits]
+            tree.feature[at], tree.cut[at], tree.gain[at] = feature[splits], cut[splits], gain[splits]
+            here = splits[place]
+            rows = np.flatnonzero(here) if rows is None else rows[here]
+            place = place[here]
+            right = self.columns[feature[place], rows] > cut[place]
+            number = (np.cumsum(splits) - 1).astype(np.int32)
+            leaf[rows] = 2 * nodes[place] + 1 + right
+            place = 2 * number[place] + right
+            nodes = np.stack([2 * at + 1, 2 * at + 2], axis=1).reshape(-1)
+            if level + 1 < self.spec.depth:
+                small = (left > size - left)[splits]  # the right child has fewer rows
+                mine = (place & 1) == small[place >> 1]
+                less = self._cells(rows[mine], place[mine] >> 1, len(at), parts, scale)
+                n, s = (self._children(whole[splits], part, small) for whole, part in zip((n, s), less))
+        return tree, leaf
+
+    @staticmethod
+    def _children(parent: np.ndarray, part: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out = np.empty((len(parent), 2, *parent.shape[1:]), np.int64)
+        at = np.arange(len(parent))
+        out[at, right.astype(np.int64)] = part
+        out[at, 1 - right.astype(np.int64)] = parent - part
+        return out.reshape(-1, *parent.shape[1:])
+
+    def values(self, tree: Tree, leaf: np.ndarray, r: np.ndarray, delta: float) -> None:
+        order = np.lexsort((r, leaf))
+        start = np.flatnonzero(np.diff(leaf[order], prepend=-1))
+        size = np.diff(np.append(start, len(leaf)))
+        which = leaf[order[start]]
+        # the smallest value whose cumulative share reaches one half
+        median = r[order[start + (size + 1) // 2 - 1]]
+        shift = np.zeros(len(median))
+        if self.spec.loss == "huber":
+            number = np.zeros(len(tree.feature), np.int64)
+            number[which] = np.arange(len(which))
+            g = number[leaf]
+            shift = _sums(g, np.rint(np.clip(r - median[g], -delta, delta) / self.unit).astype(np.int64), len(median)
+                          ) * self.unit / size
+        tree.value[which] = median + shift
+
+    def boost(self) -> Model:
+        model = Model(self.spec, self.quantile(self.y, 0.5))
+        f = np.full(len(self.y), model.init)
+        for _ in range(self.spec.trees):
+            r = self.y - f
+            delta = self.quantile(np.abs(r), ALPHA) if self.spec.loss == "huber" else 0.0
+            tree, leaf = self.grow(r, delta)
+            self.values(tree, leaf, r, delta)
+            model.trees.append(tree)
+            f += RATE * tree.value[leaf]
+        return model
 
 
 def _boost(start: Callable[[Sequence[float]], Any], specs: Sequence[Spec], size: Sequence[int], unit: float,
@@ -454,9 +545,10 @@ def _boost(start: Callable[[Sequence[float]], Any], specs: Sequence[Spec], size:
 
 def fit(df: DataFrame, cuts: Binning, specs: Sequence[Spec], folds: str | None = None) -> list[Model]:
     """Models of ``specs``, boosted on the rows of ``df`` (labels and features;
-    ``folds``: its column of fold numbers). With several blocks all models grow
-    in lockstep, a map over the blocks per pass; if the rows are one block, no
-    pass needs another's summary, and the same loop runs in a task per model."""
+    ``folds``: its column of fold numbers). Up to ``ALONE`` rows, some 20 bytes
+    each, a task holds all that a model learns from, and models grow in a task
+    each, without a pass per level. Beyond, all grow in lockstep, a map over the
+    blocks per pass. Both give the same models."""
     specs = list(specs)
     labels = sorted({s.label for s in specs})
     fold = F.col(folds).cast("int") if folds else F.lit(-1)
@@ -470,26 +562,34 @@ def fit(df: DataFrame, cuts: Binning, specs: Sequence[Spec], folds: str | None =
     held = _blocks(table, labels, n_rows)
     largest = table.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in labels]).first()
     unit = 2.0 ** (math.ceil(math.log2(max(1.0, 2 * max(abs(largest[c] or 0.0) for c in labels)))) - UNIT_BITS)
-    if n_rows > BLOCK:
+    if n_rows > ALONE:
         return _boost(lambda init: _Rows(held, labels, specs, init, width), specs, size, unit, -(-n_rows // BLOCK))
 
+    # a task per model, the longest first
+    ranked = sorted(range(len(specs)), key=lambda m: (-specs[m].trees * specs[m].depth, m))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for m, y, fold, bins in zip(*(batch.column(c).to_pylist() for c in ("m", "y", "fold", "bins"))):
+            for place, y, fold, bins in zip(*(batch.column(c).to_pylist() for c in ("place", "y", "fold", "bins"))):
+                spec = specs[ranked[place]]
                 fold = np.frombuffer(fold, np.int32)
-                arrays = (np.frombuffer(y, np.float64).reshape(len(fold), len(labels)), fold,
-                          np.frombuffer(bins, np.uint8).reshape(len(fold), width))
-                one = (specs[m],)
-                model = _boost(lambda init: _OneBlock(*arrays, tuple(labels), one, init), one, [size[m]], unit, 1)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())],
-                                                 ["m", "model"])
-
-    todo = held.select("y", "fold", "bins", F.explode(F.lit(list(range(len(specs))))).alias("m"))
-    rows = todo.repartition(len(specs), "m").mapInArrow(run, "m int, model binary").collect()
+                y = np.frombuffer(y, np.float64).reshape(len(fold), len(labels))[:, labels.index(spec.label)]
+                bins = np.frombuffer(bins, np.uint8).reshape(len(fold), width)
+                learns = np.ones(len(fold), bool) if spec.fold is None else fold != spec.fold
+                parts.setdefault(place, []).append((y[learns], bins[learns]))
+        for place in sorted(parts):
+            y, bins = (np.concatenate(x) for x in zip(*parts.pop(place)))
+            model = _Alone(y, bins, specs[ranked[place]], unit).boost()
+            yield pa.RecordBatch.from_arrays([pa.array([ranked[place]], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())],
+                                             ["m", "model"])
+
+    todo = held.select("y", "fold", "bins", F.explode(F.lit(list(range(len(specs))))).alias("place"))
+    rows = todo.repartitionByRange(len(specs), "place").mapInArrow(run, "m int, model binary").collect()
     return [pickle.loads(r["model"]) for r in sorted(rows, key=lambda r: r["m"])]
 
 
-def _leaf_values(rows: _Rows | _OneBlock, trees: dict[int, Tree], leaves: dict[int, dict[int, int]], delta: dict[int, float],
+def _leaf_values(rows: _Rows, trees: dict[int, Tree], leaves: dict[int, dict[int, int]], delta: dict[int, float],
                  unit: float) -> None:
     number = {(m, k): i for i, (m, k) in enumerate((m, k) for m in trees for k in sorted(leaves[m]))}
     place = {m: np.array([number.get((m, k), -1) for k in range(len(t.feature))]) for m, t in trees.items()}

@@ -83,5 +83,8 @@ def test_pair_table(enc):
     left, right = (np.array(x, np.int64) for x in zip(*[(k >> 20, k & 0xFFFFF) for k in enc.pairs]))
     rank, merged = enc._look_up(left, right)
     assert list(zip(rank.tolist(), merged.tolist())) == list(enc.pairs.values())
+    names = enc.names
+    assert all(names[left] + names[right] == names[i] for left, right, (_, i) in zip(
+        left.tolist(), right.tolist(), enc.pairs.values()) if max(left, right) < len(names))
     none = enc._look_up(np.array([-1, 5, 1 << 18]), np.array([3, -7, 1 << 18]))
     assert (none[0] == pieces.NEVER).all()

@@ -141,3 +141,27 @@ def test_bracket_holds_the_rank():
         for rank in rng.integers(0, len(every), 5):
             low, high = B._bracket(parts, int(rank))
             assert low <= every[rank] <= high
+
+
+def test_models_of_one_task_equal_lockstep(spark, monkeypatch):
+    """Rows of several blocks: a task per model by default, without a pass per level; the same trees either way."""
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), float(round(a / 7 + (b > 3) + e, 1)), int(i % 3))
+            for i, (a, b, e) in enumerate(zip(rng.integers(0, 40, 600), rng.integers(0, 9, 600), rng.normal(0, 0.3, 600)))]
+    df = spark.createDataFrame(rows, "a double, b double, y double, fold int")
+    cuts = B.binning(df, ["a", "b"])
+    specs = [B.Spec("y", loss, depth, 5, fold) for loss in ("lad", "huber") for depth in (2, 4) for fold in (None, 1)]
+    monkeypatch.setattr(B, "BLOCK", 150)
+    passes = []
+    lockstep = B._Rows.map
+    monkeypatch.setattr(B._Rows, "map", lambda self, fn: passes.append(1) or lockstep(self, fn))
+    alone = B.fit(df, cuts, specs, folds="fold")
+    assert not passes
+    monkeypatch.setattr(B, "ALONE", 0)
+    together = B.fit(df, cuts, specs, folds="fold")
+    assert passes
+    for one, other in zip(alone, together):
+        assert (one.spec, one.init) == (other.spec, other.init)
+        for s, t in zip(one.trees, other.trees):
+            for part in ("feature", "cut", "value", "gain"):
+                assert np.array_equal(getattr(s, part), getattr(t, part))
