@@ -213,9 +213,6 @@ class Forest:
                 rows_.column("group").to_pylist(), pa.int32()), "rows": pa.array(ids, pa.binary()),
                 "sums": pa.array(sums, pa.binary())})
 
-        # dealt by number: few bytes are much work here, so partitions must not be merged by their size
-        tasks = min(groups, n_trees) * sets
-        left, right = (side.repartition(tasks, "group", "part") for side in (left, right))
         part = left.groupBy("group", "part").cogroup(right.groupBy("group", "part")).applyInArrow(
             score, "chunk long, group int, rows binary, sums binary")
 
