@@ -98,3 +98,18 @@ def test_prediction_is_the_mean_of_the_neighbours(spark):
     nn = knn.nearest_neighbours(query, train, "id", FEATS, "y", 5).toPandas().groupby("qid")["y"].mean()
     got = {r.id: r.prediction for r in knn.knn_predict(query, train, "id", FEATS, "y", 5).collect()}
     assert got == pytest.approx(nn.to_dict()) and len(got) == 40
+
+
+def test_groups_far_from_all_query_rows_are_not_measured(monkeypatch):
+    """Query rows that lie together meet the boxes near their own box only."""
+    rng = np.random.default_rng(5)
+    x = rng.random((20_000, 2))
+    leaves = knn.Leaves(x, np.arange(len(x)), x[:, 0])
+    measured = []
+    plain = knn._box_distances
+    monkeypatch.setattr(knn, "_box_distances", lambda q, low, high: (measured.append(len(low)), plain(q, low, high))[1])
+    q = rng.random((knn.QUERIES, 2)) * 0.01
+    rows, near, d = next(leaves.search(q, 5))
+    whole = ((q[rows][:, None, :] - x[None]) ** 2).sum(axis=2)
+    assert (leaves.tid[near] == np.lexsort((np.broadcast_to(np.arange(len(x)), whole.shape), whole), axis=1)[:, :5]).all()
+    assert sum(measured) < len(leaves.start) / 4

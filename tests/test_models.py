@@ -146,3 +146,21 @@ def test_depth_sweep_scores_all_training_rows(tiny, monkeypatch):
     assert got.train_rmse == pytest.approx(np.sqrt(((p[label] - p.prediction) ** 2).mean()), abs=1e-6)
     assert got.train_r2 == pytest.approx(1 - ((p[label] - p.prediction) ** 2).sum() / (
         (p[label] - p[label].mean()) ** 2).sum(), abs=1e-6)
+
+
+def test_permuted_rows_are_searched_once(tiny, monkeypatch):
+    """Variants that leave a row as it is, or give it a value twice, are one query row; every variant is counted."""
+    train, scored = tiny.where("account_id % 3 != 0"), tiny.where("account_id % 3 = 0")
+    same = [c for c in FEATURES if c != "age"]
+    scored = scored.select("account_id", "optout_frac", "frac_7726", "age", *[F.lit(1.0).alias(c) for c in same])
+    sizes = []
+    plain = models.knn.knn_predict
+    monkeypatch.setattr(models.knn, "knn_predict", lambda q, *a: (sizes.append(q.count()), plain(q, *a))[1])
+    got = {r.feature: r.importance for r in models.permutation_importance(train, scored, "optout", k=3, repeats=2).collect()}
+    n = scored.count()
+    assert n <= sizes[0] <= 3 * n and sizes[1] == n  # a row as it is, and two values of the one feature that differs
+    assert all(got[c] == pytest.approx(0, abs=1e-6) for c in same) and got["age"] != 0
+    base = scored.withColumn("_row", F.monotonically_increasing_id()).persist()
+    asked, _ = models.permuted_queries(base, 2)
+    per = asked.select("_row", F.inline("at")).groupBy("j", "r").agg(F.countDistinct("_row").alias("d"), F.count("_row").alias("c"))
+    assert [(r.d, r.c) for r in per.collect()] == [(n, n)] * (2 * len(FEATURES))
