@@ -1,5 +1,7 @@
 """Model jobs against brute force on a tiny frame."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -164,3 +166,20 @@ def test_permuted_rows_are_searched_once(tiny, monkeypatch):
     asked, _ = models.permuted_queries(base, 2)
     per = asked.select("_row", F.inline("at")).groupBy("j", "r").agg(F.countDistinct("_row").alias("d"), F.count("_row").alias("c"))
     assert [(r.d, r.c) for r in per.collect()] == [(n, n)] * (2 * len(FEATURES))
+
+
+def test_missing_fits_run_at_the_same_time(tiny, monkeypatch):
+    """Neither target's forests wait for the other's, and all shares come in one small table."""
+    monkeypatch.setattr(models, "TUNED_BOOSTER", {"optout": ("huber", 2, 2), "spam": ("lad", 2, 2)})
+    monkeypatch.setattr(models, "FOREST_TREES", 2)
+    monkeypatch.setattr(models, "BAGGING_TREES", 3)
+    both, plain = threading.Barrier(2), models.forest.fit
+    monkeypatch.setattr(models.forest, "fit", lambda *a: (both.wait(60), plain(*a))[1])
+    fits = models.Fits(tiny)
+    got = models.importance_trees(tiny, fits)
+    assert got.rdd.getNumPartitions() == 1 and got.count() == 2 * 4 * len(FEATURES)
+    monkeypatch.setattr(models.forest, "fit", plain)
+    for target in models.TARGETS:  # as one target by itself
+        want = {n: models._importances(m) for n, m in models.Fits(tiny).tuned(target).items()}
+        have = {(r.model, r.feature): r.importance for r in got.where(F.col("target") == target).collect()}
+        assert have == {(n, f): pytest.approx(v, abs=1e-6) for n, x in want.items() for f, v in zip(FEATURES, x)}
