@@ -213,7 +213,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     s = _signatures(words, order, cost, index=True).alias("s")
     # words of usual length are verified within the join, longer ones (where that takes quadratic time) behind it
     close = (F.char_length("r.word") > USUAL) | (F.levenshtein(F.col("r.word"), F.col("s.word"), 1) == 1)
-    met = r.join(s, (F.col("r.key") == F.col("s.key")) & (F.col("r.last") <= F.col("s.last"))
+    # merge: the sides are many rows per word, of which Spark's estimate (the bytes of the words' file) knows nothing
+    met = r.join(s.hint("merge"), (F.col("r.key") == F.col("s.key")) & (F.col("r.last") <= F.col("s.last"))
                  & (F.col("r.word") != F.col("s.word")) & close)
     first = F.col("r.word") < F.col("s.word")
     pick = lambda c, x, y: F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
@@ -233,7 +234,7 @@ def roots(links: DataFrame) -> DataFrame:
     now = materialize(links.select("word", F.col("form").alias("root")))
     while True:
         on = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new = materialize(now.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"),
+        new = materialize(now.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"),
                                                               F.col("next").isNotNull().alias("moved")))
         if not new.filter("moved").limit(1).count():
             return new.select("word", "root")
@@ -247,11 +248,11 @@ def variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"),
                                     F.min(F.struct((-F.col("other_n")).alias("m"), F.col("other").alias("w"))).alias("top"))
     formed = -F.col("top.m") >= ratio * F.col("n")
-    found = materialize(words.join(best, "word", "left").select(
+    found = materialize(words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(formed, F.col("top.w")).alias("form"), F.when(formed, -F.col("top.m")).alias("form_n")))
     last = roots(found.filter("form IS NOT NULL"))
-    return found.join(last, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return found.join(last.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def group_variants(df: DataFrame, id_col: str, text: str, shortest: int = 5, least: int = 3, ratio: int = 2) -> DataFrame:

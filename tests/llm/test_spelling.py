@@ -125,3 +125,16 @@ def test_empty_and_bounds(spark):
     assert found(S.group_variants(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text")) == {}
     with pytest.raises(ValueError):
         S.group_variants(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", shortest=3)
+
+
+def test_no_side_that_grows_with_the_words_is_broadcast(spark, monkeypatch):
+    """Small by its file, a side of the joins may be dozens of times that in memory: also far below Spark's bound."""
+    words = spark.createDataFrame([("letter", 9), ("lettre", 3), ("leter", 4), ("window", 8), ("windov", 2)], "word string, n long")
+    plans = []
+    held = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df: (plans.append(df), held(df))[1])
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 1 << 20
+    plans.append(S.variants(held(words)))
+    texts = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert sum(t.count("SortMergeJoin") for t in texts) >= 4
+    assert not any("BroadcastHashJoin" in t for t in texts)
