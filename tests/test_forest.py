@@ -115,3 +115,45 @@ def test_forest_sweep_equals_a_fit_per_depth(frame, monkeypatch):
     f = forest.fit(train, boosting.binning(train, FEATURES), [forest.Spec("frac_7726", 4, 6)])[0]
     p = f.transform(test).select("frac_7726", "prediction").toPandas()
     assert got["spam", 4].test_rmse == pytest.approx(np.sqrt(((p.frac_7726 - p.prediction) ** 2).mean()), abs=2e-6)
+
+
+@pytest.mark.parametrize("depth", [3, 30])
+def test_tree_of_many_slices_is_the_same(monkeypatch, depth):
+    """Nodes larger than a slice are summed up per bin, small ones share a slice."""
+    rng = np.random.default_rng(depth)
+    x = rng.integers(0, 40, (3000, 5)).astype(np.uint8)
+    y = (rng.integers(0, 1 << 36, 3000) + (x[:, 2].astype(np.int64) << 33)) * (x[:, 0] > 9)
+    w = forest.draws(0, 7, 3000)
+    one = forest.grow(x, y, w, depth, 0.5)
+    monkeypatch.setattr(forest, "SLICE", 130)
+    assert np.array_equal(w, forest.draws(0, 7, 3000)) and np.array_equal(w, np.random.default_rng([0, 7]).poisson(1.0, 3000))
+    many = forest.grow(x, y, w, depth, 0.5)
+    again = forest.unpacked(forest.packed(many[0]))
+    for part in ("feature", "cut", "left", "right", "value"):
+        assert np.array_equal(getattr(one[0], part), getattr(many[0], part)), part
+        assert np.array_equal(getattr(again, part), getattr(many[0], part)), part
+    assert one[2] == many[2] and np.array_equal(one[1], many[1])
+
+
+def test_tree_takes_its_cuts_from_all_rows(spark):
+    """Spark's tree looks for cuts in a sample of 65,536 rows, where one row of 150,000 is mostly missed."""
+    df = spark.range(150_000).selectExpr("id AS account_id", *[
+        f"CAST(IF(id = {17_011 * (j + 1)}, 1, 0) AS double) AS {c}" for j, c in enumerate(FEATURES)])
+    df = df.withColumn("optout_frac", sum(df[c] * (j + 1) for j, c in enumerate(FEATURES[:7])))
+    tree = models.fit_trees(df, [(7, "optout_frac")])[0]
+    got = sorted(r.prediction for r in tree.transform(df.where("optout_frac > 0")).collect())
+    assert got == pytest.approx([1, 2, 3, 4, 5, 6, 7], abs=1e-6)
+
+
+def test_sweep_beyond_sparks_cuts(frame, monkeypatch):
+    """More rows than Spark takes cuts from: one tree on every row once, scored at every depth."""
+    train, test = frame.where("account_id % 3 != 0"), frame.where("account_id % 3 = 0")
+    monkeypatch.setattr(models, "SPARK_TREE_ROWS", 100)
+    got = {(r.target, r.depth): r for r in models.depth_sweep(train, test, "tree").collect()}
+    assert len(got) == 100 and all(r.reached for r in got.values())
+    rows = train.select(*FEATURES, "frac_7726").toPandas()
+    x = np.stack([np.unique(rows[c], return_inverse=True)[1] for c in FEATURES], axis=1)
+    y = rows.frac_7726.to_numpy()
+    for d in (1, 3):
+        p = grown_by_hand(x, y, np.ones(len(y)), d)
+        assert got["spam", d].train_rmse == pytest.approx(np.sqrt(((y - p) ** 2).mean()), abs=2e-6)
