@@ -23,8 +23,9 @@ trees: every size of a grid is scored from one fit.
 Gradients are whole multiples of a small unit and are summed as integers, so
 a fit does not depend on how rows are dealt. State (the predictions so far) is
 written out every ``CUT`` trees; passes in between apply the pending trees.
-Fits are meant for a bounded number of rows (``models.MAX_FIT_ROWS``), which
-bounds the blocks and so the driver's share.
+All rows are fitted. In lockstep the summaries of all blocks meet on the driver,
+whose share grows with the blocks; a task per model (up to ``ALONE`` rows) sends
+it the trees only.
 """
 
 from __future__ import annotations
@@ -44,12 +45,13 @@ from sendwatch.session import materialize, share_package
 
 MAX_BINS = 256
 BLOCK = 1 << 16
-ALONE = 1 << 20        # rows up to which a model is boosted in one task
+ALONE = 1 << 22        # rows up to which a model is boosted in one task
+SLICE = 1 << 18        # rows that such a task counts at a time
 STEP = 256             # a block sends every STEP-th order statistic of a group
 WHOLE = 1024           # or all, up to so many
 SUMMARY_CELLS = 1 << 24  # (node, feature, bin) cells of all blocks that a pass may send
 CUT = 20
-UNIT_BITS = 40         # gradients are multiples of 2**-40 of the largest residual: sums of 2**20 rows fit 62 bits
+UNIT_BITS = 40         # gradients are multiples of 2**-40 of the largest residual: sums of 2**22 rows fit 62 bits
 ALPHA = 0.9            # Huber: share of residuals that are not clipped
 RATE = 0.1
 
@@ -417,13 +419,15 @@ class _Alone:
                ) -> tuple[np.ndarray, np.ndarray]:
         """Counts and sums of ``parts`` x ``scale`` per (group, feature, bin)."""
         n, s = (np.zeros((groups, len(self.columns), MAX_BINS), np.int64) for _ in range(2))
-        base = group.astype(np.int64) << 8
-        parts = [p if rows is None else p[rows] for p in parts]
-        for j, column in enumerate(self.columns):
-            cell = base + (column if rows is None else column[rows])
-            n[:, j] = np.bincount(cell, minlength=groups << 8).reshape(groups, MAX_BINS)
-            for p, k in zip(parts, scale):
-                s[:, j] += np.bincount(cell, p, groups << 8).reshape(groups, MAX_BINS).astype(np.int64) * k
+        for k in range(0, len(group), SLICE):
+            at = slice(k, k + SLICE) if rows is None else rows[k:k + SLICE]
+            base = group[k:k + SLICE].astype(np.int64) << 8
+            here = [p[at] for p in parts]
+            for j, column in enumerate(self.columns):
+                cell = base + column[at]
+                n[:, j] += np.bincount(cell, minlength=groups << 8).reshape(groups, MAX_BINS)
+                for p, times in zip(here, scale):
+                    s[:, j] += np.bincount(cell, p, groups << 8).reshape(groups, MAX_BINS).astype(np.int64) * times
         return n, s
 
     def grow(self, r: np.ndarray, delta: float) -> tuple[Tree, np.ndarray]:
@@ -545,7 +549,7 @@ def _boost(start: Callable[[Sequence[float]], Any], specs: Sequence[Spec], size:
 
 def fit(df: DataFrame, cuts: Binning, specs: Sequence[Spec], folds: str | None = None) -> list[Model]:
     """Models of ``specs``, boosted on the rows of ``df`` (labels and features;
-    ``folds``: its column of fold numbers). Up to ``ALONE`` rows, some 20 bytes
+    ``folds``: its column of fold numbers). Up to ``ALONE`` rows, some 120 bytes
     each, a task holds all that a model learns from, and models grow in a task
     each, without a pass per level. Beyond, all grow in lockstep, a map over the
     blocks per pass. Both give the same models."""
@@ -561,7 +565,8 @@ def fit(df: DataFrame, cuts: Binning, specs: Sequence[Spec], folds: str | None =
     n_rows, width = sum(counts.values()), len(cuts.features)
     held = _blocks(table, labels, n_rows)
     largest = table.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in labels]).first()
-    unit = 2.0 ** (math.ceil(math.log2(max(1.0, 2 * max(abs(largest[c] or 0.0) for c in labels)))) - UNIT_BITS)
+    bits = UNIT_BITS - (n_rows >> 22).bit_length()
+    unit = 2.0 ** (math.ceil(math.log2(max(1.0, 2 * max(abs(largest[c] or 0.0) for c in labels)))) - bits)
     if n_rows > ALONE:
         return _boost(lambda init: _Rows(held, labels, specs, init, width), specs, size, unit, -(-n_rows // BLOCK))
 
@@ -571,7 +576,8 @@ def fit(df: DataFrame, cuts: Binning, specs: Sequence[Spec], folds: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for place, y, fold, bins in zip(*(batch.column(c).to_pylist() for c in ("place", "y", "fold", "bins"))):
+            for k, place in enumerate(batch.column("place").to_pylist()):
+                y, fold, bins = (batch.column(c)[k].as_buffer() for c in ("y", "fold", "bins"))
                 spec = specs[ranked[place]]
                 fold = np.frombuffer(fold, np.int32)
                 y = np.frombuffer(y, np.float64).reshape(len(fold), len(labels))[:, labels.index(spec.label)]
@@ -580,7 +586,9 @@ def fit(df: DataFrame, cuts: Binning, specs: Sequence[Spec], folds: str | None =
                 parts.setdefault(place, []).append((y[learns], bins[learns]))
         for place in sorted(parts):
             y, bins = (np.concatenate(x) for x in zip(*parts.pop(place)))
-            model = _Alone(y, bins, specs[ranked[place]], unit).boost()
+            alone = _Alone(y, bins, specs[ranked[place]], unit)
+            del bins  # the model has its columns
+            model = alone.boost()
             yield pa.RecordBatch.from_arrays([pa.array([ranked[place]], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())],
                                              ["m", "model"])
 

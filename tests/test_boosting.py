@@ -165,3 +165,15 @@ def test_models_of_one_task_equal_lockstep(spark, monkeypatch):
         for s, t in zip(one.trees, other.trees):
             for part in ("feature", "cut", "value", "gain"):
                 assert np.array_equal(getattr(s, part), getattr(t, part))
+
+
+def test_counts_of_many_slices_are_the_same(spark, monkeypatch):
+    _, _, _, df = frame(spark)
+    cuts = B.binning(df, COLS)
+    specs = [B.Spec("y", "huber", 3, 4), B.Spec("z", "lad", 3, 4)]
+    one = B.fit(df, cuts, specs)
+    monkeypatch.setattr(B, "SLICE", 37)
+    many = B.fit(df, cuts, specs)
+    for a, b in zip(one, many):
+        for s, t in zip(a.trees, b.trees):
+            assert all(np.array_equal(getattr(s, part), getattr(t, part)) for part in ("feature", "cut", "value", "gain"))
