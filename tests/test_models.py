@@ -136,6 +136,12 @@ def test_fit_rows_bound(spark):
     assert 1_700 < part < 2_300
 
 
+def test_models_are_fitted_on_all_rows(spark):
+    """However many there are."""
+    df = spark.range(1_200_000).toDF("account_id")
+    assert models.fit_rows(df).count() == 1_200_000
+
+
 def test_depth_sweep_scores_all_training_rows(tiny, monkeypatch):
     """Beyond the bound the fit is on part of the rows, the statistics on all."""
     fit_rows, label = models.fit_rows, "optout_frac"
