@@ -42,6 +42,7 @@ TASKS = 64            # tasks that grow a forest's trees, and groups that score
 DEEP_GROUPS = 16      # groups where every depth is scored: their sums are as many times wider
 SET_CHUNKS = 4        # chunks of BLOCK rows that a scoring task holds at least,
 SET_BYTES = 1 << 26   # and as many as fit this with their sums
+PIECE_BYTES = 1 << 21  # of a chunk's sums that are added up at a time
 SLICE = 1 << 18       # rows that a level works on at a time
 UNIT_BITS = 40
 SAFE_ROWS = 1 << 22   # sums of so many labels fit 62 bits; units are larger beyond
@@ -287,6 +288,7 @@ class Forest:
         n_chunks, width, n_trees = chunks.count(), len(self.cuts.features), self.spec.trees
         if not n_chunks:
             return rows.drop("_row").withColumn("predictions", F.array(*[F.lit(0.0) for _ in depths]))
+        piece = max(1, PIECE_BYTES // (8 * len(depths)))
         # _row is 0.. within a partition; sets of chunks are dealt by a hash of the chunk's first row
         sets = -(-n_chunks // max(SET_CHUNKS, SET_BYTES // (BLOCK * (8 * len(depths) + 8 + width))))
         left = chunks.select("*", F.pmod(F.xxhash64("chunk"), F.lit(sets)).cast("int").alias("part"),
@@ -302,15 +304,19 @@ class Forest:
                 tree = unpacked(trees.column("nodes")[k].as_buffer())
                 for part, total in zip(x, out):
                     total += tree.staged(part, depths)
-            chunk, sums = rows_.column("chunk").to_pylist(), []
+            cut = [(c, g, i[8 * k:8 * (k + piece)], k) for c, g, i in zip(
+                rows_.column("chunk").to_pylist(), rows_.column("group").to_pylist(), ids) for k in range(0, len(i) // 8, piece)]
+            sums = []
             while out:
-                sums.append(out.pop(0).tobytes())
-            return pa.table({"chunk": pa.array(chunk, pa.int64()), "group": pa.array(
-                rows_.column("group").to_pylist(), pa.int32()), "rows": pa.array(ids, pa.binary()),
-                "sums": pa.array(sums, pa.binary())})
+                total = out.pop(0)
+                sums += [total[k:k + piece].tobytes() for k in range(0, len(total), piece)]
+            chunk, group, ids, place = zip(*cut) if cut else ((), (), (), ())
+            return pa.table({"chunk": pa.array(chunk, pa.int64()), "place": pa.array(place, pa.int32()),
+                             "group": pa.array(group, pa.int32()), "rows": pa.array(ids, pa.binary()),
+                             "sums": pa.array(sums, pa.binary())})
 
         part = left.groupBy("group", "part").cogroup(right.groupBy("group", "part")).applyInArrow(
-            score, "chunk long, group int, rows binary, sums binary")
+            score, "chunk long, place int, group int, rows binary, sums binary")
 
         def add(parts: pa.Table) -> pa.Table:
             ids = np.frombuffer(parts.column("rows")[0].as_py(), np.int64)
@@ -321,7 +327,7 @@ class Forest:
             offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * len(depths))
             return pa.table({"_row": pa.array(ids), "predictions": pa.ListArray.from_arrays(offsets, flat)})
 
-        scored = part.groupBy("chunk").applyInArrow(add, "_row long, predictions array<double>")
+        scored = part.groupBy("chunk", "place").applyInArrow(add, "_row long, predictions array<double>")
         return rows.join(scored, "_row").drop("_row")
 
 

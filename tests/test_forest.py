@@ -82,6 +82,13 @@ def test_chunks_and_groups_add_up(frame, monkeypatch):
     assert f.staged(frame.limit(0), [2, 6]).count() == 0
 
 
+def test_pieces_of_chunks_add_up(frame, monkeypatch):
+    f = forest.fit(frame, boosting.binning(frame, FEATURES), [forest.Spec("frac_7726", 6, 5)])[0]
+    want = {r.account_id: r.predictions for r in f.staged(frame, [2, 6], 3).collect()}
+    monkeypatch.setattr(forest, "PIECE_BYTES", 160)
+    assert {r.account_id: r.predictions for r in f.staged(frame, [2, 6], 3).collect()} == want and len(want) == 240
+
+
 def test_full_depth_forest_takes_a_bounded_number_of_jobs(frame, spark):
     """Spark's forest runs a job or more per level; these trees grow in one."""
     cuts = boosting.binning(frame, FEATURES)
